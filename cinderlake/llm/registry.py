@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import jaccard_join, line_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": line_dedup.op1_line_dedup}
+    return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
