@@ -1,6 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader updates.
 
-Features of a text are its 1- and 2-grams of tokens (words, and runs of other marks), hashed into ``2 ** BITS`` weights; a
+Features of a text are its 1- and 2-grams of tokens (words, and runs of other marks), hashed into ``2 ** BITS`` weights, a
+2-gram of one word twice being one feature for all words; a
 gram's value is its count over the square root of the number of grams, so that long and short texts are on one scale.  Training takes a bounded
 sample: at most ``sample`` labelled rows, those with the smallest hash of their id.  The sample is dealt into ``parts`` tasks; each runs FTRL-proximal
 over its rows and gives its weights, and their mean is the model (iterative parameter mixing: each round starts
@@ -27,12 +28,18 @@ from .textvec import Tokens, ngrams, tokens
 BITS, SAMPLE, PARTS, ROUNDS, THRESHOLD = 18, 12_000, 4, 3, 0.3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1.0
 SIZE = 1 << BITS
+REPEAT = np.uint64(0x9D39247E33776D41)
 
 
 def features(column: pa.Array) -> tuple[Tokens, Tokens]:
     """Slots of the 1-grams and of the 2-grams of each text."""
     words = tokens(column, marks=True)
     pairs = ngrams(words, 2)
+    if len(pairs.hash):  # a word said twice is one gram, whatever the word
+        inner = np.ones(len(words.hash), bool)
+        inner[words.offset[1:][words.count > 0] - 1] = False
+        inner = np.flatnonzero(inner)
+        pairs.hash[words.hash[inner] == words.hash[inner + 1]] = REPEAT
     slot = lambda h: (h >> np.uint64(64 - BITS)).astype(np.int64)
     return Tokens(slot(words.hash), words.offset), Tokens(slot(pairs.hash), pairs.offset)
 
