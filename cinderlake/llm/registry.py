@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_dedup, mixing, sharding
+from . import decontaminate, jaccard_join, line_dedup, mixing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_sharding": sharding.op4_sharding,
+        "op5_quality": quality.op5_quality,
         "op6_mixing": mixing.op6_mixing,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
     }
 
 
