@@ -57,6 +57,8 @@ class LineRuns:
     def _save(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         writer = df.write.format("parquet").bucketBy(self.buckets, "high", "low").sortBy("high", "low")
+        # hashes neither compress nor repeat
+        writer = writer.option("compression", "none").option("parquet.enable.dictionary", "false")
         writer.option("path", self.scratch.path(name)).saveAsTable(name)
         return name
 
