@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, quality, sharding
+from . import decontaminate, jaccard_join, line_dedup, mixing, quality, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,8 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": quality.op5_quality,
         "op6_mixing": mixing.op6_mixing,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op10_topk": topk.op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op10_topk": topk.ORACLE}
