@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, quality, sharding, topk
+import corpus_pipeline
+
+from . import decontaminate, jaccard_join, line_dedup, mixing, pii, quality, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_sharding": sharding.op4_sharding,
         "op5_quality": quality.op5_quality,
         "op6_mixing": mixing.op6_mixing,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op9_pii": pii.op9_pii,
         "op10_topk": topk.op10_topk,
     }
 
