@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, pii, quality, sharding, topk
+from . import decontaminate, jaccard_join, line_dedup, mixing, pii, quality, sharding, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,10 +20,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": quality.op5_quality,
         "op6_mixing": mixing.op6_mixing,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_warc": warc.op8_warc,
         "op9_pii": pii.op9_pii,
         "op10_topk": topk.op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op10_topk": topk.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op10_topk": topk.ORACLE}
