@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, pii, quality, sharding, topk, warc
+from . import chat, decontaminate, jaccard_join, line_dedup, mixing, pii, quality, sharding, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_chat_format": chat.op2_chat_format,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_sharding": sharding.op4_sharding,
         "op5_quality": quality.op5_quality,
