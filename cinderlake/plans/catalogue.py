@@ -1,11 +1,14 @@
-"""All queries of the library with their SQL oracles, gathered from the operator modules."""
+"""All queries of the library with their SQL oracles, gathered from the plan modules."""
 
 from __future__ import annotations
 
+from . import catalog_plans, focal_plans, fusion_plans, kernel_plans, resilience_plans, statistics_plans, streaming_plans, temporal_plans  # noqa: F401
+from .registry import QUERIES, SQL, Query
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
