@@ -1 +1,272 @@
-"""Plans."""
+"""Fusion of several sources a cell: a source is an event type, a cell is (user, day)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.expr import clip, rnd
+from ..operators import fusion as M
+from .registry import query, table
+
+CELL = ("user_id", "day")
+
+
+def layers(spark, sf_dir):
+    """user_id, day, source, data (mean value), quality (mean of 1 - k / 100), confidence, rank of the source."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    g = e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("source")).agg(F.avg("value").alias("data"), F.avg(1 - k / 100).alias("quality"), F.count("*").alias("n"))
+    rank = F.array_position(F.array(*(F.lit(s) for s in ("click", "error", "purchase", "signup", "view"))), F.col("source")).cast("int")
+    return g.select("user_id", "day", "source", "data", "quality", F.least(F.col("n") / 3, F.lit(1.0)).alias("confidence"), rank.alias("rank"))
+
+
+L = """L AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS source, avg(value) AS data, avg(1 - CAST(regexp_extract(props, '[0-9]+') AS INT) / 100) AS quality,
+ least(count(*) / 3, 1.0) AS confidence, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS rank FROM events GROUP BY ALL),
+V AS (SELECT * FROM L WHERE quality > 0), T AS (SELECT user_id, day, count(*) AS layers FROM L GROUP BY ALL)"""
+
+
+@query(
+    "conflict_detect",
+    f"""WITH {L}, m AS (SELECT *, avg(data) OVER w AS mu FROM V WINDOW w AS (PARTITION BY user_id, day)),
+c AS (SELECT user_id, day, avg(data) AS mean, stddev_pop(data) AS spread, max(data) - min(data) AS range, avg(CASE WHEN abs(data - mu) <= 0.1 OR abs(data - mu) <= 0.05 * abs(mu) THEN 1.0 ELSE 0.0 END) AS agreement, count(*) AS n FROM m GROUP BY ALL),
+s AS (SELECT *, CASE WHEN agreement >= 0.95 THEN 'none' WHEN agreement >= 0.8 THEN 'low' WHEN agreement >= 0.5 AND spread / nullif(abs(mean), 0) < 0.5 THEN 'medium' WHEN agreement >= 0.25 THEN 'high' ELSE 'critical' END AS severity FROM c)
+SELECT user_id, day, n, round(mean, 6) AS mean, round(spread, 6) AS spread, round(range, 6) AS range, round(agreement, 6) AS agreement, severity,
+ CASE severity WHEN 'none' THEN 1.0 WHEN 'low' THEN 0.95 WHEN 'medium' THEN 0.8 WHEN 'high' THEN 0.6 ELSE 0.3 END::DOUBLE AS penalty FROM s""",
+)
+def conflict_detect(spark, sf_dir):
+    from ..functions.expr import lookup
+
+    c = M.detect_conflict(layers(spark, sf_dir), *CELL).withColumn("severity", M.conflict_severity(F.col("agreement"), F.col("spread"), F.col("mean")))
+    return c.select(*CELL, "n", *(rnd(x).alias(x) for x in ("mean", "spread", "range", "agreement")), "severity", lookup(F.col("severity"), M.PENALTY, 0.3).alias("penalty"))
+
+
+_OUT = "SELECT user_id, day, round(value + 1e-9, 6) AS value, round(confidence, 6) AS confidence FROM r"  # nudged off ties of the last digit
+_SQL = {
+    "majority": "g AS (SELECT user_id, day, round(data, 0) AS value, count(*) AS n FROM V GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY n DESC, value) AS rn FROM g), r AS (SELECT k.user_id, k.day, value, n / layers AS confidence FROM k JOIN T USING (user_id, day) WHERE rn = 1)",
+    "weighted_vote": "g AS (SELECT user_id, day, round(data, 0) AS value, sum(quality * confidence) AS w FROM V GROUP BY ALL), k AS (SELECT *, w / sum(w) OVER (PARTITION BY user_id, day) AS confidence, row_number() OVER (PARTITION BY user_id, day ORDER BY round(w, 9) DESC, value) AS rn FROM g), r AS (SELECT * FROM k WHERE rn = 1)",
+    "mean": "r AS (SELECT user_id, day, avg(data) AS value, count(*) / any_value(layers) AS confidence FROM V JOIN T USING (user_id, day) GROUP BY ALL)",
+    "weighted_mean": "r AS (SELECT user_id, day, sum(data * quality * confidence) / sum(quality * confidence) AS value, sum(quality * confidence) / any_value(layers) AS confidence FROM V JOIN T USING (user_id, day) GROUP BY ALL)",
+    "median": "r AS (SELECT user_id, day, median(data) AS value, count(*) / any_value(layers) AS confidence FROM V JOIN T USING (user_id, day) GROUP BY ALL)",
+    "highest_confidence": "k AS (SELECT *, quality * confidence AS w, row_number() OVER (PARTITION BY user_id, day ORDER BY round(quality * confidence, 9) DESC, rank) AS rn FROM V), r AS (SELECT user_id, day, data AS value, w AS confidence FROM k WHERE rn = 1)",
+    "priority": "k AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY rank) AS rn FROM V), r AS (SELECT user_id, day, data AS value, confidence FROM k WHERE rn = 1)",
+    "minimum": "k AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY data, rank) AS rn FROM V), r AS (SELECT user_id, day, data AS value, confidence FROM k WHERE rn = 1)",
+    "maximum": "k AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY data DESC, rank) AS rn FROM V), r AS (SELECT user_id, day, data AS value, confidence FROM k WHERE rn = 1)",
+    "range_check": "m AS (SELECT *, avg(data) OVER w AS mu, stddev_pop(data) OVER w AS sd, count(*) OVER w AS nv FROM V WINDOW w AS (PARTITION BY user_id, day)), r AS (SELECT user_id, day, avg(data) AS value, count(*) / any_value(nv) AS confidence FROM m WHERE abs(data - mu) <= 2 * sd + 1e-9 GROUP BY ALL)",
+}
+_NAMES = {"highest_confidence": "highest_conf", "minimum": "min", "maximum": "max"}
+
+
+def _resolver(strategy):
+    @query(f"resolve_{_NAMES.get(strategy, strategy)}", f"WITH {L}, {_SQL[strategy]} {_OUT}")
+    def run(spark, sf_dir):
+        r = M.resolve(layers(spark, sf_dir), strategy, *CELL)
+        return r.select(*CELL, rnd(F.col("value") + 1e-9).alias("value"), rnd("confidence").alias("confidence"))
+
+
+for _s in _SQL:
+    _resolver(_s)
+
+_C = f"""WITH {L}, c AS (SELECT user_id, day, avg(data) AS mean, median(data) AS median, sum(data * quality * confidence) / sum(quality * confidence) AS weighted, list_sort(list(data)) AS srt, stddev_pop(data) AS spread, avg(confidence) AS conf FROM V GROUP BY ALL),
+k AS (SELECT *, CASE WHEN len(srt) >= 3 THEN greatest(1, CAST(floor(len(srt) * 0.2) AS INT)) ELSE 0 END AS k FROM c),
+a AS (SELECT *, 1 - least(spread / CASE WHEN abs(mean) > 1e-10 THEN abs(mean) ELSE 1e-10 END, 1.0) AS agreement, list_avg(srt[k + 1 : len(srt) - k]) AS trimmed FROM k)"""
+
+
+@query("consensus_mean", f"{_C} SELECT user_id, day, round(mean, 6) AS mean, round(agreement, 6) AS agreement, round(agreement * conf, 6) AS confidence, round(spread * (1 - agreement * conf), 6) AS uncertainty FROM a")
+def consensus_mean(spark, sf_dir):
+    return M.consensus(layers(spark, sf_dir), *CELL).select(*CELL, *(rnd(x).alias(x) for x in ("mean", "agreement", "confidence", "uncertainty")))
+
+
+@query("consensus_trimmed", f"{_C} SELECT user_id, day, round(median, 6) AS median, round(weighted + 1e-9, 6) AS weighted, round(trimmed, 6) AS trimmed FROM a")
+def consensus_trimmed(spark, sf_dir):
+    return M.consensus(layers(spark, sf_dir), *CELL).select(*CELL, *(rnd(F.col(x) + (1e-9 if x == "weighted" else 0.0)).alias(x) for x in ("median", "weighted", "trimmed")))
+
+
+@query(
+    "consensus_vote",
+    f"""WITH {L}, g AS (SELECT user_id, day, avg(CASE WHEN data > 20 THEN 1.0 ELSE 0.0 END) AS yes, count(*) AS n FROM V GROUP BY ALL)
+SELECT user_id, day, n, round(yes, 6) AS yes, CASE WHEN yes > 0.5 THEN 1 ELSE 0 END AS majority, CASE WHEN yes >= 0.99 THEN 1 WHEN yes <= 0.01 THEN 0 ELSE -1 END AS unanimous,
+ CASE WHEN yes >= 0.666 THEN 1 WHEN yes <= 0.334 THEN 0 ELSE -1 END AS supermajority FROM g""",
+)
+def consensus_vote(spark, sf_dir):
+    """A tie is 0; without consensus the result is -1."""
+    valid = layers(spark, sf_dir).filter("quality > 0")
+    v = valid.groupBy(*CELL).agg(F.avg((F.col("data") > 20).cast("double")).alias("yes"), F.count("*").alias("n"))
+    at = lambda t: F.when(F.col("yes") >= t, 1).when(F.col("yes") <= F.round(F.lit(1 - t), 9), 0).otherwise(-1)
+    return v.select(*CELL, "n", rnd("yes").alias("yes"), F.when(F.col("yes") > 0.5, 1).otherwise(0).alias("majority"), at(0.99).alias("unanimous"), at(0.666).alias("supermajority"))
+
+
+@query(
+    "consensus_build",
+    f"""WITH {L}, p AS (SELECT user_id, day, avg(data) AS mean, median(data) AS median, greatest(0.0, 1 - coalesce(stddev_pop(data) / nullif(abs(avg(data)), 0), 1)) AS conf FROM V GROUP BY ALL)
+SELECT user_id, day, round(CASE WHEN conf < 0.5 THEN median ELSE mean END, 6) AS value, conf < 0.5 AS secondary FROM p""",
+)
+def consensus_build(spark, sf_dir):
+    """The mean, and where its confidence is under .5 the median."""
+    conf = F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(F.stddev_pop("data"), F.abs(F.avg("data"))), F.lit(1.0)))
+    p = layers(spark, sf_dir).filter("quality > 0").groupBy(*CELL).agg(F.avg("data").alias("mean"), F.median("data").alias("median"), conf.alias("conf"))
+    low = F.col("conf") < 0.5
+    return p.select(*CELL, rnd(F.when(low, F.col("median")).otherwise(F.col("mean"))).alias("value"), low.alias("secondary"))
+
+
+def members(spark, sf_dir):
+    """Ensemble members: extent is data > 20, confidence from the quality, weight by rank."""
+    return layers(spark, sf_dir).select(*CELL, "source", (F.col("data") > 20).alias("extent"), clip("quality", 0, 1).alias("conf"), (1 / F.col("rank")).alias("weight"))
+
+
+_E = f"""WITH {L}, m AS (SELECT user_id, day, source, data > 20 AS extent, least(greatest(quality, 0.0), 1.0) AS conf, (1 / rank) / sum(1 / rank) OVER (PARTITION BY user_id, day) AS share FROM L),
+p AS (SELECT *, CASE WHEN extent THEN conf ELSE 1 - conf END AS p, least(greatest(conf, 1e-6), 1 - 1e-6) AS cc FROM m),
+e AS (SELECT user_id, day, sum(share * p) AS average, sum(share * CAST(extent AS INT)) AS vote, 1 / (1 + exp(-sum(share * ln(cc / (1 - cc)) * CASE WHEN extent THEN 1 ELSE -1 END))) AS bayes, avg(CAST(extent AS INT)) AS yes, var_pop(p) AS v FROM p GROUP BY ALL)"""
+
+
+def _ens(name, columns, sql):
+    @query(name, f"{_E} SELECT user_id, day, {sql} FROM e")
+    def run(spark, sf_dir):
+        return M.ensemble(members(spark, sf_dir), *CELL).select(*CELL, *(rnd(c).alias(c) for c in columns))
+
+
+_ens("ensemble_weighted", ["average", "agreement", "confidence"], "round(average, 6) AS average, round(greatest(yes, 1 - yes), 6) AS agreement, round((abs(average - 0.5) * 2 + greatest(yes, 1 - yes)) / 2, 6) AS confidence")
+_ens("ensemble_vote", ["vote", "agreement"], "round(vote, 6) AS vote, round(greatest(yes, 1 - yes), 6) AS agreement")
+_ens("ensemble_bayes", ["bayes", "uncertainty"], "round(bayes, 6) AS bayes, round(v / 0.25, 6) AS uncertainty")
+
+
+@query(
+    "ensemble_reliability",
+    f"""WITH {L}, m AS (SELECT user_id, day, source, CAST(data > 20 AS INT) AS extent, least(greatest(quality, 0.0), 1.0) AS conf, 1 / rank AS w FROM L),
+c AS (SELECT *, CASE WHEN avg(extent) OVER (PARTITION BY user_id, day) > 0.5 THEN 1 ELSE 0 END AS agreed FROM m),
+r AS (SELECT source, avg(1 - abs(extent - agreed)) AS reliability FROM c GROUP BY source),
+f AS (SELECT user_id, day, sum(w * reliability * CASE WHEN extent = 1 THEN conf ELSE 1 - conf END) / sum(w * reliability) AS p FROM c JOIN r USING (source) GROUP BY ALL)
+SELECT user_id, day, round(p, 6) AS probability FROM f WHERE p IS NOT NULL""",
+)
+def ensemble_reliability(spark, sf_dir):
+    """Each source's weight is scaled by how often it agrees with the cell's majority."""
+    from pyspark.sql import Window as W
+
+    m = members(spark, sf_dir).withColumn("e", F.col("extent").cast("int"))
+    c = m.withColumn("agreed", (F.avg("e").over(W.partitionBy(*CELL)) > 0.5).cast("int"))
+    r = c.groupBy("source").agg(F.avg(1 - F.abs(F.col("e") - F.col("agreed"))).alias("reliability"))
+    c = c.join(r, "source").withColumn("w", F.col("weight") * F.col("reliability"))
+    p = F.when(F.col("extent"), F.col("conf")).otherwise(1 - F.col("conf"))
+    return c.groupBy(*CELL).agg(F.try_divide(F.sum(F.col("w") * p), F.sum("w")).alias("p")).filter("p IS NOT NULL").select(*CELL, rnd("p").alias("probability"))
+
+
+@query(
+    "partial_mosaic",
+    """WITH o AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id, value, 1 - CAST(regexp_extract(props, '[0-9]+') AS INT) / 100 AS q, ts FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY q DESC, ts) AS rn, count(*) OVER (PARTITION BY user_id, day) AS n FROM o WHERE q > 0)
+SELECT user_id, day, event_id, round(value, 6) AS value, n FROM k WHERE rn = 1""",
+)
+def partial_mosaic(spark, sf_dir):
+    """First fill in the order of quality, then of age: one aggregate, no sort of all acquisitions."""
+    q = 1 - F.get_json_object("props", "$.k").cast("int") / 100
+    o = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", "value", q.alias("q"), "ts").filter("q > 0")
+    best = F.min_by(F.struct("event_id", "value"), F.struct(-F.col("q"), F.col("ts")))
+    return o.groupBy("user_id", "day").agg(best.alias("b"), F.count("*").alias("n")).select("user_id", "day", "b.event_id", rnd("b.value").alias("value"), "n")
+
+
+@query(
+    "mosaic_blend",
+    """SELECT l_orderkey % 64 AS row, l_partkey % 64 AS col, round(avg(l_quantity), 6) AS average, max(l_quantity) AS maximum, min(l_quantity) AS minimum, arg_max(l_quantity, (l_orderkey, l_linenumber, l_extendedprice, l_quantity)) AS replaced FROM lineitem GROUP BY ALL""",
+)
+def mosaic_blend(spark, sf_dir):
+    """Overlapping tiles on one grid: average, maximum, minimum, or the last tile wins."""
+    t = table(spark, sf_dir, "lineitem")
+    return t.groupBy((F.col("l_orderkey") % 64).alias("row"), (F.col("l_partkey") % 64).alias("col")).agg(
+        rnd(F.avg("l_quantity")).alias("average"), F.max("l_quantity").alias("maximum"), F.min("l_quantity").alias("minimum"), F.max_by("l_quantity", F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")).alias("replaced")
+    )
+
+
+@query(
+    "uncertainty_arith",
+    """WITH u AS (SELECT l_orderkey, l_linenumber, l_quantity AS a, l_quantity * 0.05 AS sa, l_extendedprice / 1000 AS b, l_extendedprice / 1000 * l_discount AS sb FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(sqrt(sa * sa + sb * sb), 6) AS s_sum, round(abs(a * b) * sqrt(pow(sa / a, 2) + pow(sb / b, 2)), 3) AS s_product, round(abs(a / b) * sqrt(pow(sa / a, 2) + pow(sb / b, 2)), 6) AS s_ratio,
+ round(abs(2 * a) * sa, 6) AS s_square, round(sqrt(0.7 * (sa * sa + sb * sb) + 0.3 * pow(sa + sb, 2)), 6) AS s_correlated, round(1.959964 * sa, 6) AS ci95_half FROM u WHERE a > 1e-10 AND b > 1e-10""",
+)
+def uncertainty_arith(spark, sf_dir):
+    """First-order propagation through +, *, / and a square; correlated sum with rho = .3; 95 % half width."""
+    u = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), (F.col("l_quantity") * 0.05).alias("sa"), (F.col("l_extendedprice") / 1000).alias("b"), (F.col("l_extendedprice") / 1000 * F.col("l_discount")).alias("sb")).filter("a > 1e-10 AND b > 1e-10")
+    a, b, sa, sb = (F.col(c) for c in ("a", "b", "sa", "sb"))
+    rel = F.sqrt(F.pow(sa / a, 2) + F.pow(sb / b, 2))
+    made = {"s_sum": F.sqrt(sa * sa + sb * sb), "s_product": F.abs(a * b) * rel, "s_ratio": F.abs(a / b) * rel, "s_square": F.abs(2 * a) * sa, "s_correlated": F.sqrt(0.7 * (sa * sa + sb * sb) + 0.3 * F.pow(sa + sb, 2)), "ci95_half": 1.959964 * sa}
+    return u.select("l_orderkey", "l_linenumber", *(rnd(c, 3 if n == "s_product" else 6).alias(n) for n, c in made.items()))
+
+
+@query(
+    "pairwise_models",
+    f"""WITH {L}, j AS (SELECT a.source AS a, b.source AS b, a.data AS x, b.data AS y, a.confidence * b.confidence AS w FROM V a JOIN V b ON a.user_id = b.user_id AND a.day = b.day AND a.source < b.source)
+SELECT a, b, count(*) AS cells, round(corr(x, y), 6) AS corr, round(sqrt(sum(w * pow(x - y, 2)) / sum(w)), 4) AS rmse, round(sum(w * abs(x - y)) / sum(w), 4) AS mae, round(sum(w * (x - y)) / sum(w), 4) AS bias,
+ round(max(abs(x - y)), 4) AS max_error, round(avg(CASE WHEN abs(x - y) <= 5 THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM j GROUP BY a, b""",
+)
+def pairwise_models(spark, sf_dir):
+    """All pairs of sources on shared cells: an equi-join on the cell, so only layers of one cell meet."""
+    v = layers(spark, sf_dir).filter("quality > 0")
+    a, b = (v.select(*CELL, F.col("source").alias(s), F.col("data").alias(d), F.col("confidence").alias(c)) for s, d, c in (("a", "x", "ca"), ("b", "y", "cb")))
+    j = a.join(b, list(CELL)).filter("a < b").withColumn("w", F.col("ca") * F.col("cb")).withColumn("e", F.col("x") - F.col("y"))
+    over = lambda c: F.sum(F.col("w") * c) / F.sum("w")
+    e = F.col("e")
+    return j.groupBy("a", "b").agg(
+        F.count("*").alias("cells"), rnd(F.corr("x", "y")).alias("corr"), rnd(F.sqrt(over(e * e)), 4).alias("rmse"), rnd(over(F.abs(e)), 4).alias("mae"), rnd(over(e), 4).alias("bias"), rnd(F.max(F.abs(e)), 4).alias("max_error"),
+        rnd(F.avg((F.abs(e) <= 5).cast("double"))).alias("agreement"),
+    )
+
+
+@query(
+    "model_ranking",
+    f"""WITH {L}, j AS (SELECT a.source AS a, b.source AS b, CASE WHEN abs(a.data - b.data) <= 5 THEN 1.0 ELSE 0.0 END AS hit FROM V a JOIN V b ON a.user_id = b.user_id AND a.day = b.day AND a.source < b.source),
+p AS (SELECT a, b, avg(hit) AS agreement FROM j GROUP BY a, b), s AS (SELECT a AS source, agreement FROM p UNION ALL SELECT b, agreement FROM p),
+c AS (SELECT source, avg(confidence) AS conf FROM V GROUP BY source), r AS (SELECT source, avg(agreement) * any_value(conf) AS skill FROM s JOIN c USING (source) GROUP BY source)
+SELECT source, round(skill, 6) AS skill, row_number() OVER (ORDER BY round(skill, 9) DESC, source) AS rank FROM r""",
+)
+def model_ranking(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    v = layers(spark, sf_dir).filter("quality > 0")
+    a, b = (v.select(*CELL, F.col("source").alias(s), F.col("data").alias(d)) for s, d in (("a", "x"), ("b", "y")))
+    p = a.join(b, list(CELL)).filter("a < b").groupBy("a", "b").agg(F.avg((F.abs(F.col("x") - F.col("y")) <= 5).cast("double")).alias("agreement"))
+    s = p.select(F.col("a").alias("source"), "agreement").union(p.select(F.col("b").alias("source"), "agreement")).groupBy("source").agg(F.avg("agreement").alias("g"))
+    c = v.groupBy("source").agg(F.avg("confidence").alias("conf"))
+    r = s.join(c, "source").withColumn("skill", F.col("g") * F.col("conf"))  # as many rows as sources
+    return r.select("source", rnd("skill").alias("skill"), F.row_number().over(W.orderBy(F.round("skill", 9).desc(), "source")).alias("rank"))
+
+
+@query(
+    "impact_projection",
+    """WITH c AS (SELECT user_id, event_id, ts, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM events)
+SELECT user_id, event_id, round(total, 4) AS total, CASE WHEN total < 10 THEN 0 WHEN total < 25 THEN 1 WHEN total < 50 THEN 2 WHEN total < 100 THEN 3 WHEN total < 200 THEN 4 WHEN total < 500 THEN 5 ELSE 6 END AS level FROM c""",
+)
+def impact_projection(spark, sf_dir):
+    """Accumulated amount a cell and its flood impact level."""
+    from pyspark.sql import Window as W
+
+    from ..functions.expr import classes
+
+    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    c = table(spark, sf_dir, "events").select("user_id", "event_id", F.sum("value").over(w).alias("total"))
+    return c.select("user_id", "event_id", rnd("total", 4).alias("total"), classes(F.col("total"), (10, 25, 50, 100, 200, 500), tuple(range(7))).alias("level"))
+
+
+@query(
+    "impact_summary",
+    """WITH d AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, sum(value) AS amount FROM events GROUP BY ALL),
+l AS (SELECT *, CASE WHEN amount < 10 THEN 0 WHEN amount < 25 THEN 1 WHEN amount < 50 THEN 2 WHEN amount < 100 THEN 3 WHEN amount < 200 THEN 4 WHEN amount < 500 THEN 5 ELSE 6 END AS level FROM d)
+SELECT user_id, max(level) AS peak, arg_min(day, (-level, day)) AS peak_day, count(CASE WHEN level >= 4 THEN 1 END) * 3 AS severe_hours FROM l GROUP BY user_id""",
+)
+def impact_summary(spark, sf_dir):
+    from ..functions.expr import classes
+
+    d = table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum("value").alias("amount"))
+    d = d.withColumn("level", classes(F.col("amount"), (10, 25, 50, 100, 200, 500), tuple(range(7))))
+    return d.groupBy("user_id").agg(F.max("level").alias("peak"), F.min_by("day", F.struct(-F.col("level"), "day")).alias("peak_day"), (F.count(F.when(F.col("level") >= 4, 1)) * 3).alias("severe_hours"))
+
+
+@query(
+    "blend_weights",
+    """WITH c AS (SELECT o_orderkey, o_orderstatus AS sensor, exp(-(o_orderkey % 30) / 7) * (1 - (o_custkey % 100) / 100) AS w FROM orders)
+SELECT o_orderkey, sensor, round(w / sum(w) OVER (PARTITION BY sensor) * 1000, 6) AS weight FROM c""",
+)
+def blend_weights(spark, sf_dir):
+    """Weights normalised within a sensor: sums are joined back, so a hot sensor needs no single sort."""
+    from ..functions.expr import decay
+
+    c = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("sensor"), (decay(F.col("o_orderkey") % 30, 7.0) * (1 - (F.col("o_custkey") % 100) / 100)).alias("w"))
+    total = c.groupBy("sensor").agg(F.sum("w").alias("total"))
+    return c.join(total, "sensor").select("o_orderkey", "sensor", rnd(F.col("w") / F.col("total") * 1000).alias("weight"))
