@@ -1 +1,48 @@
-"""Plans."""
+"""Streaming queries over ``events`` (read as a stream, run over all available input) against their batch equivalents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.expr import rnd
+from ..operators.temporal import epoch
+from ..streaming import events as S
+from .registry import query
+
+
+def _start(w="w.start"):
+    return epoch(w).alias("start")
+
+
+@query("stream_tumbling", "SELECT CAST(floor(epoch(ts)) AS BIGINT) // 86400 * 86400 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark, sf_dir):
+    out = S.run_once(S.tumbling(S.source(spark, sf_dir), "1 day", "event_type"), "complete")
+    return out.select(_start(), "event_type", "n", rnd("total", 4).alias("total"))
+
+
+@query(
+    "stream_sliding_rate",
+    "WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), w AS (SELECT user_id, t // 21600 * 21600 - k * 21600 AS start FROM e, (SELECT unnest(range(0, 4)) AS k)) SELECT start, user_id, count(*) AS n FROM w GROUP BY ALL HAVING count(*) > 1",
+)
+def stream_sliding_rate(spark, sf_dir):
+    """Requests per client in windows of a day every six hours."""
+    out = S.run_once(S.sliding(S.source(spark, sf_dir), "24 hours", "6 hours", "user_id"), "complete")
+    return out.filter("n > 1").select(_start(), "user_id", "n")
+
+
+@query("stream_dedupe", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
+def stream_dedupe(spark, sf_dir):
+    """One event a key; the lateness covers the whole input here, so the result is the set of keys."""
+    out = S.run_once(S.deduplicate(S.source(spark, sf_dir), "60 days", "user_id", "event_type"))
+    return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "stream_session",
+    """WITH e AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT user_id, t, sum(opens) OVER (PARTITION BY user_id ORDER BY t) AS k FROM e)
+SELECT user_id, CAST(min(t) // 1000000 AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def stream_session(spark, sf_dir):
+    """Sessions of a client that end after an hour of silence."""
+    out = S.run_once(S.sessions(S.source(spark, sf_dir), "1 hour", "user_id"), "complete")
+    return out.select("user_id", _start(), "n")
