@@ -34,13 +34,15 @@ def shares_of(weights: DataFrame, period: int) -> DataFrame:
     raised = F.greatest(F.lit(period), F.pow(2, F.ceil(F.log2(4.0 * n)))).cast("long")
     base = weights.select("source", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight")).withColumn("period", raised).withColumn("n", n)
     total = F.sum("weight").over(one)
-    part = F.when(total > 0, F.col("weight") / total).otherwise(1.0 / F.col("n"))
-    ideal = part * (F.col("period") - F.col("n"))
-    cut = base.withColumn("ideal", ideal).withColumn("floor", F.floor("ideal").cast("long"))
-    left = F.col("period") - F.col("n") - F.sum("floor").over(one)
-    by_rest = F.row_number().over(W.partitionBy().orderBy((F.col("floor") - F.col("ideal")), F.col("source").asc_nulls_first()))
+    base = base.withColumn("part", F.when(total > 0, F.col("weight") / total).otherwise(1.0 / F.col("n")))
+    # sources of under two slots get one; the others divide the rest
+    base = base.withColumn("large", F.col("part") * F.col("period") >= 2)
+    rest, large = F.col("period") - F.count(F.when(~F.col("large"), 1)).over(one), F.sum(F.when(F.col("large"), F.col("part"))).over(one)
+    cut = base.withColumn("ideal", F.when(F.col("large"), F.col("part") / large * rest).otherwise(1.0)).withColumn("floor", F.floor("ideal").cast("long"))
+    left = F.col("period") - F.sum("floor").over(one)
+    by_rest = F.row_number().over(W.partitionBy().orderBy(F.round(F.col("floor") - F.col("ideal"), 9), F.col("source").asc_nulls_first()))
     rank = F.row_number().over(W.partitionBy().orderBy(F.col("source").asc_nulls_first())).cast("int")
-    return cut.withColumn("left", left).withColumn("by_rest", by_rest).select("source", rank.alias("rank"), (F.col("floor") + 1 + (F.col("by_rest") <= F.col("left")).cast("long")).alias("shares"), "period")
+    return cut.withColumn("left", left).withColumn("by_rest", by_rest).select("source", rank.alias("rank"), (F.col("floor") + (F.col("by_rest") <= F.col("left")).cast("long")).alias("shares"), "period")
 
 
 def earliest_deadline_first(shares: DataFrame) -> DataFrame:
@@ -115,13 +117,15 @@ sources AS (SELECT source, pow(CAST(sum(size) AS DOUBLE), 0.5) AS weight FROM ro
 base AS (
   SELECT source, weight, count(*) OVER () AS n,
          CAST(greatest(1024, pow(2, ceil(log2(4.0 * count(*) OVER ())))) AS BIGINT) AS period FROM sources),
-ideal AS (SELECT *, weight / sum(weight) OVER () * (period - n) AS ideal FROM base),
+parts AS (SELECT *, weight / sum(weight) OVER () AS part FROM base),
+sized AS (SELECT *, part * period >= 2 AS large FROM parts),
+ideal AS (SELECT *, CASE WHEN large THEN part / sum(CASE WHEN large THEN part END) OVER () * (period - count(CASE WHEN NOT large THEN 1 END) OVER ()) ELSE 1.0 END AS ideal FROM sized),
 cut AS (SELECT *, CAST(floor(ideal) AS BIGINT) AS low FROM ideal),
 ranked AS (
-  SELECT source, period, n, low, period - n - sum(low) OVER () AS spare,
-         row_number() OVER (ORDER BY low - ideal, source NULLS FIRST) AS by_rest,
+  SELECT source, period, n, low, period - sum(low) OVER () AS spare,
+         row_number() OVER (ORDER BY round(low - ideal, 9), source NULLS FIRST) AS by_rest,
          row_number() OVER (ORDER BY source NULLS FIRST) AS rank FROM cut),
-shares AS (SELECT source, rank, period, n, low + 1 + CASE WHEN by_rest <= spare THEN 1 ELSE 0 END AS shares FROM ranked),
+shares AS (SELECT source, rank, period, n, low + CASE WHEN by_rest <= spare THEN 1 ELSE 0 END AS shares FROM ranked),
 fixed AS (SELECT list(CAST(shares AS BIGINT) ORDER BY rank) AS lst, any_value(period) AS period, any_value(n) AS n FROM shares),
 sched AS (
   SELECT CAST(-1 AS BIGINT) AS slot, list_transform(range(1, n + 1), lambda i: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM fixed

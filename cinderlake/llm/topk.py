@@ -12,7 +12,7 @@ Arithmetic is exact: in double precision while the squared sum stays below 2 **
 
 Edge cases: vectors that are null, or hold null, NaN or infinite components, take no part; vectors are compared with vectors of the same length;
 null ids take no part; of rows that repeat an id the smallest vector counts; ties go to the smaller vec_id;
-fewer candidates than k give all; an empty table gives no rows; extra columns are ignored.  Scores beyond a long raise an error.
+fewer candidates than k give all; an empty table gives no rows; extra columns are ignored.  Scores beyond a long are held at its limits and tie there.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 K, SHARD_ROWS, QUERY_ROWS, LEAF = 5, 8192, 1024, 256
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def integer_vectors(df: DataFrame) -> DataFrame:
@@ -74,13 +75,13 @@ def _product(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     if x.size == 0 or np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] < 2.0**53:
         return x @ q
     y = [int(v) for v in q]
-    return np.array([sum(int(a) * b for a, b in zip(row, y, strict=True)) for row in x], dtype=object)
+    return np.array([min(max(sum(int(a) * b for a, b in zip(row, y, strict=True)), LEAST), MOST) for row in x], dtype=object)
 
 
 def search(tree: dict, own: int, q: np.ndarray, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """``best``: (score, -vec_id) of results so far, at most k; returns it with this tree's rows taken in."""
     bound = np.maximum(tree["low"] * q, tree["high"] * q).sum(axis=1)
-    bound = bound + np.abs(bound) * 1e-12  # never below the exact bound
+    bound = np.clip(bound + np.abs(bound) * 1e-12, LEAST, MOST)  # never below the exact bound
     heap = [(-bound[0], 0)]
     best = sorted(best, reverse=True)
     while heap:
