@@ -57,8 +57,11 @@ def earliest_deadline_first(shares: DataFrame) -> DataFrame:
             ((F.get(done, i) * F.col("period") / x["shares"]).cast("long") <= slot).alias("released"),
         )
         ready = F.filter(F.transform(F.col("list"), due), lambda x: x["released"])
-        pick = F.array_min(ready)["rank"]
-        return F.struct(F.transform(done, lambda d, i: F.when(i + 1 == pick, d + 1).otherwise(d)).alias("done"), F.concat(state["order"], F.array(pick)).alias("order"))
+        # the pick is bound as a lambda's variable, so that it is found once a slot
+        run = lambda pick: F.struct(
+            F.transform(done, lambda d, i: F.when(i + 1 == pick, d + 1).otherwise(d)).alias("done"), F.concat(state["order"], F.array(pick)).alias("order")
+        )
+        return F.get(F.transform(F.array(F.array_min(ready)["rank"]), run), F.lit(0))
 
     start = F.struct(F.transform("list", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("order"))
     order = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1), start, step, lambda s: s["order"])
