@@ -46,3 +46,31 @@ def stream_session(spark, sf_dir):
     """Sessions of a client that end after an hour of silence."""
     out = S.run_once(S.sessions(S.source(spark, sf_dir), "1 hour", "user_id"), "complete")
     return out.select("user_id", _start(), "n")
+
+
+@query(
+    "stream_watermark",
+    "WITH w AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) // 86400 * 86400 AS start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT start, event_type, n FROM w WHERE start + 86400 <= (SELECT max(epoch(ts)) FROM events) - 3600",
+)
+def stream_watermark(spark, sf_dir):
+    """Append mode: windows that the watermark (an hour behind) has closed."""
+    events = S.source(spark, sf_dir).withWatermark("at", "1 hour")
+    return S.run_once(S.tumbling(events, "1 day", "event_type").select("w", "event_type", "n")).select(_start(), "event_type", "n")
+
+
+@query(
+    "stream_dispatch",
+    "WITH s AS (SELECT unnest(['audit', 'billing', 'alerts', 'alerts']) AS hook, unnest(['view', 'purchase', 'error', 'signup']) AS event_type) SELECT hook, event_type, count(*) AS n FROM events JOIN s USING (event_type) WHERE epoch(ts) + 3600 * (event_id % 200) > epoch(TIMESTAMP '2024-01-12 00:00:00') GROUP BY ALL",
+)
+def stream_dispatch(spark, sf_dir):
+    """Live messages to the hooks that subscribe to them."""
+    hooks = spark.createDataFrame([("audit", ["view"]), ("billing", ["purchase"]), ("alerts", ["error", "signup"])], "hook string, types array<string>")
+    events = S.source(spark, sf_dir).withColumn("ttl", 3600 * (F.col("event_id") % 200))
+    out = S.run_once(S.dispatch(S.live(events, "ttl", "2024-01-12 00:00:00"), hooks).select("event_id", "event_type", "hook"))
+    return out.groupBy("hook", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_rate_limit", "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM events")
+def stream_rate_limit(spark, sf_dir):
+    """Exact requests in the hour before each request, kept as state per client."""
+    return S.run_once(S.request_rate(S.source(spark, sf_dir), "user_id", 3600))

@@ -54,3 +54,48 @@ def run_once(df: DataFrame, mode: str = "append") -> DataFrame:
     q = writer.start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{root}/out")
+
+
+def live(events: DataFrame, ttl_seconds: str, now: str) -> DataFrame:
+    """Messages whose time to live has not passed at ``now``."""
+    return events.filter(F.unix_timestamp("at") + F.col(ttl_seconds) > F.unix_timestamp(F.lit(now).cast("timestamp")))
+
+
+def dispatch(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Each event to each hook that takes its type: a stream-static join; subscriptions (hook, types) are read anew for each batch."""
+    hooks = subscriptions.select("hook", F.explode("types").alias("event_type"))
+    return events.join(hooks, "event_type")
+
+
+def request_rate(events: DataFrame, by: str, seconds: int) -> DataFrame:
+    """Exact sliding counts: for each event the client's events strictly later than ``seconds`` before it.
+
+    The state of a client is the times of its last ``seconds``; it is dropped when the client has been silent for longer.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    width = seconds * 1_000_000
+
+    def count(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        recent = list(state.get[0]) if state.exists else []
+        got = pd.concat(list(frames)).sort_values(["t", "event_id"])
+        times, lo, out = recent + got["t"].tolist(), 0, []
+        times.sort()
+        for n, t in enumerate(times):
+            while times[lo] <= t - width:
+                lo += 1
+            last = n + 1
+            while last < len(times) and times[last] == t:
+                last += 1
+            out.append((t, last - lo))
+        counts = dict(out)
+        state.update((times[lo:],))
+        state.setTimeoutTimestamp(times[-1] // 1000 + seconds * 1000 + 1)
+        yield pd.DataFrame({"event_id": got["event_id"], by: key[0], "n": got["t"].map(counts)})
+
+    rows = events.withWatermark("at", "1 minute").select("event_id", by, "at", F.unix_micros("at").alias("t"))
+    return rows.groupBy(by).applyInPandasWithState(count, f"event_id long, {by} long, n long", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
