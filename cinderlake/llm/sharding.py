@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-SHARDS, CRATES, HEAVY = 8, 4096, 1024
+SHARDS, CRATES, HEAVY = 8, 4096, 128
 
 
 def pack(sums: np.ndarray, shards: int) -> np.ndarray:
