@@ -1,7 +1,8 @@
 """Sharding as vector bin packing: bytes, tokens and rows are balanced jointly.
 
 A group is all rows with one text.  Groups are hashed into ``crates`` (a parameter, so their number does not grow with the
-input); a group that alone holds over 1/``heavy`` of all bytes or rows is spread over all crates by doc_id.  Only
+input); a group that alone holds over 4/``heavy`` of all bytes or rows,
+or over 1/``heavy`` in more than 64 rows, is spread over all crates by doc_id; all others stay whole.  Only
 the crates' sums are packed: in descending size each goes where the dot product of its vector with the shards' residual capacity is
 highest among shards that it fits, all three dimensions being scaled by their totals.  Then crates move or swap between
 the fullest and emptiest shard in bytes while that narrows the gap.  The list of crates (three numbers each) is the only thing the driver sees.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-SHARDS, CRATES, HEAVY = 8, 4096, 128
+SHARDS, CRATES, HEAVY, MANY = 8, 4096, 128, 64
 
 
 def pack(sums: np.ndarray, shards: int) -> np.ndarray:
@@ -94,7 +95,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, crates: int = CRATES, heavy: in
     size, count = total["size"] or 0, total["rows"]
     # at most 2 * heavy groups can pass
     large = rows.groupBy("text_a", "text_b").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
-    large = large.filter((F.col("n") > 1) & ((F.col("s") > size / heavy) | (F.col("n") > count / heavy))).select("text_a", "text_b", F.lit(True).alias("heavy"))
+    over = lambda ways: (F.col("s") > size / ways) | (F.col("n") > count / ways)
+    large = large.filter((F.col("n") > 1) & (over(heavy / 4) | ((F.col("n") > MANY) & over(heavy)))).select("text_a", "text_b", F.lit(True).alias("heavy"))
     rows = rows.join(F.broadcast(large), ["text_a", "text_b"], "left")
     group = F.when(F.col("heavy"), F.xxhash64("text_a", "doc_id")).otherwise(F.col("text_a"))
     rows = rows.withColumn("crate", F.pmod(group, F.lit(crates)).cast("int")).drop("heavy")
