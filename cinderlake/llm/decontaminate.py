@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .textvec import PIECE, mix, ngrams, permutations, tokens
+from .textvec import PIECE, mix, ngrams, permutations, pieces, tokens
 
 WORDS, THRESHOLD, HASHES, BITS, BASE = 5, 0.8, 48, 26, 8
 NONE = np.uint32(0xFFFFFFFF)
@@ -128,12 +128,8 @@ def _search(docs: DataFrame, words: int, hashes: int, bits: int, band_bits, shin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text = batch.column(0).to_numpy(), batch.column(1)
-            size = np.cumsum(np.array([0, *(len(t) if t else 0 for t in text.to_pylist())]))
-            i = 0
-            while i < len(ids):
-                j = max(i + 1, int(np.searchsorted(size, size[i] + PIECE, "right")) - 1)
-                yield piece(ids[i:j], text.slice(i, j - i))
-                i = j
+            for a, b in pieces(text, PIECE):
+                yield piece(ids[a:b], text.slice(a, b - a))
 
     return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, kind int, key long")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table, whole_groups
-from .textvec import fold, minhash, mix, ngrams, tokens
+from .textvec import fold, minhash, mix, ngrams, pieces, tokens
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.9999, 128, 1000
 
@@ -54,7 +54,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, fp_a, fp_b (fingerprint of the shingle set), bands (array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in pieces(whole.column(1))):
             grams = _shingles(batch.column(1), words)
             n = batch.num_rows
             fp = np.zeros((n, 2), np.uint64)
@@ -72,7 +72,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """rep, shingles: the sorted distinct shingle hashes as little-endian bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in pieces(whole.column(1))):
             grams = _shingles(batch.column(1), words)
             packed = [np.unique(grams.hash[a:b]).tobytes() for a, b in zip(grams.offset[:-1], grams.offset[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["rep", "shingles"])

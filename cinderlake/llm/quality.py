@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .textvec import Tokens, ngrams, tokens
+from .textvec import Tokens, ngrams, pieces, tokens
 
 BITS, SAMPLE, PARTS, ROUNDS, THRESHOLD = 18, 12_000, 4, 3, 0.3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1.0
@@ -46,6 +46,8 @@ def features(column: pa.Array) -> tuple[Tokens, Tokens]:
 
 def dots(column: pa.Array, weights: np.ndarray) -> np.ndarray:
     """The sparse dot product of each text's features with the weights, and the bias (the last weight)."""
+    if len(parts := pieces(column)) > 1:
+        return np.concatenate([dots(column.slice(a, b - a), weights) for a, b in parts])
     ones, twos = features(column)
     total = np.zeros(len(ones.count))
     for t in (ones, twos):
@@ -88,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, parts: int =
 
         def run(batches: Iterator[pa.RecordBatch], k=k, shared=shared) -> Iterator[pa.RecordBatch]:
             by_part: dict[int, list] = {}
-            for batch in batches:
+            for batch in (whole.slice(a, b - a) for whole in batches for a, b in pieces(whole.column("text"))):
                 ones, twos = features(batch.column("text"))
                 for i, (p, y) in enumerate(zip(batch.column("part").to_pylist(), batch.column("label").to_pylist(), strict=True)):
                     slots = np.concatenate([t.hash[t.offset[i] : t.offset[i + 1]] for t in (ones, twos)])

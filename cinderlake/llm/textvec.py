@@ -35,6 +35,17 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def pieces(column: pa.Array, limit: int = 1 << 21) -> list[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes of text each (a longer text is a range of its own), to bound temporary arrays."""
+    size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    out, a = [], 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(size, size[a] + limit, "right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (xor-shift-multiply)."""
     x = x ^ (x >> np.uint64(30))
