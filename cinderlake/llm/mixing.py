@@ -70,12 +70,13 @@ def earliest_deadline_first(shares: DataFrame) -> DataFrame:
     return slots.select("rank", turn.cast("long").alias("turn"), F.col("slot").cast("long").alias("slot"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, source, text_key, block (number within the source), slot, place (within the block)."""
+def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, period: int = PERIOD, temperature: float = TEMPERATURE, carry: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, source, text_key, block (number within the source), slot, place (within the block), and each row's columns of ``carry``."""
+    carry = carry or {}
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("size"))
+    rows = docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("bytes"), *(c.alias(k) for k, c in carry.items()))
     rows = scratch.keep(rows.withColumn("part", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 3)), "rows")
-    parts = rows.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    parts = rows.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     sources = parts.groupBy("source").agg(F.sum("bytes").alias("bytes"))
     if weights is None:
         # the root of whole bytes, so that every engine gets the same shares
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, p
     rows = rows.withColumn("index", index).withColumn("block", F.expr(f"index div {block}"))
     rows = rows.withColumn("round", F.expr("block div shares")).withColumn("turn", F.col("block") % F.col("shares"))
     rows = rows.join(F.broadcast(schedule), ["rank", "turn"])  # as many rows as the period
-    return rows.select("doc_id", "source", "text_key", "block", (F.col("round") * F.col("period") + F.col("slot")).alias("slot"), (F.col("index") % block).alias("place"))
+    return rows.select("doc_id", "source", "text_key", "block", (F.col("round") * F.col("period") + F.col("slot")).alias("slot"), (F.col("index") % block).alias("place"), *carry)
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

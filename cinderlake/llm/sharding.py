@@ -10,6 +10,9 @@ the fullest and emptiest shard in bytes while that narrows the gap.  The list of
 Slots number a shard's rows from 0 without gaps: a crate's rows are numbered within the crate by (doc_id, text), and
 the crate begins where the shard's earlier crates end, so that no task holds a whole shard.
 
+With an ``order`` (each row's place ``at`` in a sequence of the whole table) a shard's slots follow that sequence instead: rows are
+counted by shard and stretch of ``STRETCH`` places, numbered within a stretch, and a stretch begins where the shard's earlier ones end.
+
 Law: ``bytes`` (sizes near equal).  Edge cases: a null text has size 1, crc32 0 and no tokens; null doc_ids sort first; repeated
 rows are numbered in any order among themselves; an empty table gives no rows; extra columns are ignored by ``shard`` and
 kept by ``shard_documents``, whose own columns replace any of the same names.
@@ -18,13 +21,13 @@ kept by ``shard_documents``, whose own columns replace any of the same names.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-SHARDS, CRATES, HEAVY, MANY = 8, 4096, 128, 64
+SHARDS, CRATES, HEAVY, MANY, STRETCH = 8, 4096, 128, 64, 4096
 
 
 def pack(sums: np.ndarray, shards: int) -> np.ndarray:
@@ -73,24 +76,31 @@ def even_out(sums: np.ndarray, place: np.ndarray, shards: int, rounds: int = 200
     return place
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, size, tokens, text_crc32 and a 128-bit key of the text; texts are not moved."""
+def measures() -> dict[str, Column]:
+    """size, tokens, text_crc32 and a 128-bit key of the text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("text_a"),
-        F.xxhash64(F.lit(0x5EED), text).alias("text_b"),
-    )
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, crates: int = CRATES, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, size, tokens, text_crc32, text_a, text_b, crate, shard, slot for each row."""
+    return {
+        "size": (F.octet_length(text) + 1).cast("long"),
+        "tokens": F.regexp_count(text, F.lit(r"\S+")).cast("long"),
+        "text_crc32": F.crc32(text.cast("binary")),
+        "text_a": F.xxhash64(text),
+        "text_b": F.xxhash64(F.lit(0x5EED), text),
+    }
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id and the measures; texts are not moved."""
+    return docs.select("doc_id", *(c.alias(k) for k, c in measures().items()))
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, crates: int = CRATES, heavy: int = HEAVY, order: DataFrame | None = None) -> DataFrame:
+    """doc_id, size, tokens, text_crc32, text_a, text_b, crate, shard, slot for each row.
+
+    ``order`` has the same rows as ``docs``: doc_id, source, the measures and ``at``; ``source`` and ``at`` are then kept.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shard")
-    rows = scratch.keep(measured(docs), "measured")
+    rows = scratch.keep(measured(docs) if order is None else order, "measured")
     total = rows.agg(F.sum("size").alias("size"), F.count("*").alias("rows")).first()
     size, count = total["size"] or 0, total["rows"]
     # at most 2 * heavy groups can pass
@@ -102,6 +112,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, crates: int = CRATES, heavy: in
     rows = rows.withColumn("crate", F.pmod(group, F.lit(crates)).cast("int")).drop("heavy")
     sums = rows.groupBy("crate").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("crate").collect()
     place = pack(np.array([(r["size"], r["tokens"], r["rows"]) for r in sums], np.int64).reshape(-1, 3), shards)
+    columns = ["doc_id", "size", "tokens", "text_crc32", "text_a", "text_b", "crate", "shard"]
+    if order is not None:
+        where = spark.createDataFrame([(r["crate"], int(p)) for r, p in zip(sums, place, strict=True)], "crate int, shard int")
+        return in_order(rows.join(F.broadcast(where), "crate")).select(*columns, "slot", "source", "at")
     begin, used = [], [0] * shards
     for r, p in zip(sums, place, strict=True):
         begin.append((r["crate"], int(p), used[p]))
@@ -109,18 +123,31 @@ def shard(docs: DataFrame, shards: int = SHARDS, crates: int = CRATES, heavy: in
     where = spark.createDataFrame(begin, "crate int, shard int, begin long")
     number = F.row_number().over(W.partitionBy("crate").orderBy("doc_id", "text_a", "text_b"))
     rows = rows.withColumn("number", number).join(F.broadcast(where), "crate")
-    return rows.select("doc_id", "size", "tokens", "text_crc32", "text_a", "text_b", "crate", "shard", (F.col("begin") + F.col("number") - 1).cast("long").alias("slot"))
+    return rows.select(*columns, (F.col("begin") + F.col("number") - 1).cast("long").alias("slot"))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` with the gapless ``slot`` of each in its shard's sequence by ``at``."""
+    rows = rows.withColumn("stretch", F.expr(f"at div {STRETCH}"))
+    ends = rows.groupBy("shard", "stretch").agg(F.count("*").alias("n"))
+    begin = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("shard", "stretch", begin.alias("begin"))
+    number = F.row_number().over(W.partitionBy("shard", "stretch").orderBy("at", "doc_id", "text_a", "text_b"))
+    return rows.withColumn("number", number).join(ends, ["shard", "stretch"]).withColumn("slot", (F.col("begin") + F.col("number") - 1).cast("long"))
 
 
-def shard_documents(docs: DataFrame, **options) -> DataFrame:
+def shard_documents(docs: DataFrame, order: DataFrame | None = None, **options) -> DataFrame:
     """The documents with ``shard`` and ``slot``; rows alike in doc_id and text share the smallest slot's shard and get their slots in any order."""
-    number = lambda *more: F.row_number().over(W.partitionBy("doc_id", "text_a", "text_b").orderBy(*more))
+    key = ["doc_id", *(["source"] if order is not None else []), "text_a", "text_b"]
+    number = lambda *more: F.row_number().over(W.partitionBy(*key).orderBy(*more))
     text = F.coalesce("text", F.lit(""))
     keyed = docs.drop("shard", "slot", "text_a", "text_b", "copy").withColumns({"text_a": F.xxhash64(text), "text_b": F.xxhash64(F.lit(0x5EED), text)})
     keyed = keyed.withColumn("copy", number("text_a"))
-    placed = shard(docs, **options).withColumn("copy", number("slot")).select("doc_id", "text_a", "text_b", "copy", "shard", "slot")
+    placed = shard(docs, order=order, **options).withColumn("copy", number("slot")).select(*key, "copy", "shard", "slot")
     a, b = keyed.alias("a"), placed.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_a") == F.col("b.text_a")) & (F.col("a.text_b") == F.col("b.text_b")) & (F.col("a.copy") == F.col("b.copy"))
+    same = F.lit(True)
+    for k in [*key, "copy"]:
+        same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) if k in ("doc_id", "source") else F.col(f"a.{k}") == F.col(f"b.{k}")
     return a.join(b, same).select("a.*", "b.shard", "b.slot").drop("text_a", "text_b", "copy")
 
 

@@ -3,6 +3,7 @@ import importlib
 import corpus_pipeline
 from cinderlake.llm.common import table
 from cinderlake.llm.decontaminate import contamination
+from cinderlake.llm.mixing import mix
 from cinderlake.llm.quality import score, trained
 
 from .test_decontaminate import brute as brute_leaks
@@ -51,3 +52,27 @@ def test_run_gives_the_last_stage(spark):
 def test_registered():
     names = importlib.import_module("__spark_entry__").queries()
     assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {n.split("_")[0] for n in names}
+
+
+def test_a_shards_slots_follow_the_mix(spark):
+    """Prefixes of each shard hold the sources by weight, not by their share of the documents."""
+    rows = [(i, f"{s} {i} " + "words " * 8, s) for s, lo, n in (("a", 0, 6400), ("b", 6400, 1600), (None, 8000, 400)) for i in range(lo, lo + n)]
+    docs = spark.createDataFrame([*rows, (None, None, "b"), (5, rows[5][1], "a"), (5, rows[5][1], "b")], "doc_id long, text string, source string")
+    steps = dict(corpus_pipeline.STAGES)
+    placed = steps["shard"](spark, steps["mix"](spark, docs, SF), SF).collect()
+    at = {}
+    for r in sorted(mix(docs).collect(), key=lambda r: (r.slot, r.place)):
+        at.setdefault((r.doc_id, r.source), []).append((r.slot, r.place))
+    shards = {}
+    for r in placed:
+        shards.setdefault(r.shard, []).append(r)
+    assert len(placed) == len(rows) + 3 and len(shards) == 8
+    size = {s: sum(len(r.text or "") + 1 for r in placed if r.source == s) for s in ("a", "b", None)}
+    total = sum(v**0.5 for v in size.values())
+    for one in shards.values():
+        one.sort(key=lambda r: r.slot)
+        assert [r.slot for r in one] == list(range(len(one)))
+        assert all(min(at[a.doc_id, a.source]) <= max(at[b.doc_id, b.source]) for a, b in zip(one, one[1:], strict=False))
+        for n in (150, 250):  # while every source has blocks
+            for s in size:
+                assert abs(sum(r.source == s for r in one[:n]) / n - size[s] ** 0.5 / total) < 0.12, (n, s)
