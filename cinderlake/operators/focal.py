@@ -94,3 +94,25 @@ def downsample(grid: DataFrame, height: int, width: int, rows: int, cols: int, a
     block = lambda c, size, n: F.floor(((F.col(c) + 1) * n - 1) / size)
     return grid.groupBy(block("row", height, rows).alias("brow"), block("col", width, cols).alias("bcol")).agg(*aggs)
 
+
+
+def nearest(grid: DataFrame, points: DataFrame, keep: Callable[[DataFrame, int], DataFrame], first: int = 8) -> DataFrame:
+    """row, col, value, at (d2, cr, cc, cv): each cell's nearest of ``points`` (row, col, value) at any distance; ties go to the smallest (row, col).
+
+    Cells and points meet in blocks of r cells, nine blocks a cell, so whatever is within r is seen.  A cell is done when its
+    nearest point is at most r away; r doubles for the others.  Without points ``at`` is null.
+    """
+    shape = "struct<d2:bigint,cr:bigint,cc:bigint,cv:double>"
+    now = keep(grid.select(F.col("row").cast("long"), F.col("col").cast("long"), "value", F.lit(None).cast(shape).alias("at")), 0)
+    steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+    k, r = 0, first
+    while points.limit(1).count() and now.filter("at IS NULL").limit(1).count():
+        k += 1
+        block = lambda c, r=r: F.floor(F.col(c) / r)
+        c = points.select(F.col("row").cast("long").alias("cr"), F.col("col").cast("long").alias("cc"), F.col("value").alias("cv"), block("row").alias("br"), block("col").alias("bc"))
+        near = now.filter("at IS NULL").withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select("row", "col", (block("row") + F.col("i")).alias("br"), (block("col") + F.col("j")).alias("bc"))
+        d2 = (F.col("row") - F.col("cr")) * (F.col("row") - F.col("cr")) + (F.col("col") - F.col("cc")) * (F.col("col") - F.col("cc"))
+        best = near.join(c, ["br", "bc"]).groupBy("row", "col").agg(F.min(F.struct(d2.alias("d2"), "cr", "cc", "cv")).alias("best")).filter(F.col("best.d2") <= r * r)
+        now = keep(now.join(best, ["row", "col"], "left").select("row", "col", "value", F.coalesce("at", "best").alias("at")), k)
+        r *= 2
+    return now

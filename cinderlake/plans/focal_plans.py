@@ -133,6 +133,23 @@ def nearest_channel(spark, sf_dir):
     return best.select("row", "col", rnd(height + 1e-9, 5).alias("height"), rnd(F.sqrt("b.d2")).alias("distance"), (height <= 3).alias("susceptible"))
 
 
+@query(
+    "nearest_drainage",
+    f"""WITH {G}, f AS (SELECT g.row, g.col, g.value, count(*) FILTER (WHERE n.value > g.value) + 1 >= 7 AS channel FROM g {_NEAR.format(h=1)} GROUP BY g.row, g.col, g.value),
+c AS (SELECT row AS cr, col AS cc, value AS cv FROM f WHERE channel), m AS (SELECT row, col, value, cr, cc, cv, (row - cr) * (row - cr) + (col - cc) * (col - cc) AS d2 FROM g LEFT JOIN c ON true),
+k AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d2, cr, cc) AS rn FROM m)
+SELECT row, col, CASE WHEN cv IS NOT NULL THEN round(greatest(value - cv, 0.0) + 1e-9, 5) END AS height, round(sqrt(d2), 6) AS distance, CASE WHEN cv IS NOT NULL THEN greatest(value - cv, 0.0) <= 3 END AS susceptible FROM k WHERE rn = 1""",
+)
+def nearest_drainage(spark, sf_dir):
+    """Height of every cell over its nearest drainage cell (flow of 7 or more, as in hand_flow_neighbours), however far that is."""
+    g = grid(spark, sf_dir)
+    channels = Rounds(spark, "drainage")(g.join(hand_flow_neighbours(spark, sf_dir).filter("channel").select("row", "col"), ["row", "col"]), 0)
+    best = N.nearest(g, channels, Rounds(spark, "nearest"))
+    # greatest() skips nulls
+    height = F.when(F.col("at").isNotNull(), F.greatest(F.col("value") - F.col("at.cv"), F.lit(0.0)))
+    return best.select("row", "col", rnd(height + 1e-9, 5).alias("height"), rnd(F.sqrt("at.d2")).alias("distance"), (height <= 3).alias("susceptible"))
+
+
 @query(
     "idw_fill",
     f"""WITH {G}, gap AS (SELECT row, col FROM g WHERE (row * 7 + col * 13) % 11 = 0), ok AS (SELECT * FROM g WHERE (row * 7 + col * 13) % 11 <> 0),

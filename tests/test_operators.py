@@ -102,3 +102,14 @@ def test_geojson_and_tiles(spark, tmp_path):
 def test_normal_cdf(spark):
     got = [r[0] for r in spark.createDataFrame([(0.0,), (1.959964,), (-1.959964,)], "z double").select(normal_cdf("z")).collect()]
     assert np.allclose(got, [0.5, 0.975, 0.025], atol=1e-6)
+
+
+def test_nearest_reaches_every_cell(spark):
+    points = [(0, 0, 5.0), (1, 1, 6.0), (0, 4, 7.0)]
+    cells = [(r, c, float(r + c)) for r in range(0, 70, 3) for c in range(0, 70, 2)]
+    schema = "row long, col long, value double"
+    got = N.nearest(spark.createDataFrame(cells, schema), spark.createDataFrame(points, schema), Rounds(spark, "test-nearest")).collect()
+    want = {(r, c): min(((r - y) ** 2 + (c - x) ** 2, y, x, v) for y, x, v in points) for r, c, _ in cells}
+    assert len(got) == len(cells) and {(g["row"], g["col"]): tuple(g["at"]) for g in got} == want
+    none = N.nearest(spark.createDataFrame(cells[:3], schema), spark.createDataFrame([], schema), Rounds(spark, "test-none"))
+    assert [g["at"] for g in none.collect()] == [None] * 3
