@@ -116,3 +116,38 @@ def nearest(grid: DataFrame, points: DataFrame, keep: Callable[[DataFrame, int],
         now = keep(now.join(best, ["row", "col"], "left").select("row", "col", "value", F.coalesce("at", "best").alias("at")), k)
         r *= 2
     return now
+
+
+def contextual_fire(grid: DataFrame, half: int = 10, threshold: float = 320.0, delta: float = 10.0, low: float = 330.0, high: float = 360.0, tile: int = 64) -> DataFrame:
+    """row, col, value, mu, sd, fire, confidence for each valid cell of brightness temperatures in kelvin.
+
+    Background: cells of the window under ``threshold`` - 10, the centre left out; with fewer than three mu = sd = 0, as in the
+    reference, so a cell without background still meets the absolute test.
+    """
+    side = 2 * half + 1
+    grid = grid.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double"))
+
+    def background(deviation: bool) -> Callable[[np.ndarray], np.ndarray]:
+        def kernel(block: np.ndarray) -> np.ndarray:
+            out = np.zeros((block.shape[0] - 2 * half, block.shape[1] - 2 * half))
+            view = np.lib.stride_tricks.sliding_window_view(block, (side, side))
+            for i in range(len(out)):  # a row of windows at a time
+                w = view[i].copy()
+                use = w < threshold - 10  # NaN is not
+                use[:, half, half] = False
+                n = use.sum(axis=(1, 2))
+                some = np.maximum(n, 1)
+                mu = np.where(use, w, 0.0).sum(axis=(1, 2)) / some
+                made = np.sqrt((np.where(use, w - mu[:, None, None], 0.0) ** 2).sum(axis=(1, 2)) / some) if deviation else mu
+                out[i] = np.where(n >= 3, made, 0.0)
+            return out
+
+        return kernel
+
+    mu = focal_tiles(grid, half, tile, background(False)).withColumnRenamed("value", "mu")
+    sd = focal_tiles(grid, half, tile, background(True)).withColumnRenamed("value", "sd")
+    gap = F.col("value") - F.col("mu")
+    fire = (F.col("value") > threshold) & (gap > delta) & (gap > 3 * F.col("sd"))
+    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    sure = (unit((F.col("value") - low) / (high - low)) + unit(gap / (delta * 5))) / 2
+    return grid.join(mu, ["row", "col"]).join(sd, ["row", "col"]).withColumn("fire", fire).withColumn("confidence", F.when(F.col("fire"), sure).otherwise(0.0))

@@ -46,6 +46,21 @@ def fire_contextual(spark, sf_dir):
     return b.select("row", "col", rnd("v", 4).alias("value"), rnd("mu", 4).alias("background"), ((gap > 3) & (gap > 1.5 * F.col("sd"))).alias("fire"))
 
 
+@query(
+    "fire_contextual_21",
+    f"""WITH {G}, h AS (SELECT row, col, 280 + value / 5 + CASE WHEN row % 32 < 6 AND col % 32 < 6 THEN 60 ELSE 0 END AS value FROM g),
+b AS (SELECT h.row, h.col, h.value, avg(n.value) FILTER (WHERE n.value < 310 AND NOT (n.row = h.row AND n.col = h.col)) AS mu, stddev_pop(n.value) FILTER (WHERE n.value < 310 AND NOT (n.row = h.row AND n.col = h.col)) AS sd,
+ count(*) FILTER (WHERE n.value < 310 AND NOT (n.row = h.row AND n.col = h.col)) AS n FROM h JOIN h n ON n.row BETWEEN h.row - 10 AND h.row + 10 AND n.col BETWEEN h.col - 10 AND h.col + 10 GROUP BY h.row, h.col, h.value),
+k AS (SELECT row, col, value, CASE WHEN n >= 3 THEN mu ELSE 0 END AS mu, CASE WHEN n >= 3 THEN sd ELSE 0 END AS sd FROM b), f AS (SELECT *, value > 320 AND value - mu > 10 AND value - mu > 3 * sd AS fire FROM k)
+SELECT row, col, round(value, 4) AS value, round(mu, 4) AS background, fire, round(CASE WHEN fire THEN (least(greatest((value - 330) / 30, 0), 1) + least(greatest((value - mu) / 50, 0), 1)) / 2 ELSE 0 END, 4) AS confidence FROM f""",
+)
+def fire_contextual_21(spark, sf_dir):
+    """The contextual test with the reference's window and thresholds; the grid as temperatures, with hot areas of 6 x 6 cells."""
+    hot = (F.col("row") % 32 < 6) & (F.col("col") % 32 < 6)
+    g = grid(spark, sf_dir).withColumn("value", 280 + F.col("value") / 5 + F.when(hot, 60).otherwise(0))
+    return N.contextual_fire(g).select("row", "col", rnd("value", 4).alias("value"), rnd("mu", 4).alias("background"), "fire", rnd("confidence", 4).alias("confidence"))
+
+
 @query(
     "slope_aspect",
     f"""WITH {G}, d AS (SELECT row, col, CASE WHEN lag(value) OVER r IS NOT NULL AND lead(value) OVER r IS NOT NULL THEN (lead(value) OVER r - lag(value) OVER r) / 2 WHEN lead(value) OVER r IS NOT NULL THEN lead(value) OVER r - value ELSE value - lag(value) OVER r END AS dy,

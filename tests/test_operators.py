@@ -113,3 +113,19 @@ def test_nearest_reaches_every_cell(spark):
     assert len(got) == len(cells) and {(g["row"], g["col"]): tuple(g["at"]) for g in got} == want
     none = N.nearest(spark.createDataFrame(cells[:3], schema), spark.createDataFrame([], schema), Rounds(spark, "test-none"))
     assert [g["at"] for g in none.collect()] == [None] * 3
+
+
+def test_contextual_fire_keeps_inner_cells_and_cells_without_background(spark):
+    rng = random.Random(4)
+    t = {(r, c): 350.0 + c / 7 if 8 <= r < 15 and 60 <= c < 67 else rng.uniform(285, 312) for r in range(24) for c in range(50, 80)}
+    t |= {(200, 200): 340.0, (200, 201): 300.0, (300, 300): float("nan")}
+    got = N.contextual_fire(spark.createDataFrame([(r, c, v) for (r, c), v in t.items()], "row long, col long, value double")).collect()
+    assert len(got) == len(t) - 1
+    for g in got:
+        r, c, v = g["row"], g["col"], g["value"]
+        back = [x for (y, z), x in t.items() if abs(y - r) <= 10 and abs(z - c) <= 10 and (y, z) != (r, c) and x < 310]
+        mu, sd = (np.mean(back), np.std(back)) if len(back) >= 3 else (0, 0)
+        fire = v > 320 and v - mu > 10 and v - mu > 3 * sd
+        assert g["fire"] == fire and abs(g["mu"] - mu) < 1e-9 and abs(g["sd"] - sd) < 1e-9
+        assert abs(g["confidence"] - ((np.clip((v - 330) / 30, 0, 1) + np.clip((v - mu) / 50, 0, 1)) / 2 if fire else 0)) < 1e-9
+    assert sum(g["fire"] for g in got) == 50
