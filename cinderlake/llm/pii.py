@@ -8,7 +8,9 @@ characters is scored per type by whole-span features: digit, letter and mark cou
 over chunk ends, with every entity bounded in length, chooses boundaries and types jointly.  An
 entity's outer chunks hold a digit or an @, and other chunks score 0, so only windows around such characters are decoded; that
 gives the same result as decoding the whole text.  Its types are the base kinds, which compete for segments, and ``local_phone`` and
-``secret``, which have no base pattern; spans of these two that do not overlap a base span are added.  n_email to n_phone count base spans.
+``secret``, which have no base pattern; spans of these two that do not overlap a base span are added.  n_email to n_phone count base spans;
+n_local_phone, n_secret and n_spans count what the model adds and all spans.  The bounds belong to the method: a secret of letters only, or of over ``MAX_CHARS``
+characters, is no candidate.
 
 The model is trained (exact log-likelihood gradients) on a fixed number of sentences composed from templates with a
 fixed seed, since no table marks spans; its weights are a few hundred numbers and travel with the task.
@@ -92,6 +94,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # --- semi-Markov CRF -------------------------------------------------------------------------------------------------
 
 _CHUNK = re.compile(r"\S+")
+_BLANK = re.compile(r"\s")
 _TRIGGER = re.compile(r"[0-9@]")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _MAIL_LIKE = re.compile(r"[^\s@]+@[^\s@]+\.[A-Za-z0-9-]+")
@@ -266,7 +269,7 @@ def train(sentences: int = 500, rounds: int = 3, rate: float = 0.3, seed: int =
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Ranges around digits and @ that hold every candidate segment and the words before it."""
+    """Ranges from the first to the last of neighbouring digits and @: no candidate segment has such characters of two ranges."""
     a = b = -1
     for m in _TRIGGER.finditer(text):
         p = m.start()
@@ -284,12 +287,16 @@ def added_spans(text: str, base: list[tuple[int, int, int]], weights: np.ndarray
     out, starts, reach = [], [x[0] for x in base], []
     for _, _, e in base:
         reach.append(max(e, reach[-1] if reach else 0))
+    done = 0  # text before this is decoded
     for a, b in windows(text):
-        # a whole chunk at either end, as far as a segment can reach
-        while a > 0 and not text[a - 1].isspace():
+        # a whole chunk at either end; a chunk that the window before reached into is decoded with that one, so each is read once
+        if b < done:
+            continue
+        a = max(a, done)
+        while a > done and not text[a - 1].isspace():
             a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
+        m = _BLANK.search(text, b)
+        done = b = m.start() if m else len(text)
         for s, y, e in decode(text, chunks_of(text, a, b), weights):
             before = bisect.bisect_left(starts, e)  # base spans that begin before this one ends
             if y >= len(BASE_KINDS) and not (before and reach[before - 1] > s):
@@ -325,4 +332,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    more = [F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ADDED_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), *more, F.size("spans").cast("long").alias("n_spans"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -41,6 +42,53 @@ def test_long_runs_take_linear_time():
         pii.base_spans(unit * 300_000)
 
 
+def test_added_spans_take_linear_time():
+    weights = np.frombuffer(pii.train()).reshape(len(pii.KINDS), -1)
+    for unit, n in (("a" * 260 + "1", 40_000), ("a@", 300_000), ("=1", 300_000), ("1 ", 30_000)):
+        start = time.time()
+        pii.added_spans(unit * n, [], weights)
+        assert time.time() - start < 10, unit
+
+
+def every_segmentation(n, segs):
+    """All sets of non-overlapping segments over n chunks."""
+    if n == 0:
+        yield []
+        return
+    for rest in every_segmentation(n - 1, segs):
+        yield rest
+    for s in segs:
+        if s[1] == n:
+            for rest in every_segmentation(s[0], segs):
+                yield [*rest, s]
+
+
+def test_decoder_against_all_segmentations():
+    weights = np.frombuffer(pii.train()).reshape(len(pii.KINDS), -1)
+    rng, parts = random.Random(8), ["call", "(441)", "555-3597", "10.0.0.1", "token", "=", "a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6", "4111", "1111", "x@y.z", "+1", "2024"]
+    for _ in range(150):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))
+        chunks = pii.chunks_of(text, 0, len(text))
+        segs = [(i, j, y, float(weights[y, f].sum())) for i, j, f in pii.segments(text, chunks) for y in range(len(pii.KINDS))]
+        best = max(sum(s[3] for s in one) for one in every_segmentation(len(chunks), [max((s for s in segs if s[:2] == ij), key=lambda s: s[3]) for ij in {s[:2] for s in segs}]))
+        got = pii.decode(text, chunks, weights)
+        at = {(chunks[i][0], chunks[j - 1][1], y): w for i, j, y, w in segs}
+        assert abs(sum(at[a, b, y] for a, y, b in got) - best) < 1e-9 and all(x[2] <= y[0] for x, y in zip(got, got[1:], strict=False))
+
+
+def test_planted_data_is_found(spark):
+    """The tables' assigned hexadecimal tokens are all found, and no other secret is."""
+    planted = found = extra = 0
+    for d in table(spark, "/root/testdata/sf0.1", "documents").select("text").collect():
+        text = d.text or ""
+        want = {(m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', text, re.I)}
+        base = pii.base_spans(text)
+        got = {(a, e) for a, y, e in pii.added_spans(text, base, np.frombuffer(pii.train()).reshape(len(pii.KINDS), -1)) if pii.KINDS[y] == "secret"}
+        planted, found, extra = planted + len(want), found + len(want & got), extra + len(got - want)
+    print(f"secrets planted {planted}, found {found}, others {extra}")
+    assert planted > 50 and found == planted and extra == 0
+
+
 def test_decoder_on_unseen_sentences():
     weights = np.frombuffer(pii.train()).reshape(len(pii.KINDS), -1)
     rng, right, wrong = random.Random(77), 0, 0
