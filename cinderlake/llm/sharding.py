@@ -1,14 +1,14 @@
 """Sharding as vector bin packing: bytes, tokens and rows are balanced jointly.
 
-A group is all rows with one text.  Groups are hashed into ``crates`` (a parameter, so their number does not grow with the
-input); a group that alone holds over 4/``heavy`` of all bytes or rows,
-or over 1/``heavy`` in more than 64 rows, is spread over all crates by doc_id; all others stay whole.  Only
+A group is all rows with one text.  Every group is cut into the fewest pieces of about 1/``heavy`` of the table's bytes and rows at most (a group that is
+smaller is one piece), its rows being dealt to its pieces in turn; pieces are hashed into ``crates`` (a parameter, so their number does not grow with the
+input).  Only
 the crates' sums are packed: in descending size each goes where the dot product of its vector with the shards' residual capacity is
 highest among shards that it fits, all three dimensions being scaled by their totals.  Then crates move or swap between
 the fullest and emptiest shard in bytes while that narrows the gap.  The list of crates (three numbers each) is the only thing the driver sees.
 
-Slots number a shard's rows from 0 without gaps: a crate's rows are numbered within the crate by (doc_id, text), and
-the crate begins where the shard's earlier crates end, so that no task holds a whole shard.
+Slots number a shard's rows from 0 without gaps: a crate's rows are dealt into ``LANES`` lanes and numbered within each by (doc_id, text); a
+lane begins where the crate's earlier lanes end, and a crate where the shard's earlier crates end, so that no task holds a whole shard or a hot group.
 
 With an ``order`` (each row's place ``at`` in a sequence of the whole table) a shard's slots follow that sequence instead: rows are
 counted by shard and stretch of ``STRETCH`` places, numbered within a stretch, and a stretch begins where the shard's earlier ones end.
@@ -27,11 +27,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-SHARDS, CRATES, HEAVY, MANY, STRETCH = 8, 4096, 128, 64, 4096
+SHARDS, CRATES, HEAVY, LANES, STRETCH = 8, 4096, 256, 16, 4096
 
 
 def pack(sums: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each crate; ``sums`` is (crates, 3): bytes, tokens, rows."""
+    return even_out(sums, first_places(sums, shards), shards)
+
+
+def first_places(sums: np.ndarray, shards: int) -> np.ndarray:
     scaled = sums / np.maximum(sums.sum(axis=0), 1)
     room = np.full((shards, 3), 1.0 / shards)
     place = np.zeros(len(sums), np.int64)
@@ -40,7 +44,7 @@ def pack(sums: np.ndarray, shards: int) -> np.ndarray:
         score = np.where(fits, room @ scaled[i], -np.inf) if fits.any() else room.min(axis=1)
         place[i] = int(np.argmax(score))
         room[place[i]] -= scaled[i]
-    return even_out(sums, place, shards)
+    return place
 
 
 def even_out(sums: np.ndarray, place: np.ndarray, shards: int, rounds: int = 2000) -> np.ndarray:
@@ -100,16 +104,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, crates: int = CRATES, heavy: in
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shard")
-    rows = scratch.keep(measured(docs) if order is None else order, "measured")
+    rows = measured(docs) if order is None else order
+    rows = scratch.keep(rows.withColumn("deal", F.xxhash64(F.monotonically_increasing_id())), "measured")
     total = rows.agg(F.sum("size").alias("size"), F.count("*").alias("rows")).first()
     size, count = total["size"] or 0, total["rows"]
-    # at most 2 * heavy groups can pass
-    large = rows.groupBy("text_a", "text_b").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
-    over = lambda ways: (F.col("s") > size / ways) | (F.col("n") > count / ways)
-    large = large.filter((F.col("n") > 1) & (over(heavy / 4) | ((F.col("n") > MANY) & over(heavy)))).select("text_a", "text_b", F.lit(True).alias("heavy"))
-    rows = rows.join(F.broadcast(large), ["text_a", "text_b"], "left")
-    group = F.when(F.col("heavy"), F.xxhash64("text_a", "doc_id")).otherwise(F.col("text_a"))
-    rows = rows.withColumn("crate", F.pmod(group, F.lit(crates)).cast("int")).drop("heavy")
+    # at most 2 * heavy groups have over 1/heavy of the bytes or rows
+    groups = rows.groupBy("text_a", "text_b").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
+    share = F.greatest(F.col("s") / max(size, 1), F.col("n") / max(count, 1))
+    cut = groups.withColumn("pieces", F.least("n", F.ceil(share * heavy)).cast("int")).filter("pieces > 1").select("text_a", "text_b", "pieces")
+    rows = rows.join(F.broadcast(cut), ["text_a", "text_b"], "left")
+    piece = F.pmod("deal", F.coalesce("pieces", F.lit(1)))
+    rows = rows.withColumn("crate", F.pmod(F.xxhash64("text_a", piece), F.lit(crates)).cast("int")).drop("pieces")
     sums = rows.groupBy("crate").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("crate").collect()
     place = pack(np.array([(r["size"], r["tokens"], r["rows"]) for r in sums], np.int64).reshape(-1, 3), shards)
     columns = ["doc_id", "size", "tokens", "text_crc32", "text_a", "text_b", "crate", "shard"]
@@ -121,8 +126,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, crates: int = CRATES, heavy: in
         begin.append((r["crate"], int(p), used[p]))
         used[p] += r["rows"]
     where = spark.createDataFrame(begin, "crate int, shard int, begin long")
-    number = F.row_number().over(W.partitionBy("crate").orderBy("doc_id", "text_a", "text_b"))
-    rows = rows.withColumn("number", number).join(F.broadcast(where), "crate")
+    rows = rows.withColumn("lane", F.pmod(F.shiftright("deal", 20), F.lit(LANES)).cast("int"))
+    lanes = rows.groupBy("crate", "lane").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("crate").orderBy("lane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lanes = lanes.select("crate", "lane", before.alias("before")).join(F.broadcast(where), "crate").select("crate", "lane", "shard", (F.col("begin") + F.col("before")).alias("begin"))
+    number = F.row_number().over(W.partitionBy("crate", "lane").orderBy("doc_id", "text_a", "text_b"))
+    rows = rows.withColumn("number", number).join(lanes, ["crate", "lane"])
     return rows.select(*columns, (F.col("begin") + F.col("number") - 1).cast("long").alias("slot"))
 
 

@@ -1,8 +1,10 @@
 import random
 import zlib
 
+import numpy as np
+
 from cinderlake.llm.common import table
-from cinderlake.llm.sharding import op4_sharding, shard, shard_documents
+from cinderlake.llm.sharding import even_out, first_places, op4_sharding, shard, shard_documents
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, shard string, size int"
@@ -33,6 +35,32 @@ def test_documents(spark):
     check(taken(rows), texts, 0.005)
 
 
+def follow_plainly(sums, shards, got):
+    """Largest first: each crate must be at a shard with the highest dot product of its vector and the residual capacity, of those it fits."""
+    totals = [max(sum(v[d] for v in sums), 1) for d in range(3)]
+    vectors = [[v[d] / totals[d] for d in range(3)] for v in sums]
+    room = [[1.0 / shards] * 3 for _ in range(shards)]
+    for i in sorted(range(len(sums)), key=lambda i: -max(vectors[i])):
+        v = vectors[i]
+        fit = [s for s in range(shards) if all(room[s][d] - v[d] >= -1e-12 for d in range(3))]
+        score = [sum(r * x for r, x in zip(room[s], v, strict=True)) if fit else min(room[s]) for s in range(shards)]
+        best = max(score[s] for s in fit or range(shards))
+        assert (not fit or got[i] in fit) and score[got[i]] >= best - 1e-15
+        room[got[i]] = [r - x for r, x in zip(room[got[i]], v, strict=True)]
+
+
+def test_placements_against_a_plain_packer():
+    rng = random.Random(2)
+    for shards, n in ((8, 300), (3, 40), (5, 4), (8, 0)):
+        sums = [(rng.randrange(1, 10**6), rng.randrange(10**5), rng.randrange(1, 99)) for _ in range(n)]
+        array = np.array(sums, np.int64).reshape(-1, 3)
+        got = first_places(array, shards)
+        follow_plainly(sums, shards, got)
+        load = lambda place: np.bincount(place, weights=array[:, 0], minlength=shards)
+        after = load(even_out(array, got.copy(), shards)) if n else load(got)
+        assert np.ptp(after) <= np.ptp(load(got))
+
+
 def test_groups_stay_together_and_hot_groups_are_spread(spark):
     rng = random.Random(1)
     texts = [(i, f"text {rng.randrange(600)} " * rng.randrange(1, 30)) for i in range(2000)] + [(5000 + i, "one text of a third of all rows " * 12) for i in range(1000)]
