@@ -4,8 +4,9 @@ Features of a text are its 1- and 2-grams of tokens (words, and runs of other ma
 2-gram of one word twice being one feature for all words; a
 gram's value is its count over the square root of the number of grams, so that long and short texts are on one scale.  Training takes a bounded
 sample: at most ``sample`` labelled rows, those with the smallest hash of their id.  The sample is dealt into ``parts`` tasks; each runs FTRL-proximal
-over its rows and gives its weights, and their mean is the model (iterative parameter mixing: each round starts
-from the last round's mean).  The model has a fixed size and is broadcast; scoring is one pass without a shuffle.
+over its rows and gives its weights and squared-gradient sums.  A round's model is, for each weight, the mean over the parts (by their rows) that have it non-zero, so that
+rare grams are not shrunk; squared-gradient sums are averaged over the parts that met the gram, and the next round starts from both, so its per-coordinate rates go on
+falling.  The model has a fixed size and is broadcast; scoring is one pass without a shuffle.
 
 The quality label is the only thing learned from; lang, source, doc_id and labels are no inputs of a score.
 Edge cases: null and empty texts score as the bias; labels that are null or have no document are ignored, rows that
@@ -57,10 +58,10 @@ def dots(column: pa.Array, weights: np.ndarray) -> np.ndarray:
     return total / np.sqrt(np.maximum(ones.count + twos.count, 1)) + weights[SIZE]
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], weights: np.ndarray, seed: int) -> np.ndarray:
-    """One pass over (slots, values, label) from the given weights; untouched weights stay as they are."""
-    z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
-    z[:] = -weights * (BETA / ALPHA + L2) - np.sign(weights) * L1
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], weights: np.ndarray, squares: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and squared-gradient sums after one pass over (slots, values, label) from the given ones; untouched weights stay as they are."""
+    n = squares.astype(np.float64)
+    z = -weights * ((BETA + np.sqrt(n)) / ALPHA + L2) - np.sign(weights) * L1
     for k in np.random.default_rng(seed).permutation(len(rows)):
         at, x, label = rows[k]
         zi, ni = z[at], n[at]
@@ -70,7 +71,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], weights: np.ndarray, se
         grown = ni + g * g
         z[at] = zi + g - (np.sqrt(grown) - np.sqrt(ni)) / ALPHA * w
         n[at] = grown
-    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)), n
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, parts: int = PARTS, rounds: int = ROUNDS) -> np.ndarray:
@@ -84,9 +85,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, parts: int =
     # bounded by ``sample`` rows of two numbers and one text each
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "order", part.alias("part"))
     rows = scratch.keep(rows, "sample")
-    weights = np.zeros(SIZE + 1)
+    weights, squares = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast(weights)
+        shared = spark.sparkContext.broadcast((weights, squares))
 
         def run(batches: Iterator[pa.RecordBatch], k=k, shared=shared) -> Iterator[pa.RecordBatch]:
             by_part: dict[int, list] = {}
@@ -97,16 +98,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, parts: int =
                     at, count = np.unique(slots, return_counts=True)
                     by_part.setdefault(p, []).append((np.append(at, SIZE), np.append(count / np.sqrt(max(len(slots), 1)), 1.0), y))
             for p, data in sorted(by_part.items()):
-                got = ftrl(data, shared.value, seed=1000 * k + p).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([len(data)]), pa.array([got.tobytes()], pa.binary())], ["part", "rows", "weights"])
+                got = [x.astype(np.float32).tobytes() for x in ftrl(data, *shared.value, seed=1000 * k + p)]
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([len(data)]), *(pa.array([x], pa.binary()) for x in got)], ["part", "rows", "weights", "squares"])
 
-        got = rows.repartition(parts, "part").sortWithinPartitions("part", "order", "label").mapInArrow(run, "part long, rows long, weights binary").collect()
+        # a range a part: hashed keys would meet in one task
+        got = rows.repartitionByRange(parts, "part").sortWithinPartitions("part", "order", "label").mapInArrow(run, "part long, rows long, weights binary, squares binary").collect()
         if got:
             size = np.array([r["rows"] for r in got], float)
             each = np.stack([np.frombuffer(r["weights"], np.float32) for r in got])
             # a gram is averaged over the parts that have a weight for it, so that rare ones are not shrunk
-            used = (each != 0) * size[:, None]
-            weights = (each * used).sum(axis=0) / np.maximum(used.sum(axis=0), 1)
+            mean = lambda x, used: (x * used).sum(axis=0) / np.maximum(used.sum(axis=0), 1)
+            weights = mean(each, (each != 0) * size[:, None])
+            grown = np.stack([np.frombuffer(r["squares"], np.float32) for r in got])
+            squares = np.maximum(squares, mean(grown, (grown != squares.astype(np.float32)) * size[:, None]))
         shared.unpersist()
     return weights
 

@@ -1,6 +1,9 @@
+import math
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from cinderlake.llm import quality
 from cinderlake.llm.common import table
@@ -29,6 +32,47 @@ def test_same_weights_on_a_rerun_and_sparse_dots(spark):
     assert min(got[i] for i in range(1, 60, 2)) > max(got[i] for i in range(0, 60, 2))
 
 
+def test_updates_against_one_coordinate_at_a_time():
+    """FTRL-proximal as a dictionary of coordinates: w from z and n, then g, sigma, z and n."""
+    rng = np.random.default_rng(5)
+    rows = [(np.append(np.sort(rng.choice(50, 6, replace=False)), quality.SIZE), np.append(rng.random(6), 1.0), int(rng.random() < 0.4)) for _ in range(120)]
+    a, b, l1, l2 = quality.ALPHA, quality.BETA, quality.L1, quality.L2
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((b + math.sqrt(n.get(i, 0.0))) / a + l2)
+
+    for k in np.random.default_rng(9).permutation(len(rows)):
+        at, x, y = rows[k]
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in zip(at.tolist(), x.tolist(), strict=True))))
+        w = {i: weight(i) for i in at.tolist()}
+        for i, v in zip(at.tolist(), x.tolist(), strict=True):
+            g = (p - y) * v
+            sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / a
+            z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    zero = np.zeros(quality.SIZE + 1)
+    got, squares = quality.ftrl(rows, zero, zero, seed=9)
+    assert max(abs(got[i] - weight(i)) + abs(squares[i] - n.get(i, 0.0)) for i in [*range(60), quality.SIZE]) < 1e-9
+    # a pass that goes on from a state without new rows changes nothing
+    again, same = quality.ftrl([], got, squares, seed=1)
+    assert np.allclose(again, got, atol=1e-12) and np.array_equal(same, squares)
+
+
+def test_scores_against_a_dictionary():
+    """Each text's dot product, gram by gram."""
+    rng = np.random.default_rng(3)
+    weights = rng.normal(0, 1, quality.SIZE + 1)
+    texts = ["a b a b c", "", None, "so so !! very--good 12", "é É x", "one", "word " * 50_000]
+    got = quality.dots(pa.array(texts, pa.string()), weights)
+    for text, score in zip(texts, got, strict=True):
+        ones, twos = quality.features(pa.array([text], pa.string()))
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+|[^\s0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+        assert len(ones.hash) == len(words) and len(twos.hash) == max(0, len(words) - 1)
+        total = sum(weights[h] for h in [*ones.hash.tolist(), *twos.hash.tolist()]) / math.sqrt(max(1, 2 * len(words) - 1)) + weights[-1]
+        assert abs(total - score) < 1e-6
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, "x", 0), (2, "", "x", 0), (None, "word " * 200_000, "x", 0)], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, label int")
