@@ -1,13 +1,14 @@
 """Exact top-k inner-product search with a KD-tree per shard.
 
-Vectors are floor(256 * x) of each component.  Rows are dealt into shards of about ``shard_rows`` by a hash of vec_id; each shard builds one
-KD-tree (median splits on the widest side, leaves of ``leaf`` rows, tight bounding boxes) and is kept as one row.  Queries are cut
-into blocks of ``query_rows``.  Every query first searches one shard, which gives it a kth score; that score goes with the query to all other
-shards.  There the tree is walked best box first: a box whose bound (the sum over dimensions of the larger of
+Vectors are floor(256 * x) of each component.  Rows are dealt into shards of about ``shard_bytes`` by a hash of vec_id; each shard builds one
+KD-tree (median splits on the widest side, leaves of ``leaf`` rows, tight bounding boxes), which is kept as one row.  Every query first searches one
+shard, its home; its kth score and id then go with it to other shards, in waves that grow ``GROWTH``-fold, and after each wave the best kth of all
+shards so far goes on.  In a shard the tree is walked best box first: a box whose bound (the sum over dimensions of the larger of
 query * low and query * high) is under the query's kth score is skipped, and the walk ends at the first such box.  A box that only ties
 is skipped if all its ids are larger than the kth id.  Results are exact; pruning only saves work.
 
-Every query meets every shard because the search is exact; shards and query blocks meet by an equi-join on the shard number.
+Every query meets every shard because the search is exact.  They meet by the shard's number: a shard's tree is moved once a wave and
+held by one task, through which the queries stream, a row each; a task holds a tree and a batch of queries.
 Arithmetic is exact: in double precision while the squared sum stays below 2 ** 53, else in Python integers.
 
 Edge cases: vectors that are null, or hold null, NaN or infinite components, take no part; vectors are compared with vectors of the same length;
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-K, SHARD_ROWS, QUERY_ROWS, LEAF = 5, 8192, 1024, 256
+K, SHARD_BYTES, GROWTH, LEAF = 5, 16 << 20, 4, 256
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -42,7 +43,7 @@ def integer_vectors(df: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy().reshape(-1, dim) if dim else np.zeros((len(column), 0))
+    flat = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) if dim else np.zeros((len(column), 0))
     return np.floor(flat * 256.0)
 
 
@@ -107,53 +108,60 @@ def search(tree: dict, own: int, q: np.ndarray, k: int, best: list[tuple[int, in
     return best
 
 
-def top_k(df: DataFrame, every: int = 50, k: int = K, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(df: DataFrame, every: int = 50, k: int = K, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score for queries whose vec_id is divisible by ``every``, against all rows."""
     spark = df.sparkSession
     scratch = Scratch(spark, "topk")
-    vectors = integer_vectors(df)
+    vectors = scratch.keep(integer_vectors(df), "vectors")
     n = vectors.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // (every * query_rows)))
-    deal = lambda seed, ways: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(ways)).cast("int")
+    # by length, so that a shard's bytes are bounded whatever the length
+    shards = F.greatest(F.lit(1), F.ceil(F.lit(n) * F.greatest("dim", F.lit(1)) * 8 / shard_bytes)).cast("int")
+    most = vectors.agg(F.max(shards)).first()[0] or 0
 
     def trees(key, t):
-        x = _matrix(t.column("vector").combine_chunks(), key[1].as_py())
-        made = build(t.column("vec_id").to_numpy(), x)
+        made = build(t.column("vec_id").to_numpy(), _matrix(t.column("vector").combine_chunks(), key[1].as_py()))
         return pa.table({"shard": [key[0].as_py()], "dim": [key[1].as_py()], "tree": pa.array([pickle.dumps(made)], pa.binary())}, pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("tree", pa.binary())]))
 
-    def packed(key, t):
-        q = _matrix(t.column("vector").combine_chunks(), key[1].as_py())
-        made = pickle.dumps((t.column("vec_id").to_numpy(), q, [[] for _ in range(len(q))]))
-        return pa.table({"block": [key[0].as_py()], "dim": [key[1].as_py()], "queries": pa.array([made], pa.binary())}, pa.schema([("block", pa.int32()), ("dim", pa.int32()), ("queries", pa.binary())]))
-
-    forest = scratch.keep(vectors.withColumn("shard", deal(1, shards)).groupBy("shard", "dim").applyInArrow(trees, "shard int, dim int, tree binary"), "trees")
-    asked = vectors.filter(F.col("vec_id") % every == 0).withColumn("block", deal(2, blocks))
-    asked = asked.groupBy("block", "dim").applyInArrow(packed, "block int, dim int, queries binary")
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "vec_id"), shards).cast("int"))
+    forest = scratch.keep(dealt.groupBy("shard", "dim").applyInArrow(trees, "shard int, dim int, tree binary"), "trees")
+    queries = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "dim", "vector", shards.alias("shards"), F.pmod(F.xxhash64(F.lit(2), "vec_id"), shards).cast("int").alias("home"))
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by (shard, dim), the tree's row before the queries'."""
+        held, tree = None, None
         for batch in batches:
-            for block, shard, dim, tree, queries in zip(*(batch.column(c).to_pylist() for c in ("block", "shard", "dim", "tree", "queries")), strict=True):
-                made, (ids, q, so_far) = pickle.loads(tree), pickle.loads(queries)
-                got = [search(made, int(i), v, k, b) for i, v, b in zip(ids, q, so_far, strict=True)]
-                rows = [(i, -b[1], b[0]) for i, g in zip(ids.tolist(), got, strict=True) for b in g]
-                first = pickle.dumps((ids, q, got))
-                yield pa.RecordBatch.from_pydict(
-                    {"block": [block], "dim": [dim], "home": [shard], "queries": [first], "found": [[{"query_id": a, "vec_id": b, "score": c} for a, b, c in rows]]},
-                    pa.schema([("block", pa.int32()), ("dim", pa.int32()), ("home", pa.int32()), ("queries", pa.binary()), ("found", pa.list_(pa.struct([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])))]),
-                )
-
-    out = "block int, dim int, home int, queries binary, found array<struct<query_id:long,vec_id:long,score:long>>"
-    # the first shard of a block's dimension that has rows
-    homes = forest.groupBy("dim").agg(F.min("shard").alias("low"), F.max("shard").alias("high"))
-    asked = asked.join(homes, "dim").withColumn("shard", F.when(F.col("block") % shards <= F.col("high"), F.greatest("low", F.col("block") % shards)).otherwise(F.col("low")))
-    first = scratch.keep(asked.join(forest, ["shard", "dim"], "left").filter("tree IS NOT NULL").select("block", "shard", "dim", "tree", "queries").repartition("block", "dim", "shard").mapInArrow(seek, out), "first")
-    missed = asked.join(first.select("block", "dim"), ["block", "dim"], "left_anti").select("block", "dim", F.lit(-1).alias("home"), "queries")
-    carried = first.select("block", "dim", "home", "queries").unionByName(missed)
-    others = carried.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home")
-    rest = others.join(forest, ["shard", "dim"]).select("block", "shard", "dim", "tree", "queries").repartition("block", "dim", "shard").mapInArrow(seek, out)
-    found = first.select(F.explode("found").alias("f")).union(rest.select(F.explode("found").alias("f"))).select("f.*").distinct()
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            shard, dim, ids, kth_score, kth_id, made = (batch.column(c) for c in ("shard", "dim", "query_id", "kth_score", "kth_id", "tree"))
+            out = []
+            for i, at in enumerate(zip(shard.to_pylist(), dim.to_pylist(), strict=True)):
+                if made[i].is_valid:
+                    held, tree = at, pickle.loads(made[i].as_py())
+                elif held == at:
+                    q, best = _matrix(batch.column("vector").slice(i, 1), at[1])[0], []
+                    own = ids[i].as_py()
+                    if kth_score[i].is_valid:  # k rows as good as the kth: only better ones come in
+                        best = [(kth_score[i].as_py(), -kth_id[i].as_py())] * k
+                    out += [(own, -v, s) for s, v in search(tree, own, q, k, best) if not best or (s, v) > best[0]]
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], schema=schema)
+
+    best, begin, end = None, 0, 1
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    while begin < most:
+        turns = F.when(F.col("shards") > begin, F.sequence(F.lit(begin), F.least("shards", F.lit(end)) - 1))
+        asked = queries.withColumn("turn", F.explode(turns))
+        asked = asked.select("query_id", "dim", "vector", F.pmod(F.col("home") + F.col("turn"), "shards").alias("shard"))
+        kth = None if best is None else best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth_score"), F.col("vec_id").alias("kth_id"))
+        asked = asked.withColumns({"kth_score": F.lit(None).cast("long"), "kth_id": F.lit(None).cast("long")}) if kth is None else asked.join(kth, "query_id", "left")
+        units = asked.withColumn("tree", F.lit(None).cast("binary")).unionByName(forest, allowMissingColumns=True)
+        units = units.repartition("shard", "dim").sortWithinPartitions("shard", "dim", F.col("query_id").asc_nulls_first())
+        found = units.select("shard", "dim", "query_id", "vector", "kth_score", "kth_id", "tree").mapInArrow(seek, "query_id long, vec_id long, score long")
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        best = scratch.keep(found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k), f"best-{begin}")
+        begin, end = end, end * GROWTH
+    if best is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,13 +29,13 @@ def run(spark, rows, **options):
     return {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, **options).collect()}
 
 
-@pytest.mark.parametrize("shard_rows,query_rows", [(50, 3), (8192, 1024)])
-def test_against_brute_force(spark, shard_rows, query_rows):
+@pytest.mark.parametrize("shard_bytes", [50 * 48, topk.SHARD_BYTES])
+def test_against_brute_force(spark, shard_bytes):
     rng = random.Random(6)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(400)]
     rows += [(1000 + i, [0.5] * 6) for i in range(150)]  # a very common vector
     rows += [(2000, None), (2010, []), (2020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2030, [float("nan")] * 6), (2040, [float("inf")] * 6), (2050, [1.0, 2.0]), (2060, [0.5, 1.0]), (None, [0.1] * 6), (10, [0.9] * 6), (2070, [])]
-    assert run(spark, rows, every=10, shard_rows=shard_rows, query_rows=query_rows) == brute(rows, 10, 5)
+    assert run(spark, rows, every=10, shard_bytes=shard_bytes) == brute(rows, 10, 5)
 
 
 def test_large_components(spark):
@@ -45,6 +45,33 @@ def test_large_components(spark):
     assert held == {(0, n + 1, n + 1, 2**63 - 1) for n in range(5)}
 
 
+def test_long_vectors(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(5000)]) for i in range(30)]
+    assert run(spark, rows, every=10, shard_bytes=200_000) == brute(rows, 10, 5)
+
+
+def test_a_tree_is_moved_once_a_shard(spark, monkeypatch):
+    """All queries of a shard stream past one copy of its tree, in waves."""
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(4)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    plans, keep = [], topk.Scratch.keep
+
+    def noted(self, frame, name):
+        if name.startswith("best"):
+            plans.append(frame._jdf.queryExecution().toString())
+        return keep(self, frame, name)
+
+    monkeypatch.setattr(topk.Scratch, "keep", noted)
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, every=10, shard_bytes=1600).collect()}
+    assert got == brute(rows, 10, 5)
+    assert len(plans) == 3  # 12 shards: the home, 3 more, the other 8
+    for plan in plans:
+        physical = plan.split("== Physical Plan ==")[1]
+        assert "Union" in physical and "MapInArrow" in physical and "CartesianProduct" not in physical and "NestedLoop" not in physical
+
+
 def test_few_and_none(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 1.0])]
     assert run(spark, rows) == brute(rows, 50, 5)
