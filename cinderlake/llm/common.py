@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder exists (local tests) a temporary folder is set.
+    A temporary folder is set only where neither that setting nor a checkpoint folder exists and all work is in this
+    process (a local master, as in tests); on a cluster the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='cinderlake-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, rows: int) -> DataFrame:
+    """``left`` joined to ``right`` (one row a key, whose column ``count`` is the number of ``left``'s rows with it), without a hot task.
+
+    Keys with over 1/65536 of ``left``'s ``rows`` (and over one) go by broadcast: at most 131072 keys at any size.  The others are shuffled.  Null keys do not meet.
+    """
+    limit = max(1, rows >> 16)
+    names = [c for c in right.columns if c not in keys]
+    found = left.join(F.broadcast(right.filter(F.col(count) > limit).withColumn("_hot", F.lit(True))), keys, "left")
+    rest = found.filter("_hot IS NULL").drop("_hot", *names).join(right.filter(F.col(count) <= limit), keys)
+    return found.filter("_hot").drop("_hot").unionByName(rest)
+
+
 class Scratch:
     """Written tables under the shared folder; they cut lineage and outlive lost executors."""
 

@@ -1,7 +1,7 @@
 """WARC records in ZIP archives: a writer, and a reader that range-reads records without extracting members.
 
 An archive is a ZIP file with two *stored* (uncompressed) members: ``archive/data.warc.gz`` holds one gzip member a WARC
-record, ``indexes/index.cdxj`` holds one line a record with its offset and length in the first.  The reader finds the
+record, the first being a ``warcinfo``; ``indexes/index.cdxj`` holds one line a page's record with its offset and length in the first.  The reader finds the
 end-of-directory record from the file's tail, follows the ZIP64 locator where there is one, parses the central directory with
 its ZIP64 extra fields, locates a member's first byte through its local header and reads the index; then each record is a byte range of the archive.
 
@@ -11,7 +11,8 @@ writes archives of about ``archive_bytes`` under a name of its own attempt, and
 Reading: index lines are read first, then dealt anew, so large archives are read by many tasks.
 
 Archives go to the shared folder through Arrow's file systems.  Edge cases: null html is an empty payload; a null url gives an empty
-target; rows with one page_id and payload get the same decision (two responses if it is the largest); a null page_id is written as an empty id, never leads unless alone and comes back null (equal payloads without any id stay responses); an empty table gives no rows; extra columns are ignored.
+target; rows with one page_id and payload get the same decision (two responses if it is the largest); a null page_id is written as an empty id, never leads unless alone and comes back null (equal payloads without any id stay responses); records carry
+the time of writing, or a given ``date``, as WARC-Date; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,33 +20,48 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import json
 import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, join_hot, table
 
 ARCHIVE_BYTES, MIN_REVISIT = 256 << 20, 0
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 CRLF = b"\r\n"
+# fixed values: Hadoop's names of schemes that Arrow knows by another
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
 # --- records ---------------------------------------------------------------------------------------------------------
 
 
-def record(page_id: int | None, url: str, payload: bytes, sha: str, refers_to: int | None, size: int, revisit: bool) -> bytes:
+def info_record(name: str, date: str) -> bytes:
+    """A gzip member with the ``warcinfo`` record that opens a file."""
+    block = b"software: cinderlake\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(head).encode() + CRLF * 2 + block + CRLF * 2, 1, mtime=0)
+
+
+def record(page_id: int | None, url: str, payload: bytes, sha: str, refers_to: int | None, size: int, revisit: bool, date: str) -> bytes:
     """A gzip member with one WARC record; a revisit keeps the HTTP header, with the full payload's length, and no payload."""
     http = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % size, b"", b""])
     block = http if revisit else http + payload
@@ -54,6 +70,7 @@ def record(page_id: int | None, url: str, payload: bytes, sha: str, refers_to: i
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{name(page_id)}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~-._')}",
         f"WARC-Payload-Digest: sha1:{sha}",
         "Content-Type: application/http; msgtype=response",
@@ -150,17 +167,21 @@ def read_index(f, size: int) -> list[tuple[int, int]]:
 
 
 def _open_fs(uri: str):
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+    """Arrow's file system and path for a folder that Spark names."""
+    if "://" not in uri:
+        uri = f"file://{uri.removeprefix('file:')}" if not uri.startswith("dbfs:") else f"file:///dbfs{uri.removeprefix('dbfs:')}"
+    scheme, rest = uri.split("://", 1)
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 class _Archive:
     """One ZIP file being written: records go straight into the stored member, the index follows."""
 
-    def __init__(self, system, path: str):
+    def __init__(self, system, path: str, date: str):
         self.sink = system.open_output_stream(path)
         self.zip = zipfile.ZipFile(self.sink, "w", zipfile.ZIP_STORED, allowZip64=True)
         self.member = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
-        self.at, self.lines = 0, []
+        self.at, self.lines = self.member.write(info_record(path.rsplit("/", 1)[-1], date)), []
 
     def add(self, page_id: int | None, url: str, raw: bytes) -> None:
         self.member.write(raw)
@@ -175,42 +196,38 @@ class _Archive:
         return len(self.lines)
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """page_id, digest, size: of each page's payload."""
+def _payload() -> Column:
+    return F.coalesce(F.col("html"), F.lit(""))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads = [(v.as_py() or "").encode() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(p) for p in payloads], pa.string()), pa.array([len(p) for p in payloads], pa.int64())], ["page_id", "digest", "size"])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, digest string, size long")
+def digests(pages: DataFrame) -> DataFrame:
+    """page_id, sha (hexadecimal), size: of each page's payload."""
+    return pages.select("page_id", F.sha1(_payload().cast("binary")).alias("sha"), F.octet_length(_payload()).cast("long").alias("size"))
 
 
-def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, min_revisit: int = MIN_REVISIT, date: str | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html) under ``folder``; returns the manifest: archive, records."""
-    scratch = Scratch(pages.sparkSession, "warc")
+    scratch, date = Scratch(pages.sparkSession, "warc"), date or now()
     known = scratch.keep(digests(pages), "digests")
-    long_enough = known.filter(F.col("size") >= min_revisit)
-    leaders = long_enough.groupBy("digest").agg(F.max("page_id").alias("leader"), F.count("*").alias("n")).filter("n > 1 AND leader IS NOT NULL").select("digest", "leader")
+    long_enough = known.filter(F.col("size") >= min_revisit).select("page_id", "sha")
+    leaders = long_enough.groupBy("sha").agg(F.max("page_id").alias("leader"), F.count("*").alias("n")).filter("n > 1 AND leader IS NOT NULL")
     # only pages with copies get a row here; a page without one is a response
-    copies = long_enough.join(leaders, "digest").filter("page_id IS NULL OR page_id <> leader").select("page_id", "digest", "leader").distinct()
-    named = copies.groupBy("page_id").agg(F.collect_list(F.struct("digest", "leader")).alias("revisits"))
-    page = pages.select("page_id", "url", "html").alias("p")
-    rows = page.join(named.alias("c"), F.col("p.page_id").eqNullSafe(F.col("c.page_id")), "left").select("p.page_id", "url", "html", "revisits")
+    copies = join_hot(long_enough, leaders, ["sha"], "n", known.count()).filter("page_id IS NULL OR page_id <> leader").select("page_id", "sha", "leader").distinct()
+    page, c = pages.select("page_id", "url", "html", F.sha1(_payload().cast("binary")).alias("sha")).alias("p"), copies.alias("c")
+    rows = page.join(c, F.col("p.page_id").eqNullSafe(F.col("c.page_id")) & (F.col("p.sha") == F.col("c.sha")), "left").select("p.page_id", "url", "html", "p.sha", "leader")
     system_uri = folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open_fs(system_uri)
         archive, made = None, []
         for batch in batches:
-            for page_id, url, html, revisits in zip(*(batch.column(c) for c in range(4)), strict=True):
-                page_id, url, payload = page_id.as_py(), url.as_py() or "", (html.as_py() or "").encode()
-                sha = digest(payload)
-                leaders_of = {r["digest"]: r["leader"] for r in revisits.as_py() or ()}
+            for page_id, url, html, sha, leader in zip(*(batch.column(c) for c in range(5)), strict=True):
+                page_id, url, payload, leader = page_id.as_py(), url.as_py() or "", (html.as_py() or "").encode(), leader.as_py()
                 if archive is None:
                     path = f"{root}/archive-{uuid.uuid4().hex}.zip"
-                    archive = _Archive(system, path)
-                archive.add(page_id, url, record(page_id, url, payload, sha, leaders_of.get(sha), len(payload), sha in leaders_of))
+                    archive = _Archive(system, path, date)
+                said = base64.b32encode(bytes.fromhex(sha.as_py())).decode()
+                archive.add(page_id, url, record(page_id, url, payload, said, leader, len(payload), leader is not None, date))
                 if archive.at >= archive_bytes:
                     made.append((path, archive.close()))
                     archive = None
@@ -238,21 +255,22 @@ def read_archives(manifest: DataFrame, folder: str, deal: int | None = None) ->
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = _open_fs(scheme)
-        name, f = None, None
         number = lambda s: int(s) if (s := s.removeprefix("<urn:page:").removesuffix(">")) else None
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
             for a in range(0, batch.num_rows, 256):  # payloads of a few records at a time
                 rows = []
-                for path, at, n in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns), strict=True):
-                    if path != name:
-                        name, f = path, system.open_input_file(path)
-                    r = parse(read_range(f, at, n))
-                    kind, said = r["warc"]["warc-type"], r["warc"]["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and digest(r["payload"]) != said:
-                        raise ValueError(f"{path} at {at}: the payload does not have its digest")
-                    rows.append((number(r["warc"]["warc-record-id"]), r["warc"]["warc-target-uri"], kind, number(r["warc"].get("warc-refers-to", "")), said, int(r["http"]["content-length"]), r["payload"] if kind == "response" else None))
+                wanted = zip(*(c.to_pylist() for c in batch.slice(a, 256).columns), strict=True)
+                for path, ranges in itertools.groupby(wanted, key=lambda x: x[0]):
+                    with system.open_input_file(path) as f:
+                        for _, at, n in ranges:
+                            r = parse(read_range(f, at, n))
+                            kind, said = r["warc"]["warc-type"], r["warc"]["warc-payload-digest"].removeprefix("sha1:")
+                            if kind == "response" and digest(r["payload"]) != said:
+                                raise ValueError(f"{path} at {at}: the payload does not have its digest")
+                            rows.append((number(r["warc"]["warc-record-id"]), r["warc"]["warc-target-uri"], kind, number(r["warc"].get("warc-refers-to", "")), said, int(r["http"]["content-length"]), r["payload"] if kind == "response" else None))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()], strict=True)], ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
 
     ways = deal or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # runs of neighbouring records stay together

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import io
 import random
@@ -46,6 +47,32 @@ def test_round_trip(spark, options):
     assert round_trip(spark, rows, **options) == brute(rows)
 
 
+def test_records_have_the_mandatory_headers(spark):
+    """Each archive's data member, read as a plain stream of gzip members: a warcinfo, then the pages, all with the four mandatory headers."""
+    pages = spark.createDataFrame([(k, f"http://a.example/{k}", "same" if k % 3 else f"page {k}") for k in range(20)], "page_id long, url string, html string")
+    folder = Scratch(spark, "test-headers").root
+    manifest = warc.write_archives(pages, folder, date="2024-02-03T04:05:06Z").collect()
+    kinds = []
+    for row in manifest:
+        with zipfile.ZipFile(row.archive) as z:
+            data = gzip.decompress(z.read(warc.DATA))
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            assert lines[0] == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(fields)
+            assert fields["WARC-Date"] == "2024-02-03T04:05:06Z" and fields["WARC-Record-ID"][0] + fields["WARC-Record-ID"][-1] == "<>"
+            end = int(fields["Content-Length"])
+            assert rest[end : end + 4] == b"\r\n\r\n"
+            kinds.append(fields["WARC-Type"])
+            data = rest[end + 4 :]
+    assert kinds.count("warcinfo") == len(manifest) and kinds.count("response") == 8 and kinds.count("revisit") == 12
+
+
+def test_schemes():
+    assert warc._open_fs("file:/tmp/x")[1] == "/tmp/x" and warc._open_fs("dbfs:/x")[1] == "/dbfs/x" and warc._open_fs("/tmp/y")[1] == "/tmp/y"
+
+
 def test_small_payloads_stay_responses(spark):
     rows = [(1, "a", "xx"), (2, "b", "xx"), (3, "c", "longer"), (4, "d", "longer")]
     assert round_trip(spark, rows, min_revisit=4) == brute(rows, 4)
