@@ -5,8 +5,8 @@ Steps, all distributed:
 1. ``signatures``: one pass over the texts gives each document a 128-bit fingerprint of its shingle set and its band hashes.
    Bands and rows are chosen so that a pair at the threshold shares a band with at least the target recall.
 2. Documents with one shingle set are a class of copies; from here on only class representatives (smallest doc_id) count.
-3. Representatives that share a band hash form a bucket.  A bucket of over ``block`` members is cut into blocks and
-   handled by pairs of blocks, so no task holds a whole hot bucket and none of its pairs is lost.
+3. Representatives that share a band hash form a bucket.  A bucket is cut into blocks of about ``block`` members and ``block_shingles`` shingles at
+   most and handled by pairs of blocks, so no task holds a whole hot bucket or many long texts, and none of its pairs is lost.
 4. ``plan``: of a block pair, only pairs that share no earlier band are open here, so each pair is verified
    once; only members with open pairs fetch their shingle sets.
 5. ``verify``: exact Jaccard on the sets.  A block pair gives each member's number of linked documents and a spanning
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, whole_groups
+from .common import Scratch, join_hot, table, whole_groups
 from .textvec import fold, minhash, mix, ngrams, pieces, tokens
 
-WORDS, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.9999, 128, 1000
+WORDS, THRESHOLD, RECALL, MAX_HASHES, BLOCK, BLOCK_SHINGLES = 5, 0.8, 0.9999, 128, 1000, 1 << 20
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -51,7 +51,7 @@ def _shingles(column, words: int):
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, fp_a, fp_b (fingerprint of the shingle set), bands (array<long>)."""
+    """doc_id, fp_a, fp_b (fingerprint of the shingle set), shingles (their number), bands (array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(a, b - a) for whole in batches for a, b in pieces(whole.column(1))):
@@ -63,9 +63,9 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 fp[i] = s.sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64)
             folded = fold(minhash(grams, bands * rows).reshape(n, bands, rows))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(folded.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), pa.array(grams.count > 0), lists], ["doc_id", "fp_a", "fp_b", "full", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64)), pa.array(grams.count.astype(np.int64)), lists], ["doc_id", "fp_a", "fp_b", "shingles", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp_a long, fp_b long, full boolean, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp_a long, fp_b long, shingles long, bands array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -117,8 +117,8 @@ def _verify(batches: Iterator[pa.RecordBatch], bands: int, threshold: float) ->
     for t, at in whole_groups(batches, UNIT):
         sig, block, rep, copies = _matrix(t.column("bands"), bands), t.column("block").to_numpy(), t.column("rep").to_numpy(), t.column("copies").to_numpy()
         band, low, high = (t.column(k).to_numpy() for k in ("band", "low", "high"))
-        packed = t.column("shingles").combine_chunks()
-        offs = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // 8
+        packed = pa.concat_arrays(c.cast(pa.large_binary()) for c in t.column("shingles").chunks)
+        offs = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1] // 8
         flat = np.frombuffer(packed.buffers()[2], np.uint64)
         out_rep, out_root, out_links = [], [], []
         for a, b in zip(at[:-1], at[1:], strict=True):
@@ -173,24 +173,26 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """node, class_id: the smallest node of each connected component (alternating large-star and small-star rounds)."""
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges-0")
-    mark, k = None, 0
+    mark, k, rows = None, 0, now.count()
     while True:
         k += 1
         near = both(now)
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = near.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        large = join_hot(near.filter("v > u"), least.filter("n > 0"), ["u"], "n", rows).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        down = scratch.keep(large.select(F.col("a").alias("u"), F.col("b").alias("v")), f"large-{k}")
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(down, least, ["u"], "n", rows).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         now = scratch.keep(small.distinct(), f"edges-{k}")
         scratch.drop(f"edges-{k - 1}")
+        scratch.drop(f"large-{k}")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        rows = seen[0]
         if seen == mark:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("class_id"))
         mark = seen
 
 
-def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, copy_of (smallest doc_id with the same shingle set), class_id (smallest doc_id of the connected
     component of links), n_links (other documents with Jaccard at or over the threshold, copies included)."""
     spark = docs.sparkSession
@@ -198,18 +200,19 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     scratch = Scratch(spark, "jaccard")
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     sig = scratch.keep(signatures(docs, words, bands, rows), "signatures")
-    ids = sig.groupBy("doc_id").agg(F.min(F.struct("fp_a", "fp_b", "full")).alias("s")).select("doc_id", "s.*")
+    full = (F.col("shingles") > 0).alias("full")
+    ids = scratch.keep(sig.groupBy("doc_id").agg(F.min(F.struct("fp_a", "fp_b", full)).alias("s")).select("doc_id", "s.*"), "ids")
+    n = ids.count()
     reps = scratch.keep(ids.groupBy("fp_a", "fp_b", "full").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "representatives")
-    member = scratch.keep(ids.join(reps, ["fp_a", "fp_b", "full"]).select("doc_id", "rep", "copies"), "members")
 
     first = sig.join(reps.filter("full").select("fp_a", "fp_b", F.col("rep").alias("doc_id"), "copies"), ["doc_id", "fp_a", "fp_b"], "inner").dropDuplicates(["doc_id"])
-    first = scratch.keep(first.select(F.col("doc_id").alias("rep"), "copies", "bands"), "first")
-    keys = first.select("rep", F.posexplode("bands").alias("band", "hash"))
-    crowded = keys.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1")
-    met = keys.join(crowded, ["band", "hash"]).withColumn("ways", F.ceil(F.col("n") / block).cast("int"))
+    first = scratch.keep(first.select(F.col("doc_id").alias("rep"), "copies", "shingles", "bands"), "first")
+    keys = first.select("rep", "shingles", F.posexplode("bands").alias("band", "hash"))
+    crowded = keys.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("shingles").alias("all")).filter("n > 1")
+    met = join_hot(keys, crowded, ["band", "hash"], "n", first.count() * bands).withColumn("ways", F.greatest(F.ceil(F.col("n") / block), F.least("n", F.ceil(F.col("all") / block_shingles))).cast("int"))
     met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("ways")).cast("int")).withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     met = met.select("rep", "band", "hash", "block", F.least("block", "peer").alias("low"), F.greatest("block", "peer").alias("high"))
-    units = met.join(first, "rep")
+    units = met.join(first.drop("shingles"), "rep")
     planned = scratch.keep(_by_unit(units, lambda it: _plan(it, bands)), "planned")
     wanted = planned.select("rep").distinct()
     sets = _sets(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep").dropDuplicates(["rep"]), words)
@@ -217,9 +220,11 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     found = scratch.keep(_by_unit(packed, lambda it: _verify(it, bands, threshold), "rep long, root long, links long"), "found")
     classes = components(scratch, found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    labels = links.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    out = member.join(labels, "rep", "left")
-    return out.select("doc_id", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # representatives get their class first; then documents get it with their representative, of which one may stand for a third of all
+    labels = reps.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    labels = labels.select("fp_a", "fp_b", "full", "copies", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    labels = scratch.keep(labels, "labels")
+    return join_hot(ids, labels, ["fp_a", "fp_b", "full"], "copies", n).select("doc_id", "copy_of", "class_id", "n_links")
 
 
 def _by_unit(df: DataFrame, run, schema=None) -> DataFrame:

@@ -52,8 +52,8 @@ def test_documents_against_brute_force(spark):
     assert result(jaccard_join(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("block", [7, 1000])
-def test_hot_group_in_blocks(spark, block):
+@pytest.mark.parametrize("options", [{"block": 7}, {"block": 1000}, {"block_shingles": 700}])
+def test_hot_group_in_blocks(spark, options):
     rng = random.Random(5)
     base = [f"w{rng.randrange(5000)}" for _ in range(150)]
     rows = []
@@ -63,7 +63,34 @@ def test_hot_group_in_blocks(spark, block):
         rows.append((i, " ".join(words)))
     rows += [(100 + i, " ".join(base)) for i in range(20)] + [(200, None), (201, ""), (202, " \n "), (203, "one two"), (204, "One, two")]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
-    assert result(jaccard_join(docs, block=block)) == brute(rows)
+    assert result(jaccard_join(docs, **options)) == brute(rows)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**7)}" for _ in range(250_000)]
+    near = [w if k % 400 else "changed" for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[100_000:])), (4, " ".join(words)), (5, "w" * 3_000_000)]
+    got = result(jaccard_join(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)))
+    assert got == {1: (1, 1, 2), 2: (2, 1, 2), 3: (3, 3, 0), 4: (1, 1, 2), 5: (5, 5, 0)}
+
+
+def test_recall_by_similarity(spark):
+    """Pairs at each similarity from 0.8 on are found; below it none is."""
+    rng, rows, want = random.Random(8), [], {}
+    for k in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        near = list(words)
+        for at in rng.sample(range(0, 200, 8), k % 7):
+            near[at] = "x"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        want[2 * k + 1] = len(a & b) / len(a | b)
+    got = result(jaccard_join(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)))
+    for low, high in ((0.7, 0.8), (0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        hit = [got[i][1] == i - 1 for i, j in want.items() if low <= j < high]
+        print(f"similarity {low} to {high}: {sum(hit)} of {len(hit)} found")
+        assert hit and all(hit) if low >= 0.8 else not any(hit)
 
 
 def test_empty_null_repeated(spark):
