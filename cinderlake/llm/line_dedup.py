@@ -3,8 +3,8 @@
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased.  Keys are held as 128-bit
 hashes (two 64-bit hashes of different seeds) in *runs*: tables hashed into ``buckets`` and sorted by hash within
 each.  A new batch reduces its lines to one row a key (partial aggregation first, so a line found in a third of all
-documents costs one row a task), merge-anti-joins every run without moving the run's rows, and adds what is new as a run of
-level 0.  ``fanout`` runs of a level are compacted into one run of the next, bucket by bucket, without a shuffle.
+documents costs one row a task), merge-anti-joins every run without moving or sorting the run's rows, and adds what is new as a run of
+level 0.  ``fanout`` runs of a level are compacted into one run of the next: a merge join of their sorted buckets, one task and one new file a bucket, without a shuffle.
 
 Who owns a key: the smallest doc_id of the first batch that held it.  With batches in doc_id order that is the smallest
 doc_id of all.  A document keeps its lines with owned keys and its lines with short keys; the decision goes back as
@@ -16,7 +16,9 @@ the lines owned by that id.  A null doc_id counts as the largest id.  Repeated l
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +43,22 @@ def _low(key: Column) -> Column:
     return F.xxhash64(F.lit(0x5EED), key)
 
 
+@contextlib.contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Plans made in here take a bucket of one file as sorted, as it was written."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class LineRuns:
-    """A store of owned line hashes; ``add`` takes batches, ``apply`` removes lines that others own."""
+    """A store of owned line hashes; ``add`` takes batches, ``apply`` removes lines that others own, ``release`` ends its use of the catalog."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 3, min_key: int = MIN_KEY):
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 2, min_key: int = MIN_KEY):
         self.spark, self.fanout, self.min_key = spark, fanout, min_key
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.scratch = Scratch(spark, "line-runs")
@@ -76,29 +90,45 @@ class LineRuns:
         hashed = lines.select("owner", _high(F.col("key")).alias("high"), _low(F.col("key")).alias("low"))
         return hashed.groupBy("high", "low").agg(F.min("owner").alias("owner"))
 
-    def add(self, docs: DataFrame) -> None:
-        """Anti-join the batch's keys with all runs, add the new ones as a run and compact full levels."""
-        new = self.keys(docs)
+    def _unseen(self, new: DataFrame) -> DataFrame:
         for name in self.runs:
             new = new.join(self.spark.table(name).select("high", "low").hint("merge"), ["high", "low"], "left_anti")
-        self.levels[0].append(self._save(new.repartition(self.buckets, "high", "low")))
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(self._compact(self.levels[level]))
-            self.levels[level] = []
-            level += 1
+        return new
+
+    def add(self, docs: DataFrame) -> None:
+        """Anti-join the batch's keys with all runs, add the new ones as a run and compact full levels."""
+        with sorted_scans(self.spark):
+            self.levels[0].append(self._save(self._unseen(self.keys(docs)).repartition(self.buckets, "high", "low")))
+            level = 0
+            while len(self.levels[level]) >= self.fanout:
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append(self._compact(self.levels[level]))
+                self.levels[level] = []
+                level += 1
+
+    def _merged(self, one: str, other: str) -> DataFrame:
+        """No key is in two runs, so an outer merge join of their buckets is the merge."""
+        b = self.spark.table(other).withColumnRenamed("owner", "owner_b").hint("merge")
+        return self.spark.table(one).join(b, ["high", "low"], "full_outer").select("high", "low", F.coalesce("owner", "owner_b").alias("owner"))
 
     def _compact(self, names: list[str]) -> str:
-        merged = self.spark.table(names[0])
-        for name in names[1:]:
-            merged = merged.unionByName(self.spark.table(name))
-        name = self._save(merged.repartition(self.buckets, "high", "low"))
-        for old in names:
-            self._drop(old)
+        name = names[0]
+        for other in names[1:]:
+            merged = self._save(self._merged(name, other))
+            for old in (name, other):
+                self._drop(old)
+            name = merged
         return name
 
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema("high long, low long, owner long").parquet(self.scratch.path(name))
+
+    def release(self) -> None:
+        """Forget the tables in the session's catalog; their files stay for frames that ``apply`` gave."""
+        for name in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def apply(self, docs: DataFrame) -> DataFrame:
         """doc_id, text, n_lines, n_dropped, kept_text: each row of ``docs`` after dropping lines owned elsewhere.
 
@@ -107,9 +137,9 @@ class LineRuns:
         if not self.runs:
             owned = self.spark.createDataFrame([], "owner long, high long")
         else:
-            owned = self.spark.table(self.runs[0]).select("owner", "high")
+            owned = self._read(self.runs[0]).select("owner", "high")
             for name in self.runs[1:]:
-                owned = owned.unionByName(self.spark.table(name).select("owner", "high"))
+                owned = owned.unionByName(self._read(name).select("owner", "high"))
         mine = owned.groupBy("owner").agg(F.collect_list("high").alias("mine"))
         base = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST_ID)).alias("owner"))
 
@@ -138,7 +168,7 @@ class LineRuns:
         )
 
 
-def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_key: int = MIN_KEY) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2, min_key: int = MIN_KEY) -> DataFrame:
     """Deduplicate a whole table, taken as ``batches`` doc_id ranges in ascending order."""
     spark = docs.sparkSession
     runs = LineRuns(spark, fanout=fanout, min_key=min_key)
@@ -153,7 +183,9 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_key: int
             if k == batches - 1:
                 part = (F.col("doc_id") >= start) | F.col("doc_id").isNull()
             runs.add(docs.filter(part))
-    return runs.apply(docs)
+    out = runs.apply(docs)
+    runs.release()
+    return out
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 
-from cinderlake.llm.line_dedup import LineRuns, dedup_lines
+import pyarrow.parquet as pq
+
+from cinderlake.llm.line_dedup import LineRuns, dedup_lines, sorted_scans
 
 SCHEMA = "doc_id long, text string, owner int, high string, lines int"
 BLANK = " \t\n\x0b\x0c\r"
@@ -48,6 +50,30 @@ def test_empty_table(spark):
 def test_runs_are_compacted(spark):
     runs = LineRuns(spark, buckets=3, fanout=2)
     for k in range(4):
-        runs.add(frame(spark, [(k, f"a line for batch {k}\nand the common line of all")]))
+        runs.add(frame(spark, [(k, "\n".join([f"a line for batch {k}, number {n}" for n in range(200)] + ["the common line of all"]))]))
+        for name in runs.runs:  # one file a bucket, each sorted
+            files = [f.removeprefix("file:").removeprefix("//") for f in spark.table(name).inputFiles()]
+            assert len(files) == 3
+            for f in files:
+                held = pq.read_table(f).to_pydict()
+                assert list(zip(held["high"], held["low"], strict=True)) == sorted(zip(held["high"], held["low"], strict=True))
     assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert spark.table(runs.runs[0]).count() == 5
+    assert spark.table(runs.runs[0]).count() == 801
+    assert {r.owner: r["count"] for r in spark.table(runs.runs[0]).groupBy("owner").count().collect()} == {0: 201, 1: 200, 2: 200, 3: 200}
+
+
+def test_runs_are_merged_as_they_lie(spark):
+    """Neither an anti-join nor a compaction shuffles or sorts a run."""
+    runs = LineRuns(spark, buckets=3, fanout=9)
+    for k in range(2):
+        runs.add(frame(spark, [(k, f"a line for batch {k}\nand the common line of all")]))
+    with sorted_scans(spark):
+        plans = [runs._merged(*runs.runs), runs._unseen(spark.table(runs.runs[0]))]
+        plans = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert all("SortMergeJoin" in p and "Exchange" not in p and "Sort [" not in p and "Bucketed: true" in p for p in plans), plans
+
+
+def test_nothing_stays_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    out = dedup_lines(frame(spark, [(1, "one long line here"), (2, "one long line here\nand another one")]))
+    assert {t.name for t in spark.catalog.listTables()} == before and out.count() == 2
