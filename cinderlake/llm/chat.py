@@ -6,11 +6,12 @@ length class, whether it ends in a question mark, whether the line before it is
 counted, with add-``smooth`` smoothing, from turns with known roles; the counts are one aggregation to a table of fixed size (states times symbols).  Viterbi
 then gives the most probable roles of all lines, which are joined into turns and rendered as ``<|role|>\\ntext<|end|>``.
 
-Long conversations: Viterbi is a product of (max, +) matrices, one a line.  Lines are dealt into chunks by turn number; a chunk's matrix
-(states by states) stands for all its lines, chunks are combined in levels of ``ways`` until each conversation has one, and best states then go back down
-the levels.  So no task holds a whole hot conversation, and the result is exactly that of one pass.
+Long conversations: Viterbi is a product of (max, +) matrices, one a line.  Turns are put in order by one range sort and
+cut into chunks of up to ``chunk_turns`` turns as they lie, whatever their turn numbers are; a chunk's matrix
+(states by states) stands for all its lines, chunks are numbered within their conversation and combined in levels of ``ways`` until each conversation has one, and best states then go
+back down the levels.  So no task holds a whole hot conversation, and the result is exactly that of one pass.  What a task holds is a chunk's text: its longest is ``chunk_turns`` turns.
 
-Edge cases: null text is one empty line; a null turn number sorts first (as turn -1, in the first chunk); turns with equal numbers are ordered by role and text; repeated rows are turns
+Edge cases: null text is one empty line; a null turn number sorts first (as turn -1); turns with equal numbers are ordered by role and a hash of the text; repeated rows are turns
 of their own; a null conv_id is a conversation of its own; unknown or null roles count as unmarked and their roles are recovered; an empty table gives no rows; extra
 columns are ignored.  Without known roles the model is uniform and unmarked lines continue the turn.
 """
@@ -113,14 +114,33 @@ def transcript(conversations: DataFrame, lost: int = LOST) -> DataFrame:
     return rows.withColumn("marked", marked).withColumn("text", F.concat(F.when(marked, F.concat(F.initcap("role"), F.lit(": "))).otherwise(F.lit("")), F.col("text"), F.lit("\n")))
 
 
+def numbered(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+    """conv, c, pos, role, marked, text, chunk, head, tail: turns in order (``pos``), ``c`` a chunk's key, ``chunk`` its number in the conversation, head and tail its ends.
+
+    Equal turns are told apart at random, so that a range never holds too many of them.  A range's rows are numbered as they lie, so a
+    conversation's chunks in a range have consecutive keys, and begin where those of its earlier ranges end.
+    """
+    scratch = Scratch(turns.sparkSession, "chat-turns")
+    order = ["conv", "turn", F.col("role").asc_nulls_first(), "mark", "tie"]
+    rows = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("\0null")).alias("conv"), "turn", "role", "marked", "text", F.xxhash64("text").alias("mark"), F.rand(5).alias("tie"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id())
+    rows = scratch.keep(rows.select("conv", "pos", "role", "marked", "text", F.expr(f"pos div {chunk_turns}").alias("c")), "turns")
+    chunks = rows.groupBy("conv", "c").agg(F.min("pos").alias("head"), F.max("pos").alias("tail")).withColumn("range", F.shiftright("head", 33))
+    ranges = chunks.groupBy("conv", "range").agg(F.count("*").alias("n"), F.min("c").alias("low"))
+    begin = F.coalesce(F.sum("n").over(W.partitionBy("conv").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("conv", "range", (begin - F.col("low")).alias("shift"))
+    chunks = chunks.join(ranges, ["conv", "range"]).select("conv", "c", "head", "tail", (F.col("c") + F.col("shift")).alias("chunk"))
+    return rows.join(scratch.keep(chunks, "chunks"), ["conv", "c"])
+
+
 def count(turns: DataFrame) -> dict[tuple[str, int, int], int]:
-    """Counts for ``Model`` from turns with roles: within turns in one pass, between turns from lines' ends by a window over (conv_id, chunk)."""
+    """Counts for ``Model`` from ``numbered`` turns with roles: within turns in one pass, between turns from lines' ends, within a chunk and across its borders."""
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         move, say = np.zeros((STATES, STATES), np.int64), np.zeros((STATES, SYMBOLS), np.int64)
         for batch in batches:
-            for role, text, turn in zip(*(batch.column(c).to_pylist() for c in ("role", "text", "turn")), strict=True):
+            for role, text, opens in zip(*(batch.column(c).to_pylist() for c in ("role", "text", "opens")), strict=True):
                 first = ROLES.index(role) * 2
-                syms, _ = symbols(text.split("\n"), turn > 0)
+                syms, _ = symbols(text.split("\n"), not opens)
                 say[first, syms[0]] += 1
                 np.add.at(say[first + 1], syms[1:], 1)
                 move[first, first + 1] += len(syms) > 1
@@ -129,15 +149,17 @@ def count(turns: DataFrame) -> dict[tuple[str, int, int], int]:
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["kind", "i", "j", "n"])
 
     schema = "kind string, i int, j int, n long"
-    known = turns.filter("role IS NOT NULL")
-    inner = known.select("role", "text", "turn").mapInArrow(within, schema)
+    opens = (F.col("chunk") == 0) & (F.col("pos") == F.col("head"))
+    inner = turns.filter("role IS NOT NULL").select("role", "text", opens.alias("opens")).mapInArrow(within, schema)
     state = F.when(F.col("role").isNotNull(), F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int") - 1) * 2
     many = F.instr("text", "\n") > 0
-    order = W.partitionBy("conv_id", F.floor(F.col("turn") / CHUNK_TURNS)).orderBy("turn", "role", "text")
-    ends = turns.select("conv_id", "turn", state.alias("first"), (state + many.cast("int")).alias("last"), "role", "text").withColumn("before", F.lag("last").over(order))
-    outer = ends.filter("before IS NOT NULL AND first IS NOT NULL").groupBy(F.lit("move").alias("kind"), F.col("before").alias("i"), F.col("first").alias("j")).agg(F.count("*").alias("n"))
-    starts = ends.filter("turn <= 0 AND before IS NULL AND first IS NOT NULL").groupBy(F.lit("move").alias("kind"), F.lit(BEGIN).alias("i"), F.col("first").alias("j")).agg(F.count("*").alias("n"))
-    total = inner.union(outer).union(starts).groupBy("kind", "i", "j").agg(F.sum("n").alias("n"))
+    ends = turns.select("conv", "c", "chunk", "pos", "head", "tail", state.alias("first"), (state + many.cast("int")).alias("last"))
+    moves = lambda df, before: df.filter(f"{before} IS NOT NULL AND first IS NOT NULL").groupBy(F.lit("move").alias("kind"), F.col(before).alias("i"), F.col("first").alias("j")).agg(F.count("*").alias("n"))
+    inside = ends.withColumn("before", F.lag("last").over(W.partitionBy("conv", "c").orderBy("pos")))
+    tails = ends.filter("pos = tail").select("conv", (F.col("chunk") + 1).alias("chunk"), F.col("last").alias("before"))
+    across = ends.filter("pos = head").join(tails, ["conv", "chunk"])
+    starts = ends.filter("chunk = 0 AND pos = head").withColumn("start", F.lit(BEGIN))
+    total = inner.union(moves(inside, "before")).union(moves(across, "before")).union(moves(starts, "start")).groupBy("kind", "i", "j").agg(F.sum("n").alias("n"))
     return {(r["kind"], r["i"], r["j"]): r["n"] for r in total.collect()}  # states * (states + symbols) rows at most
 
 
@@ -156,12 +178,11 @@ def _sorted_groups(df: DataFrame, keys: list[str], order: list[str], run, schema
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def recover(turns: DataFrame, model: Model, chunk_turns: int = CHUNK_TURNS, ways: int = WAYS) -> DataFrame:
-    """conv, chunk, at (place in the chunk), given (role or null), role (recovered), text (without the marker), opens (begins a turn)."""
+def recover(turns: DataFrame, model: Model, ways: int = WAYS) -> DataFrame:
+    """conv, chunk, at (place in the chunk), given (role or null), role (recovered), text (without the marker), opens (begins a turn); ``turns`` as ``numbered``."""
     spark = turns.sparkSession
     scratch = Scratch(spark, "chat")
-    keyed = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("\0null")).alias("conv"), F.greatest(F.lit(0), F.floor(F.col("turn") / chunk_turns)).cast("long").alias("chunk"), "turn", "role", "text")
-    keyed = scratch.keep(keyed, "turns")
+    keyed = turns.select("conv", "chunk", "pos", "role", "text")
 
     def chunk_matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_groups(batches, KEYS):
@@ -172,7 +193,7 @@ def recover(turns: DataFrame, model: Model, chunk_turns: int = CHUNK_TURNS, ways
                 made.append((conv[a], chunk[a], _pack(model.matrix(symbols(lines, chunk[a] > 0)[0]))))
             yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], ty) for k, ty in enumerate((pa.string(), pa.int64(), pa.binary()))], [*KEYS, "matrix"])
 
-    levels = [scratch.keep(_sorted_groups(keyed, KEYS, ["turn", "role", "text"], chunk_matrix, "conv string, chunk long, matrix binary"), "level-0")]
+    levels = [scratch.keep(_sorted_groups(keyed, KEYS, ["pos"], chunk_matrix, "conv string, chunk long, matrix binary"), "level-0")]
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_groups(batches, ["conv", "up"]):
@@ -227,7 +248,7 @@ def recover(turns: DataFrame, model: Model, chunk_turns: int = CHUNK_TURNS, ways
                     out.append((conv[a], chunk[a], n, role[k], ROLES[s // 2], body, s % 2 == 0))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], ty) for k, ty in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()))], [*KEYS, "at", "given", "role", "text", "opens"])
 
-    return _sorted_groups(keyed.join(ends, KEYS), KEYS, ["turn", "role", "text"], lines, "conv string, chunk long, at long, given string, role string, text string, opens boolean")
+    return _sorted_groups(keyed.join(ends, KEYS), KEYS, ["pos"], lines, "conv string, chunk long, at long, given string, role string, text string, opens boolean")
 
 
 def format_turns(lines: DataFrame) -> DataFrame:
@@ -248,8 +269,9 @@ def format_turns(lines: DataFrame) -> DataFrame:
     return turns.withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit(END)))
 
 
-def format_chat(turns: DataFrame, **options) -> DataFrame:
+def format_chat(turns: DataFrame, chunk_turns: int = CHUNK_TURNS, **options) -> DataFrame:
     """Fit the model on marked turns, recover all roles and render: the columns of ``format_turns``."""
+    turns = numbered(turns, chunk_turns)
     model = Model(count(turns.withColumn("role", F.when(F.col("marked"), F.col("role")))))
     return format_turns(recover(turns, model, **options))
 
