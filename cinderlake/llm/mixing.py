@@ -23,7 +23,7 @@ The number of sources is taken as bounded: they are one row's array, and a slot
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -87,12 +87,11 @@ def schedule(spark: SparkSession, row: DataFrame, slots: int, segment: int = SEG
     return ran.selectExpr("p", "posexplode(ran) AS (at, run)").filter("run.real").selectExpr("run.rank AS rank", "run.block AS block", f"p * {segment} + at AS slot")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, segment: int = SEGMENT, temperature: float = TEMPERATURE, carry: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, source, text_key, block (number within the source), slot, place (within the block), and each row's columns of ``carry``."""
-    carry = carry or {}
+def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, segment: int = SEGMENT, temperature: float = TEMPERATURE) -> DataFrame:
+    """doc_id, source, text_key, block (number within the source), slot, place (within the block)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    rows = docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("bytes"), *(c.alias(k) for k, c in carry.items()))
+    rows = docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("bytes"))
     rows = scratch.keep(rows.withColumn("part", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 3)), "rows")
     parts = rows.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     sources = parts.groupBy("source").agg(F.sum("bytes").alias("bytes"), F.ceil(F.sum("n") / block).alias("blocks"))
@@ -114,11 +113,11 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, s
     rows = rows.withColumn("index", (F.col("begin") + F.col("place")).cast("long")).withColumn("block", F.expr(f"index div {block}"))
     rows = rows.join(schedule(spark, row, slots, segment), ["rank", "block"], "left")
     slot = F.coalesce("slot", F.col("slots") + F.col("block") * F.col("sources") + F.col("rank") - 1)
-    return rows.select("doc_id", "source", "text_key", "block", slot.alias("slot"), (F.col("index") % block).alias("place"), *carry)
+    return rows.select("doc_id", "source", "text_key", "block", slot.alias("slot"), (F.col("index") % block).alias("place"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents in the order of the mix: read in sequence, the written files give the schedule."""
+    """The documents in the order of the mix: the written files, in sequence, are the schedule (``sharding.in_sequence`` reads it)."""
     order = mix(docs, **options).groupBy("doc_id", "source", "text_key").agg(F.min(F.struct("slot", "place")).alias("at"))
     key = F.md5(F.coalesce(F.col("a.text"), F.lit("")))
     a, b = docs.alias("a"), order.alias("b")

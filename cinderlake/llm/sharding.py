@@ -10,7 +10,7 @@ the fullest and emptiest shard in bytes while that narrows the gap.  The list of
 Slots number a shard's rows from 0 without gaps: a crate's rows are dealt into ``LANES`` lanes and numbered within each by (doc_id, text); a
 lane begins where the crate's earlier lanes end, and a crate where the shard's earlier crates end, so that no task holds a whole shard or a hot group.
 
-With an ``order`` (each row's place ``at`` in a sequence of the whole table) a shard's slots follow that sequence instead: rows are
+With an ``order`` (each row's place ``at`` in a sequence of the whole table, as that of a mix's files) a shard's slots follow that sequence instead: rows are
 counted by shard and stretch of ``STRETCH`` places, numbered within a stretch, and a stretch begins where the shard's earlier ones end.
 
 Law: ``bytes`` (sizes near equal).  Edge cases: a null text has size 1, crc32 0 and no tokens; null doc_ids sort first; repeated
@@ -97,6 +97,15 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *(c.alias(k) for k, c in measures().items()))
 
 
+def in_sequence(docs: DataFrame) -> DataFrame:
+    """doc_id, source, the measures and ``at``: each row's place in the sequence of the files that it was read from, or of the plan where ``docs`` is no table of files."""
+    at = F.monotonically_increasing_id()
+    if docs._jdf.queryExecution().analyzed().nodeName().startswith(("LogicalRelation", "Relation")):
+        part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+        at = F.shiftleft(part, 40) + F.col("_metadata.row_index")
+    return docs.select("doc_id", "source", *(c.alias(k) for k, c in measures().items()), at.alias("at"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, crates: int = CRATES, heavy: int = HEAVY, order: DataFrame | None = None) -> DataFrame:
     """doc_id, size, tokens, text_crc32, text_a, text_b, crate, shard, slot for each row.
 

@@ -3,14 +3,13 @@
 1. quality: documents that the quality classifier rejects go.
 2. near_duplicates: of each class of near-duplicates one document stays.
 3. decontaminate: documents that contain a benchmark item go.
-4. mix: the rest is put in the order that interleaves sources to their target weights; no document goes.
-5. shard: each document gets a shard and a slot; a shard's slots follow the order of the mix.
+4. mix: the rest is written in the order that interleaves sources to their target weights; no document goes.
+5. shard: each document gets a shard and a slot; a shard's slots follow the order in which the mix wrote its files.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cinderlake.llm import decontaminate, jaccard_join, mixing, quality, sharding
 from cinderlake.llm.common import Scratch, table
@@ -33,10 +32,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # the mix is the same for the same rows, so it is found again here: files that are read in parallel carry no order
-    order = mixing.mix(docs, carry=sharding.measures())
-    at = F.col("slot") * mixing.BLOCK + F.col("place")
-    return sharding.shard_documents(docs, order=order.select("doc_id", "source", *sharding.measures(), at.alias("at")))
+    # the mix is the sequence of the files that it wrote
+    return sharding.shard_documents(docs, order=sharding.in_sequence(docs))
 
 
 STAGES = [("quality", good), ("near_duplicates", near_duplicates), ("decontaminate", clean), ("mix", mixed), ("shard", sharded)]
