@@ -118,6 +118,9 @@ def test_query_against_brute_force(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[1] == k for x in base) for k in range(4)]
         assert set(said) <= set(r.spans.split(",")) or not said
+        spans = [x.split(":")[0] for x in r.spans.split(",") if x]
+        assert (r.n_secret, r.n_local_phone, r.n_spans) == (spans.count("secret"), spans.count("local_phone"), len(spans))
+    assert sum(r.n_secret for r in rows.values()) > 0
 
 
 def test_edges(spark):
