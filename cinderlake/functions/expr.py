@@ -59,9 +59,12 @@ def boxes_intersect(a: Sequence[Column], b: Sequence[Column]) -> Column:
 
 
 def box_contains(a: Sequence[Column], b: Sequence[Column]) -> Column:
-    """a contains b; over the antimeridian either side may hold."""
+    """a contains b, as plain boxes.  Where a alone crosses the antimeridian b has to begin in its eastern half or end in its western one; a box
+    that crosses is in no other box."""
     (aw, as_, ae, an), (bw, bs, be, bn) = a, b
-    return (as_ <= bs) & (an >= bn) & F.when(aw <= ae, (aw <= bw) & (ae >= be)).otherwise((bw >= aw) | (be <= ae))
+    halves = [(aw <= bw), (be <= ae)]
+    columns = F.when(bw > be, F.lit(False)).when(aw > ae, halves[0] | halves[1]).otherwise(halves[0] & halves[1])
+    return (as_ <= bs) & (bn <= an) & columns
 
 
 def overlap_area(a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -139,8 +142,8 @@ def metres_per_degree(lat: Column) -> Column:
 
 
 def utm_zone(lon: Column, lat: Column) -> Column:
-    """UTM zone number with the exceptions of western Norway and Svalbard."""
-    plain = (F.pmod(F.floor((lon + 180) / 6), F.lit(60)) + 1).cast("int")
+    """UTM zone number, 1 to 60 (longitude 180 is in zone 60), with the exceptions of western Norway and Svalbard."""
+    plain = F.least(F.greatest(F.floor((lon + 180) / 6) + 1, F.lit(1)), F.lit(60)).cast("int")
     norway = (lat >= 56) & (lat < 64) & (lon >= 3) & (lon < 12)
     svalbard = (lat >= 72) & (lat < 84) & (lon >= 0) & (lon < 42)
     zones = F.when(lon < 9, 31).when(lon < 21, 33).when(lon < 33, 35).otherwise(37)

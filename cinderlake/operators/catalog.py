@@ -54,10 +54,25 @@ def glob_to_regex(pattern: Column) -> Column:
 
 
 def box_cells(w: Column, s: Column, e: Column, n: Column, size: float) -> Column:
-    """Grid cells that a box touches, so that overlapping boxes meet in an equi-join."""
-    xs = F.sequence(F.floor(w / size), F.floor(e / size))
-    ys = F.sequence(F.floor(s / size), F.floor(n / size))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    """Grid cells that a box touches, so that overlapping boxes meet in an equi-join.  A box with west over east goes by the antimeridian: its
+    cells are those from west to 180 and from -180 to east."""
+    cells = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
+    xs = F.when(w <= e, cells(w, F.greatest(w, e))).otherwise(F.array_union(cells(F.least(w, F.lit(180.0)), F.lit(180.0)), cells(F.lit(-180.0), F.greatest(e, F.lit(-180.0)))))
+    return F.flatten(F.transform(xs, lambda x: F.transform(cells(s, n), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def first_shared_cell(a: list[Column], b: list[Column], size: float, cell: Column) -> Column:
+    """Whether ``cell`` is the first (by x, then y) of the cells that both boxes (west, south, east, north) touch; the boxes may cross the antimeridian."""
+
+    def columns(box):
+        w, e = box[0], box[2]
+        return lambda x: F.when(w <= e, (x >= F.floor(w / size)) & (x <= F.floor(e / size))).otherwise((x >= F.floor(w / size)) | (x <= F.floor(e / size)))
+
+    in_a, in_b = columns(a), columns(b)
+    # the first shared column begins one of the boxes, or is the grid's first one
+    starts = F.array(F.floor(a[0] / size), F.floor(b[0] / size), F.floor(F.lit(-180.0) / size))
+    first = F.array_min(F.filter(starts, lambda x: in_a(x) & in_b(x)))
+    return (cell["x"] == first) & (cell["y"] == F.floor(F.greatest(a[1], b[1]) / size))
 
 
 def sha_key(*parts: Column, length: int = 32) -> Column:

@@ -37,11 +37,16 @@ def focal(grid: DataFrame, half: int, aggs: Sequence[Column], centre: bool = Tru
     return near.groupBy("row", "col").agg(own.alias("own"), *aggs).filter("own = 1").drop("own")
 
 
-def gradient(grid: DataFrame, axis: str, value: str = "value") -> Column:
-    """Central difference inside, one-sided at the ends, along an axis of unit steps; a window column."""
+def previous(value: str, axis: str, step: int = 1) -> Column:
+    """The value of the adjacent cell ``step`` (1 or -1) before along an axis, null where the grid has none; a window column."""
     other = "col" if axis == "row" else "row"
     w = W.partitionBy(other).orderBy(axis)
-    before, after, v = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
+    return F.when(F.lag(axis, step).over(w) == F.col(axis) - step, F.lag(value, step).over(w))
+
+
+def gradient(grid: DataFrame, axis: str, value: str = "value") -> Column:
+    """Central difference between both adjacent cells, one-sided where there is one, null where there is none; a window column."""
+    before, after, v = previous(value, axis), previous(value, axis, -1), F.col(value)
     return F.when(before.isNotNull() & after.isNotNull(), (after - before) / 2).when(after.isNotNull(), after - v).when(before.isNotNull(), v - before)
 
 
@@ -95,6 +100,32 @@ def downsample(grid: DataFrame, height: int, width: int, rows: int, cols: int, a
     return grid.groupBy(block("row", height, rows).alias("brow"), block("col", width, cols).alias("bcol")).agg(*aggs)
 
 
+def upsample(grid: DataFrame, factor: int, order: int = 1) -> DataFrame:
+    """row, col, value: a whole grid at ``factor`` times the resolution, with sources at multiples of it, up to the last source cell.
+
+    Order 1 is bilinear: each source is sent to the targets that it weighs in; a target that misses a source (a hole) is null, as with NaN.
+    Order 0 takes the nearest source (halves go up) and keeps holes.
+    """
+    if order == 0:
+        steps = F.array(*(F.lit(k) for k in range(-(factor // 2), factor - factor // 2)))
+        t = grid.withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps))
+        t = t.select((F.col("row") * factor + F.col("a")).alias("row"), (F.col("col") * factor + F.col("b")).alias("col"), "value")
+        return _within(t, grid, factor)
+    steps = F.array(*(F.lit(k) for k in range(1 - factor, factor)))
+    t = grid.withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps))
+    weight = (1 - F.abs("a") / factor) * (1 - F.abs("b") / factor)
+    t = t.select((F.col("row") * factor + F.col("a")).alias("row"), (F.col("col") * factor + F.col("b")).alias("col"), (F.col("value") * weight).alias("part"), weight.alias("w"))
+    t = t.groupBy("row", "col").agg(F.sum("part").alias("part"), F.sum("w").alias("w"))
+    return _within(t.select("row", "col", F.when(F.col("w") > 1 - 1e-9, F.col("part")).alias("value")), grid, factor)
+
+
+def _within(fine: DataFrame, grid: DataFrame, factor: int) -> DataFrame:
+    """Cells of ``fine`` from the first to the last source cell of ``grid``."""
+    ends = grid.agg(*(f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in ("row", "col")))
+    fine = fine.crossJoin(F.broadcast(ends))  # one row
+    inside = [F.col(c).between(F.col(f"low_{c}") * factor, F.col(f"high_{c}") * factor) for c in ("row", "col")]
+    return fine.filter(inside[0] & inside[1]).select("row", "col", "value")
+
 
 def nearest(grid: DataFrame, points: DataFrame, keep: Callable[[DataFrame, int], DataFrame], first: int = 8) -> DataFrame:
     """row, col, value, at (d2, cr, cc, cv): each cell's nearest of ``points`` (row, col, value) at any distance; ties go to the smallest (row, col).

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
@@ -26,6 +29,38 @@ def histogram(df: DataFrame, value: str, bins: int, *by: str) -> DataFrame:
     return df.join(span, list(by)).groupBy(*by, b.cast("int").alias("bin")).agg(F.count("*").alias("count"))
 
 
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], *by: str, bins: int = 1024) -> DataFrame:
+    """by, q (array<double>): exact quantiles with linear interpolation, in two passes, so that no task holds all values of a group.
+
+    The first pass counts a group's values in ``bins`` equal ranges; only the ranges that hold a wanted rank are read again, as counts of distinct
+    values.  Nulls do not count; a group without values has null quantiles.
+    """
+    by = list(by)
+    rows = df.select(*by, F.col(value).cast("double").alias("v"))
+    span = rows.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
+    joined = rows.filter("v IS NOT NULL").join(span, by) if by else rows.filter("v IS NOT NULL").crossJoin(F.broadcast(span))  # one row
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    joined = joined.withColumn("bin", bin_)
+    order = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    counts = joined.groupBy(*by, "bin").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0)))
+    counts = counts.join(span.drop("lo", "hi"), by) if by else counts.crossJoin(F.broadcast(span.select("n")))
+    ranks = F.array(*(f(F.col("n") - 1, p) for p in probs for f in (lambda n, p: F.floor(n * p), lambda n, p: F.ceil(n * p))))
+    inside = lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("c"))
+    wanted = counts.withColumn("ranks", F.array_distinct(F.filter(ranks, inside))).filter("size(ranks) > 0").select(*by, "bin", "before", "ranks")
+    held = joined.join(F.broadcast(wanted) if not by else wanted, [*by, "bin"]).groupBy(*by, "bin", "v").agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("ranks").alias("ranks"))
+    order = W.partitionBy(*by, "bin").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    held = held.withColumn("before", F.col("before") + F.coalesce(F.sum("c").over(order), F.lit(0)))
+    found = held.select(*by, "v", F.explode(F.filter("ranks", inside)).alias("rank")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    out = span.join(found, by, "left") if by else span.crossJoin(F.broadcast(found))
+
+    def one(p: float) -> Column:
+        pos = (F.col("n") - 1) * p
+        low, high = F.element_at("at", F.floor(pos)), F.element_at("at", F.ceil(pos))
+        return F.when(F.floor(pos) == F.ceil(pos), low).otherwise((F.ceil(pos) - pos) * low + (pos - F.floor(pos)) * high)
+
+    return out.select(*by, F.array(*(one(p) for p in probs)).alias("q"))
+
+
 def moments(value: str) -> dict[str, Column]:
     """Raw power sums; skewness and kurtosis are built from them by hand, with the sample corrections."""
     v = F.col(value)

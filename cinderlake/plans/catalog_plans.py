@@ -138,12 +138,12 @@ q AS (SELECT s_suppkey, CAST(s_suppkey * 71 % 340 - 170 AS DOUBLE) AS qw, CAST(s
     f"""WITH {_BOX} SELECT s_suppkey, p_partkey, w >= qw AND e <= qe AND s >= qs AND n <= qn AS inside, round(100 * (least(e, qe) - greatest(w, qw)) * (least(n, qn) - greatest(s, qs)) / ((qe - qw) * (qn - qs)), 6) AS coverage FROM p JOIN q ON w <= qe AND e >= qw AND s <= qn AND n >= qs""",
 )
 def bbox_overlap_join(spark, sf_dir):
-    """Overlap join of boxes as an equi-join on shared 8-degree grid cells; a pair is kept in the cell of its overlap's lower corner, so once."""
+    """Overlap join of boxes as an equi-join on shared 8-degree grid cells; a pair is kept in the first cell that both have, so once."""
     size = 8.0
     p = part_boxes(spark, sf_dir).withColumn("c", F.explode(C.box_cells(F.col("w"), F.col("s"), F.col("e"), F.col("n"), size)))
     q = supplier_boxes(spark, sf_dir).withColumn("c", F.explode(C.box_cells(F.col("qw"), F.col("qs"), F.col("qe"), F.col("qn"), size)))
-    j = p.join(q, "c").filter(E.boxes_intersect([F.col(x) for x in "wsen"], [F.col(f"q{x}") for x in "wsen"]))
-    j = j.filter((F.floor(F.greatest("w", "qw") / size) == F.col("c.x")) & (F.floor(F.greatest("s", "qs") / size) == F.col("c.y")))
+    mine, asked = [F.col(x) for x in "wsen"], [F.col(f"q{x}") for x in "wsen"]
+    j = p.join(q, "c").filter(E.boxes_intersect(mine, asked)).filter(C.first_shared_cell(mine, asked, size, F.col("c")))
     area = E.overlap_area([F.col(x) for x in "wsen"], [F.col(f"q{x}") for x in "wsen"])
     inside = E.box_contains([F.col(f"q{x}") for x in "wsen"], [F.col(x) for x in "wsen"])
     return j.select("s_suppkey", "p_partkey", inside.alias("inside"), rnd(100 * area / ((F.col("qe") - F.col("qw")) * (F.col("qn") - F.col("qs")))).alias("coverage"))
@@ -237,8 +237,9 @@ s AS (SELECT *, sum(conf) OVER (PARTITION BY doc_id) AS total FROM c), r AS (SEL
 SELECT doc_id, class, round(conf, 6) AS confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(conf, 9) DESC, class) AS rank FROM r) WHERE rank <= 3""",
 )
 def intent_classify(spark, sf_dir):
-    """Keyword matches against a taxonomy (a literal table), confidences, top 3 alternatives of each text."""
-    k = table(spark, sf_dir, "documents").select("doc_id", C.keywords(F.col("text")).alias("kw")).select("doc_id", F.size("kw").alias("n"), F.explode(F.array_distinct("kw")).alias("w"))
+    """Keyword matches against a taxonomy (a literal table), confidences, top 3 alternatives of each text; only words of the taxonomy leave a text's array."""
+    known = F.array(*(F.lit(w) for w in sorted({w for ws in _CLASSES.values() for w in ws})))
+    k = table(spark, sf_dir, "documents").select("doc_id", C.keywords(F.col("text")).alias("kw")).select("doc_id", F.size("kw").alias("n"), F.explode(F.array_intersect("kw", known)).alias("w"))
     t = spark.createDataFrame([(c, w) for c, ws in _CLASSES.items() for w in ws], "class string, w string")
     m = k.join(F.broadcast(t), "w").groupBy("doc_id", "class").agg(F.count("*").alias("hits"), F.first("n").alias("n"))  # t is fixed
     w = W.partitionBy("doc_id")

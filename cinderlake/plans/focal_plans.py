@@ -1,4 +1,8 @@
-"""Focal, connectivity and resampling queries on a 64 x 64 grid of ``lineitem`` quantities."""
+"""Focal, connectivity and resampling queries on a grid of ``lineitem`` quantities.
+
+The grid is a strip: a row for 64 orders, 64 columns by part.  It grows with the table, at the same density and spread of values, and has
+holes where no line falls.
+"""
 
 from __future__ import annotations
 
@@ -14,10 +18,10 @@ from .registry import query, table
 
 def grid(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
-    return t.groupBy((F.col("l_orderkey") % 64).alias("row"), (F.col("l_partkey") % 64).alias("col")).agg(F.round(F.avg("l_quantity"), 6).alias("value"))
+    return t.groupBy(F.expr("l_orderkey div 64").alias("row"), (F.col("l_partkey") % 64).alias("col")).agg(F.round(F.avg("l_quantity"), 6).alias("value"))
 
 
-G = 'g AS (SELECT l_orderkey % 64 AS "row", l_partkey % 64 AS col, round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY ALL)'
+G = 'g AS (SELECT l_orderkey // 64 AS "row", l_partkey % 64 AS col, round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY ALL)'
 _NEAR = "JOIN g n ON n.row BETWEEN g.row - {h} AND g.row + {h} AND n.col BETWEEN g.col - {h} AND g.col + {h}"
 
 
@@ -33,7 +37,7 @@ def local_variance(spark, sf_dir):
     "fire_contextual",
     f"""WITH {G}, b AS (SELECT g.row, g.col, g.value, avg(n.value) FILTER (WHERE n.value < 32 AND NOT (n.row = g.row AND n.col = g.col)) AS mu, stddev_pop(n.value) FILTER (WHERE n.value < 32 AND NOT (n.row = g.row AND n.col = g.col)) AS sd,
  count(*) FILTER (WHERE n.value < 32 AND NOT (n.row = g.row AND n.col = g.col)) AS n FROM g {_NEAR.format(h=2)} GROUP BY g.row, g.col, g.value)
-SELECT row, col, round(value, 4) AS value, round(mu, 4) AS background, value - mu > 3 AND value - mu > 1.5 * sd AS fire FROM b WHERE n >= 3""",
+SELECT row, col, round(value, 4) AS value, round(mu + 1e-9, 4) AS background, value - mu > 3 AND value - mu > 1.5 * sd AS fire FROM b WHERE n >= 3""",
 )
 def fire_contextual(spark, sf_dir):
     """A cell against the non-fire cells of its window (5 x 5 here), the centre left out, three at least."""
@@ -43,7 +47,7 @@ def fire_contextual(spark, sf_dir):
     back = F.when(~centre & (F.col("value") < 32), F.col("value"))
     b = near.groupBy("row", "col").agg(F.max(F.when(centre, F.col("value"))).alias("v"), F.avg(back).alias("mu"), F.stddev_pop(back).alias("sd"), F.count(back).alias("n")).filter("v IS NOT NULL AND n >= 3")
     gap = F.col("v") - F.col("mu")
-    return b.select("row", "col", rnd("v", 4).alias("value"), rnd("mu", 4).alias("background"), ((gap > 3) & (gap > 1.5 * F.col("sd"))).alias("fire"))
+    return b.select("row", "col", rnd("v", 4).alias("value"), rnd(F.col("mu") + 1e-9, 4).alias("background"), ((gap > 3) & (gap > 1.5 * F.col("sd"))).alias("fire"))
 
 
 @query(
@@ -63,8 +67,9 @@ def fire_contextual_21(spark, sf_dir):
 
 @query(
     "slope_aspect",
-    f"""WITH {G}, d AS (SELECT row, col, CASE WHEN lag(value) OVER r IS NOT NULL AND lead(value) OVER r IS NOT NULL THEN (lead(value) OVER r - lag(value) OVER r) / 2 WHEN lead(value) OVER r IS NOT NULL THEN lead(value) OVER r - value ELSE value - lag(value) OVER r END AS dy,
- CASE WHEN lag(value) OVER c IS NOT NULL AND lead(value) OVER c IS NOT NULL THEN (lead(value) OVER c - lag(value) OVER c) / 2 WHEN lead(value) OVER c IS NOT NULL THEN lead(value) OVER c - value ELSE value - lag(value) OVER c END AS dx FROM g WINDOW r AS (PARTITION BY col ORDER BY row), c AS (PARTITION BY row ORDER BY col))
+    f"""WITH {G}, n AS (SELECT g.row, g.col, g.value AS v, u.value AS u, d.value AS d, l.value AS l, r.value AS r FROM g LEFT JOIN g u ON u.row = g.row - 1 AND u.col = g.col LEFT JOIN g d ON d.row = g.row + 1 AND d.col = g.col
+ LEFT JOIN g l ON l.row = g.row AND l.col = g.col - 1 LEFT JOIN g r ON r.row = g.row AND r.col = g.col + 1),
+d AS (SELECT row, col, CASE WHEN u IS NOT NULL AND d IS NOT NULL THEN (d - u) / 2 WHEN d IS NOT NULL THEN d - v ELSE v - u END AS dy, CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN (r - l) / 2 WHEN r IS NOT NULL THEN r - v ELSE v - l END AS dx FROM n)
 SELECT row, col, round(degrees(atan(sqrt(dx * dx + dy * dy) / 30)), 5) AS slope, round((degrees(atan2(-dx, dy)) + 360) % 360, 4) AS aspect FROM d""",
 )
 def slope_aspect(spark, sf_dir):
@@ -129,23 +134,20 @@ def hand_flow_neighbours(spark, sf_dir):
 
 @query(
     "nearest_channel",
-    f"""WITH {G}, c AS (SELECT row AS cr, col AS cc, value AS cv FROM g WHERE value < 22), m AS (SELECT row, col, value, cr, cc, cv, (row - cr) * (row - cr) + (col - cc) * (col - cc) AS d2 FROM g JOIN c ON abs(row - cr) <= 8 AND abs(col - cc) <= 8),
-k AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY d2, cr, cc) AS rn FROM m)
-SELECT row, col, round(greatest(value - cv, 0.0) + 1e-9, 5) AS height, round(sqrt(d2), 6) AS distance, greatest(value - cv, 0.0) <= 3 AS susceptible FROM k WHERE rn = 1""",
+    f"""WITH {G}, c AS (SELECT row AS cr, col AS cc, value AS cv FROM g WHERE value < 12),
+k AS (SELECT row, col, value, min(struct_pack(d2 := (row - cr) * (row - cr) + (col - cc) * (col - cc), cr := cr, cc := cc, cv := cv)) AS m FROM g LEFT JOIN c ON true GROUP BY row, col, value)
+SELECT row, col, CASE WHEN m.cv IS NOT NULL THEN round(greatest(value - m.cv, 0.0) + 1e-9, 5) END AS height, round(sqrt(m.d2), 6) AS distance, CASE WHEN m.cv IS NOT NULL THEN greatest(value - m.cv, 0.0) <= 3 END AS susceptible FROM k""",
 )
 def nearest_channel(spark, sf_dir):
-    """Height over the nearest channel cell within 8 cells: channels and cells meet in blocks of 8, so each cell looks at nine blocks."""
-    r = 8
-    g = grid(spark, sf_dir)
-    block = lambda c: F.floor(F.col(c) / r)
-    c = g.filter("value < 22").select(F.col("row").alias("cr"), F.col("col").alias("cc"), F.col("value").alias("cv"), block("row").alias("br"), block("col").alias("bc"))
-    steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    p = g.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select("row", "col", "value", (block("row") + F.col("i")).alias("br"), (block("col") + F.col("j")).alias("bc"))
-    m = p.join(c, ["br", "bc"]).filter((F.abs(F.col("row") - F.col("cr")) <= r) & (F.abs(F.col("col") - F.col("cc")) <= r))
-    d2 = F.pow(F.col("row") - F.col("cr"), 2) + F.pow(F.col("col") - F.col("cc"), 2)
-    best = m.withColumn("d2", d2).groupBy("row", "col", "value").agg(F.min_by(F.struct("cv", "d2"), F.struct("d2", "cr", "cc")).alias("b"))
-    height = F.greatest(F.col("value") - F.col("b.cv"), F.lit(0.0))
-    return best.select("row", "col", rnd(height + 1e-9, 5).alias("height"), rnd(F.sqrt("b.d2")).alias("distance"), (height <= 3).alias("susceptible"))
+    """Height over the nearest low cell, however far that is: cells without one nearby look on in rings of twice the width."""
+    return _over_nearest(spark, grid(spark, sf_dir), grid(spark, sf_dir).filter("value < 12"))
+
+
+def _over_nearest(spark, g, points):
+    best = N.nearest(g, points, Rounds(spark, "nearest"))
+    # greatest() skips nulls
+    height = F.when(F.col("at").isNotNull(), F.greatest(F.col("value") - F.col("at.cv"), F.lit(0.0)))
+    return best.select("row", "col", rnd(height + 1e-9, 5).alias("height"), rnd(F.sqrt("at.d2")).alias("distance"), (height <= 3).alias("susceptible"))
 
 
 @query(
@@ -159,10 +161,7 @@ def nearest_drainage(spark, sf_dir):
     """Height of every cell over its nearest drainage cell (flow of 7 or more, as in hand_flow_neighbours), however far that is."""
     g = grid(spark, sf_dir)
     channels = Rounds(spark, "drainage")(g.join(hand_flow_neighbours(spark, sf_dir).filter("channel").select("row", "col"), ["row", "col"]), 0)
-    best = N.nearest(g, channels, Rounds(spark, "nearest"))
-    # greatest() skips nulls
-    height = F.when(F.col("at").isNotNull(), F.greatest(F.col("value") - F.col("at.cv"), F.lit(0.0)))
-    return best.select("row", "col", rnd(height + 1e-9, 5).alias("height"), rnd(F.sqrt("at.d2")).alias("distance"), (height <= 3).alias("susceptible"))
+    return _over_nearest(spark, g, channels)
 
 
 @query(
@@ -192,11 +191,11 @@ def downsample_avg_mode(spark, sf_dir):
 
 @query(
     "mode_downsample",
-    """WITH c AS (SELECT l_orderkey % 64 // 8 AS brow, l_partkey % 64 // 8 AS bcol, l_quantity AS v, count(*) AS n FROM lineitem GROUP BY ALL) SELECT brow, bcol, arg_min(v, (-n, v)) AS mode FROM c GROUP BY ALL""",
+    """WITH c AS (SELECT l_orderkey // 64 // 8 AS brow, l_partkey % 64 // 8 AS bcol, l_quantity AS v, count(*) AS n FROM lineitem GROUP BY ALL) SELECT brow, bcol, arg_min(v, (-n, v)) AS mode FROM c GROUP BY ALL""",
 )
 def mode_downsample(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
-    return t.groupBy(F.floor(F.col("l_orderkey") % 64 / 8).alias("brow"), F.floor(F.col("l_partkey") % 64 / 8).alias("bcol")).agg(F.mode("l_quantity", True).alias("mode"))
+    return t.groupBy(F.expr("l_orderkey div 64 div 8").alias("brow"), F.floor(F.col("l_partkey") % 64 / 8).alias("bcol")).agg(F.mode("l_quantity", True).alias("mode"))
 
 
 @query("pyramid", f"WITH {G} " + " UNION ALL ".join(f"SELECT {f} AS factor, row // {f} AS prow, col // {f} AS pcol, round(avg(value) + 1e-9, 5) AS value FROM g GROUP BY ALL" for f in (2, 4, 8, 16)))
@@ -229,24 +228,22 @@ def connected_components(spark, sf_dir):
 f AS (SELECT row, z, row - row_number() OVER (ORDER BY row) AS k FROM z WHERE abs(z) > 1) SELECT min(row) AS first, max(row) AS last, count(*) AS rows FROM f GROUP BY k HAVING count(*) >= 2""",
 )
 def stripe_detection(spark, sf_dir):
-    """Two or more consecutive rows whose means stand out; there is one row a grid row here."""
-    from pyspark.sql import Window as W
-
+    """Two or more consecutive rows whose means stand out: runs are components of the flagged rows, so no task sees all rows in order."""
     r = grid(spark, sf_dir).groupBy("row").agg(F.avg("value").alias("m"))
     z = with_global(r, F.avg("m").alias("mu"), F.stddev_pop("m").alias("sd")).filter(F.abs((F.col("m") - F.col("mu")) / F.col("sd")) > 1)
-    k = F.col("row") - F.row_number().over(W.orderBy("row"))
-    return z.select("row", k.alias("k")).groupBy("k").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("rows")).filter("rows >= 2").select("first", "last", "rows")
+    runs = N.components(z.select("row", F.lit(0).cast("long").alias("col")), Rounds(spark, "stripes"))
+    return runs.groupBy("label").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("rows")).filter("rows >= 2").select("first", "last", "rows")
 
 
 @query(
     "tile_seams",
-    f"""WITH {G}, d AS (SELECT row, abs(value - lag(value) OVER (PARTITION BY col ORDER BY row)) AS gr FROM g), s AS (SELECT avg(gr) FILTER (WHERE row % 16 <> 0) AS mu, stddev_pop(gr) FILTER (WHERE row % 16 <> 0) AS sd FROM d)
+    f"""WITH {G}, d AS (SELECT g.row, abs(g.value - u.value) AS gr FROM g JOIN g u ON u.row = g.row - 1 AND u.col = g.col), s AS (SELECT avg(gr) FILTER (WHERE row % 16 <> 0) AS mu, stddev_pop(gr) FILTER (WHERE row % 16 <> 0) AS sd FROM d)
 SELECT row, round(avg(gr), 5) AS gradient, round((avg(gr) - any_value(mu)) / any_value(sd), 5) AS z FROM d, s WHERE row % 16 = 0 AND row > 0 GROUP BY row""",
 )
 def tile_seams(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    d = grid(spark, sf_dir).select("row", F.abs(F.col("value") - F.lag("value").over(W.partitionBy("col").orderBy("row"))).alias("gr"))
+    """Gradients between adjacent rows at tile borders against those inside."""
+    d = grid(spark, sf_dir).select("row", "col", "value")
+    d = d.select("row", F.abs(F.col("value") - N.previous("value", "row")).alias("gr")).filter("gr IS NOT NULL")
     inner = F.when(F.col("row") % 16 != 0, F.col("gr"))
     d = with_global(d, F.avg(inner).alias("mu"), F.stddev_pop(inner).alias("sd")).filter("row % 16 = 0 AND row > 0")
     return d.groupBy("row").agg(rnd(F.avg("gr"), 5).alias("gradient"), rnd((F.avg("gr") - F.first("mu")) / F.first("sd"), 5).alias("z"))

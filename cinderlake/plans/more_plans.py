@@ -146,10 +146,10 @@ def population_estimate(spark, sf_dir):
 SELECT round(h.r, 6) AS along_rows, round(w.r, 6) AS along_cols FROM h, w""",
 )
 def directional_autocorr(spark, sf_dir):
-    """Lag-1 autocorrelation along both axes."""
+    """Lag-1 autocorrelation along both axes, over pairs of adjacent cells."""
     g = with_global(grid(spark, sf_dir), F.avg("value").alias("mu"), F.var_pop("value").alias("v")).withColumn("x", F.col("value") - F.col("mu"))
-    g = g.select("x", "v", F.lead("x").over(W.partitionBy("row").orderBy("col")).alias("right"), F.lead("x").over(W.partitionBy("col").orderBy("row")).alias("down"))
-    return g.agg(rnd(F.avg(F.col("x") * F.col("right")) / F.first("v")).alias("along_rows"), rnd(F.avg(F.col("x") * F.col("down")) / F.first("v")).alias("along_cols"))
+    g = g.select("x", "v", N.previous("x", "col").alias("left"), N.previous("x", "row").alias("up"))
+    return g.agg(rnd(F.avg(F.col("x") * F.col("left")) / F.first("v")).alias("along_rows"), rnd(F.avg(F.col("x") * F.col("up")) / F.first("v")).alias("along_cols"))
 
 
 @query(
@@ -173,10 +173,12 @@ def median_filter(spark, sf_dir):
     return N.focal(grid(spark, sf_dir), 1, [rnd(F.median("value") + 1e-9, 5).alias("median")])
 
 
-@query("mask_dilation", f"WITH {G}, m AS (SELECT row, col FROM g WHERE value > 32), d AS (SELECT unnest([-1, 0, 1]) AS d) SELECT DISTINCT m.row + a.d AS row, m.col + b.d AS col FROM m, d a, d b WHERE m.row + a.d BETWEEN 0 AND 63 AND m.col + b.d BETWEEN 0 AND 63")
+@query("mask_dilation", f"WITH {G}, m AS (SELECT row, col FROM g WHERE value > 32), d AS (SELECT unnest([-1, 0, 1]) AS d), x AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM g) SELECT DISTINCT m.row + a.d AS row, m.col + b.d AS col FROM m, d a, d b, x WHERE m.row + a.d BETWEEN r0 AND r1 AND m.col + b.d BETWEEN c0 AND c1")
 def mask_dilation(spark, sf_dir):
-    m = grid(spark, sf_dir).filter("value > 32").select("row", "col")
-    return N.spread(m, N.offsets(1)).select("row", "col").distinct().filter(F.col("row").between(0, 63) & F.col("col").between(0, 63))
+    """The mask's neighbours, within the grid's own bounds."""
+    g = with_global(grid(spark, sf_dir), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    near = N.spread(g.filter("value > 32"), N.offsets(1), "r0", "r1", "c0", "c1")
+    return near.filter("row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1").select("row", "col").distinct()
 
 
 @query(
@@ -191,25 +193,31 @@ def gap_regions(spark, sf_dir):
     return lab.groupBy("label").agg(F.count("*").alias("pixels"), F.min("row").alias("row_min"), F.max("row").alias("row_max"), F.min("col").alias("col_min"), F.max("col").alias("col_max")).filter("pixels >= 5")
 
 
+_FINE = "e AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM g), t AS (SELECT unnest(range(2 * r0, 2 * r1 + 1)) AS row, c0, c1 FROM e), f AS (SELECT row, unnest(range(2 * c0, 2 * c1 + 1)) AS col FROM t)"
+
+
 @query(
     "upsample_bilinear",
-    f"""WITH {G}, s AS (SELECT * FROM g WHERE row < 16 AND col < 16), t AS (SELECT r.r AS row, c.c AS col, r.r / 2 AS y, c.c / 2 AS x FROM (SELECT unnest(range(0, 30)) AS r) r, (SELECT unnest(range(0, 30)) AS c) c)
-SELECT t.row, t.col, round(sum(s.value * (1 - abs(y - s.row)) * (1 - abs(x - s.col))) + 1e-9, 4) AS value FROM t JOIN s ON abs(y - s.row) < 1 AND abs(x - s.col) < 1 GROUP BY t.row, t.col""",
+    f"""WITH {G}, {_FINE}, s AS (SELECT f.row, f.col, g.value, (1 - abs(f.row / 2 - g.row)) * (1 - abs(f.col / 2 - g.col)) AS w FROM f JOIN (SELECT unnest([-1, 0, 1]) AS a) a ON true JOIN (SELECT unnest([-1, 0, 1]) AS b) b ON true JOIN g ON 2 * g.row = f.row - a.a AND 2 * g.col = f.col - b.b)
+SELECT row, col, CASE WHEN sum(w) > 0.999999 THEN round(sum(value * w) + 1e-9, 4) END AS value FROM s GROUP BY row, col""",
 )
 def upsample_bilinear(spark, sf_dir):
-    """Factor 2: each source cell is sent to the targets that it weighs in, which are then summed."""
-    s = grid(spark, sf_dir).filter("row < 16 AND col < 16")
-    steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    t = s.withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps)).select((2 * F.col("row") + F.col("a")).alias("row"), (2 * F.col("col") + F.col("b")).alias("col"), (F.col("value") * (1 - F.abs("a") / 2) * (1 - F.abs("b") / 2)).alias("part"))
-    return t.filter(F.col("row").between(0, 29) & F.col("col").between(0, 29)).groupBy("row", "col").agg(rnd(F.sum("part") + 1e-9, 4).alias("value"))
+    """The whole grid at twice its resolution, order 1."""
+    return N.upsample(grid(spark, sf_dir), 2).select("row", "col", rnd(F.col("value") + 1e-9, 4).alias("value"))
+
+
+@query("upsample_nearest", f"WITH {G}, {_FINE} SELECT f.row, f.col, g.value FROM f JOIN g ON g.row = (f.row + 1) // 2 AND g.col = (f.col + 1) // 2")
+def upsample_nearest(spark, sf_dir):
+    """The whole grid at twice its resolution, order 0; holes stay holes."""
+    return N.upsample(grid(spark, sf_dir), 2, order=0)
 
 
 @query(
     "block_score",
-    f"""WITH {G}, d AS (SELECT col, abs(value - lag(value) OVER (PARTITION BY row ORDER BY col)) AS gr FROM g) SELECT round(avg(gr) FILTER (WHERE col % 8 = 0) / avg(gr) FILTER (WHERE col % 8 <> 0), 6) AS score FROM d WHERE gr IS NOT NULL""",
+    f"""WITH {G}, d AS (SELECT g.col, abs(g.value - l.value) AS gr FROM g JOIN g l ON l.row = g.row AND l.col = g.col - 1) SELECT round(avg(gr) FILTER (WHERE col % 8 = 0) / avg(gr) FILTER (WHERE col % 8 <> 0), 6) AS score FROM d WHERE gr IS NOT NULL""",
 )
 def block_score(spark, sf_dir):
-    d = grid(spark, sf_dir).select("col", F.abs(F.col("value") - F.lag("value").over(W.partitionBy("row").orderBy("col"))).alias("gr")).filter("gr IS NOT NULL")
+    d = grid(spark, sf_dir).select("col", F.abs(F.col("value") - N.previous("value", "col")).alias("gr")).filter("gr IS NOT NULL")
     edge = F.col("col") % 8 == 0
     return d.agg(rnd(F.avg(F.when(edge, F.col("gr"))) / F.avg(F.when(~edge, F.col("gr")))).alias("score"))
 
@@ -242,12 +250,12 @@ def sanity_suite(spark, sf_dir):
 
 @query(
     "band_stack",
-    """SELECT l_orderkey % 64 AS "row", l_partkey % 64 AS col, round(avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END), 6) AS a, round(avg(CASE WHEN l_returnflag = 'N' THEN l_quantity END), 6) AS n, round(avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 6) AS r FROM lineitem GROUP BY ALL""",
+    """SELECT l_orderkey // 64 AS "row", l_partkey % 64 AS col, round(avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END), 6) AS a, round(avg(CASE WHEN l_returnflag = 'N' THEN l_quantity END), 6) AS n, round(avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 6) AS r FROM lineitem GROUP BY ALL""",
 )
 def band_stack(spark, sf_dir):
     """Bands stacked on their cells by a pivot with named bands."""
     t = table(spark, sf_dir, "lineitem")
-    p = t.groupBy((F.col("l_orderkey") % 64).alias("row"), (F.col("l_partkey") % 64).alias("col")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.round(F.avg("l_quantity"), 6))
+    p = t.groupBy(F.expr("l_orderkey div 64").alias("row"), (F.col("l_partkey") % 64).alias("col")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.round(F.avg("l_quantity"), 6))
     return p.select("row", "col", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
 
 

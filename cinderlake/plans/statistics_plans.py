@@ -40,7 +40,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest((l_extendedpric
 )
 def percentile_stretch(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
-    s = t.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.lit(0.02)).alias("lo"), F.percentile("l_extendedprice", F.lit(0.98)).alias("hi"))
+    s = S.quantiles(t, "l_extendedprice", (0.02, 0.98), "l_returnflag").select("l_returnflag", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     return t.join(s, "l_returnflag").select("l_orderkey", "l_linenumber", "l_partkey", rnd(clip((F.col("l_extendedprice") - F.col("lo")) / (F.col("hi") - F.col("lo")), 0, 1)).alias("stretched"))
 
 
@@ -287,10 +287,14 @@ query("bootstrap_ci")(bootstrap)
 
 @query("monte_carlo")
 def monte_carlo(spark, sf_dir, draws: int = 64, seed: int = 11):
-    """Uncertainty of a ratio by seeded normal draws (Box-Muller from hashes)."""
-    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = lambda s: (F.pmod(F.xxhash64(F.lit(seed + s), "l_orderkey", "l_linenumber", "k"), F.lit(1 << 31)) + 0.5) / float(1 << 31)
-    radius = F.sqrt(-2 * F.log(u(1)))
-    z1, z2 = radius * F.cos(2 * F.pi() * u(2)), radius * F.sin(2 * F.pi() * u(2))
-    ratio = F.col("b") * (1 + 0.05 * z1) / (F.col("a") * (1 + 0.05 * z2))
-    return t.groupBy("l_orderkey", "l_linenumber").agg(F.avg(ratio).alias("mean"), F.stddev_samp(ratio).alias("sd"))
+    """Uncertainty of a ratio by seeded normal draws (Box-Muller from hashes), each row by itself: its draws are an array, so nothing is shuffled."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    t = table(spark, sf_dir, "lineitem").select(*key, F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"))
+    u = lambda s, k: (F.pmod(F.xxhash64(F.lit(seed + s), *key, k), F.lit(1 << 31)) + 0.5) / float(1 << 31)
+    radius = lambda k: F.sqrt(-2 * F.log(u(1, k)))
+    angle = lambda k: 2 * F.pi() * u(2, k)
+    ratio = lambda k: F.col("b") * (1 + 0.05 * radius(k) * F.cos(angle(k))) / (F.col("a") * (1 + 0.05 * radius(k) * F.sin(angle(k))))
+    t = t.select(*key, F.transform(F.sequence(F.lit(1), F.lit(draws)), ratio).alias("draws"))
+    total = lambda f: F.aggregate("draws", F.lit(0.0), lambda acc, x: acc + f(x))
+    t = t.withColumn("mean", total(lambda x: x) / draws)
+    return t.select(*key, "mean", F.sqrt(total(lambda x: (x - F.col("mean")) * (x - F.col("mean"))) / (draws - 1)).alias("sd"))

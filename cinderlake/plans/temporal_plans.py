@@ -245,15 +245,16 @@ def revisit_stats(spark, sf_dir):
 @query(
     "forward_fill",
     """WITH d AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY ALL),
-g AS (SELECT user_id, CAST(CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS VARCHAR) AS day FROM (SELECT DISTINCT user_id FROM events))
+g AS (SELECT user_id, CAST(CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS VARCHAR) AS day FROM (SELECT DISTINCT user_id FROM events), (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM events))
 SELECT g.user_id, g.day, last_value(value IGNORE NULLS) OVER (PARTITION BY g.user_id ORDER BY g.day) AS value FROM g LEFT JOIN d ON g.user_id = d.user_id AND g.day = d.day""",
 )
 def forward_fill(spark, sf_dir):
-    """Step interpolation on a daily grid."""
+    """Step interpolation on a daily grid over the days of the table."""
     e = table(spark, sf_dir, "events")
     d = e.filter("event_type = 'view'").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.max("value").alias("value"))
-    days = F.transform(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date")), lambda x: F.date_format(x, "yyyy-MM-dd"))
-    g = e.select("user_id").distinct().select("user_id", F.explode(days).alias("day"))
+    span = e.agg(F.min("ts").cast("date").alias("lo"), F.max("ts").cast("date").alias("hi"))
+    days = F.transform(F.sequence("lo", "hi"), lambda x: F.date_format(x, "yyyy-MM-dd"))
+    g = e.select("user_id").distinct().crossJoin(F.broadcast(span)).select("user_id", F.explode(days).alias("day"))  # one row
     w = W.partitionBy("user_id").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
     return g.join(d, ["user_id", "day"], "left").select("user_id", "day", F.last("value", True).over(w).alias("value"))
 
