@@ -105,11 +105,11 @@ def compare_sensors(observations: DataFrame, cells: int | Column, least_overlap:
     off = F.col("a.data") - F.col("b.data")
     j = j.select(F.col("a.sensor").alias("sensor_a"), F.col("b.sensor").alias("sensor_b"), F.col("a.data").alias("x"), F.col("b.data").alias("y"), off.alias("off"), rule.alias("rule"), (kinds[0] == kinds[1]).alias("same"))
     g = j.groupBy("sensor_a", "sensor_b", "rule", "same").agg(
-        F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.avg("off").alias("bias"), F.sqrt(F.avg(F.col("off") * F.col("off"))).alias("rmse"),
+        F.count("*").alias("n"), F.covar_pop("x", "y").alias("cov"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.avg("off").alias("bias"), F.sqrt(F.avg(F.col("off") * F.col("off"))).alias("rmse"),
         F.avg((F.abs("off") <= F.coalesce(F.col("rule.tol"), F.lit(default_tolerance))).cast("double")).alias("agreement"), F.max(F.abs("off")).alias("most"),
     )
     flat = (F.col("sx") < 1e-10) | (F.col("sy") < 1e-10)
-    g = g.withColumn("overlap", F.col("n") / cells).withColumn("corr", F.when(flat, F.when(F.col("most") < 1e-8, 1.0)).otherwise(F.col("r")))
+    g = g.withColumn("overlap", F.col("n") / cells).withColumn("corr", F.when(flat, F.when(F.col("most") < 1e-8, 1.0)).otherwise(F.try_divide(F.col("cov"), F.col("sx") * F.col("sy"))))
     share, ruled = F.col("agreement"), F.col("rule").isNotNull()
     corr_ok = F.coalesce(F.col("corr").between(F.col("rule.c0"), F.col("rule.c1")), F.lit(True))
     bias_ok = F.col("bias").between(F.col("rule.b0"), F.col("rule.b1"))

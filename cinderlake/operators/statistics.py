@@ -14,11 +14,11 @@ PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 def band_statistics(df: DataFrame, value: str, *by: str) -> DataFrame:
     """min, max, mean, std and variance (population), sum, count, valid, nodata, percentiles (exact, linear), distinct count."""
     v = F.col(value)
-    pct = F.percentile(v, F.array(*(F.lit(p / 100) for p in PERCENTILES)))
-    return df.groupBy(*by).agg(
+    g = df.groupBy(*by).agg(
         F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.var_pop(v).alias("var"), F.sum(v).alias("sum"),
-        F.count("*").alias("n"), F.count(v).alias("valid"), (F.count("*") - F.count(v)).alias("nodata"), pct.alias("pct"), F.countDistinct(v).alias("n_unique"),
+        F.count("*").alias("n"), F.count(v).alias("valid"), (F.count("*") - F.count(v)).alias("nodata"), F.countDistinct(v).alias("n_unique"),
     )
+    return g.join(quantiles(df, value, [p / 100 for p in PERCENTILES], *by).withColumnRenamed("q", "pct"), list(by))
 
 
 def histogram(df: DataFrame, value: str, bins: int, *by: str) -> DataFrame:
@@ -61,6 +61,16 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], *by: str, bins:
     return out.select(*by, F.array(*(one(p) for p in probs)).alias("q"))
 
 
+def with_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """``df`` with a column for each (name: column, probability): quantiles of the whole table, a one-row table a column of ``df``."""
+    out = df
+    for c in dict.fromkeys(c for c, _ in wanted.values()):
+        mine = {n: p for n, (x, p) in wanted.items() if x == c}
+        q = quantiles(df, c, list(mine.values())).select(*(F.col("q")[k].alias(n) for k, n in enumerate(mine)))
+        out = out.crossJoin(F.broadcast(q))
+    return out
+
+
 def moments(value: str) -> dict[str, Column]:
     """Raw power sums; skewness and kurtosis are built from them by hand, with the sample corrections."""
     v = F.col(value)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import clip, rnd
 from ..operators import kernels as K
+from ..operators import statistics as S
 from .registry import query, table
 
 
@@ -275,7 +276,7 @@ SELECT l_orderkey, l_linenumber, l.l_returnflag, round(greatest(l_extendedprice
 def dos(spark, sf_dir):
     """Dark-object subtraction with the first percentile of each band."""
     t = table(spark, sf_dir, "lineitem")
-    dark = t.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.lit(0.01)).alias("dark"))
+    dark = S.quantiles(t, "l_extendedprice", [0.01], "l_returnflag").select("l_returnflag", F.col("q")[0].alias("dark"))
     return t.join(dark, "l_returnflag").select("l_orderkey", "l_linenumber", "l_returnflag", rnd(F.greatest(F.col("l_extendedprice") - F.col("dark"), F.lit(0.0)), 4).alias("corrected"))
 
 
@@ -349,7 +350,7 @@ def cloud_spectral(spark, sf_dir):
     """Brightness and blue-NIR tests after a stretch between the 2nd and 98th percentiles."""
     bands = ("blue", "red", "nir")
     p = pixels(spark, sf_dir, *bands)
-    p = K.with_global(p, *(F.percentile(b, F.lit(q)).alias(f"{n}_{b}") for b in bands for n, q in (("l", 0.02), ("h", 0.98))))
+    p = S.with_quantiles(p, {f"{n}_{b}": (b, q) for b in bands for n, q in (("l", 0.02), ("h", 0.98))})
     n = p.select("vec_id", *(clip((F.col(b) - F.col(f"l_{b}")) / (F.col(f"h_{b}") - F.col(f"l_{b}")), 0, 1).alias(b) for b in bands))
     bright, pair = (F.col("blue") + F.col("red") + F.col("nir")) / 3 > 0.6, (F.col("blue") > 0.5) & (F.col("nir") > 0.5)
     return n.select("vec_id", bright.alias("bright"), pair.alias("blue_nir"), (bright & pair).alias("cloud"))

@@ -9,6 +9,7 @@ from ..functions.expr import classes, rnd
 from ..functions.normal import hmac_sha256, normal_cdf
 from ..functions.storage import Rounds
 from ..operators import focal as N
+from ..operators import statistics as S
 from ..operators.kernels import with_global
 from .focal_plans import _NEAR, G, grid
 from .fusion_plans import CELL, L, layers
@@ -72,7 +73,7 @@ SELECT vec_id, round(greatest(blue - db, 0.0) / cos(radians(30.0)), 6) AS blue,
 )
 def cost_transmittance(spark, sf_dir):
     """Dark-object subtraction with Rayleigh scattering from the blue band, and the cosine transmittance."""
-    p = with_global(pixels(spark, sf_dir, "blue", "nir"), F.percentile("blue", F.lit(0.01)).alias("db"))
+    p = S.with_quantiles(pixels(spark, sf_dir, "blue", "nir"), {"db": ("blue", 0.01)})
     cz = F.cos(F.radians(F.lit(30.0)))
     return p.select("vec_id", rnd(F.greatest(F.col("blue") - F.col("db"), F.lit(0.0)) / cz).alias("blue"), rnd(F.greatest(F.col("nir") - F.col("db") * (0.48 / 0.86) ** 4, F.lit(0.0)) / cz).alias("nir"))
 
@@ -83,8 +84,7 @@ def cost_transmittance(spark, sf_dir):
 SELECT vec_id, round((target - tl) / (th - tl) * (rh - rl) + rl, 6) AS matched FROM p, q""",
 )
 def stretch_match(spark, sf_dir):
-    qs = [F.percentile(b, F.lit(x)).alias(n) for b, x, n in (("target", 0.02, "tl"), ("target", 0.98, "th"), ("reference", 0.02, "rl"), ("reference", 0.98, "rh"))]
-    p = with_global(pixels(spark, sf_dir, "target", "reference"), *qs)
+    p = S.with_quantiles(pixels(spark, sf_dir, "target", "reference"), {"tl": ("target", 0.02), "th": ("target", 0.98), "rl": ("reference", 0.02), "rh": ("reference", 0.98)})
     return p.select("vec_id", rnd((F.col("target") - F.col("tl")) / (F.col("th") - F.col("tl")) * (F.col("rh") - F.col("rl")) + F.col("rl")).alias("matched"))
 
 

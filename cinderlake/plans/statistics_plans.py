@@ -156,7 +156,7 @@ SELECT zone, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(
 )
 def zonal_quantile(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
-    z = with_global(t, F.percentile("l_extendedprice", F.array(*(F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)))).alias("b"))
+    z = t.crossJoin(F.broadcast(S.quantiles(t, "l_extendedprice", (0.2, 0.4, 0.6, 0.8)).select(F.col("q").alias("b"))))  # one row
     zone = F.size(F.filter("b", lambda x: x <= F.col("l_extendedprice")))
     return z.groupBy(zone.alias("zone")).agg(F.count("*").alias("n"), rnd(F.avg("l_quantity")).alias("mean"), rnd(F.stddev_pop("l_quantity")).alias("std"), F.max("l_quantity").alias("max"))
 
@@ -169,7 +169,8 @@ SELECT o_orderkey, round(CASE WHEN k = 0 THEN 1.0 WHEN k = 9 THEN 99.0 ELSE p[k]
 )
 def percentile_of_value(spark, sf_dir):
     """Piecewise-linear position between stored percentiles."""
-    o = with_global(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("x")), F.percentile("x", F.array(*(F.lit(p / 100) for p in S.PERCENTILES))).alias("v"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("x"))
+    o = o.crossJoin(F.broadcast(S.quantiles(o, "x", [p / 100 for p in S.PERCENTILES]).select(F.col("q").alias("v"))))  # one row
     o = o.withColumn("k", F.size(F.filter("v", lambda y: y <= F.col("x"))))
     p = F.array(*(F.lit(float(x)) for x in S.PERCENTILES))
     at = lambda a, i: F.get(a, i)
@@ -205,7 +206,8 @@ SELECT l.l_returnflag, round(100 * avg(CASE WHEN abs(l_extendedprice - mu) > 2 *
 )
 def anomaly_shares(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("v"))
-    g = t.groupBy("l_returnflag").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"), F.percentile("v", F.lit(0.25)).alias("q1"), F.percentile("v", F.lit(0.75)).alias("q3"), F.max("v").alias("top"))
+    g = t.groupBy("l_returnflag").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"), F.max("v").alias("top"))
+    g = g.join(S.quantiles(t, "v", (0.25, 0.75), "l_returnflag").select("l_returnflag", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")), "l_returnflag")
     v, iqr = F.col("v"), F.col("q3") - F.col("q1")
     share = lambda c: rnd(100 * F.avg(c.cast("double")))
     return t.join(g, "l_returnflag").groupBy("l_returnflag").agg(share(F.abs(v - F.col("mu")) > 2 * F.col("sd")).alias("z_percent"), share((v < F.col("q1") - 0.5 * iqr) | (v > F.col("q3") + 0.5 * iqr)).alias("iqr_percent"), share(v >= 0.99 * F.col("top")).alias("saturated_percent"))

@@ -1,5 +1,6 @@
 """Edge cases of operators that the oracle queries do not reach."""
 
+import math
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from cinderlake.functions import expr as E
 from cinderlake.functions.normal import normal_cdf
 from cinderlake.functions.storage import Rounds
+from cinderlake.operators import assessment, catalog, statistics
 from cinderlake.operators import focal as N
 from cinderlake.operators import fusion as M
 from cinderlake.operators import temporal as T
@@ -129,3 +131,144 @@ def test_contextual_fire_keeps_inner_cells_and_cells_without_background(spark):
         assert g["fire"] == fire and abs(g["mu"] - mu) < 1e-9 and abs(g["sd"] - sd) < 1e-9
         assert abs(g["confidence"] - ((np.clip((v - 330) / 30, 0, 1) + np.clip((v - mu) / 50, 0, 1)) / 2 if fire else 0)) < 1e-9
     assert sum(g["fire"] for g in got) == 50
+
+
+def _grid(spark, cells):
+    return spark.createDataFrame([(r, c, float(v)) for (r, c), v in cells.items()], "row long, col long, value double")
+
+
+def test_gradient_needs_adjacent_cells(spark):
+    cells = {(0, 0): 1, (0, 1): 4, (0, 3): 9, (0, 4): 11, (2, 0): 5, (7, 7): 3}
+    g = _grid(spark, cells)
+    got = {(r.row, r.col): r.d for r in g.select("row", "col", N.gradient(g, "col").alias("d")).collect()}
+    assert got == {(0, 0): 3, (0, 1): 3, (0, 3): 2, (0, 4): 2, (2, 0): None, (7, 7): None}
+
+
+def test_upsample_keeps_holes(spark):
+    cells = {(r, c): r * 10 + c for r in range(4) for c in range(4) if (r, c) != (2, 1)}
+    fine = {(r.row, r.col): r.value for r in N.upsample(_grid(spark, cells), 2).collect()}
+    assert fine[3, 5] == 17.5 and fine[2, 2] == 11 and fine[4, 3] is None and max(fine) == (6, 6) and (4, 2) not in {k for k, v in fine.items() if v is not None}
+    near = {(r.row, r.col): r.value for r in N.upsample(_grid(spark, cells), 2, order=0).collect()}
+    assert near[3, 5] == cells[2, 3] and (4, 2) not in near and near[0, 0] == 0 and near[6, 6] == 33
+
+
+def test_nearest_over_any_distance(spark):
+    rng = random.Random(4)
+    cells = {(rng.randrange(300), rng.randrange(40)): rng.random() for _ in range(400)}
+    points = dict(list(cells.items())[:3])
+    got = N.nearest(_grid(spark, cells), _grid(spark, points), Rounds(spark, "test-nearest"), first=4).collect()
+    assert len(got) == len(cells)
+    for r in got:
+        assert (r["at"].d2, r["at"].cr, r["at"].cc) == min(((r.row - a) ** 2 + (r.col - b) ** 2, a, b) for a, b in points)
+    none = N.nearest(_grid(spark, points), _grid(spark, points).limit(0), Rounds(spark, "test-nearest")).collect()
+    assert len(none) == 3 and all(r["at"] is None for r in none)
+
+
+def test_boxes_within_boxes_over_the_antimeridian(spark):
+    boxes = [(-180.0, 180.0), (170.0, -170.0), (175.0, -175.0), (-179.0, -171.0), (171.0, 179.0), (0.0, 10.0), (160.0, 175.0)]
+    rows = [(i, j, *a, *b) for i, a in enumerate(boxes) for j, b in enumerate(boxes)]
+    df = spark.createDataFrame(rows, "i int, j int, aw double, ae double, bw double, be double")
+    a, b = ([F.col(f"{x}w"), F.lit(0.0), F.col(f"{x}e"), F.lit(1.0)] for x in "ab")
+    got = {(r.i, r.j): r.inside for r in df.select("i", "j", E.box_contains(a, b).alias("inside")).collect()}
+
+    def plain(x, y):
+        if y[0] > y[1]:
+            return False
+        return x[0] <= y[0] and y[1] <= x[1] if x[0] <= x[1] else y[0] >= x[0] or y[1] <= x[1]
+
+    assert got == {(i, j): plain(x, y) for i, x in enumerate(boxes) for j, y in enumerate(boxes)}
+
+
+def test_overlap_join_over_the_antimeridian(spark):
+    rng = random.Random(2)
+
+    def box():
+        w, s = rng.uniform(-180, 180), rng.uniform(-80, 70)
+        e = w + rng.uniform(0, 40)
+        return w, s, e - 360 if e > 180 else e, s + rng.uniform(0, 10)
+
+    left, right = [(i, *box()) for i in range(60)], [(i, *box()) for i in range(60)]
+    spans = lambda b: [(b[0], b[2])] if b[0] <= b[2] else [(b[0], 180.0), (-180.0, b[2])]
+    want = {(i, j) for i, *a in left for j, *b in right if a[1] <= b[3] and a[3] >= b[1] and any(x[0] <= y[1] and x[1] >= y[0] for x in spans(a) for y in spans(b))}
+    size, names = 8.0, ("w", "s", "e", "n")
+    frame = lambda rows, p: spark.createDataFrame(rows, f"{p}id int, " + ", ".join(f"{p}{n} double" for n in names)).withColumn("c", F.explode(catalog.box_cells(*(F.col(f"{p}{n}") for n in names), size)))
+    a, b = ([F.col(f"{p}{n}") for n in names] for p in "ab")
+    got = frame(left, "a").join(frame(right, "b"), "c").filter(E.boxes_intersect(a, b)).filter(catalog.first_shared_cell(a, b, size, F.col("c"))).select("aid", "bid").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_quantiles_against_sorting(spark):
+    rng = random.Random(6)
+    rows = [("a", rng.choice([rng.gauss(0, 1), 3.0])) for _ in range(501)] + [("b", 7.0)] * 9 + [("c", None)] + [("d", x) for x in (1.0, 1e9, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = (0.0, 0.02, 0.25, 0.5, 0.9, 1.0)
+    got = {r.g: r.q for r in statistics.quantiles(df, "v", probs, "g", bins=16).collect()}
+    for g in "abd":
+        assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g], probs), rtol=0, atol=1e-12 if g != "d" else 1e-3)
+    assert got["c"] == [None] * 6
+    whole = statistics.quantiles(df, "v", (0.5,)).first().q
+    assert np.allclose(whole, [np.quantile([v for _, v in rows if v is not None], 0.5)])
+
+
+def test_levels_of_tasks(spark):
+    tasks = spark.createDataFrame([(i,) for i in range(7)], "task long")
+    needs = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, 99), (5, 6), (6, 5), (4, 2), (4, 5)], "task long, needs long")
+    got = {r.task: r.level for r in assessment.levels(tasks, needs, Rounds(spark, "test-levels")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 0}  # 5 and 6 need each other, 4 needs 5
+
+
+def test_optical_fallback_by_cases(spark):
+    rows = [
+        (1, "sentinel2", True, 10.0, 0.9, 5.0), (1, "landsat8", True, 0.0, 1.0, 1.0), (2, "sentinel2", True, 55.0, None, None), (3, "sentinel2", True, 90.0, 0.9, 5.0), (3, "landsat8", True, 0.0, 0.9, 5.0),
+        (4, "sentinel2", False, 0.0, 0.9, 5.0), (4, "landsat9", True, 20.0, 0.31, 168.0), (5, "sentinel2", True, 0.0, 0.2, 5.0), (5, "modis_aqua", True, 0.0, 0.9, 5.0), (6, "sentinel2", True, 0.0, 0.9, 169.0), (7, "unknown", True, 0.0, 1.0, 1.0),
+    ]
+    df = spark.createDataFrame(rows, "event int, source string, available boolean, cloud double, quality double, age_hours double")
+    got = {r.event: (r.source, r.handling) for r in assessment.optical_fallback(df, "event").collect()}
+    sar = (None, "switch_to_sar")
+    assert got == {1: ("sentinel2", "proceed"), 2: ("sentinel2", "temporal_composite"), 3: sar, 4: ("landsat9", "proceed"), 5: sar, 6: sar, 7: sar}
+
+
+def test_sensor_pairs_by_cases(spark):
+    cells = range(100)
+    data = {"a": ("optical", lambda c: c / 100), "b": ("optical", lambda c: c / 100 + 0.01), "c": ("sar", lambda c: 1 - c / 100), "d": ("lidar", lambda c: 0.5), "e": ("sar", lambda c: c / 100 if c < 20 else None)}
+    rows = [(s, k, c, f(c), 1.0) for s, (k, f) in data.items() for c in cells]
+    pairs = {(r.sensor_a, r.sensor_b): r for r in assessment.compare_sensors(spark.createDataFrame(rows, "sensor string, kind string, cell int, data double, confidence double"), 100).collect()}
+    assert pairs["a", "b"].outcome == "consistent" and pairs["a", "b"].pair_type == "redundant"
+    assert pairs["a", "c"].outcome == "conflict" and abs(pairs["a", "c"]["corr"] + 1) < 1e-9
+    assert pairs["a", "d"].pair_type == "independent" and pairs["a", "d"]["corr"] is None
+    assert pairs["a", "e"].outcome == "insufficient_data" and pairs["a", "e"].agreement == 0
+
+
+def test_optical_quality_without_valid_pixels(spark):
+    rows = [(1, 0.1, 0.2, 0.3, 0.4, False), (2, 0.1, 0.2, 0.3, 0.4, True)]
+    df = spark.createDataFrame(rows, "scene int, b0 double, b1 double, b2 double, b3 double, ok boolean")
+    got = {r.scene: r for r in assessment.optical_quality(df, "scene", ["b0", "b1", "b2", "b3"], "b1", "b3", "b3", F.col("ok")).collect()}
+    assert got[1].score == 0 and not got[1].usable and got[2].clear <= 100
+
+
+def krueger(lon, lat, zone):
+    """Transverse Mercator by Krueger's series in the third flattening, to its third order."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    big = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    phi, lam = math.radians(lat), math.radians(lon - (zone * 6 - 183))
+    c = 2 * math.sqrt(n) / (1 + n)
+    t = math.sinh(math.atanh(math.sin(phi)) - c * math.atanh(c * math.sin(phi)))
+    xi, eta = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.hypot(1, t))
+    x = eta + sum(a * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, a in enumerate(alpha, 1))
+    y = xi + sum(a * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, a in enumerate(alpha, 1))
+    return 500000 + 0.9996 * big * x, 0.9996 * big * y + (10000000 if lat < 0 else 0)
+
+
+def test_utm_against_another_series(spark):
+    rng = random.Random(3)
+    rows = [(9.0, 45.0, 32), (3.0, 0.0, 31), (2.2945, 48.8582, 31)]
+    for _ in range(60):
+        zone = rng.randrange(1, 61)
+        rows.append((zone * 6 - 183 + rng.uniform(-3, 3), rng.uniform(-80, 83), zone))
+    x, y = assessment.utm(F.col("lon"), F.col("lat"), F.col("zone"))
+    got = spark.createDataFrame(rows, "lon double, lat double, zone int").select("lon", "lat", "zone", x.alias("x"), y.alias("y")).collect()
+    for r in got:
+        want = krueger(r.lon, r.lat, r.zone)
+        assert abs(r.x - want[0]) < 0.01 and abs(r.y - want[1]) < 0.01, r
