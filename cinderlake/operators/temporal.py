@@ -68,13 +68,22 @@ def nearest_within(targets: DataFrame, samples: DataFrame, by: str, tolerance: i
     return met.groupBy(by, "target").agg(F.min_by(F.struct("sample", "value", "gap"), F.struct("gap", "sample", "value")).alias("m")).select(by, "target", "m.*")
 
 
-def gaps(df: DataFrame, by: str, limit: int, begin: int, end: int) -> DataFrame:
+def with_prior(df: DataFrame, by: str, bucket: int) -> DataFrame:
+    """Adds ``prior``: t of the series' row before, null for its first.  A window sees one time bucket of a series; the last t of the bucket
+    before comes from one row a bucket, so a hot series is no task of its own."""
+    b = df.withColumn("bucket", F.floor(F.col("t") / bucket))
+    ends = b.groupBy(by, "bucket").agg(F.max("t").alias("final"))
+    ends = ends.select(by, "bucket", F.lag("final").over(W.partitionBy(by).orderBy("bucket")).alias("carried"))
+    b = b.withColumn("near", F.lag("t").over(W.partitionBy(by, "bucket").orderBy("t"))).join(ends, [by, "bucket"])
+    return b.withColumn("prior", F.coalesce("near", "carried")).drop("bucket", "near", "carried")
+
+
+def gaps(df: DataFrame, by: str, limit: int, begin: int, end: int, bucket: int = 86400) -> DataFrame:
     """Gaps of over ``limit`` seconds between neighbours, and before the first and after the last sample of [begin, end]."""
-    w = W.partitionBy(by).orderBy("t")
-    steps = df.select(by, "t", F.lead("t").over(w).alias("to"), F.row_number().over(w).alias("n"))
-    inner = steps.select(by, F.col("t").alias("start"), F.coalesce("to", F.lit(end)).alias("stop"))
-    lead = steps.filter("n = 1").select(by, F.lit(begin).cast("long").alias("start"), F.col("t").alias("stop"))
-    return inner.union(lead).filter(F.col("stop") - F.col("start") > limit)
+    t = df.select(by, "t")
+    inner = with_prior(t, by, bucket).select(by, F.coalesce("prior", F.lit(begin)).cast("long").alias("start"), F.col("t").alias("stop"))
+    tail = t.groupBy(by).agg(F.max("t").alias("start")).select(by, "start", F.lit(end).cast("long").alias("stop"))
+    return inner.union(tail).filter(F.col("stop") - F.col("start") > limit)
 
 
 def runs(df: DataFrame, by: str, flag: str) -> DataFrame:

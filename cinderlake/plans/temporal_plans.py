@@ -238,7 +238,8 @@ def exceedance_runs(spark, sf_dir):
 SELECT event_type, count(*) AS acquisitions, round(avg(gap) / 3600, 6) AS mean_revisit_h, max(gap) AS max_gap_s FROM s GROUP BY event_type""",
 )
 def revisit_stats(spark, sf_dir):
-    s = table(spark, sf_dir, "events").select("event_type", (T.epoch("ts") - F.lag(T.epoch("ts")).over(W.partitionBy("event_type").orderBy("ts", "event_id"))).alias("gap"))
+    """Times between acquisitions of each kind; a kind's rows are ordered by the day, not all in one task."""
+    s = T.with_prior(table(spark, sf_dir, "events").select("event_type", T.epoch("ts").alias("t")), "event_type", 86400).withColumn("gap", F.col("t") - F.col("prior"))
     return s.groupBy("event_type").agg(F.count("*").alias("acquisitions"), rnd(F.avg("gap") / 3600).alias("mean_revisit_h"), F.max("gap").alias("max_gap_s"))
 
 

@@ -272,3 +272,18 @@ def test_utm_against_another_series(spark):
     for r in got:
         want = krueger(r.lon, r.lat, r.zone)
         assert abs(r.x - want[0]) < 0.01 and abs(r.y - want[1]) < 0.01, r
+
+
+def test_gaps_across_buckets(spark):
+    rng = random.Random(12)
+    rows = sorted({(k, rng.randrange(1000, 60_000)) for k in ("a", "b") for _ in range(40)}) + [("c", 5000)]
+    df = spark.createDataFrame(rows, "k string, t long")
+    want = set()
+    for k in "abc":
+        times = [0, *sorted(t for x, t in rows if x == k), 70_000]
+        want |= {(k, x, y) for x, y in zip(times, times[1:], strict=False) if y - x > 900}
+    for bucket in (100, 7000, 10**9):
+        got = T.gaps(df, "k", 900, 0, 70_000, bucket).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    twice = spark.createDataFrame([("a", 5), ("a", 5), ("a", 9)], "k string, t long")
+    assert sorted((r.t, r.prior) for r in T.with_prior(twice, "k", 4).collect() if r.prior is not None) == [(5, 5), (9, 5)]
