@@ -17,6 +17,12 @@ LOOKS_GAIN = {"none": 1.0, "lee": 2.5, "refined_lee": 3.0, "temporal_average": 4
 LOOKS_FILTER, LOOKS_ENHANCED, LOOKS_EXTREME = 5.0, 3.0, 1.5
 #: Optical sources in order of preference with their resolution in metres.
 OPTICAL_SOURCES = {"sentinel2": 10.0, "landsat8": 30.0, "landsat9": 30.0, "modis_terra": 250.0, "modis_aqua": 250.0, "viirs": 375.0}
+#: Elevation sources in order of preference: name, resolution and vertical accuracy in metres.
+DEM_SOURCES = (
+    ("copernicus_30", 30.0, 4.0), ("nasadem", 30.0, 12.0), ("srtm_30", 30.0, 16.0), ("aster_30", 30.0, 17.0), ("alos_30", 30.0, 5.0), ("copernicus_90", 90.0, 4.0), ("srtm_90", 90.0, 16.0),
+)
+#: Weights of a scene's quality dimensions.
+QUALITY_WEIGHTS = {"completeness": 0.25, "spatial": 0.20, "temporal": 0.15, "radiometric": 0.20, "geometric": 0.10, "atmospheric": 0.10}
 #: Rules of sensor pairs for water extent: pair, type, least and most correlation and bias, tolerance.
 PAIR_RULES = (
     ("optical", "sar", "complementary", 0.5, 0.95, -0.15, 0.15, 0.25),
@@ -88,6 +94,64 @@ def optical_fallback(status: DataFrame, event: str, least_resolution: float = 10
     return best.select(event, F.when(~heavy, F.col("b.source")).alias("source"), handling.alias("handling"))
 
 
+def dem_fallback(status: DataFrame, area: str, resolution: float = 30.0, accuracy: float = 10.0, most_voids: float = 5.0, blend: bool = True) -> DataFrame:
+    """area, source, second, filling, resolution, accuracy, voids: of each area's elevation sources (source, available, voids in percent, coverage or null; one row
+    each) the first that is fine, accurate and covers half.  Voids of up to a tenth are interpolated; larger ones come from the next usable
+    source with fewer voids, else are filled from their edges.  Without a source: none, with all voids."""
+    order = F.array_position(F.array(*(F.lit(n) for n, _, _ in DEM_SOURCES)), F.col("source"))
+    of = lambda k: F.element_at(F.create_map(*[F.lit(x) for d in DEM_SOURCES for x in (d[0], d[k])]), F.col("source"))
+    voids = F.coalesce("voids", F.lit(0.0))
+    good = F.col("available") & (order > 0) & (of(1) <= resolution) & (of(2) <= accuracy) & (F.coalesce(F.col("coverage"), 100 - voids) >= 50)
+    one = F.struct(order.alias("order"), F.col("source").alias("source"), of(1).alias("metres"), of(2).alias("error"), voids.alias("voids"))
+    g = status.groupBy(area).agg(F.array_sort(F.collect_list(F.when(good, one))).alias("all"))
+    g = g.withColumn("a", F.get("all", F.lit(0))).withColumn("b", F.get(F.filter("all", lambda x: x["voids"] < F.col("a.voids")), F.lit(0)))
+    v, many = F.col("a.voids"), F.col("a.voids") > most_voids
+    filling = F.when(F.col("a").isNull() | ~many, "none").when(v <= 10, "interpolation").when(F.col("b").isNotNull(), "blend" if blend else "alternative_dem").otherwise("morphological")
+    g = g.withColumn("filling", filling).withColumn("two", F.col("filling").isin("blend", "alternative_dem"))
+    left = F.when(F.col("a").isNull(), 100.0).when(F.col("filling") == "interpolation", F.greatest(v - 8, F.lit(0.0))).when(F.col("two"), v * (0.1 if blend else 0.2)).when(F.col("filling") == "morphological", v * 0.5).otherwise(v)
+    worst = lambda c, none: F.when(F.col("a").isNull(), none).when(F.col("two"), F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}"))).otherwise(F.col(f"a.{c}"))
+    return g.select(area, F.col("a.source").alias("source"), F.when(F.col("two"), F.col("b.source")).alias("second"), "filling", worst("metres", 0.0).alias("resolution"), worst("error", 999.0).alias("accuracy"), left.alias("voids"))
+
+
+def scene_quality(cells: DataFrame, scene: str, facts: DataFrame, size: int, cloud: Column, edge: int = 10) -> DataFrame:
+    """scene, the six dimensions, score, usable: of scenes of ``size`` x ``size`` cells (r, c, value; missing cells have no row).
+
+    ``facts``: scene, age_days, crs, at_origin.  Edge strips are compared with the inside, row and column means with the whole spread; a scene's cells
+    are aggregated once by cell and once by its rows and columns.
+    """
+    v, r, c = F.col("value"), F.col("r"), F.col("c")
+    inside = r.between(edge, size - edge - 1) & c.between(edge, size - edge - 1)
+    sides = {"top": r < edge, "bottom": r >= size - edge, "left": c < edge, "right": c >= size - edge}
+    g = cells.groupBy(scene).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mu"), F.stddev_pop(v).alias("sd"), F.avg(F.when(inside, v)).alias("mu_in"), F.stddev_pop(F.when(inside, v)).alias("sd_in"),
+        *(F.avg(F.when(side, v)).alias(name) for name, side in sides.items()), F.count_if(cloud).alias("clouds"),
+    )
+    lines = cells.select(scene, "value", F.explode(F.array(F.struct(F.lit("r").alias("axis"), r.alias("at")), F.struct(F.lit("c").alias("axis"), c.alias("at")))).alias("l"))
+    lines = lines.groupBy(scene, "l").agg(F.avg("value").alias("m")).groupBy(scene, F.col("l.axis").alias("axis")).agg(F.stddev_pop("m").alias("s")).groupBy(scene).agg(F.max("s").alias("stripes"))
+    g = g.join(lines, scene).join(facts, scene, "left")
+    unit = lambda x: F.least(x, F.lit(1.0))
+    off = F.coalesce(F.try_divide(F.greatest(*(F.abs(F.col(k) - F.col("mu_in")) for k in sides)), F.col("sd_in")), F.lit(0.0))
+    snr, stripes = F.try_divide(F.abs("mu"), F.col("sd")), F.coalesce(F.try_divide(F.col("stripes"), F.col("sd")), F.lit(0.0))
+    bad = {
+        "edges": F.when(off > 3, unit((off - 3) / 5)).otherwise(0.0),
+        "noise": F.when((snr < 10) & (F.col("mu") != 0) & (F.col("n") > 10), unit((10 - snr) / 10)).otherwise(0.0),
+        "stripes": F.when(stripes > 0.1, unit((stripes - 0.1) / 0.5)).otherwise(0.0),
+    }
+    g = g.select("*", *(x.alias(f"bad_{k}") for k, x in bad.items()))
+    age = F.col("age_days")
+    part = {
+        "completeness": F.col("n") / (size * size),
+        "spatial": 1 - F.col("bad_edges") * 0.2,
+        "temporal": F.when(age.isNull(), 0.7).when(age > 30, 1 - 0.5 * unit((age - 30) / 60)).otherwise(1.0),
+        "radiometric": (1 - F.col("bad_noise") * 0.2) * (1 - F.col("bad_stripes") * 0.15),
+        "geometric": F.when(F.col("crs").isNull(), 0.5).otherwise(1.0) * F.when(F.col("at_origin"), 0.7).otherwise(1.0),
+        "atmospheric": 1 - F.col("clouds") / (size * size),
+    }
+    g = g.select(scene, *(x.cast("double").alias(k) for k, x in part.items()), F.greatest("bad_edges", "bad_noise", "bad_stripes").alias("worst"))
+    g = g.withColumn("score", sum(w * F.col(k) for k, w in QUALITY_WEIGHTS.items()))
+    return g.select(scene, *part, "score", ((F.col("score") >= 0.3) & (F.col("completeness") >= 0.3) & (F.col("worst") <= 0.9)).alias("usable"))
+
+
 def compare_sensors(observations: DataFrame, cells: int | Column, least_overlap: float = 0.3, default_tolerance: float = 0.1) -> DataFrame:
     """sensor_a, sensor_b, pair_type, overlap, corr, bias, rmse, agreement, outcome for all pairs of sensors over their common cells.
 

@@ -88,6 +88,48 @@ def optical_fallback(spark, sf_dir):
     return A.optical_fallback(s, "event")
 
 
+@query(
+    "dem_fallback",
+    """WITH s AS (SELECT o_custkey AS area, o_orderkey % 7 AS k, arg_max(o_orderstatus <> 'F', o_orderkey) AS available, CAST(max(o_orderkey) % 40 AS DOUBLE) AS voids FROM orders GROUP BY o_custkey, o_orderkey % 7),
+f AS (SELECT area, k, voids, CASE k WHEN 0 THEN 4.0 WHEN 1 THEN 12.0 WHEN 2 THEN 16.0 ELSE 5.0 END AS error FROM s WHERE available AND k IN (0, 1, 2, 4)),
+a AS (SELECT area, arg_min(k, k) AS k, arg_min(voids, k) AS voids, arg_min(error, k) AS error FROM f GROUP BY area),
+b AS (SELECT f.area, min(f.k) AS k, arg_min(f.error, f.k) AS error FROM f JOIN a ON f.area = a.area AND f.voids < a.voids GROUP BY f.area),
+x AS (SELECT s.area, a.k, a.voids, a.error, b.k AS k2, b.error AS error2 FROM (SELECT DISTINCT area FROM s) s LEFT JOIN a USING (area) LEFT JOIN b USING (area)),
+y AS (SELECT *, CASE WHEN k IS NULL OR voids <= 5 THEN 'none' WHEN voids <= 10 THEN 'interpolation' WHEN k2 IS NOT NULL THEN 'blend' ELSE 'morphological' END AS filling FROM x)
+SELECT area, CASE k WHEN 0 THEN 'copernicus_30' WHEN 1 THEN 'nasadem' WHEN 2 THEN 'srtm_30' WHEN 4 THEN 'alos_30' END AS source, CASE WHEN filling = 'blend' THEN CASE k2 WHEN 1 THEN 'nasadem' WHEN 2 THEN 'srtm_30' WHEN 4 THEN 'alos_30' END END AS second, filling,
+ CASE WHEN k IS NULL THEN 0.0 ELSE 30.0 END AS resolution, CASE WHEN k IS NULL THEN 999.0 WHEN filling = 'blend' THEN greatest(error, error2) ELSE error END AS accuracy,
+ round(CASE WHEN k IS NULL THEN 100.0 WHEN filling = 'interpolation' THEN greatest(voids - 8, 0) WHEN filling = 'blend' THEN voids * 0.1 WHEN filling = 'morphological' THEN voids * 0.5 ELSE voids END, 6) AS voids FROM y""",
+)
+def dem_fallback(spark, sf_dir):
+    """Elevation source and void filling of each customer's area, at 16 m of accuracy."""
+    names, last = F.array(*(F.lit(d[0]) for d in A.DEM_SOURCES)), F.max("o_orderkey")
+    s = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("area"), F.get(names, (F.col("o_orderkey") % 7).cast("int")).alias("source"))
+    s = s.agg(F.max_by(F.col("o_orderstatus") != "F", "o_orderkey").alias("available"), (last % 40).cast("double").alias("voids"), F.lit(None).cast("double").alias("coverage"))
+    return A.dem_fallback(s, "area", accuracy=16.0).withColumn("voids", rnd("voids"))
+
+
+@query(
+    "scene_quality",
+    f"""WITH {G}, x AS (SELECT row // 64 AS scene, row % 64 AS r, col AS c, value FROM g),
+a AS (SELECT scene, count(*) AS n, avg(value) AS mu, stddev_pop(value) AS sd, avg(value) FILTER (WHERE r BETWEEN 10 AND 53 AND c BETWEEN 10 AND 53) AS mi, stddev_pop(value) FILTER (WHERE r BETWEEN 10 AND 53 AND c BETWEEN 10 AND 53) AS si,
+ avg(value) FILTER (WHERE r < 10) AS t, avg(value) FILTER (WHERE r >= 54) AS b, avg(value) FILTER (WHERE c < 10) AS l, avg(value) FILTER (WHERE c >= 54) AS rt, count(*) FILTER (WHERE value > 32) AS clouds FROM x GROUP BY scene),
+lr AS (SELECT scene, stddev_pop(m) AS s FROM (SELECT scene, r, avg(value) AS m FROM x GROUP BY scene, r) GROUP BY scene), lc AS (SELECT scene, stddev_pop(m) AS s FROM (SELECT scene, c, avg(value) AS m FROM x GROUP BY scene, c) GROUP BY scene),
+d AS (SELECT a.*, coalesce(greatest(abs(t - mi), abs(b - mi), abs(l - mi), abs(rt - mi)) / si, 0) AS off, abs(mu) / sd AS snr, greatest(lr.s, lc.s) / sd AS st, CASE WHEN scene % 7 <> 0 THEN scene % 5 * 20 END AS age FROM a JOIN lr USING (scene) JOIN lc USING (scene)),
+e AS (SELECT *, CASE WHEN off > 3 THEN least((off - 3) / 5, 1) ELSE 0 END AS be, CASE WHEN snr < 10 THEN least((10 - snr) / 10, 1) ELSE 0 END AS bn, CASE WHEN st > 0.1 THEN least((st - 0.1) / 0.5, 1) ELSE 0 END AS bs FROM d),
+f AS (SELECT scene, n / 4096 AS completeness, 1 - be * 0.2 AS spatial, CASE WHEN age IS NULL THEN 0.7::DOUBLE WHEN age > 30 THEN 1 - 0.5::DOUBLE * least((age - 30) / 60, 1) ELSE 1.0 END AS temporal, (1 - bn * 0.2) * (1 - bs * 0.15) AS radiometric,
+ CASE WHEN scene % 3 = 0 THEN 0.5::DOUBLE ELSE 1.0 END * CASE WHEN scene = 0 THEN 0.7::DOUBLE ELSE 1.0 END AS geometric, 1 - clouds / 4096 AS atmospheric, greatest(be, bn, bs) AS worst FROM e),
+h AS (SELECT *, 0.25 * completeness + 0.20 * spatial + 0.15 * temporal + 0.20 * radiometric + 0.10 * geometric + 0.10 * atmospheric AS score FROM f)
+SELECT scene, round(completeness, 6) AS completeness, round(spatial, 6) AS spatial, round(temporal, 6) AS temporal, round(radiometric, 5) AS radiometric, round(geometric, 6) AS geometric, round(atmospheric, 6) AS atmospheric, round(score, 5) AS score, score >= 0.3 AND completeness >= 0.3 AND worst <= 0.9 AS usable FROM h""",
+)
+def scene_quality(spark, sf_dir):
+    """Six dimensions of each 64 x 64 piece of the grid."""
+    x = grid(spark, sf_dir).select(F.expr("row div 64").alias("scene"), (F.col("row") % 64).alias("r"), F.col("col").alias("c"), "value")
+    k = F.col("scene")
+    facts = x.select("scene").distinct().select("scene", F.when(k % 7 != 0, k % 5 * 20).alias("age_days"), F.when(k % 3 != 0, "EPSG:32631").alias("crs"), (k == 0).alias("at_origin"))
+    q = A.scene_quality(x, "scene", facts, 64, F.col("value") > 32)
+    return q.select("scene", *(rnd(c).alias(c) for c in ("completeness", "spatial", "temporal")), rnd("radiometric", 5).alias("radiometric"), *(rnd(c).alias(c) for c in ("geometric", "atmospheric")), rnd("score", 5).alias("score"), "usable")
+
+
 _SENSORS = """o AS (SELECT 's' || (user_id % 5) AS sensor, CASE WHEN user_id % 5 < 2 THEN 'optical' WHEN user_id % 5 < 4 THEN 'sar' ELSE 'thermal' END AS kind, CAST(CAST(ts AS DATE) AS VARCHAR) || '/' || hour(ts) AS cell, ln(1 + avg(value)) / 5 AS data, CAST(count(*) % 7 > 0 AS INT) AS confidence FROM events GROUP BY ALL)"""
 
 

@@ -139,16 +139,24 @@ q AS (SELECT s_suppkey, CAST(s_suppkey * 71 % 340 - 170 AS DOUBLE) AS qw, CAST(s
 )
 def bbox_overlap_join(spark, sf_dir):
     """Overlap join of boxes as an equi-join on shared 8-degree grid cells; a pair is kept in the first cell that both have, so once."""
-    size = 8.0
-    p = part_boxes(spark, sf_dir).withColumn("c", F.explode(C.box_cells(F.col("w"), F.col("s"), F.col("e"), F.col("n"), size)))
-    q = supplier_boxes(spark, sf_dir).withColumn("c", F.explode(C.box_cells(F.col("qw"), F.col("qs"), F.col("qe"), F.col("qn"), size)))
-    mine, asked = [F.col(x) for x in "wsen"], [F.col(f"q{x}") for x in "wsen"]
-    j = p.join(q, "c").filter(E.boxes_intersect(mine, asked)).filter(C.first_shared_cell(mine, asked, size, F.col("c")))
+    j = C.box_pairs(part_boxes(spark, sf_dir), supplier_boxes(spark, sf_dir), 8.0)
     area = E.overlap_area([F.col(x) for x in "wsen"], [F.col(f"q{x}") for x in "wsen"])
     inside = E.box_contains([F.col(f"q{x}") for x in "wsen"], [F.col(x) for x in "wsen"])
     return j.select("s_suppkey", "p_partkey", inside.alias("inside"), rnd(100 * area / ((F.col("qe") - F.col("qw")) * (F.col("qn") - F.col("qs")))).alias("coverage"))
 
 
+@query(
+    "affected_population",
+    f"""WITH {_BOX}, a AS (SELECT s_suppkey, s_suppkey % 40 * 100.0 AS area, qw - 8 AS qw, qs, qe + 8 AS qe, qn + 8 AS qn FROM q), m AS (SELECT a.s_suppkey, count(*) AS counties, sum(p_partkey % 1000 * 10) AS people FROM a JOIN p ON w <= qe AND e >= qw AND s <= qn AND n >= qs GROUP BY a.s_suppkey)
+SELECT a.s_suppkey, coalesce(counties, 0) AS counties, CAST(coalesce(floor(people * least(1.0, area / (counties * 1000.0))), 0) AS BIGINT) AS affected, CASE WHEN counties BETWEEN 1 AND 3 THEN 'medium' ELSE 'low' END AS confidence FROM a LEFT JOIN m USING (s_suppkey)""",
+)
+def affected_population(spark, sf_dir):
+    """People of the counties (boxes of parts) that each supplier's event box overlaps, by area."""
+    counties = part_boxes(spark, sf_dir).withColumn("population", F.col("p_partkey") % 1000 * 10)
+    events = supplier_boxes(spark, sf_dir).select("s_suppkey", (F.col("qw") - 8).alias("qw"), "qs", (F.col("qe") + 8).alias("qe"), (F.col("qn") + 8).alias("qn"))
+    return C.affected_population(events, "s_suppkey", counties, F.col("s_suppkey") % 40 * 100.0, 8.0)
+
+
 @query(
     "index_query_score",
     f"""WITH {_BOX}, h AS (SELECT p_partkey, (least(e, 20.0) - greatest(w, -20.0)) * (least(n, 20.0) - greatest(s, -20.0)) / 1600 AS sp, 1 - (p_partkey % 10) / 10 AS tm FROM p WHERE w <= 20 AND e >= -20 AND s <= 20 AND n >= -20)

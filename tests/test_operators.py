@@ -287,3 +287,27 @@ def test_gaps_across_buckets(spark):
         assert len(got) == len(want) and {tuple(r) for r in got} == want
     twice = spark.createDataFrame([("a", 5), ("a", 5), ("a", 9)], "k string, t long")
     assert sorted((r.t, r.prior) for r in T.with_prior(twice, "k", 4).collect() if r.prior is not None) == [(5, 5), (9, 5)]
+
+
+def test_dem_fallback_by_cases(spark):
+    rows = [
+        (1, "copernicus_30", True, 3.0, None), (2, "copernicus_30", True, 9.0, None), (3, "copernicus_30", True, 20.0, None), (3, "alos_30", True, 1.0, None), (4, "copernicus_30", True, 20.0, None), (4, "alos_30", True, 30.0, None),
+        (5, "srtm_30", True, 0.0, None), (6, "copernicus_30", True, 60.0, None), (7, "copernicus_30", True, 60.0, 90.0), (8, "copernicus_90", True, 0.0, None), (9, "copernicus_30", False, 0.0, None), (10, "alos_30", True, None, None),
+    ]
+    df = spark.createDataFrame(rows, "area int, source string, available boolean, voids double, coverage double")
+    got = {r.area: (r.source, r.second, r.filling, r.resolution, r.accuracy, r.voids) for r in assessment.dem_fallback(df, "area").collect()}
+    none = (None, None, "none", 0.0, 999.0, 100.0)
+    assert got == {
+        1: ("copernicus_30", None, "none", 30.0, 4.0, 3.0), 2: ("copernicus_30", None, "interpolation", 30.0, 4.0, 1.0), 3: ("copernicus_30", "alos_30", "blend", 30.0, 5.0, 2.0), 4: ("copernicus_30", None, "morphological", 30.0, 4.0, 10.0),
+        5: none, 6: none, 7: ("copernicus_30", None, "morphological", 30.0, 4.0, 30.0), 8: none, 9: none, 10: ("alos_30", None, "none", 30.0, 5.0, 0.0),
+    }
+
+
+def test_scene_quality_of_flat_and_of_poor_scenes(spark):
+    rng = random.Random(1)
+    cells = [(0, r, c, 50.0) for r in range(30) for c in range(30)] + [(1, r, c, rng.gauss(100, 1) + (90 if r < 10 else 0)) for r in range(30) for c in range(30) if rng.random() < 0.9]
+    facts = spark.createDataFrame([(0, None, "EPSG:4326", False), (1, 90, None, True)], "scene int, age_days int, crs string, at_origin boolean")
+    q = assessment.scene_quality(spark.createDataFrame(cells, "scene int, r int, c int, value double"), "scene", facts, 30, F.col("value") > 150)
+    flat, poor = q.orderBy("scene").collect()
+    assert (flat.completeness, flat.spatial, flat.temporal, flat.radiometric, flat.geometric, flat.atmospheric) == (1.0, 1.0, 0.7, 1.0, 1.0, 1.0) and flat.usable
+    assert poor.spatial == 0.8 and poor.temporal == 0.5 and poor.geometric == 0.35 and poor.atmospheric < 0.75 and not poor.usable
