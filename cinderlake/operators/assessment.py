@@ -23,11 +23,16 @@ DEM_SOURCES = (
 )
 #: Weights of a scene's quality dimensions.
 QUALITY_WEIGHTS = {"completeness": 0.25, "spatial": 0.20, "temporal": 0.15, "radiometric": 0.20, "geometric": 0.10, "atmospheric": 0.10}
-#: Rules of sensor pairs for water extent: pair, type, least and most correlation and bias, tolerance.
+#: Rules of sensor pairs: two kinds, observable, type of pair, least and most correlation and bias, tolerance.
 PAIR_RULES = (
-    ("optical", "sar", "complementary", 0.5, 0.95, -0.15, 0.15, 0.25),
-    ("optical", "optical", "redundant", 0.85, 1.0, -0.05, 0.05, 0.1),
-    ("sar", "sar", "redundant", 0.8, 1.0, -0.1, 0.1, 0.15),
+    ("optical", "sar", "water_extent", "complementary", 0.5, 0.95, -0.15, 0.15, 0.25),
+    ("optical", "optical", "water_extent", "redundant", 0.85, 1.0, -0.05, 0.05, 0.1),
+    ("sar", "sar", "water_extent", "redundant", 0.8, 1.0, -0.1, 0.1, 0.15),
+    ("optical", "thermal", "burn_severity", "complementary", 0.6, 0.9, -0.2, 0.2, 0.3),
+    ("optical", "sar", "burn_severity", "complementary", 0.4, 0.8, -0.25, 0.25, 0.35),
+    ("optical", "sar", "vegetation_damage", "complementary", 0.5, 0.85, -0.2, 0.2, 0.3),
+    ("optical", "lidar", "vegetation_damage", "complementary", 0.6, 0.95, -0.15, 0.15, 0.2),
+    ("dem", "optical", "flood_susceptibility", "complementary", 0.3, 0.7, -0.3, 0.3, 0.4),
 )
 
 
@@ -152,23 +157,26 @@ def scene_quality(cells: DataFrame, scene: str, facts: DataFrame, size: int, clo
     return g.select(scene, *part, "score", ((F.col("score") >= 0.3) & (F.col("completeness") >= 0.3) & (F.col("worst") <= 0.9)).alias("usable"))
 
 
-def compare_sensors(observations: DataFrame, cells: int | Column, least_overlap: float = 0.3, default_tolerance: float = 0.1) -> DataFrame:
+def compare_sensors(observations: DataFrame, cells: int | Column, observable: str = "water_extent", least_overlap: float = 0.3, default_tolerance: float = 0.1) -> DataFrame:
     """sensor_a, sensor_b, pair_type, overlap, corr, bias, rmse, agreement, outcome for all pairs of sensors over their common cells.
 
     ``observations``: sensor, kind, cell, data, confidence.  Sensors meet on the cell, so the pairs cost as many rows as cells have sensors.
-    A rule of the kinds gives tolerance, expected correlation and expected bias; pairs without one are judged by their agreement alone.
+    A rule of the kinds for the observable ("unknown": the kinds' first rule) gives tolerance, expected correlation and expected bias; pairs without one are judged by their
+    agreement alone, more strictly if both kinds are the same.
     """
     ok = observations.filter((F.col("confidence") > 0) & F.col("data").isNotNull() & ~F.isnan("data"))
     a, b = ok.alias("a"), ok.alias("b")
     j = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.sensor") < F.col("b.sensor")))
     kinds = [F.col("a.kind"), F.col("b.kind")]
-    rule = F.lit(None).cast("struct<type:string,c0:double,c1:double,b0:double,b1:double,tol:double>")
-    for x, y, kind, c0, c1, b0, b1, tol in PAIR_RULES:
-        made = F.struct(F.lit(kind).alias("type"), *(F.lit(v).alias(n) for n, v in (("c0", c0), ("c1", c1), ("b0", b0), ("b1", b1), ("tol", tol))))
-        rule = F.when(((kinds[0] == x) & (kinds[1] == y)) | ((kinds[0] == y) & (kinds[1] == x)), made).otherwise(rule)
+    rule, known = F.lit(None).cast("struct<type:string,c0:double,c1:double,b0:double,b1:double,tol:double>"), F.lit(None).cast("string")
+    for x, y, what, kind, c0, c1, b0, b1, tol in reversed(PAIR_RULES):  # the first rule that holds wins
+        these = ((kinds[0] == x) & (kinds[1] == y)) | ((kinds[0] == y) & (kinds[1] == x))
+        known = F.when(these, kind).otherwise(known)
+        if observable in (what, "unknown"):
+            rule = F.when(these, F.struct(F.lit(kind).alias("type"), *(F.lit(v).alias(n) for n, v in (("c0", c0), ("c1", c1), ("b0", b0), ("b1", b1), ("tol", tol))))).otherwise(rule)
     off = F.col("a.data") - F.col("b.data")
-    j = j.select(F.col("a.sensor").alias("sensor_a"), F.col("b.sensor").alias("sensor_b"), F.col("a.data").alias("x"), F.col("b.data").alias("y"), off.alias("off"), rule.alias("rule"), (kinds[0] == kinds[1]).alias("same"))
-    g = j.groupBy("sensor_a", "sensor_b", "rule", "same").agg(
+    j = j.select(F.col("a.sensor").alias("sensor_a"), F.col("b.sensor").alias("sensor_b"), F.col("a.data").alias("x"), F.col("b.data").alias("y"), off.alias("off"), rule.alias("rule"), known.alias("known"), (kinds[0] == kinds[1]).alias("same"))
+    g = j.groupBy("sensor_a", "sensor_b", "rule", "known", "same").agg(
         F.count("*").alias("n"), F.covar_pop("x", "y").alias("cov"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.avg("off").alias("bias"), F.sqrt(F.avg(F.col("off") * F.col("off"))).alias("rmse"),
         F.avg((F.abs("off") <= F.coalesce(F.col("rule.tol"), F.lit(default_tolerance))).cast("double")).alias("agreement"), F.max(F.abs("off")).alias("most"),
     )
@@ -180,8 +188,8 @@ def compare_sensors(observations: DataFrame, cells: int | Column, least_overlap:
     names = ("consistent", "minor_discrepancy", "significant_discrepancy")
     tiers = lambda cuts: F.when(share >= cuts[0], names[0]).when(share >= cuts[1], names[1]).when(share >= cuts[2], names[2]).otherwise("conflict")
     by_rule = F.when((share >= 0.9) & corr_ok & bias_ok, names[0]).when((share >= 0.7) & (corr_ok | bias_ok), names[1]).when(share >= 0.5, names[2]).otherwise("conflict")
+    kind = F.coalesce(F.col("rule.type"), F.when(F.col("same"), "redundant"), F.col("known"), F.lit("independent"))
     outcome = F.when(F.col("overlap") < least_overlap, "insufficient_data").when(ruled, by_rule).when(F.col("same"), tiers((0.9, 0.75, 0.5))).otherwise(tiers((0.8, 0.6, 0.4)))
-    kind = F.coalesce(F.col("rule.type"), F.when(F.col("same"), "redundant").otherwise("independent"))
     enough = F.col("overlap") >= least_overlap
     return g.select("sensor_a", "sensor_b", kind.alias("pair_type"), "overlap", *(F.when(enough, F.col(c)).alias(c) for c in ("corr", "bias", "rmse")), F.when(enough, share).otherwise(0.0).alias("agreement"), outcome.alias("outcome"))
 

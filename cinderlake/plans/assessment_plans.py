@@ -139,7 +139,7 @@ _SENSORS = """o AS (SELECT 's' || (user_id % 5) AS sensor, CASE WHEN user_id % 5
 j AS (SELECT a.sensor AS sensor_a, b.sensor AS sensor_b, a.data AS x, b.data AS y, a.kind AS ka, b.kind AS kb, CASE WHEN a.kind = 'thermal' OR b.kind = 'thermal' THEN 0.1 WHEN a.kind <> b.kind THEN 0.25 WHEN a.kind = 'optical' THEN 0.1 ELSE 0.15 END AS tol FROM k a JOIN k b ON a.cell = b.cell AND a.sensor < b.sensor),
 g AS (SELECT sensor_a, sensor_b, ka, kb, count(*) / any_value(cells) AS overlap, corr(x, y) AS corr, avg(x - y) AS bias, sqrt(avg((x - y) * (x - y))) AS rmse, avg(CAST(abs(x - y) <= tol AS DOUBLE)) AS agreement FROM j, c GROUP BY ALL),
 r AS (SELECT *, ka <> 'thermal' AND kb <> 'thermal' AS ruled, corr BETWEEN CASE WHEN ka <> kb THEN 0.5 WHEN ka = 'optical' THEN 0.85 ELSE 0.8 END AND CASE WHEN ka <> kb THEN 0.95 ELSE 1.0 END AS cok, abs(bias) <= CASE WHEN ka <> kb THEN 0.15 WHEN ka = 'optical' THEN 0.05 ELSE 0.1 END AS bok FROM g)
-SELECT sensor_a, sensor_b, CASE WHEN ka = kb THEN 'redundant' WHEN ruled THEN 'complementary' ELSE 'independent' END AS pair_type, round(overlap, 6) AS overlap, CASE WHEN overlap >= 0.3 THEN round(corr, 5) END AS corr, CASE WHEN overlap >= 0.3 THEN round(bias, 6) END AS bias, CASE WHEN overlap >= 0.3 THEN round(rmse, 6) END AS rmse,
+SELECT sensor_a, sensor_b, CASE WHEN ka = kb THEN 'redundant' WHEN ruled OR ka = 'optical' OR kb = 'optical' THEN 'complementary' ELSE 'independent' END AS pair_type, round(overlap, 6) AS overlap, CASE WHEN overlap >= 0.3 THEN round(corr, 5) END AS corr, CASE WHEN overlap >= 0.3 THEN round(bias, 6) END AS bias, CASE WHEN overlap >= 0.3 THEN round(rmse, 6) END AS rmse,
  CASE WHEN overlap >= 0.3 THEN round(agreement, 6) ELSE 0.0 END AS agreement, CASE WHEN overlap < 0.3 THEN 'insufficient_data' WHEN ruled THEN CASE WHEN agreement >= 0.9 AND cok AND bok THEN 'consistent' WHEN agreement >= 0.7 AND (cok OR bok) THEN 'minor_discrepancy' WHEN agreement >= 0.5 THEN 'significant_discrepancy' ELSE 'conflict' END
  WHEN agreement >= 0.8 THEN 'consistent' WHEN agreement >= 0.6 THEN 'minor_discrepancy' WHEN agreement >= 0.4 THEN 'significant_discrepancy' ELSE 'conflict' END AS outcome FROM r""",
 )

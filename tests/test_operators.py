@@ -235,8 +235,11 @@ def test_sensor_pairs_by_cases(spark):
     pairs = {(r.sensor_a, r.sensor_b): r for r in assessment.compare_sensors(spark.createDataFrame(rows, "sensor string, kind string, cell int, data double, confidence double"), 100).collect()}
     assert pairs["a", "b"].outcome == "consistent" and pairs["a", "b"].pair_type == "redundant"
     assert pairs["a", "c"].outcome == "conflict" and abs(pairs["a", "c"]["corr"] + 1) < 1e-9
-    assert pairs["a", "d"].pair_type == "independent" and pairs["a", "d"]["corr"] is None
+    assert pairs["a", "d"].pair_type == "complementary" and pairs["a", "d"]["corr"] is None  # by their rule for another observable
+    assert pairs["c", "d"].pair_type == "independent"
     assert pairs["a", "e"].outcome == "insufficient_data" and pairs["a", "e"].agreement == 0
+    burn = {(r.sensor_a, r.sensor_b): r for r in assessment.compare_sensors(spark.createDataFrame(rows, "sensor string, kind string, cell int, data double, confidence double"), 100, "vegetation_damage").collect()}
+    assert burn["a", "d"].pair_type == "complementary" and burn["a", "d"].agreement == 0.41 and burn["a", "b"].outcome == "consistent" and burn["a", "b"].pair_type == "redundant"
 
 
 def test_optical_quality_without_valid_pixels(spark):
