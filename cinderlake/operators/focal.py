@@ -127,7 +127,7 @@ def _within(fine: DataFrame, grid: DataFrame, factor: int) -> DataFrame:
     return fine.filter(inside[0] & inside[1]).select("row", "col", "value")
 
 
-def nearest(grid: DataFrame, points: DataFrame, keep: Callable[[DataFrame, int], DataFrame], first: int = 8) -> DataFrame:
+def nearest(grid: DataFrame, points: DataFrame, keep: Callable[[DataFrame, int], DataFrame], first: int = 4) -> DataFrame:
     """row, col, value, at (d2, cr, cc, cv): each cell's nearest of ``points`` (row, col, value) at any distance; ties go to the smallest (row, col).
 
     Cells and points meet in blocks of r cells, nine blocks a cell, so whatever is within r is seen.  A cell is done when its
@@ -137,7 +137,8 @@ def nearest(grid: DataFrame, points: DataFrame, keep: Callable[[DataFrame, int],
     now = keep(grid.select(F.col("row").cast("long"), F.col("col").cast("long"), "value", F.lit(None).cast(shape).alias("at")), 0)
     steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
     k, r = 0, first
-    while points.limit(1).count() and now.filter("at IS NULL").limit(1).count():
+    some = points.limit(1).count() > 0
+    while some and now.filter("at IS NULL").limit(1).count():
         k += 1
         block = lambda c, r=r: F.floor(F.col(c) / r)
         c = points.select(F.col("row").cast("long").alias("cr"), F.col("col").cast("long").alias("cc"), F.col("value").alias("cv"), block("row").alias("br"), block("col").alias("bc"))

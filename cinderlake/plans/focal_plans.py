@@ -140,7 +140,8 @@ SELECT row, col, CASE WHEN m.cv IS NOT NULL THEN round(greatest(value - m.cv, 0.
 )
 def nearest_channel(spark, sf_dir):
     """Height over the nearest low cell, however far that is: cells without one nearby look on in rings of twice the width."""
-    return _over_nearest(spark, grid(spark, sf_dir), grid(spark, sf_dir).filter("value < 12"))
+    g = Rounds(spark, "grid")(grid(spark, sf_dir), 0)
+    return _over_nearest(spark, g, g.filter("value < 12"))
 
 
 def _over_nearest(spark, g, points):
@@ -159,7 +160,7 @@ SELECT row, col, CASE WHEN cv IS NOT NULL THEN round(greatest(value - cv, 0.0) +
 )
 def nearest_drainage(spark, sf_dir):
     """Height of every cell over its nearest drainage cell (flow of 7 or more, as in hand_flow_neighbours), however far that is."""
-    g = grid(spark, sf_dir)
+    g = Rounds(spark, "grid")(grid(spark, sf_dir), 0)
     channels = Rounds(spark, "drainage")(g.join(hand_flow_neighbours(spark, sf_dir).filter("channel").select("row", "col"), ["row", "col"]), 0)
     return _over_nearest(spark, g, channels)
 
