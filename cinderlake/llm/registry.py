@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, decontaminate, jaccard_join, line_dedup, mixing, pii, quality, sharding, topk, warc
+from . import chat, clustering, decontaminate, jaccard_join, line_dedup, mixing, packing, pii, quality, sharding, spelling, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,8 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8_warc,
         "op9_pii": pii.op9_pii,
         "op10_topk": topk.op10_topk,
+        "op11_packing": packing.op11_packing,
+        "op12_spelling": spelling.op12_spelling,
+        "op13_clustering": clustering.op13_clustering,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op10_topk": topk.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op8_warc": warc.ORACLE, "op10_topk": topk.ORACLE, "op13_clustering": clustering.ORACLE}
