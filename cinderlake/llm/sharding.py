@@ -1,7 +1,8 @@
 """Sharding as vector bin packing: bytes, tokens and rows are balanced jointly.
 
-A group is all rows with one text.  Every group is cut into the fewest pieces of about 1/``heavy`` of the table's bytes and rows at most (a group that is
-smaller is one piece), its rows being dealt to its pieces in turn; pieces are hashed into ``crates`` (a parameter, so their number does not grow with the
+A group is all rows with one text.  A group stays whole unless it has over 1/``heavy`` of the table's bytes or rows (half a shard by default), which no shard
+may have room for; it is then cut into the fewest pieces of that size, its rows being dealt to the pieces in turn.  What is packed is crates: each group (or piece of one) with over
+1/``LARGE`` of the table is a crate of its own, so the rule acts on groups wherever they matter; smaller groups are hashed whole into ``crates`` others (a parameter, so that the number of crates does not grow with the
 input).  Only
 the crates' sums are packed: in descending size each goes where the dot product of its vector with the shards' residual capacity is
 highest among shards that it fits, all three dimensions being scaled by their totals.  Then crates move or swap between
@@ -21,13 +22,14 @@ kept by ``shard_documents``, whose own columns replace any of the same names.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-SHARDS, CRATES, HEAVY, LANES, STRETCH = 8, 4096, 256, 16, 4096
+SHARDS, CRATES, LARGE, LANES, STRETCH = 8, 4096, 1024, 16, 4096
 
 
 def pack(sums: np.ndarray, shards: int) -> np.ndarray:
@@ -98,17 +100,21 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def in_sequence(docs: DataFrame) -> DataFrame:
-    """doc_id, source, the measures and ``at``: each row's place in the sequence of the files that it was read from, or of the plan where ``docs`` is no table of files."""
-    at = F.monotonically_increasing_id()
-    if docs._jdf.queryExecution().analyzed().nodeName().startswith(("LogicalRelation", "Relation")):
-        part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
-        at = F.shiftleft(part, 40) + F.col("_metadata.row_index")
-    return docs.select("doc_id", "source", *(c.alias(k) for k, c in measures().items()), at.alias("at"))
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, crates: int = CRATES, heavy: int = HEAVY, order: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, the measures and ``at``: each row's place in the sequence of the files that it was read from (by task, file of the task and row), or of the plan where ``docs`` is no table of files."""
+    keep = ["doc_id", "source", *(c.alias(k) for k, c in measures().items())]
+    number = lambda pattern: F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0).cast("long"))
+    try:
+        at = F.struct(number(r"part-(\d+)").alias("task"), number(r"-c(\d+)").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("row"))
+        return docs.select(*keep, at.alias("at"))
+    except AnalysisException:
+        zero = F.lit(0).cast("long")
+        return docs.select(*keep, F.struct(zero.alias("task"), zero.alias("file"), F.lit("").alias("name"), F.monotonically_increasing_id().alias("row")).alias("at"))
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, crates: int = CRATES, heavy: int | None = None, order: DataFrame | None = None) -> DataFrame:
     """doc_id, size, tokens, text_crc32, text_a, text_b, crate, shard, slot for each row.
 
+    A group of over 1/``heavy`` of the table (2 * ``shards`` by default) is cut.
     ``order`` has the same rows as ``docs``: doc_id, source, the measures and ``at``; ``source`` and ``at`` are then kept.
     """
     spark = docs.sparkSession
@@ -117,13 +123,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, crates: int = CRATES, heavy: in
     rows = scratch.keep(rows.withColumn("deal", F.xxhash64(F.monotonically_increasing_id())), "measured")
     total = rows.agg(F.sum("size").alias("size"), F.count("*").alias("rows")).first()
     size, count = total["size"] or 0, total["rows"]
-    # at most 2 * heavy groups have over 1/heavy of the bytes or rows
     groups = rows.groupBy("text_a", "text_b").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
     share = F.greatest(F.col("s") / max(size, 1), F.col("n") / max(count, 1))
-    cut = groups.withColumn("pieces", F.least("n", F.ceil(share * heavy)).cast("int")).filter("pieces > 1").select("text_a", "text_b", "pieces")
-    rows = rows.join(F.broadcast(cut), ["text_a", "text_b"], "left")
-    piece = F.pmod("deal", F.coalesce("pieces", F.lit(1)))
-    rows = rows.withColumn("crate", F.pmod(F.xxhash64("text_a", piece), F.lit(crates)).cast("int")).drop("pieces")
+    # at most 2 * LARGE groups
+    large = groups.filter(share > 1 / LARGE).select("text_a", "text_b", F.least("n", F.ceil(share * (heavy or 2 * shards))).cast("int").alias("pieces")).orderBy("text_a", "text_b").collect()
+    first = np.append(0, np.cumsum([r["pieces"] for r in large]))
+    own = spark.createDataFrame([(*r, crates + int(k)) for r, k in zip(large, first, strict=False)], "text_a long, text_b long, pieces int, first int")
+    rows = rows.join(F.broadcast(own), ["text_a", "text_b"], "left")
+    rows = rows.withColumn("crate", F.coalesce(F.col("first") + F.pmod("deal", "pieces"), F.pmod("text_a", F.lit(crates))).cast("int")).drop("pieces", "first")
     sums = rows.groupBy("crate").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("crate").collect()
     place = pack(np.array([(r["size"], r["tokens"], r["rows"]) for r in sums], np.int64).reshape(-1, 3), shards)
     columns = ["doc_id", "size", "tokens", "text_crc32", "text_a", "text_b", "crate", "shard"]
@@ -146,7 +153,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, crates: int = CRATES, heavy: in
 
 def in_order(rows: DataFrame) -> DataFrame:
     """``rows`` with the gapless ``slot`` of each in its shard's sequence by ``at``."""
-    rows = rows.withColumn("stretch", F.expr(f"at div {STRETCH}"))
+    rows = rows.withColumn("stretch", F.struct("at.task", "at.file", "at.name", F.expr(f"at.row div {STRETCH}").alias("part")))
     ends = rows.groupBy("shard", "stretch").agg(F.count("*").alias("n"))
     begin = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ends = ends.select("shard", "stretch", begin.alias("begin"))

@@ -2,9 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from cinderlake.llm.common import table
-from cinderlake.llm.sharding import even_out, first_places, op4_sharding, shard, shard_documents
+from cinderlake.llm.sharding import even_out, first_places, in_sequence, op4_sharding, shard, shard_documents
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, shard string, size int"
@@ -87,3 +89,47 @@ def test_documents_keep_their_columns(spark):
 
 def test_empty(spark):
     assert shard(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("n", [200, 1000, 10000])
+def test_a_group_with_room_is_never_cut(spark, n):
+    """Groups of up to a sixteenth of the table are in one shard, whatever the size of the table; larger ones are cut."""
+    rng = random.Random(n)
+    texts = [(i, f"own text {i} " * rng.randrange(1, 9)) for i in range(n // 2)]
+    for g in range(9):
+        texts += [(n + i, f"group {g} " * (g + 1)) for i in range(n * (g + 1) // 180)]  # up to a twentieth of the rows
+    texts += [(3 * n + i, "large") for i in range(n // 4)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], SCHEMA)
+    by = check(taken(shard(df)), texts, 0.02 if n > 200 else 0.1)
+    where, rows, size = {}, {}, {}
+    for s, held in by.items():
+        for r in held:
+            key = (r[1], r[2])
+            where.setdefault(key, set()).add(s)
+            rows[key] = rows.get(key, 0) + 1
+            size[key] = size.get(key, 0) + r[1]
+    total, weight = sum(rows.values()), sum(size.values())
+    cut = {k for k in where if len(where[k]) > 1}
+    assert all(rows[k] > total / 16 or size[k] > weight / 16 for k in cut)
+    assert (len("large") + 1, zlib.crc32(b"large")) in cut
+
+
+def test_no_table_has_torn_small_groups(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        held = shard(table(spark, f"/root/testdata/{sf}", "documents")).toPandas()
+        groups = held.groupby(["text_a", "text_b"]).agg(n=("shard", "size"), size=("size", "sum"), shards=("shard", "nunique"))
+        whole = (groups.n <= len(held) / 16) & (groups["size"] <= held["size"].sum() / 16)
+        assert (groups[whole].shards == 1).all()
+
+
+def test_sequence_of_split_files(spark, tmp_path):
+    """A task's files follow each other by their number, also past ten."""
+    df = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    df.repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id").write.option("maxRecordsPerFile", 3).parquet(str(tmp_path / "docs"))
+    got = in_sequence(spark.read.parquet(str(tmp_path / "docs"))).orderBy("at").collect()
+    assert [r.doc_id for r in got] == list(range(100)) and len({r["at"] for r in got}) == 100
+    out = shard_documents(spark.read.parquet(str(tmp_path / "docs")), order=in_sequence(spark.read.parquet(str(tmp_path / "docs"))), shards=3).collect()
+    for s in range(3):
+        mine = sorted((r.slot, r.doc_id) for r in out if r.shard == s)
+        assert [i for i, _ in mine] == list(range(len(mine))) and [d for _, d in mine] == sorted(d for _, d in mine)
+    assert in_sequence(df).orderBy("at").first().doc_id == 0  # of a plan
