@@ -11,7 +11,7 @@ into runs whose lengths are powers of two, which need no padding: so no sequence
 
 Ids are found by words: a text is cut where a single space stands between two characters that are no spaces or after white space and before
 a character that is none; the tokenizer's own pattern always cuts there, so the ids of the parts are those of the whole text.  Parts seen lately are looked up in
-two tables of about ``CACHE`` entries a worker, the others go through the tokenizer, many in one call.
+two tables of about ``CACHE`` entries a worker, the others are encoded, many in one call.
 
 A piece's row does not depend on time or attempt: a partition's rows come from the same files in the same order, and the pieces are written once.
 
@@ -21,6 +21,7 @@ rows; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +37,7 @@ from .common import Scratch, table
 from .textvec import pieces
 
 SIZE, END, OPEN, FAN, CACHE, LONG = 2048, 1, 64, 256, 1 << 18, 48
-BATCH = 4 << 20  # bytes of ids in a batch of rows
+TEXT, BATCH = 6 << 20, 4 << 20  # bytes of text encoded at once, and of ids in a batch of rows
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64())])
 DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, part long"
@@ -50,18 +51,21 @@ _CUT = re.compile(r"(?<! ) (?=\S)")
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, the same as ``Tokenizer.from_file(vocabulary)`` gives for the whole text.
 
-    New parts of up to ``LONG`` characters are joined by spaces for one call and their ids told apart by the tokens' lengths;
-    longer ones, and those that may hold an added token, are encoded one by one.
+    New parts of up to ``LONG`` characters are joined by spaces, encoded in one call by the same vocabulary's ``ranks`` (half of the time all in all) and told apart by the tokens' lengths;
+    longer ones, and those that may hold an added token, are encoded one by one by the tokenizer.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, ranks: str, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        of = self.tokenizer.get_vocab()
-        self.width = np.zeros(max(of.values()) + 1, np.int64)  # a byte-level token has a character a byte
+        with open(ranks, "rb") as f:
+            of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.width = np.zeros(max(of.values()) + 1, np.int64)
         for token, i in of.items():
             self.width[i] = len(token)
+        self.short = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=of, special_tokens={})
         self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         # ids of parts that follow a space; what is not asked for while ``CACHE`` others come in is forgotten
         self.after: dict[str, bytes] = {}
@@ -74,8 +78,8 @@ class Encoder:
         """Of short parts, each after a space; the tokenizer cuts before each of these spaces."""
         if not parts:
             return []
-        ids = np.frombuffer(self._alone([" " + " ".join(parts)])[0], "<u4")
-        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        ids = np.array(self.short.encode_ordinary(" " + " ".join(parts)), "<u4")
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, parts)), np.int64) + 1)
         cuts = 4 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *cuts.tolist()], cuts.tolist(), strict=False)]
@@ -84,16 +88,19 @@ class Encoder:
         """The ids of distinct parts, each after a space; ``odd`` ones may hold a special token or end in a space."""
         if len(self.after) > CACHE:
             self.after, self.older = {}, self.after
-        new = [x for x in parts if x not in self.after]
-        self.after.update((x, self.older[x]) for x in new if x in self.older)
-        new = [x for x in new if x not in self.after]
+        out = list(map(self.after.get, parts))
+        missing = [i for i, v in enumerate(out) if v is None]
+        out_of = dict(zip((parts[i] for i in missing), map(self.older.get, (parts[i] for i in missing)), strict=True))
+        new = [x for x, v in out_of.items() if v is None]
         alone = [x for x in new if not 0 < len(x) <= LONG or odd and (x[-1] == " " or any(s in x for s in self.special))]
         joined = list(set(new).difference(alone)) if alone else new
-        self.after.update(zip(joined, self._joined(joined), strict=True))
-        self.after.update(zip(alone, self._alone([f" {x}" for x in alone]), strict=True))
-        out = list(map(self.after.__getitem__, parts))
-        for x in alone:
+        out_of.update(zip(joined, self._joined(joined), strict=True))
+        self.after.update(out_of)
+        for x, ids in zip(alone, self._alone([f" {x}" for x in alone]), strict=True):
+            out_of[x] = ids
             del self.after[x]
+        for i in missing:
+            out[i] = out_of[parts[i]]
         return out
 
     def _plain(self, texts: pa.Array) -> list[bytes]:
@@ -106,7 +113,7 @@ class Encoder:
         known, which = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         which[at[:-1]] = len(known) + np.arange(len(texts))
         found = self._found(known) + self._alone(flat.take(pa.array(at[:-1])).to_pylist())
-        ids, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        ids, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64) // 4
         begin = np.cumsum(size) - size
         end = np.cumsum(size[which])
         ids = ids[np.repeat(begin[which] - end + size[which], size[which]) + np.arange(end[-1])]
@@ -133,9 +140,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(vocabulary: str) -> Encoder:
+def encoder(vocabulary: str, ranks: str, pattern: str) -> Encoder:
     """A worker's tasks share one."""
-    return Encoder(vocabulary)
+    return Encoder(vocabulary, ranks, pattern)
 
 
 class Packer:
@@ -230,13 +237,16 @@ class Rows:
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(SCHEMA)], schema=SCHEMA)
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, open_windows: int = OPEN, fan: int = FAN) -> DataFrame:
-    """doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset: a row a piece."""
+def pack(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, size: int = SIZE, end: int = END, open_windows: int = OPEN, fan: int = FAN) -> DataFrame:
+    """doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset: a row a piece.
+
+    ``vocabulary`` is the tokenizer's file, ``ranks`` the same vocabulary's byte strings and ranks, ``pattern`` what cuts a text into words.
+    """
     scratch = Scratch(docs.sparkSession, "packing")
     last = np.array([end], "<u4").tobytes()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(vocabulary), Packer(size, open_windows)
+        encode, packer = encoder(vocabulary, ranks, pattern), Packer(size, open_windows)
         me = TaskContext.get().partitionId()
         rows = Rows(me << 32)
 
@@ -247,7 +257,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, ope
                     yield rows.batch()
 
         for batch in batches:
-            for a, b in pieces(batch.column("text")):
+            for a, b in pieces(batch.column("text"), TEXT):
                 part = batch.slice(a, b - a)
                 texts = pc.fill_null(part.column("text"), "")
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
@@ -298,5 +308,6 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, ope
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path
+    packed = pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from cinderlake.llm import packing
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+FILES = VOCABULARY, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, start int, ids string, part string"
 
 
@@ -54,7 +55,7 @@ def test_round_trip(spark, whole, size, windows, fan, parts):
     rng = random.Random(3)
     bits = [" ", "  ", "\n", "word", "Zürich", "日本語", "1234", "!?", "'s", "<|endoftext|>", " ", "tail ", "\x1c", "naïve "]
     rows = [(i, "".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 5, 40, 300])))) for i in range(120)]
-    pieces = packing.pack(make(spark, rows, parts), VOCABULARY, size=size, open_windows=windows, fan=fan).collect()
+    pieces = packing.pack(make(spark, rows, parts), *FILES, size=size, open_windows=windows, fan=fan).collect()
     got = documents(pieces)
     for i, text in rows:
         want = whole(text)
@@ -68,14 +69,14 @@ def test_round_trip(spark, whole, size, windows, fan, parts):
 def test_edges(spark, whole):
     long = "x" * 30000 + " " + "many words of one text " * 3000
     rows = [(1, None), (2, ""), (None, "no id"), (3, long), (4, "twice"), (4, "twice"), (5, " "), (6, "a ")]
-    pieces = packing.pack(make(spark, rows), VOCABULARY).collect()
+    pieces = packing.pack(make(spark, rows), *FILES).collect()
     held(pieces)
     got = documents(pieces)
     assert got[1, 1] == {0: [1]} and got[2, 1] == {0: [1]}
     for i, text, times in ((None, "no id", 1), (3, long, 1), (4, "twice", 2), (5, " ", 1), (6, "a ", 1)):
         want = whole(text)
         assert [v for _, v in sorted(got[i, len(want)].items())] == [[x] * times for x in want]
-    assert packing.pack(make(spark, [], 1), VOCABULARY).count() == 0
+    assert packing.pack(make(spark, [], 1), *FILES).count() == 0
 
 
 def test_documents_stay_whole_where_they_fit():
@@ -94,7 +95,7 @@ def test_encoder_against_whole_texts(whole):
     rng = random.Random(9)
     bits = [" ", "  ", "\n", " \n", "\t", "a", "Foo", "é", "日本", "12", "!", "\x1c", " ", "<|endoftext|>", "'s", "　", "​", ".", "w" * 60]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
-    encode = packing.Encoder(VOCABULARY)
+    encode = packing.Encoder(*FILES)
     for _ in range(2):  # the second time from the table
         assert [np.frombuffer(x, "<u4").tolist() for x in encode(pa.array(texts))] == [whole(t)[:-1] for t in texts]
 
