@@ -117,7 +117,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(made), pa.array(ids)], schema=schema)
 
     keys = words.select("id", "word").mapInArrow(keyed, "key long, id long")
-    pairs = keys.select("key", F.col("id").alias("a")).join(keys.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
+    pairs = keys.select("key", F.col("id").alias("a")).join(keys.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b").distinct()
     left, right = (words.select(F.col("id").alias(x), F.col("word").alias(f"word_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     return pairs.join(left, "a").join(right, "b").filter(F.levenshtein("word_a", "word_b", 1) == 1)
 
