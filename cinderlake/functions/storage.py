@@ -32,3 +32,19 @@ class Rounds:
             old = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{k - 2}")
             old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{k}")
+
+
+class Kept:
+    """Tables that are written once and read back, until ``drop`` deletes them all."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.made = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path, self.made = f"{self.root}/{self.made}", self.made + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
