@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import rnd
 from ..functions.storage import shared_folder
+from ..sources import chunks as C
 from ..sources import raster as R
 from .registry import query, table
 
@@ -70,3 +71,39 @@ def raster_ingest(spark, sf_dir):
     total = lambda t: R.pixels(t).groupBy(_scene(), F.expr("row div 32").alias("brow")).agg(F.count("*").alias("cells"), F.sum("value").alias("total"))
     R.ingest(R.raster_files(spark, f"{root}/in", stream=True), f"{root}/out", total).awaitTermination()
     return spark.read.parquet(f"{root}/out/tiles").select("scene", "brow", "cells", "total")
+
+
+STEPS = "s AS (SELECT l_returnflag AS variable, date_trunc('quarter', l_shipdate) AS time, l_orderkey // 64 AS row, l_partkey % 64 AS col, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY ALL)"
+
+
+def steps(spark, sf_dir):
+    """A variable a return flag, a step a quarter."""
+    t = table(spark, sf_dir, "lineitem")
+    by = t.groupBy(F.col("l_returnflag").alias("variable"), F.date_trunc("quarter", "l_shipdate").alias("time"), F.expr("l_orderkey div 64").alias("row"), (F.col("l_partkey") % 64).alias("col"))
+    return by.agg(F.sum("l_quantity").cast("double").alias("value"))
+
+
+@query("chunk_slice", f"WITH {STEPS} SELECT year(time) AS year, quarter(time) AS quarter, row, col, value FROM s WHERE variable = 'R' AND time >= TIMESTAMP '1996-01-01' AND time < TIMESTAMP '1996-10-01' AND row >= 5 AND row < 150 AND col < 40")
+def chunk_slice(spark, sf_dir):
+    """Three quarters of one variable in a box, from the chunks that meet it."""
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    C.write_store(steps(spark, sf_dir), path, (1, 64, 32))
+    begin, end = spark.range(1).select(*(F.unix_seconds(F.to_timestamp(F.lit(t))) for t in ("1996-01-01", "1996-10-01"))).first()
+    found = C.read_store(spark, path, "R", (begin, end), (5, 150), (0, 40))
+    return found.select(F.year("time").alias("year"), F.quarter("time").alias("quarter"), "row", "col", "value")
+
+
+@query("chunk_append", f"WITH {STEPS} SELECT year(time) AS year, count(*) AS cells, sum(value) AS total FROM s WHERE variable = 'N' GROUP BY ALL")
+def chunk_append(spark, sf_dir):
+    """A store of the steps before 1998, to which the later ones are appended."""
+    path, s = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", steps(spark, sf_dir)
+    C.write_store(s.filter("year(time) < 1998").unionByName(_corner(s)), path, (1, 64, 32))
+    C.append(s.filter("year(time) >= 1998"), path)
+    return C.read_store(spark, path, "N").groupBy(F.year("time").alias("year")).agg(F.count("*").alias("cells"), F.sum("value").alias("total"))
+
+
+def _corner(s):
+    """A cell without a value at the largest row and column of each variable, so that the store has room for all steps."""
+    first = s.filter("year(time) < 1998").agg(F.min("time").alias("time"))
+    ends = s.groupBy("variable").agg(F.max("row").alias("row"), F.max("col").alias("col"))
+    return ends.crossJoin(F.broadcast(first)).select("variable", "time", "row", "col", F.lit(None).cast("double").alias("value"))
