@@ -48,23 +48,29 @@ def box_width(w: Column, e: Column) -> Column:
     return F.when(w <= e, e - w).otherwise(360 - w + e)
 
 
+def lon_intervals(w: Column, e: Column) -> list[tuple[Column, Column]]:
+    """The one or two plain intervals of longitudes of a box; ends of the second are null where there is one."""
+    two = w > e
+    return [(w, F.when(two, F.lit(180.0)).otherwise(e)), (F.when(two, F.lit(-180.0)), F.when(two, e))]
+
+
+def _any(terms: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for t in terms:
+        out = out | F.coalesce(t, F.lit(False))
+    return out
+
+
 def boxes_intersect(a: Sequence[Column], b: Sequence[Column]) -> Column:
-    """Closed overlap.  A box over the antimeridian counts as its two halves."""
-    (aw, as_, ae, an), (bw, bs, be, bn) = a, b
-    rows = (as_ <= bn) & (an >= bs)
-    both = (aw > ae) & (bw > be)
-    plain = (aw <= be) & (ae >= bw)
-    crossing = (aw <= be) | (ae >= bw)
-    return rows & F.when(both, F.lit(True)).when((aw > ae) | (bw > be), crossing).otherwise(plain)
+    """Closed overlap: an interval of one box's longitudes meets one of the other's, and their latitudes meet."""
+    mine, other = lon_intervals(a[0], a[2]), lon_intervals(b[0], b[2])
+    return (a[1] <= b[3]) & (a[3] >= b[1]) & _any([(p <= y) & (q >= x) for p, q in mine for x, y in other])
 
 
 def box_contains(a: Sequence[Column], b: Sequence[Column]) -> Column:
-    """a contains b, as plain boxes.  Where a alone crosses the antimeridian b has to begin in its eastern half or end in its western one; a box
-    that crosses is in no other box."""
-    (aw, as_, ae, an), (bw, bs, be, bn) = a, b
-    halves = [(aw <= bw), (be <= ae)]
-    columns = F.when(bw > be, F.lit(False)).when(aw > ae, halves[0] | halves[1]).otherwise(halves[0] & halves[1])
-    return (as_ <= bs) & (bn <= an) & columns
+    """a contains b: b's longitudes lie in one of a's intervals.  One exception to the geometry: a box that crosses the antimeridian is in no other box."""
+    held = _any([(p <= b[0]) & (b[2] <= q) for p, q in lon_intervals(a[0], a[2])])
+    return (a[1] <= b[1]) & (b[3] <= a[3]) & (b[0] <= b[2]) & held
 
 
 def overlap_area(a: Sequence[Column], b: Sequence[Column]) -> Column:

@@ -131,10 +131,13 @@ def nearest(grid: DataFrame, points: DataFrame, keep: Callable[[DataFrame, int],
     """row, col, value, at (d2, cr, cc, cv): each cell's nearest of ``points`` (row, col, value) at any distance; ties go to the smallest (row, col).
 
     Cells and points meet in blocks of r cells, nine blocks a cell, so whatever is within r is seen.  A cell is done when its
-    nearest point is at most r away; r doubles for the others.  Without points ``at`` is null.
+    nearest point is at most r away; r doubles for the others.  Without points ``at`` is null, as it is for cells that have no row or col; points without them count for nothing.
     """
     shape = "struct<d2:bigint,cr:bigint,cc:bigint,cv:double>"
-    now = keep(grid.select(F.col("row").cast("long"), F.col("col").cast("long"), "value", F.lit(None).cast(shape).alias("at")), 0)
+    cells = grid.select(F.col("row").cast("long"), F.col("col").cast("long"), "value", F.lit(None).cast(shape).alias("at"))
+    placed = F.col("row").isNotNull() & F.col("col").isNotNull()
+    points = points.filter(placed)
+    now = keep(cells.filter(placed), 0)
     steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
     k, r = 0, first
     some = points.limit(1).count() > 0
@@ -147,7 +150,7 @@ def nearest(grid: DataFrame, points: DataFrame, keep: Callable[[DataFrame, int],
         best = near.join(c, ["br", "bc"]).groupBy("row", "col").agg(F.min(F.struct(d2.alias("d2"), "cr", "cc", "cv")).alias("best")).filter(F.col("best.d2") <= r * r)
         now = keep(now.join(best, ["row", "col"], "left").select("row", "col", "value", F.coalesce("at", "best").alias("at")), k)
         r *= 2
-    return now
+    return now.unionByName(cells.filter(~placed))
 
 
 def contextual_fire(grid: DataFrame, half: int = 10, threshold: float = 320.0, delta: float = 10.0, low: float = 330.0, high: float = 360.0, tile: int = 64) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import Kept
+
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
 
@@ -29,29 +31,39 @@ def histogram(df: DataFrame, value: str, bins: int, *by: str) -> DataFrame:
     return df.join(span, list(by)).groupBy(*by, b.cast("int").alias("bin")).agg(F.count("*").alias("count"))
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float], *by: str, bins: int = 1024) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], *by: str, bins: int = 20_000) -> DataFrame:
     """by, q (array<double>): exact quantiles with linear interpolation, in two passes, so that no task holds all values of a group.
 
-    The first pass counts a group's values in ``bins`` equal ranges; only the ranges that hold a wanted rank are read again, as counts of distinct
-    values.  Nulls do not count; a group without values has null quantiles.
+    The first pass is a mergeable sketch whose ranks are off by at most 1 in ``bins``: it gives two values around each wanted rank, however the values are spread.  The second
+    counts the values between each two neighbouring ends, and the distinct values inside only, so a task gets at most about 4 in ``bins`` of a group's values for a rank, or ``bins`` values.
+    Nulls do not count; a group without values has null quantiles.
     """
-    by = list(by)
+    by, k = list(by), len(probs)
     rows = df.select(*by, F.col(value).cast("double").alias("v"))
-    span = rows.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
-    joined = rows.filter("v IS NOT NULL").join(span, by) if by else rows.filter("v IS NOT NULL").crossJoin(F.broadcast(span))  # one row
-    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
-    joined = joined.withColumn("bin", bin_)
-    order = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    counts = joined.groupBy(*by, "bin").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0)))
-    counts = counts.join(span.drop("lo", "hi"), by) if by else counts.crossJoin(F.broadcast(span.select("n")))
-    ranks = F.array(*(f(F.col("n") - 1, p) for p in probs for f in (lambda n, p: F.floor(n * p), lambda n, p: F.ceil(n * p))))
-    inside = lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("c"))
-    wanted = counts.withColumn("ranks", F.array_distinct(F.filter(ranks, inside))).filter("size(ranks) > 0").select(*by, "bin", "before", "ranks")
-    held = joined.join(F.broadcast(wanted) if not by else wanted, [*by, "bin"]).groupBy(*by, "bin", "v").agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("ranks").alias("ranks"))
-    order = W.partitionBy(*by, "bin").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    held = held.withColumn("before", F.col("before") + F.coalesce(F.sum("c").over(order), F.lit(0)))
-    found = held.select(*by, "v", F.explode(F.filter("ranks", inside)).alias("rank")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
-    out = span.join(found, by, "left") if by else span.crossJoin(F.broadcast(found))
+    wide = 2.0 / bins
+    sketch = F.percentile_approx("v", [max(p - wide, 0.0) for p in probs] + [min(p + wide, 1.0) for p in probs], bins)
+    span = rows.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"), sketch.alias("e"))
+    few = F.col("n") <= bins  # a group as small as that is counted whole
+    low = [F.col("lo") if p - wide <= 0 else F.when(few, F.col("lo")).otherwise(F.col("e")[i]) for i, p in enumerate(probs)]
+    high = [F.col("hi") if p + wide >= 1 else F.when(few, F.col("hi")).otherwise(F.col("e")[k + i]) for i, p in enumerate(probs)]
+    span = span.select(*by, "n", *(c.alias(f"low{i}") for i, c in enumerate(low)), *(c.alias(f"high{i}") for i, c in enumerate(high)))
+    rows = rows.filter("v IS NOT NULL")
+    rows = rows.join(span, by) if by else rows.crossJoin(F.broadcast(span))  # one row
+    slot, inside = F.lit(0), F.lit(False)
+    for i in range(k):
+        slot = slot + (F.col("v") >= F.col(f"low{i}")).cast("int") + (F.col("v") > F.col(f"high{i}")).cast("int")
+        inside = inside | F.col("v").between(F.col(f"low{i}"), F.col(f"high{i}"))
+    # a slot lies between neighbouring ends, so its values are all inside or all outside
+    counted = rows.groupBy(*by, "n", slot.alias("slot"), F.when(inside, F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    before = lambda *order: F.coalesce(F.sum("c").over(order[0].rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    slots = counted.groupBy(*by, "slot").agg(F.sum("c").alias("c")).select(*by, "slot", before(W.partitionBy(*by).orderBy("slot")).alias("base"))  # 2 k + 1 a group
+    held = counted.filter("v IS NOT NULL").withColumn("before", before(W.partitionBy(*by, "slot").orderBy("v"))).join(slots, [*by, "slot"])
+    held = held.withColumn("before", F.col("base") + F.col("before"))
+    ranks = F.array_distinct(F.array(*(f((F.col("n") - 1) * p) for p in probs for f in (F.floor, F.ceil))))
+    mine = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("c")))
+    found = held.select(*by, "v", F.explode(mine).alias("rank")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    out = span.select(*by, "n")
+    out = out.join(found, by, "left") if by else out.crossJoin(F.broadcast(found))
 
     def one(p: float) -> Column:
         pos = (F.col("n") - 1) * p
@@ -61,6 +73,33 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], *by: str, bins:
     return out.select(*by, F.array(*(one(p) for p in probs)).alias("q"))
 
 
+def with_median(df: DataFrame, value: Column, name: str, default: float) -> DataFrame:
+    """``df`` with the median of ``value`` over the whole table (nulls do not count; ``default`` without values)."""
+    one = quantiles(df.select(value.alias("v")), "v", (0.5,)).select(F.coalesce(F.col("q")[0], F.lit(default)).alias(name))
+    return df.crossJoin(F.broadcast(one))
+
+
+def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to each in the order of ``order`` (which has no ties): ranges of rows are summed apart, and a range begins where those before it end."""
+    keep = Kept(df.sparkSession, "running")
+    ranged = keep(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))  # a row a task
+    parts = parts.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    own = F.sum(value).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn("_own", own).join(parts, "_part").withColumn(name, F.col("_base") + F.col("_own")).drop("_part", "_own", "_base")
+
+
+def next_value(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``df`` with the first non-null ``value`` from each row on, in the order of ``order``, found range by range with the next range's first carried back."""
+    keep = Kept(df.sparkSession, "next")
+    ranged = keep(df.repartitionByRange(*(F.col(c) for c in order)).withColumn("_part", F.spark_partition_id()))
+    at = F.struct(*order)
+    first = ranged.groupBy("_part").agg(F.min_by(value, F.when(F.col(value).isNotNull(), at)).alias("_first"))  # a row a task
+    parts = first.select("_part", F.first("_first", True).over(W.orderBy("_part").rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    own = F.first(value, True).over(W.partitionBy("_part").orderBy(*order).rowsBetween(0, W.unboundedFollowing))
+    return ranged.withColumn("_own", own).join(parts, "_part").withColumn(name, F.coalesce("_own", "_later")).drop("_part", "_own", "_later")
+
+
 def with_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """``df`` with a column for each (name: column, probability): quantiles of the whole table, a one-row table a column of ``df``."""
     out = df

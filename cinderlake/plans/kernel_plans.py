@@ -167,7 +167,7 @@ def fire_simple_frp(spark, sf_dir):
     """Fire over 320 K and its radiative power over the median of the non-fire cells."""
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (280 + F.col("l_quantity") * 2).alias("kelvin"))
     fire, conf = K.simple_fire(F.col("kelvin"))
-    t = K.with_global(t, F.coalesce(F.median(F.when(~fire, F.col("kelvin"))), F.lit(300.0)).alias("background"))
+    t = S.with_median(t, F.when(~fire, F.col("kelvin")), "background", 300.0)
     return t.filter(fire).select("l_orderkey", "l_linenumber", "kelvin", rnd(conf).alias("confidence"), rnd(K.fire_power(F.col("kelvin"), F.col("background"), 1000.0), 4).alias("frp_mw"))
 
 
@@ -184,7 +184,7 @@ FROM f GROUP BY l_returnflag""",
 def fire_stats(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_returnflag", (280 + F.col("l_quantity") * 2).alias("kelvin"))
     k = F.col("kelvin")
-    t = K.with_global(t, F.coalesce(F.median(F.when(k <= K.FIRE_K, k)), F.lit(300.0)).alias("background"))
+    t = S.with_median(t, F.when(k <= K.FIRE_K, k), "background", 300.0)
     t = t.withColumn("frp", K.fire_power(k, F.col("background"), 1000.0))
     fire = lambda c: F.when(k > K.FIRE_K, c)
     n = F.count(fire(F.lit(1)))

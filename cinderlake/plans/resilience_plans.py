@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import Rounds
 from ..functions.expr import clip, rnd
+from ..operators import statistics as S
 from ..operators.kernels import with_global
 from .registry import query, table
 
@@ -213,11 +214,11 @@ def histogram_match(spark, sf_dir):
     def cdf(flag, factor):
         g = t.filter(F.col("l_returnflag") == flag).groupBy((F.col("l_quantity") * factor).alias("v")).agg(F.count("*").alias("n"))
         g = with_global(g, F.sum("n").alias("total"))
-        return g.select("v", (F.sum("n").over(W.orderBy("v")) / F.col("total")).alias("c"))
+        return S.running_sum(g, "v", "n", "upto").select("v", (F.col("upto") / F.col("total")).alias("c"))
 
-    both = cdf("A", 1).select(F.lit(0).alias("side"), "v", (F.col("c") - 1e-12).alias("c")).union(cdf("R", 2).select(F.lit(1), "v", "c"))
-    up = W.orderBy(F.col("c").desc(), F.col("side").desc(), F.col("v").desc()).rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("matched", F.last(F.when(F.col("side") == 1, F.col("v")), True).over(up)).filter("side = 0").select(F.col("v").alias("value"), "matched")
+    # the reference's value counts from its own share on: values are looked up upwards, a share's reference values first
+    both = cdf("A", 1).select(F.lit(1).alias("side"), "v", (F.col("c") - 1e-12).alias("c"), F.lit(None).cast("double").alias("r")).union(cdf("R", 2).select(F.lit(2), "v", "c", "v"))
+    return S.next_value(both, ["c", "side", "v"], "r", "matched").filter("side = 1").select(F.col("v").alias("value"), "matched")
 
 
 @query("lineage_closure", "WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey > 0), r AS (SELECT child, parent, 1 AS depth FROM e WHERE child % 97 = 0 UNION ALL SELECT r.child, e.parent, depth + 1 FROM r JOIN e ON r.parent = e.child) SELECT child, parent AS ancestor, CAST(depth AS INTEGER) AS depth FROM r")

@@ -314,3 +314,53 @@ def test_scene_quality_of_flat_and_of_poor_scenes(spark):
     flat, poor = q.orderBy("scene").collect()
     assert (flat.completeness, flat.spatial, flat.temporal, flat.radiometric, flat.geometric, flat.atmospheric) == (1.0, 1.0, 0.7, 1.0, 1.0, 1.0) and flat.usable
     assert poor.spatial == 0.8 and poor.temporal == 0.5 and poor.geometric == 0.35 and poor.atmospheric < 0.75 and not poor.usable
+
+
+def test_nearest_ends_on_cells_without_a_place(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (None, 3, 2.0), (5, None, 3.0), (40, 7, 4.0)], "row long, col long, value double")
+    points = spark.createDataFrame([(1, 1, 9.0), (None, 0, 8.0)], "row long, col long, value double")
+    got = {r.value: r["at"] for r in N.nearest(cells, points, Rounds(spark, "test-null")).collect()}
+    assert got[2.0] is None and got[3.0] is None and got[1.0].d2 == 2 and got[4.0].d2 == 39 * 39 + 36
+
+
+@pytest.mark.parametrize("bins", [16, 20_000])
+def test_quantiles_of_crowded_values(spark, bins):
+    """One huge value puts nothing into one range; ties, infinities and small groups stay exact."""
+    rng = random.Random(8)
+    rows = [("tail", rng.random()) for _ in range(3000)] + [("tail", 1e12), ("few", 3.0), ("one", -2.0), ("none", None), ("ties", None)] + [("few", 1.0)] + [("ties", float(rng.randrange(3))) for _ in range(500)] + [("inf", float("inf")), ("inf", 1.0), ("inf", 2.0)]
+    probs = (0.0, 0.01, 0.02, 0.5, 0.501, 0.98, 1.0)
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r.q for r in statistics.quantiles(df, "v", probs, "g", bins=bins).collect()}
+    for g in {k for k, _ in rows}:
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        if not v:
+            assert got[g] == [None] * len(probs)
+            continue
+        for p, q in zip(probs, got[g], strict=True):
+            at = (len(v) - 1) * p
+            lo, hi = int(at), min(int(at) + (at > int(at)), len(v) - 1)
+            want = v[lo] if lo == hi else v[lo] * (hi - at) + v[hi] * (at - lo)
+            assert q == want or abs(q - want) < 1e-9, (g, p)
+
+
+def test_crowded_values_are_dealt_evenly(spark):
+    """Of a heavy-tailed group no slot holds over a hundredth of the values."""
+    df = spark.range(40_000).selectExpr("CASE WHEN id = 7 THEN 1e12 ELSE rand(3) END AS v")
+    sketch = df.agg(F.percentile_approx("v", [0.5 - 2 / 20_000, 0.5 + 2 / 20_000], 20_000).alias("e")).first().e
+    assert df.filter(F.col("v").between(*sketch)).count() < 400
+
+
+def test_running_sum_and_next_value(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(9), rng.random() if rng.random() < 0.2 else None) for i in rng.sample(range(10**6), 500)]
+    df = spark.createDataFrame(rows, "k long, n long, r double").repartition(7)
+    ordered, total, want = sorted(rows), 0, {}
+    for k, n, _ in ordered:
+        total += n
+        want[k] = total
+    assert {r.k: r.s for r in statistics.running_sum(df, "k", "n", "s").collect()} == want
+    later, following = None, {}
+    for k, _, r in reversed(ordered):
+        later = r if r is not None else later
+        following[k] = later
+    assert {r.k: r.x for r in statistics.next_value(df, ["k"], "r", "x").collect()} == following
