@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import rnd
 from ..functions.storage import shared_folder
+from ..operators import resample as W
 from ..sources import chunks as C
 from ..sources import raster as R
 from .registry import query, table
@@ -107,3 +108,36 @@ def _corner(s):
     first = s.filter("year(time) < 1998").agg(F.min("time").alias("time"))
     ends = s.groupBy("variable").agg(F.max("row").alias("row"), F.max("col").alias("col"))
     return ends.crossJoin(F.broadcast(first)).select("variable", "time", "row", "col", F.lit(None).cast("double").alias("value"))
+
+
+@query(
+    "raster_warp",
+    f"""WITH {CELLS}, e AS (SELECT max(row) + 1 AS h FROM c), g AS (SELECT {W.RADIUS} * radians(10.0) AS x0, {W.RADIUS} * asinh(tan(radians(45.0))) AS y0, {W.RADIUS} * asinh(tan(radians(45.0 - h * 0.0001))) AS y1, {W.RADIUS} * radians(10.0064) AS x1 FROM e),
+o AS (SELECT r, c, x0 + (c + 0.5) * 12 AS x, y0 - (r + 0.5) * 12 AS y FROM (SELECT *, unnest(range(CAST(ceil((y0 - y1) / 12) AS BIGINT))) AS r FROM g), (SELECT unnest(range(CAST(ceil((x1 - x0) / 12) AS BIGINT))) AS c FROM g)),
+s AS (SELECT r, c, CAST(floor((45.0 - degrees(atan(sinh(y / {W.RADIUS})))) / 0.0001) AS BIGINT) AS row, CAST(floor((degrees(x / {W.RADIUS}) - 10.0) / 0.0001) AS BIGINT) AS col FROM o)
+SELECT scene, r // 32 AS brow, count(*) AS cells, sum(value) AS total FROM s JOIN c USING (row, col) GROUP BY ALL""",
+)
+def raster_warp(spark, sf_dir):
+    """The scenes, laid out in degrees from 10 E, 45 N, on a Web-Mercator grid of 12 m by nearest cells; totals of 32 rows."""
+    c = cells(spark, sf_dir)
+    height = c.agg(F.max("row")).first()[0] + 1
+    source = W.Grid(4326, 10.0, 45.0, 0.0001, 0.0001, 64, height)
+    out = W.warp(c, source, W.target_grid(source, 3857, 12.0), 0, 64)
+    return out.groupBy("scene", F.expr("row div 32").alias("brow")).agg(F.count("*").alias("cells"), F.sum("value").alias("total"))
+
+
+@query(
+    "zoom_ratio",
+    f"""WITH {CELLS}, e AS (SELECT max(row) + 1 AS h, (max(row) + 1) * 3 // 2 AS oh FROM c),
+o AS (SELECT r, c, r * (h - 1.0) / (oh - 1.0) AS y, c * 63.0 / 99.0 AS x FROM (SELECT *, unnest(range(oh)) AS r FROM e), (SELECT unnest(range(100)) AS c)),
+n AS (SELECT r, c, a, b, (CASE WHEN a = 0 THEN 1 - (y - y0) ELSE y - y0 END) * (CASE WHEN b = 0 THEN 1 - (x - x0) ELSE x - x0 END) AS w, CAST(y0 + a AS BIGINT) AS row, CAST(x0 + b AS BIGINT) AS col
+ FROM (SELECT *, least(floor(y), h - 2) AS y0, least(floor(x), 62) AS x0 FROM o, (SELECT h FROM e)), (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)),
+k AS (SELECT scene, r, c, sum(w) AS w, sum(w * value) AS value FROM n JOIN c ON c.row = n.row AND c.col = n.col WHERE w > 0 GROUP BY ALL HAVING sum(w) > 1 - 1e-9)
+SELECT scene, r // 32 AS brow, count(*) AS cells, round(avg(value), 3) AS mean FROM k GROUP BY ALL""",
+)
+def zoom_ratio(spark, sf_dir):
+    """Bilinear to one and a half times the rows and 100 columns; cells that a missing one weighs in are left out."""
+    c = cells(spark, sf_dir)
+    height = c.agg(F.max("row")).first()[0] + 1
+    out = W.zoom(c, (height, 64), (height * 3 // 2, 100), 1, 64)
+    return out.groupBy("scene", F.expr("row div 32").alias("brow")).agg(F.count("*").alias("cells"), rnd(F.avg("value"), 3).alias("mean"))
