@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import Kept
 
+GROUPS = 4096
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
 
@@ -47,8 +48,16 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], *by: str, bins:
     low = [F.col("lo") if p - wide <= 0 else F.when(few, F.col("lo")).otherwise(F.col("e")[i]) for i, p in enumerate(probs)]
     high = [F.col("hi") if p + wide >= 1 else F.when(few, F.col("hi")).otherwise(F.col("e")[k + i]) for i, p in enumerate(probs)]
     span = span.select(*by, "n", *(c.alias(f"low{i}") for i, c in enumerate(low)), *(c.alias(f"high{i}") for i, c in enumerate(high)))
+    # the first pass runs here; the ends of up to GROUPS groups go to all tasks, more meet their rows in a join
+    found = span.limit(GROUPS + 1).collect()
+    few_groups = len(found) <= GROUPS
+    if few_groups:
+        span = df.sparkSession.createDataFrame(found, span.schema)
     rows = rows.filter("v IS NOT NULL")
-    rows = rows.join(span, by) if by else rows.crossJoin(F.broadcast(span))  # one row
+    if by:
+        rows = rows.join(F.broadcast(span) if few_groups else span, by)
+    else:
+        rows = rows.withColumns({c: F.lit(found[0][c]).cast(t) for c, t in span.dtypes})
     slot, inside = F.lit(0), F.lit(False)
     for i in range(k):
         slot = slot + (F.col("v") >= F.col(f"low{i}")).cast("int") + (F.col("v") > F.col(f"high{i}")).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.storage import Rounds
+from ..functions.storage import Kept
 from ..functions.expr import clip, rnd
 from ..operators import statistics as S
 from ..operators.kernels import with_global
@@ -221,15 +221,14 @@ def histogram_match(spark, sf_dir):
     return S.next_value(both, ["c", "side", "v"], "r", "matched").filter("side = 1").select(F.col("v").alias("value"), "matched")
 
 
-@query("lineage_closure", "WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey > 0), r AS (SELECT child, parent, 1 AS depth FROM e WHERE child % 97 = 0 UNION ALL SELECT r.child, e.parent, depth + 1 FROM r JOIN e ON r.parent = e.child) SELECT child, parent AS ancestor, CAST(depth AS INTEGER) AS depth FROM r")
+@query("lineage_closure", "WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey > 0), r AS (SELECT child, parent, 1 AS depth FROM e UNION ALL SELECT r.child, e.parent, depth + 1 FROM r JOIN e ON r.parent = e.child) SELECT child, parent AS ancestor, CAST(depth AS INTEGER) AS depth FROM r")
 def lineage_closure(spark, sf_dir):
-    """Ancestors of products, a level a round: each round is written, so the depth meets no limit of a recursive query."""
-    keep = Rounds(spark, "lineage")
+    """All ancestors of every product, a level a round: each level is written once, so the depth meets no limit of a recursive query."""
+    keep = Kept(spark, "lineage")
     e = table(spark, sf_dir, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 3").alias("parent"))
-    now, depth = keep(e.filter("child % 97 = 0").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), 0), 1
     up = e.select(F.col("child").alias("ancestor"), "parent")
-    while now.filter(F.col("depth") == depth).limit(1).count():
-        more = now.filter(F.col("depth") == depth).join(up, "ancestor").select("child", F.col("parent").alias("ancestor"), F.lit(depth + 1).alias("depth"))
-        now = keep(now.unionByName(more), depth)
-        depth += 1
-    return now
+    level = out = keep(e.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    while level.limit(1).count():
+        level = keep(level.join(up, "ancestor").select("child", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")))
+        out = out.unionByName(level)
+    return out
