@@ -34,6 +34,18 @@ PAIR_RULES = (
     ("optical", "lidar", "vegetation_damage", "complementary", 0.6, 0.95, -0.15, 0.15, 0.2),
     ("dem", "optical", "flood_susceptibility", "complementary", 0.3, 0.7, -0.3, 0.3, 0.4),
 )
+#: Shares of the two haze terms, the ratio's span and the contrast's factor; the shadow and saturation percents that cost the whole part; what a usable optical scene needs.
+HAZE_RATIO, HAZE_CONTRAST, HAZE_SPAN, HAZE_FACTOR = 0.6, 0.4, 0.5, 2
+SHADOW_FULL, SATURATION_FULL = 50, 10
+OPTICAL_LEAST_SCORE, OPTICAL_MOST_CLOUD, OPTICAL_LEAST_CLEAR = 0.3, 80, 20
+#: Elevation voids in percent that are interpolated and how many that fills; shares of voids that stay after blending, replacing and morphological filling; least coverage; the accuracy of no source.
+VOIDS_INTERPOLATED, VOIDS_FILLED, LEFT_BLENDED, LEFT_REPLACED, LEFT_MORPHOLOGICAL, LEAST_COVERAGE, NO_ACCURACY = 10, 8, 0.1, 0.2, 0.5, 50, 999.0
+#: Edge deviations from which a scene is marked and their span; signal to noise under which it is marked, and the least cells; stripes likewise; what each mark costs at most.
+EDGE_FROM, EDGE_SPAN, NOISE_SNR, NOISE_CELLS, STRIPES_FROM, STRIPES_SPAN = 3, 5, 10, 10, 0.1, 0.5
+EDGE_COST, NOISE_COST, STRIPES_COST = 0.2, 0.2, 0.15
+#: Temporal score without a date, days from which it falls, days and share of its fall; geometric score without a system and at the origin; what a usable scene needs.
+NO_DATE, FRESH_DAYS, STALE_DAYS, STALE_COST, NO_CRS, AT_ORIGIN = 0.7, 30, 60, 0.5, 0.5, 0.7
+SCENE_LEAST_SCORE, SCENE_LEAST_COMPLETE, SCENE_MOST_MARK = 0.3, 0.3, 0.9
 
 
 def _scaled(v: Column, low: str, high: str) -> Column:
@@ -70,13 +82,13 @@ def optical_quality(pixels: DataFrame, scene: str, bands: Sequence[str], blue: s
         F.count_if("valid").alias("n"), share(F.col("cloud")).alias("cloud"), share(F.col("shadow")).alias("shadow"), share(F.col("saturated")).alias("saturation"),
         share(F.col("valid") & ~F.col("cloud") & ~F.col("shadow") & ~F.col("saturated")).alias("clear"), F.first("ratio").alias("ratio"), F.first("contrast").alias("contrast"),
     )
-    haze = F.when(F.col("ratio").isNull(), 0.0).otherwise(clip(0.6 * clip((F.col("ratio") - 1) / 0.5, 0, 1) + 0.4 * F.greatest(F.lit(0.0), 1 - 2 * F.col("contrast")), 0, 1))
+    haze = F.when(F.col("ratio").isNull(), 0.0).otherwise(clip(HAZE_RATIO * clip((F.col("ratio") - 1) / HAZE_SPAN, 0, 1) + HAZE_CONTRAST * F.greatest(F.lit(0.0), 1 - HAZE_FACTOR * F.col("contrast")), 0, 1))
     g = g.withColumn("haze", haze)
     none = F.lit(0.0)
-    part = {"cloud": F.greatest(none, 1 - F.col("cloud") / 100), "shadow": F.greatest(none, 1 - F.col("shadow") / 50), "haze": 1 - F.col("haze"), "glint": F.lit(1.0), "saturation": F.greatest(none, 1 - F.col("saturation") / 10), "clear": F.col("clear") / 100}
+    part = {"cloud": F.greatest(none, 1 - F.col("cloud") / 100), "shadow": F.greatest(none, 1 - F.col("shadow") / SHADOW_FULL), "haze": 1 - F.col("haze"), "glint": F.lit(1.0), "saturation": F.greatest(none, 1 - F.col("saturation") / SATURATION_FULL), "clear": F.col("clear") / 100}
     score = F.when(F.col("n") > 0, clip(sum(w * part[k] for k, w in OPTICAL_WEIGHTS.items()), 0, 1)).otherwise(0.0)
     g = g.withColumn("score", score)
-    return g.select(scene, "cloud", "shadow", "saturation", "clear", "haze", "score", ((F.col("score") >= 0.3) & (F.col("cloud") <= 80) & (F.col("clear") >= 20)).alias("usable"))
+    return g.select(scene, "cloud", "shadow", "saturation", "clear", "haze", "score", ((F.col("score") >= OPTICAL_LEAST_SCORE) & (F.col("cloud") <= OPTICAL_MOST_CLOUD) & (F.col("clear") >= OPTICAL_LEAST_CLEAR)).alias("usable"))
 
 
 def speckle_filter(looks: Column, multi_temporal: bool = True) -> tuple[Column, Column]:
@@ -106,16 +118,16 @@ def dem_fallback(status: DataFrame, area: str, resolution: float = 30.0, accurac
     order = F.array_position(F.array(*(F.lit(n) for n, _, _ in DEM_SOURCES)), F.col("source"))
     of = lambda k: F.element_at(F.create_map(*[F.lit(x) for d in DEM_SOURCES for x in (d[0], d[k])]), F.col("source"))
     voids = F.coalesce("voids", F.lit(0.0))
-    good = F.col("available") & (order > 0) & (of(1) <= resolution) & (of(2) <= accuracy) & (F.coalesce(F.col("coverage"), 100 - voids) >= 50)
+    good = F.col("available") & (order > 0) & (of(1) <= resolution) & (of(2) <= accuracy) & (F.coalesce(F.col("coverage"), 100 - voids) >= LEAST_COVERAGE)
     one = F.struct(order.alias("order"), F.col("source").alias("source"), of(1).alias("metres"), of(2).alias("error"), voids.alias("voids"))
     g = status.groupBy(area).agg(F.array_sort(F.collect_list(F.when(good, one))).alias("all"))
     g = g.withColumn("a", F.get("all", F.lit(0))).withColumn("b", F.get(F.filter("all", lambda x: x["voids"] < F.col("a.voids")), F.lit(0)))
     v, many = F.col("a.voids"), F.col("a.voids") > most_voids
-    filling = F.when(F.col("a").isNull() | ~many, "none").when(v <= 10, "interpolation").when(F.col("b").isNotNull(), "blend" if blend else "alternative_dem").otherwise("morphological")
+    filling = F.when(F.col("a").isNull() | ~many, "none").when(v <= VOIDS_INTERPOLATED, "interpolation").when(F.col("b").isNotNull(), "blend" if blend else "alternative_dem").otherwise("morphological")
     g = g.withColumn("filling", filling).withColumn("two", F.col("filling").isin("blend", "alternative_dem"))
-    left = F.when(F.col("a").isNull(), 100.0).when(F.col("filling") == "interpolation", F.greatest(v - 8, F.lit(0.0))).when(F.col("two"), v * (0.1 if blend else 0.2)).when(F.col("filling") == "morphological", v * 0.5).otherwise(v)
+    left = F.when(F.col("a").isNull(), 100.0).when(F.col("filling") == "interpolation", F.greatest(v - VOIDS_FILLED, F.lit(0.0))).when(F.col("two"), v * (LEFT_BLENDED if blend else LEFT_REPLACED)).when(F.col("filling") == "morphological", v * LEFT_MORPHOLOGICAL).otherwise(v)
     worst = lambda c, none: F.when(F.col("a").isNull(), none).when(F.col("two"), F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}"))).otherwise(F.col(f"a.{c}"))
-    return g.select(area, F.col("a.source").alias("source"), F.when(F.col("two"), F.col("b.source")).alias("second"), "filling", worst("metres", 0.0).alias("resolution"), worst("error", 999.0).alias("accuracy"), left.alias("voids"))
+    return g.select(area, F.col("a.source").alias("source"), F.when(F.col("two"), F.col("b.source")).alias("second"), "filling", worst("metres", 0.0).alias("resolution"), worst("error", NO_ACCURACY).alias("accuracy"), left.alias("voids"))
 
 
 def scene_quality(cells: DataFrame, scene: str, facts: DataFrame, size: int, cloud: Column, edge: int = 10) -> DataFrame:
@@ -138,23 +150,23 @@ def scene_quality(cells: DataFrame, scene: str, facts: DataFrame, size: int, clo
     off = F.coalesce(F.try_divide(F.greatest(*(F.abs(F.col(k) - F.col("mu_in")) for k in sides)), F.col("sd_in")), F.lit(0.0))
     snr, stripes = F.try_divide(F.abs("mu"), F.col("sd")), F.coalesce(F.try_divide(F.col("stripes"), F.col("sd")), F.lit(0.0))
     bad = {
-        "edges": F.when(off > 3, unit((off - 3) / 5)).otherwise(0.0),
-        "noise": F.when((snr < 10) & (F.col("mu") != 0) & (F.col("n") > 10), unit((10 - snr) / 10)).otherwise(0.0),
-        "stripes": F.when(stripes > 0.1, unit((stripes - 0.1) / 0.5)).otherwise(0.0),
+        "edges": F.when(off > EDGE_FROM, unit((off - EDGE_FROM) / EDGE_SPAN)).otherwise(0.0),
+        "noise": F.when((snr < NOISE_SNR) & (F.col("mu") != 0) & (F.col("n") > NOISE_CELLS), unit((NOISE_SNR - snr) / NOISE_SNR)).otherwise(0.0),
+        "stripes": F.when(stripes > STRIPES_FROM, unit((stripes - STRIPES_FROM) / STRIPES_SPAN)).otherwise(0.0),
     }
     g = g.select("*", *(x.alias(f"bad_{k}") for k, x in bad.items()))
     age = F.col("age_days")
     part = {
         "completeness": F.col("n") / (size * size),
-        "spatial": 1 - F.col("bad_edges") * 0.2,
-        "temporal": F.when(age.isNull(), 0.7).when(age > 30, 1 - 0.5 * unit((age - 30) / 60)).otherwise(1.0),
-        "radiometric": (1 - F.col("bad_noise") * 0.2) * (1 - F.col("bad_stripes") * 0.15),
-        "geometric": F.when(F.col("crs").isNull(), 0.5).otherwise(1.0) * F.when(F.col("at_origin"), 0.7).otherwise(1.0),
+        "spatial": 1 - F.col("bad_edges") * EDGE_COST,
+        "temporal": F.when(age.isNull(), NO_DATE).when(age > FRESH_DAYS, 1 - STALE_COST * unit((age - FRESH_DAYS) / STALE_DAYS)).otherwise(1.0),
+        "radiometric": (1 - F.col("bad_noise") * NOISE_COST) * (1 - F.col("bad_stripes") * STRIPES_COST),
+        "geometric": F.when(F.col("crs").isNull(), NO_CRS).otherwise(1.0) * F.when(F.col("at_origin"), AT_ORIGIN).otherwise(1.0),
         "atmospheric": 1 - F.col("clouds") / (size * size),
     }
     g = g.select(scene, *(x.cast("double").alias(k) for k, x in part.items()), F.greatest("bad_edges", "bad_noise", "bad_stripes").alias("worst"))
     g = g.withColumn("score", sum(w * F.col(k) for k, w in QUALITY_WEIGHTS.items()))
-    return g.select(scene, *part, "score", ((F.col("score") >= 0.3) & (F.col("completeness") >= 0.3) & (F.col("worst") <= 0.9)).alias("usable"))
+    return g.select(scene, *part, "score", ((F.col("score") >= SCENE_LEAST_SCORE) & (F.col("completeness") >= SCENE_LEAST_COMPLETE) & (F.col("worst") <= SCENE_MOST_MARK)).alias("usable"))
 
 
 def compare_sensors(observations: DataFrame, cells: int | Column, observable: str = "water_extent", least_overlap: float = 0.3, default_tolerance: float = 0.1) -> DataFrame:

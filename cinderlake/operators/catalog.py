@@ -10,16 +10,6 @@ from ..functions.expr import COST_SCORE, QUALITY_SCORE, RESOLUTION_DECAY_M, TEMP
 
 #: Words that say nothing about a topic.
 STOPWORDS = ("the", "and", "for", "with", "from", "that", "this", "was", "are", "you", "not")
-#: A small event taxonomy, class path to keywords.
-TAXONOMY = {
-    "flood": ("flood", "water", "inundation"),
-    "flood.coastal": ("surge", "coastal", "tide", "hurricane"),
-    "flood.riverine": ("river", "overflow", "levee"),
-    "wildfire": ("fire", "wildfire", "burn"),
-    "wildfire.forest": ("forest", "trees", "canopy"),
-    "storm": ("storm", "wind", "damage"),
-    "storm.tornado": ("tornado", "funnel"),
-}
 
 
 def broker_scores(c: DataFrame, aoi_days: Column) -> DataFrame:
