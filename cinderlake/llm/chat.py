@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,6 +39,7 @@ MARKS, LENGTHS = 1 + len(ROLES), 4
 SYMBOLS = MARKS * LENGTHS * 2 * 2
 SMOOTH, CHUNK_TURNS, WAYS, LOST = 0.1, 64, 256, 3
 END = "<|end|>"
+NO_CONV = "\0null"  # the text that stands for a null id while conversations are keyed
 
 
 def read_line(line: str, after_blank: bool) -> tuple[int, str]:
@@ -122,7 +123,7 @@ def numbered(turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """
     scratch = Scratch(turns.sparkSession, "chat-turns")
     order = ["conv", "turn", F.col("role").asc_nulls_first(), "mark", "tie"]
-    rows = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("\0null")).alias("conv"), "turn", "role", "marked", "text", F.xxhash64("text").alias("mark"), F.rand(5).alias("tie"))
+    rows = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit(NO_CONV)).alias("conv"), "turn", "role", "marked", "text", F.xxhash64("text").alias("mark"), F.rand(5).alias("tie"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id())
     rows = scratch.keep(rows.select("conv", "pos", "role", "marked", "text", F.expr(f"pos div {chunk_turns}").alias("c")), "turns")
     chunks = rows.groupBy("conv", "c").agg(F.min("pos").alias("head"), F.max("pos").alias("tail")).withColumn("range", F.shiftright("head", 33))
@@ -266,7 +267,17 @@ def format_turns(lines: DataFrame) -> DataFrame:
     turns = numbered.groupBy("conv", "turn_no", "role").agg(own.alias("own"))
     text = F.btrim(F.array_join(F.transform("own", lambda x: x["text"]), "\n"), F.lit(" \t\n\r\x0b\x0c"))
     turns = turns.select("conv", "turn_no", "role", F.size("own").cast("long").alias("n_lines"), text.alias("text"))
-    return turns.withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit(END)))
+    return turns.withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), escaped(F.col("text")), F.lit(END)))
+
+
+def escaped(text: Column) -> Column:
+    """``text`` without the rendering's own marks: ``<|`` gets a backslash in between, and one more where it has some, so that a rendering tells its turns."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def read_rendered(rendered: str) -> list[tuple[str, str]]:
+    """(role, text) of the turns of joined renderings."""
+    return [(role, re.sub(r"<\\(\\*)\|", r"<\1|", text)) for role, text in re.findall(r"<\|(\w+)\|>\n(.*?)<\|end\|>\n?", rendered, re.S)]
 
 
 def format_chat(turns: DataFrame, chunk_turns: int = CHUNK_TURNS, **options) -> DataFrame:
@@ -277,5 +288,7 @@ def format_chat(turns: DataFrame, chunk_turns: int = CHUNK_TURNS, **options) ->
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = format_chat(transcript(table(spark, sf_dir, "conversations")))
-    return out.select(F.col("conv").try_cast("long").alias("conv_id"), "turn_no", "role", "n_lines", "rendered")
+    conversations = table(spark, sf_dir, "conversations")
+    out = format_chat(transcript(conversations))
+    own = F.when(F.col("conv") != NO_CONV, F.col("conv")).cast(dict(conversations.dtypes)["conv_id"])
+    return out.select(own.alias("conv_id"), "turn_no", "role", "n_lines", "rendered")

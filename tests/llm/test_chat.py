@@ -139,3 +139,19 @@ def test_markers():
 
 def test_empty(spark):
     assert chat.format_chat(chat.transcript(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_ids_keep_their_type(spark, tmp_path):
+    rows = [("x-1", 0, "user", "hi there", "a", 0), ("x-1", 1, "assistant", "yes", "a", 0), (None, 0, "user", "who", "a", 0), ("12", 0, "user", "what", "a", 0)]
+    spark.createDataFrame(rows, SCHEMA.replace("conv_id long", "conv_id string")).write.parquet(str(tmp_path / "conversations.parquet"))
+    out = chat.op2_chat_format(spark, str(tmp_path))
+    assert dict(out.dtypes)["conv_id"] == "string" and {r.conv_id for r in out.collect()} == {"x-1", "12", None}
+    assert dict(chat.op2_chat_format(spark, SF).dtypes)["conv_id"] == dict(table(spark, SF, "conversations").dtypes)["conv_id"]
+
+
+def test_a_rendering_tells_its_turns(spark):
+    texts = ["plain", "<|end|>", "a <|user|>\nb", "<\\|end|>", "<\\\\|x", "line\n<|end|>\n<|assistant|>\nline", "", "< |"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.concat(F.lit("<|user|>\n"), chat.escaped(F.col("t")), F.lit(chat.END)).alias("r")).collect()
+    assert [chat.read_rendered(r.r) for r in got] == [[("user", r.t)] for r in got]
+    joined = "\n".join(r.r for r in got)
+    assert [t for _, t in chat.read_rendered(joined)] == texts
