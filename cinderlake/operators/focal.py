@@ -153,6 +153,24 @@ def nearest(grid: DataFrame, points: DataFrame, keep: Callable[[DataFrame, int],
     return now.unionByName(cells.filter(~placed))
 
 
+#: Bounds of the confidence of cells filled from the nearest one.
+NEAREST_LEAST, NEAREST_MOST = 0.1, 0.8
+
+
+def fill_nearest(grid: DataFrame, keep: Callable[[DataFrame], DataFrame], most: float = 10.0) -> DataFrame:
+    """row, col, value, confidence: gaps (cells whose value is null or NaN) take the nearest cell's value, at any distance; ties go to the smallest (row, col).
+
+    Confidence is 1 for cells with a value, else 1 - distance / ``most`` within 0.1 and 0.8.  Without any value, or a place, gaps stay, with confidence 0.
+    ``keep`` writes a table and reads it back, and drops none before the result is used.
+    """
+    some = F.col("value").isNotNull() & ~F.isnan("value")
+    cells = keep(grid.select("row", "col", F.col("value").cast("double").alias("value")))
+    near = nearest(cells.filter(~F.coalesce(some, F.lit(False))), cells.filter(some), lambda df, k: keep(df))
+    sure = F.least(F.greatest(1 - F.sqrt("at.d2") / most, F.lit(NEAREST_LEAST)), F.lit(NEAREST_MOST))
+    filled = near.select("row", "col", F.col("at.cv").alias("value"), F.when(F.col("at").isNotNull(), sure).otherwise(0.0).alias("confidence"))
+    return cells.filter(some).withColumn("confidence", F.lit(1.0)).unionByName(filled)
+
+
 def contextual_fire(grid: DataFrame, half: int = 10, threshold: float = 320.0, delta: float = 10.0, low: float = 330.0, high: float = 360.0, tile: int = 64) -> DataFrame:
     """row, col, value, mu, sd, fire, confidence for each valid cell of brightness temperatures in kelvin.
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.expr import rnd
-from ..functions.storage import Rounds
+from ..functions.storage import Kept, Rounds
 from ..operators import focal as N
 from ..operators.kernels import with_global
 from .registry import query, table
@@ -181,6 +181,18 @@ def idw_fill(spark, sf_dir):
     return out.join(g.filter(hole).select("row", "col"), ["row", "col"], "left_semi")
 
 
+@query(
+    "gap_fill_nearest",
+    f"""WITH {G}, h AS (SELECT row, col, CASE WHEN (row * 7 + col * 13) % 11 > 2 THEN value END AS value FROM g), ok AS (SELECT * FROM h WHERE value IS NOT NULL),
+n AS (SELECT h.row, h.col, min((CAST((h.row - ok.row) * (h.row - ok.row) + (h.col - ok.col) * (h.col - ok.col) AS BIGINT), ok.row, ok.col, ok.value)) AS best FROM h JOIN ok ON ok.row BETWEEN h.row - 12 AND h.row + 12 AND ok.col BETWEEN h.col - 12 AND h.col + 12 WHERE h.value IS NULL GROUP BY h.row, h.col)
+SELECT row, col, round(value, 5) AS value, 1.0 AS confidence FROM ok UNION ALL SELECT row, col, round(best[4], 5), round(least(greatest(1 - sqrt(best[1]) / 10, 0.1), 0.8), 6) FROM n""",
+)
+def gap_fill_nearest(spark, sf_dir):
+    """Gaps (three cells in eleven) from the nearest cell that is left, with a confidence that falls with distance."""
+    g = grid(spark, sf_dir).withColumn("value", F.when((F.col("row") * 7 + F.col("col") * 13) % 11 > 2, F.col("value")))
+    return N.fill_nearest(g, Kept(spark, "gaps")).select("row", "col", rnd("value", 5).alias("value"), rnd("confidence").alias("confidence"))
+
+
 @query(
     "downsample_avg_mode",
     f"""WITH {G} SELECT ((row + 1) * 10 - 1) // 64 AS brow, ((col + 1) * 10 - 1) // 64 AS bcol, round(avg(value) + 1e-9, 5) AS average, min(value) AS low, max(value) AS high, arg_min(value, (row, col)) AS nearest, count(*) AS n FROM g GROUP BY ALL""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cinderlake.functions import expr as E
 from cinderlake.functions.normal import normal_cdf
-from cinderlake.functions.storage import Rounds
+from cinderlake.functions.storage import Kept, Rounds
 from cinderlake.operators import assessment, catalog, statistics
 from cinderlake.operators import focal as N
 from cinderlake.operators import fusion as M
@@ -364,3 +364,20 @@ def test_running_sum_and_next_value(spark):
         later = r if r is not None else later
         following[k] = later
     assert {r.k: r.x for r in statistics.next_value(df, ["k"], "r", "x").collect()} == following
+
+
+def test_fill_nearest_against_brute_force(spark):
+    rng = random.Random(12)
+    cells = {(rng.randrange(90), rng.randrange(20)): rng.choice([None, float("nan"), rng.random()]) for _ in range(300)}
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in cells.items()] + [(None, 3, None)], "row long, col long, value double")
+    got = {(r.row, r.col): (r.value, r.confidence) for r in N.fill_nearest(df, Kept(spark, "test-fill"), 6.0).collect()}
+    known = {k: v for k, v in cells.items() if v is not None and v == v}
+    assert got.pop((None, 3)) == (None, 0.0) and set(got) == set(cells)
+    for k, (value, sure) in got.items():
+        if k in known:
+            assert (value, sure) == (known[k], 1.0)
+        else:
+            d2, r, c = min(((k[0] - r) ** 2 + (k[1] - c) ** 2, r, c) for r, c in known)
+            assert value == known[r, c] and abs(sure - min(max(1 - math.sqrt(d2) / 6, 0.1), 0.8)) < 1e-12
+    none = N.fill_nearest(df.filter("value IS NULL"), Kept(spark, "test-fill")).collect()
+    assert all(r.value is None and r.confidence == 0.0 for r in none)
