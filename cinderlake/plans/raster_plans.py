@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import rnd
 from ..functions.storage import shared_folder
 from ..operators import resample as W
+from ..operators import validation
 from ..sources import chunks as C
 from ..sources import raster as R
 from .registry import query, table
@@ -141,3 +142,16 @@ def zoom_ratio(spark, sf_dir):
     height = c.agg(F.max("row")).first()[0] + 1
     out = W.zoom(c, (height, 64), (height * 3 // 2, 100), 1, 64)
     return out.groupBy("scene", F.expr("row div 32").alias("brow")).agg(F.count("*").alias("cells"), rnd(F.avg("value"), 3).alias("mean"))
+
+
+@query(
+    "validation_suite",
+    f"""WITH {CELLS}, m AS (SELECT scene, avg(value) AS mu, stddev_pop(value) AS sd, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, max(value) AS top, count(*) AS n, (max(col) + 1) * (max(row) + 1) AS cells FROM c GROUP BY scene),
+s AS (SELECT scene, any_value(n) AS n, any_value(cells) AS cells, 100.0 * avg(CASE WHEN abs(value - mu) > 3 * sd THEN 1 ELSE 0 END) AS z, 100.0 * avg(CASE WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) AS iqr, 100.0 * avg(CASE WHEN value >= 0.99 * top THEN 1 ELSE 0 END) AS sat FROM c JOIN m USING (scene) GROUP BY scene),
+k AS (SELECT scene, round(100.0 * n / cells, 6) AS coverage, CASE WHEN z > 5 THEN 2 WHEN z > 1 THEN 1 ELSE 0 END AS a, CASE WHEN iqr > 2 THEN 1 ELSE 0 END AS b, CASE WHEN sat > 1 THEN 1 ELSE 0 END AS d, CASE WHEN n < cells / 2 THEN 2 ELSE 0 END AS e FROM s)
+SELECT scene, coverage >= 20 AS valid, coverage, CAST((a > 0)::INT + b + d + (e > 0)::INT AS INTEGER) AS n_anomalies, round(1 - 0.1 * (a + b + d + e), 3) AS quality, round((1 + round(1 - 0.1 * (a + b + d + e), 3) + coverage / 100) / 3, 3) AS score FROM k""",
+)
+def validation_suite(spark, sf_dir):
+    """Integrity, anomalies and completeness of the written scenes, of which a fifth is to have data."""
+    v = validation.validate(written(spark, sf_dir), least_coverage=20.0, expected_epsg=32633)
+    return v.select(_scene(), "valid", "coverage", "n_anomalies", "quality", "score")

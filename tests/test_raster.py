@@ -205,3 +205,29 @@ def test_ingest_of_a_stream(spark, tmp_path):
     for _ in range(2):
         R.ingest(R.raster_files(spark, str(inbox)), batch, double, **checks)
     assert spark.read.parquet(f"{batch}/tiles").count() == 2 and spark.read.parquet(f"{batch}/files").count() == 3
+
+
+def test_validation_suite(spark, tmp_path):
+    from cinderlake.operators import validation
+
+    folder = tmp_path / "v"
+    rng = np.random.default_rng(4)
+    calm = rng.integers(40, 60, (60, 50)).astype(float)
+    wild = calm.copy()
+    wild[:3] = 9000.0  # outliers by both rules
+    rows = [("good", b, r, c, float(calm[r, c])) for b in range(2) for r in range(60) for c in range(50)]
+    rows += [("wild", 0, r, c, float(wild[r, c])) for r in range(60) for c in range(50)]
+    rows += [("thin", 0, r, c, float(calm[r, c])) for r in range(60) for c in range(50) if r % 4 == 0 or (r, c) == (59, 49)]
+    rows += [("uneven", b, r, c, float(calm[r, c])) for b in range(2) for r in range(60) for c in range(50) if b == 0 or r > 8]
+    R.write_tiled(spark.createDataFrame(rows, "scene string, band int, row long, col long, value double"), str(folder), 16, epsg="32633")
+    (folder / "junk.tif").write_bytes(b"II*\0 not a raster")
+    got = {os.path.basename(r.path)[:-4]: r for r in validation.validate(R.raster_files(spark, str(folder)), expected_epsg=32633).collect()}
+    assert set(got) == {"good", "wild", "thin", "uneven", "junk"}
+    assert got["good"].valid and got["good"].coverage == 100.0 and got["good"].n_anomalies <= 4
+    kinds = {os.path.basename(r.path)[:-4]: r for r in validation.validate(R.raster_files(spark, str(folder)), expected_bands=2, expected_epsg=4326).collect()}
+    assert {i.what for i in kinds["good"].issues} == {"coordinate system"} and {i.what for i in kinds["wild"].issues} == {"coordinate system", "bands"} and not kinds["wild"].valid
+    assert got["wild"].quality < got["good"].quality or got["wild"].n_anomalies >= 2
+    assert not got["thin"].valid and [(i.what, i.severity) for i in got["thin"].issues] == [("coverage", "high")] and abs(got["thin"].coverage - 100 * 751 / 3000) < 1e-4
+    assert got["uneven"].valid and [(i.what, i.severity) for i in got["uneven"].issues] == [("band coverage", "medium")] and got["uneven"].coverage == 85.0
+    junk = got["junk"]
+    assert not junk.valid and junk.integrity and junk.quality == 0.0 and junk.score < 0.4 and "issues" in junk.summary
