@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 EPS = 1e-6
 
@@ -27,6 +28,28 @@ def rnd(c: Column | str, digits: int = 6) -> Column:
     return F.round(col(c), digits)
 
 
+def steady_sum(c: Column | str, over: WindowSpec | None = None) -> Column:
+    """Sum of doubles that is the same in whatever order rows are added, so that a threshold met exactly is met at every layout of the table.
+
+    Multiples of 2^-20 (values up to 2^32 in all) and what is left of each value are added apart; either sum is exact, and they are rounded once.
+    """
+    v = col(c).cast("double")
+    whole = F.floor(v * float(1 << 20)).cast("double") / float(1 << 20)
+    parts = [F.sum(whole), F.sum(v - whole)]
+    return parts[0] + parts[1] if over is None else parts[0].over(over) + parts[1].over(over)
+
+
+def steady_std(c: Column | str) -> Column:
+    """Population deviation of a group's values, always added in their own order: for groups with a bound, such as the sources of a cell."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(s: Column, x: Column) -> Column:
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["m2"] + (x - mean) * (x - s["mean"])).alias("m2"))
+
+    return F.aggregate(F.array_sort(F.collect_list(col(c).cast("double"))), start, add, lambda s: F.when(s["n"] > 0, F.sqrt(s["m2"] / s["n"])))
+
+
 def clean(value: Column | str, nodata: float | None = None, valid: Column | None = None, quality: Column | None = None) -> Column:
     """Null for each encoding of missing data: NaN, infinities, the nodata value, a false mask, no quality."""
     v = col(value).cast("double")

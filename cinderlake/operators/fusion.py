@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.expr import steady_std, steady_sum
+
 CELL = ("user_id", "day")
 
 
@@ -17,7 +19,7 @@ def with_cell_moments(layers: DataFrame, *cell: str) -> DataFrame:
     """mean, std (population) and number of valid layers of the cell on each of its rows."""
     w = W.partitionBy(*cell)
     valid = F.when(F.col("quality") > 0, F.col("data"))
-    return layers.withColumns({"mu": F.avg(valid).over(w), "sd": F.stddev_pop(valid).over(w), "n_valid": F.count(valid).over(w)})
+    return layers.withColumns({"mu": F.try_divide(steady_sum(valid, w), F.count(valid).over(w)), "sd": F.stddev_pop(valid).over(w), "n_valid": F.count(valid).over(w)})
 
 
 def detect_conflict(layers: DataFrame, *cell: str, absolute: float = 0.1, relative: float = 0.05) -> DataFrame:
@@ -26,7 +28,7 @@ def detect_conflict(layers: DataFrame, *cell: str, absolute: float = 0.1, relati
     off = F.abs(F.col("data") - F.col("mu"))
     agree = (off <= absolute) | (off <= relative * F.abs("mu"))
     return m.groupBy(*cell).agg(
-        F.avg("data").alias("mean"), F.stddev_pop("data").alias("spread"), (F.max("data") - F.min("data")).alias("range"), F.avg(F.when(agree, 1.0).otherwise(0.0)).alias("agreement"), F.count("*").alias("n"),
+        F.first("mu").alias("mean"), steady_std("data").alias("spread"), (F.max("data") - F.min("data")).alias("range"), F.avg(F.when(agree, 1.0).otherwise(0.0)).alias("agreement"), F.count("*").alias("n"),
     )
 
 
