@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import rnd, utm_zone
+from ..functions.expr import rnd, steady_sum, utm_zone
 from ..functions.storage import Rounds
 from ..operators import assessment as A
 from ..operators import focal as N
@@ -69,7 +69,7 @@ SELECT scene, filter, round(looks, 5) AS looks, round(looks * CASE filter WHEN '
 def sar_fallback(spark, sf_dir):
     """Speckle filter by tiers of looks, and the other orbit where layover is too large."""
     mean, sd = F.avg("l_quantity"), F.stddev_pop("l_quantity")
-    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("scene")).agg((F.pow(mean / sd, 2)).alias("raw"), (F.avg("l_discount") * 400).alias("layover"))
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("scene")).agg((F.pow(mean / sd, 2)).alias("raw"), (F.try_divide(steady_sum("l_discount"), F.count("l_discount")) * 400).alias("layover"))
     s = s.withColumn("looks", F.col("raw") * (1 + F.col("scene") % 3) / 2)
     name, expected = A.speckle_filter(F.col("looks"))
     return s.select("scene", name.alias("filter"), rnd("looks", 5).alias("looks"), rnd(expected, 5).alias("expected"), F.when(F.col("layover") > 20, "descending").otherwise("ascending").alias("orbit"))
