@@ -85,8 +85,8 @@ def components(mask: DataFrame, keep: Callable[[DataFrame, int], DataFrame]) ->
         best = near.groupBy("row", "col").agg(F.min("label").alias("best"), own.alias("old")).filter("old IS NOT NULL")
         # hook: the old label's group takes the best label seen by any of its cells
         group = best.groupBy(F.col("old").alias("g")).agg(F.min("best").alias("to"))
-        jump = group.alias("x").join(group.alias("y"), F.col("x.to") == F.col("y.g"), "left").select(F.col("x.g").alias("g"), F.coalesce("y.to", "x.to").alias("to"))
-        nxt = best.join(jump, best["old"] == jump["g"]).select("row", "col", key("row", "col").alias("key"), F.least("best", "to").alias("label"), "old")
+        jump = group.alias("x").join(group.alias("y").hint("merge"), F.col("x.to") == F.col("y.g"), "left").select(F.col("x.g").alias("g"), F.coalesce("y.to", "x.to").alias("to"))
+        nxt = best.join(jump.hint("merge"), best["old"] == jump["g"]).select("row", "col", key("row", "col").alias("key"), F.least("best", "to").alias("label"), "old")
         nxt = keep(nxt, k)
         if nxt.filter("label <> old").limit(1).count() == 0:
             return nxt.select("row", "col", "label")
@@ -131,7 +131,7 @@ def nearest(grid: DataFrame, points: DataFrame, keep: Callable[[DataFrame, int],
     """row, col, value, at (d2, cr, cc, cv): each cell's nearest of ``points`` (row, col, value) at any distance; ties go to the smallest (row, col).
 
     Cells and points meet in blocks of r cells, nine blocks a cell, so whatever is within r is seen.  A cell is done when its
-    nearest point is at most r away; r doubles for the others.  Without points ``at`` is null, as it is for cells that have no row or col; points without them count for nothing.
+    nearest point is at most r away; r doubles for the others.  Joins are merges by hint: written tables look small enough to broadcast by their compressed size.  Without points ``at`` is null, as it is for cells that have no row or col; points without them count for nothing.
     """
     shape = "struct<d2:bigint,cr:bigint,cc:bigint,cv:double>"
     cells = grid.select(F.col("row").cast("long"), F.col("col").cast("long"), "value", F.lit(None).cast(shape).alias("at"))
@@ -147,8 +147,8 @@ def nearest(grid: DataFrame, points: DataFrame, keep: Callable[[DataFrame, int],
         c = points.select(F.col("row").cast("long").alias("cr"), F.col("col").cast("long").alias("cc"), F.col("value").alias("cv"), block("row").alias("br"), block("col").alias("bc"))
         near = now.filter("at IS NULL").withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select("row", "col", (block("row") + F.col("i")).alias("br"), (block("col") + F.col("j")).alias("bc"))
         d2 = (F.col("row") - F.col("cr")) * (F.col("row") - F.col("cr")) + (F.col("col") - F.col("cc")) * (F.col("col") - F.col("cc"))
-        best = near.join(c, ["br", "bc"]).groupBy("row", "col").agg(F.min(F.struct(d2.alias("d2"), "cr", "cc", "cv")).alias("best")).filter(F.col("best.d2") <= r * r)
-        now = keep(now.join(best, ["row", "col"], "left").select("row", "col", "value", F.coalesce("at", "best").alias("at")), k)
+        best = near.join(c.hint("merge"), ["br", "bc"]).groupBy("row", "col").agg(F.min(F.struct(d2.alias("d2"), "cr", "cc", "cv")).alias("best")).filter(F.col("best.d2") <= r * r)
+        now = keep(now.join(best.hint("merge"), ["row", "col"], "left").select("row", "col", "value", F.coalesce("at", "best").alias("at")), k)
         r *= 2
     return now.unionByName(cells.filter(~placed))
 

@@ -161,7 +161,7 @@ SELECT row, col, CASE WHEN cv IS NOT NULL THEN round(greatest(value - cv, 0.0) +
 def nearest_drainage(spark, sf_dir):
     """Height of every cell over its nearest drainage cell (flow of 7 or more, as in hand_flow_neighbours), however far that is."""
     g = Rounds(spark, "grid")(grid(spark, sf_dir), 0)
-    channels = Rounds(spark, "drainage")(g.join(hand_flow_neighbours(spark, sf_dir).filter("channel").select("row", "col"), ["row", "col"]), 0)
+    channels = Rounds(spark, "drainage")(g.join(hand_flow_neighbours(spark, sf_dir).filter("channel").select("row", "col").hint("merge"), ["row", "col"]), 0)
     return _over_nearest(spark, g, channels)
 
 
