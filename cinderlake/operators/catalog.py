@@ -65,18 +65,30 @@ def first_shared_cell(a: list[Column], b: list[Column], size: float, cell: Colum
     return (cell["x"] == first) & (cell["y"] == F.floor(F.greatest(a[1], b[1]) / size))
 
 
-def box_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+def _overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """Rows of ``left`` (w, s, e, n) joined to the rows of ``right`` (qw, qs, qe, qn) whose boxes overlap, each pair once: an equi-join on shared grid cells."""
-    mine, asked = [F.col(x) for x in "wsen"], [F.col(f"q{x}") for x in "wsen"]
+    mine, asked = [F.col(x) for x in BOX], [F.col(x) for x in ASKED]
     j = left.withColumn("cell", F.explode(box_cells(*mine, size))).join(right.withColumn("cell", F.explode(box_cells(*asked, size))), "cell")
     return j.filter(boxes_intersect(mine, asked)).filter(first_shared_cell(mine, asked, size, F.col("cell"))).drop("cell")
 
 
+BOX, ASKED = ("w", "s", "e", "n"), ("qw", "qs", "qe", "qn")
+
+
+def box_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+    """Rows of ``left`` (w, s, e, n) joined to the rows of ``right`` (qw, qs, qe, qn) whose boxes overlap, each pair once.  Equal boxes are compared
+    once: distinct ones meet in grid cells, and rows are joined to what their boxes met, so that only the result grows with their number."""
+    met = _overlaps(left.select(*BOX).distinct(), right.select(*ASKED).distinct(), size)
+    return left.join(met, list(BOX)).join(right, list(ASKED))
+
+
 def affected_population(events: DataFrame, event: str, counties: DataFrame, area_km2: Column, size: float, county_km2: float = 1000.0) -> DataFrame:
     """event, counties, affected, confidence: people of the counties whose boxes an event's box overlaps, by the event's area over ``county_km2`` a county
-    (at most all), cut to a whole number; events without a county get 0 and low confidence.  ``counties``: w, s, e, n, population."""
-    met = box_pairs(counties, events, size).groupBy(event).agg(F.count("*").alias("counties"), F.sum("population").alias("people"))
-    e = events.select(event, area_km2.alias("area")).join(met, event, "left").withColumn("counties", F.coalesce("counties", F.lit(0)))
+    (at most all), cut to a whole number; events without a county get 0 and low confidence.  ``counties``: w, s, e, n, population.
+    Counties of one box are added up first and events of one box ask once, so work grows with the distinct boxes that meet, not with pairs of rows."""
+    held = counties.groupBy(*BOX).agg(F.count("*").alias("counties"), F.sum("population").alias("people"))
+    met = _overlaps(held, events.select(*ASKED).distinct(), size).groupBy(*ASKED).agg(F.sum("counties").alias("counties"), F.sum("people").alias("people"))
+    e = events.select(event, area_km2.alias("area"), *ASKED).join(met, list(ASKED), "left").withColumn("counties", F.coalesce("counties", F.lit(0)))
     share = F.least(F.lit(1.0), F.try_divide("area", F.col("counties") * county_km2))
     medium = ((F.col("counties") == 1) & (share < 0.5)) | F.col("counties").between(1, 3)
     return e.select(event, "counties", F.coalesce(F.floor(F.col("people") * share), F.lit(0)).cast("long").alias("affected"), F.when(medium, "medium").otherwise("low").alias("confidence"))
