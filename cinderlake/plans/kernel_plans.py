@@ -277,7 +277,7 @@ def dos(spark, sf_dir):
     """Dark-object subtraction with the first percentile of each band."""
     t = table(spark, sf_dir, "lineitem")
     dark = S.quantiles(t, "l_extendedprice", [0.01], "l_returnflag").select("l_returnflag", F.col("q")[0].alias("dark"))
-    return t.join(dark, "l_returnflag").select("l_orderkey", "l_linenumber", "l_returnflag", rnd(F.greatest(F.col("l_extendedprice") - F.col("dark"), F.lit(0.0)), 4).alias("corrected"))
+    return t.join(F.broadcast(dark), "l_returnflag").select("l_orderkey", "l_linenumber", "l_returnflag", rnd(F.greatest(F.col("l_extendedprice") - F.col("dark"), F.lit(0.0)), 4).alias("corrected"))
 
 
 @query(
