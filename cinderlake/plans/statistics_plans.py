@@ -41,7 +41,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest((l_extendedpric
 def percentile_stretch(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
     s = S.quantiles(t, "l_extendedprice", (0.02, 0.98), "l_returnflag").select("l_returnflag", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-    return t.join(s, "l_returnflag").select("l_orderkey", "l_linenumber", "l_partkey", rnd(clip((F.col("l_extendedprice") - F.col("lo")) / (F.col("hi") - F.col("lo")), 0, 1)).alias("stretched"))
+    return t.join(F.broadcast(s), "l_returnflag").select("l_orderkey", "l_linenumber", "l_partkey", rnd(clip((F.col("l_extendedprice") - F.col("lo")) / (F.col("hi") - F.col("lo")), 0, 1)).alias("stretched"))
 
 
 @query("sigma_clip", "WITH m AS (SELECT avg(value) AS mu, stddev_pop(value) AS sd FROM events) SELECT event_id, round(least(greatest(value, mu - 2 * sd), mu + 2 * sd), 6) AS clipped, abs(value - mu) > 2 * sd AS outlier FROM events, m")
