@@ -210,7 +210,7 @@ def anomaly_shares(spark, sf_dir):
     g = g.join(S.quantiles(t, "v", (0.25, 0.75), "l_returnflag").select("l_returnflag", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")), "l_returnflag")
     v, iqr = F.col("v"), F.col("q3") - F.col("q1")
     share = lambda c: rnd(100 * F.avg(c.cast("double")))
-    return t.join(g, "l_returnflag").groupBy("l_returnflag").agg(share(F.abs(v - F.col("mu")) > 2 * F.col("sd")).alias("z_percent"), share((v < F.col("q1") - 0.5 * iqr) | (v > F.col("q3") + 0.5 * iqr)).alias("iqr_percent"), share(v >= 0.99 * F.col("top")).alias("saturated_percent"))
+    return t.join(F.broadcast(g), "l_returnflag").groupBy("l_returnflag").agg(share(F.abs(v - F.col("mu")) > 2 * F.col("sd")).alias("z_percent"), share((v < F.col("q1") - 0.5 * iqr) | (v > F.col("q3") + 0.5 * iqr)).alias("iqr_percent"), share(v >= 0.99 * F.col("top")).alias("saturated_percent"))
 
 
 @query(
