@@ -7,7 +7,8 @@ Words that share a key are paired once, by number; each pair's distance is then
 Aggregation gives each word its near words' count and its form; forms are joined on until every word has its root, twice as far each round.
 
 Scale: counts are added before the shuffle, so a hot word is a row a task.  The pairs are of distinct words only; at most (L + 1) x 90 words have one key of
-L code points, whatever the number of documents.  Joins on a word's number are left to adaptive execution to split.  A root is at most log2(n) forms away,
+L code points, whatever the number of documents.  Joins are merges by hint, as written tables of words
+and numbers are far larger in memory than on disk, so that Spark would broadcast them through the driver; adaptive execution splits what is uneven.  A root is at most log2(n) forms away,
 as n at least doubles from form to form, so rounds are few.
 
 ``mark`` deletes a code point of some runs before they are counted (h = crc32 of ``<doc_id>:<run>``; if ``mark`` divides h, the code point h % length).
@@ -117,9 +118,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(made), pa.array(ids)], schema=schema)
 
     keys = words.select("id", "word").mapInArrow(keyed, "key long, id long")
-    pairs = keys.select("key", F.col("id").alias("a")).join(keys.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    pairs = keys.select("key", F.col("id").alias("a")).join(keys.select("key", F.col("id").alias("b")).hint("merge"), "key").filter("a < b").select("a", "b").distinct()
     left, right = (words.select(F.col("id").alias(x), F.col("word").alias(f"word_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").filter(F.levenshtein("word_a", "word_b", 1) == 1)
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter(F.levenshtein("word_a", "word_b", 1) == 1)
 
 
 def variants(docs: DataFrame, mark: int = MARK, letters: int = LETTERS, times: int = TIMES, ratio: int = RATIO) -> DataFrame:
@@ -132,7 +133,7 @@ def variants(docs: DataFrame, mark: int = MARK, letters: int = LETTERS, times: i
                                           F.struct(F.col("b").alias("id"), F.struct((-F.col("n_a")).alias("less"), F.col("word_a").alias("word"), F.col("a").alias("id")).alias("to")))).alias("p")).select("p.*")
     best = both.groupBy("id").agg(F.count(F.lit(1)).alias("n_near"), F.min("to").alias("to"))
     enough = -F.col("to.less") >= F.lit(ratio) * F.col("n")
-    linked = words.join(best, "id", "left").select(
+    linked = words.join(best.hint("merge"), "id", "left").select(
         "id", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         *(F.when(enough, c).alias(a) for a, c in (("form", F.col("to.word")), ("form_n", -F.col("to.less")), ("form_id", F.col("to.id")))),
     )
@@ -142,11 +143,11 @@ def variants(docs: DataFrame, mark: int = MARK, letters: int = LETTERS, times: i
     while moved:
         k += 1
         on = points.select(F.col("id").alias("root_id"), F.col("root_id").alias("next"))
-        stepped = points.join(on, "root_id", "left").select("id", F.coalesce("next", "root_id").alias("root_id"), F.col("next").isNotNull().alias("moved"))
+        stepped = points.join(on.hint("merge"), "root_id", "left").select("id", F.coalesce("next", "root_id").alias("root_id"), F.col("next").isNotNull().alias("moved"))
         points = scratch.keep(stepped, f"points-{k}")
         moved = points.filter("moved").limit(1).count()
-    roots = points.select("id", "root_id").join(words.select(F.col("id").alias("root_id"), F.col("word").alias("root")), "root_id").select("id", "root")
-    return linked.join(roots, "id", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    roots = points.select("id", "root_id").join(words.select(F.col("id").alias("root_id"), F.col("word").alias("root")).hint("merge"), "root_id").select("id", "root")
+    return linked.join(roots.hint("merge"), "id", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from cinderlake.functions import expr as E
 from cinderlake.functions.normal import normal_cdf
 from cinderlake.functions.storage import Kept, Rounds
+from cinderlake.llm import spelling
 from cinderlake.operators import assessment, catalog, statistics
 from cinderlake.operators import focal as N
 from cinderlake.operators import fusion as M
@@ -410,3 +411,35 @@ def test_thresholds_do_not_depend_on_the_order_of_rows(spark, tmp_path, name):
         if name == "impact_summary":
             assert set(got.peak) == {1}  # an amount of 10 is
     assert len(seen) == 1
+
+
+def test_equal_boxes_are_compared_once(spark, monkeypatch):
+    """Many counties and events of a few boxes: only distinct boxes meet, and every row gets its due."""
+    seen, plain = [], catalog._overlaps
+    monkeypatch.setattr(catalog, "_overlaps", lambda a, b, size: seen.append((a.count(), b.count())) or plain(a, b, size))
+    x = (F.col("id") % 3).cast("double")
+    counties = spark.range(300).select((x * 10).alias("w"), F.lit(0.0).alias("s"), (x * 10 + 5).alias("e"), F.lit(5.0).alias("n"), F.lit(10).alias("population"))
+    events = spark.range(200).select("id", (F.col("id") % 2 * 100.0).alias("qw"), F.lit(1.0).alias("qs"), (F.col("id") % 2 * 100.0 + 12).alias("qe"), F.lit(2.0).alias("qn"))
+    got = catalog.affected_population(events, "id", counties, F.lit(1e6), 8.0).collect()
+    assert len(got) == 200 and all((r.counties, r.affected) == ((200, 2000) if r.id % 2 == 0 else (0, 0)) for r in got)
+    assert catalog.box_pairs(counties, events, 8.0).count() == 100 * 200
+    assert seen == [(3, 2), (3, 2)]
+
+
+def test_joins_of_growing_tables_are_not_broadcast(spark, tmp_path):
+    """Small as the tables are here, no round joins them by broadcast: written tables look smaller than they are in memory."""
+    plans = []
+
+    def keep(df, k=0):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        df.write.parquet(f"{tmp_path}/{len(plans)}")
+        return spark.read.parquet(f"{tmp_path}/{len(plans)}")
+
+    grid = spark.range(400).select(F.expr("id div 20").alias("row"), (F.col("id") % 20).alias("col"), F.when(F.col("id") % 3 > 0, 1.0).alias("value"))
+    N.fill_nearest(grid, keep).count()
+    N.components(grid.filter("value > 0"), keep).count()
+    tasks = spark.range(1, 40).select(F.col("id").alias("task"))
+    assert assessment.levels(tasks, tasks.filter("task > 1").select("task", F.expr("task div 2").alias("needs")), keep).count() == 39
+    words = spark.createDataFrame([(i, w, 5) for i, w in enumerate(("chart", "charts", "cart", "carts"))], "id long, word string, n long")
+    keep(spelling.near_pairs(words))
+    assert len(plans) > 8 and not any("BroadcastHashJoin" in p for p in plans)
