@@ -176,13 +176,15 @@ def index_query_score(spark, sf_dir):
 SELECT s_suppkey, p_partkey, CASE WHEN dx = 0 AND dy = 0 THEN 'inside' ELSE 'near' END AS zone, round(sqrt(dx * dx + dy * dy), 6) AS distance FROM d WHERE sqrt(dx * dx + dy * dy) <= 1""",
 )
 def point_in_box_near(spark, sf_dir):
-    """Points inside zones or within a distance of them; both sides meet in grid cells."""
-    size = 8.0
-    p = part_boxes(spark, sf_dir).withColumn("c", F.explode(C.box_cells(F.col("w") - 1, F.col("s") - 1, F.col("e") + 1, F.col("n") + 1, size)))
-    t = supplier_boxes(spark, sf_dir).select("s_suppkey", (F.col("qw") + 2).alias("x"), (F.col("qs") + 1.5).alias("y"))
-    t = t.withColumn("c", F.struct(F.floor(F.col("x") / size).alias("x"), F.floor(F.col("y") / size).alias("y")))
+    """Points inside zones or within a distance of them; distinct zones and points meet in grid cells, their rows are joined back."""
+    size, box = 8.0, list("wsen")
+    parts = part_boxes(spark, sf_dir)
+    suppliers = supplier_boxes(spark, sf_dir).select("s_suppkey", (F.col("qw") + 2).alias("x"), (F.col("qs") + 1.5).alias("y"))
+    p = parts.select(*box).distinct().withColumn("c", F.explode(C.box_cells(F.col("w") - 1, F.col("s") - 1, F.col("e") + 1, F.col("n") + 1, size)))
+    t = suppliers.select("x", "y").distinct().withColumn("c", F.struct(F.floor(F.col("x") / size).alias("x"), F.floor(F.col("y") / size).alias("y")))
     dx, dy = F.greatest(F.col("w") - F.col("x"), F.lit(0.0), F.col("x") - F.col("e")), F.greatest(F.col("s") - F.col("y"), F.lit(0.0), F.col("y") - F.col("n"))
-    d = p.join(t, "c").select("s_suppkey", "p_partkey", dx.alias("dx"), dy.alias("dy")).withColumn("distance", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).filter("distance <= 1")
+    met = p.join(t, "c").select(*box, "x", "y", dx.alias("dx"), dy.alias("dy")).withColumn("distance", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).filter("distance <= 1")
+    d = parts.join(met, box).join(suppliers, ["x", "y"])
     return d.select("s_suppkey", "p_partkey", F.when((F.col("dx") == 0) & (F.col("dy") == 0), "inside").otherwise("near").alias("zone"), rnd("distance").alias("distance"))
 
 
