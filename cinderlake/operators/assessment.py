@@ -230,13 +230,13 @@ def levels(tasks: DataFrame, needs: DataFrame, keep) -> DataFrame:
 
     Each round takes the tasks all of whose needs have a level; ``keep(df, round)`` writes a round.  Needs outside ``tasks`` do not count.
     """
-    edges = needs.join(tasks.select(F.col("task").alias("needs")), "needs").distinct()
+    edges = needs.join(tasks.select(F.col("task").alias("needs")).hint("merge"), "needs").distinct()
     open_ = edges.groupBy("task").agg(F.count("*").alias("open"))
-    now = keep(tasks.join(open_, "task", "left_anti").select("task", F.lit(0).alias("level")), 0)
+    now = keep(tasks.join(open_.hint("merge"), "task", "left_anti").select("task", F.lit(0).alias("level")), 0)
     k = 0
     while now.filter(F.col("level") == k).limit(1).count():
-        done = edges.join(now.withColumnRenamed("task", "needs"), "needs").groupBy("task").agg(F.count("*").alias("met"), F.max("level").alias("top"))
-        ready = open_.join(done, "task").filter((F.col("met") == F.col("open")) & (F.col("top") == k)).select("task", (F.col("top") + 1).alias("level"))
+        done = edges.join(now.withColumnRenamed("task", "needs").hint("merge"), "needs").groupBy("task").agg(F.count("*").alias("met"), F.max("level").alias("top"))
+        ready = open_.join(done.hint("merge"), "task").filter((F.col("met") == F.col("open")) & (F.col("top") == k)).select("task", (F.col("top") + 1).alias("level"))
         now, k = keep(now.unionByName(ready), k + 1), k + 1
     return now
 
