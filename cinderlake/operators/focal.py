@@ -1,8 +1,9 @@
 """Neighbourhood, connectivity and resampling operators on a grid table (scene keys, row, col, value).
 
-Small windows are expressed by shifting: each cell is sent to its neighbours by an explode of offsets and one grouped aggregate collects
-them, so there is one shuffle on the cell whatever the window.  Large windows use tiles with a halo and an Arrow function a tile (``focal_tiles``).
-Components use label propagation with a written table each round.
+Small windows are expressed by shifting: cells are shuffled once to their tile and to the tiles that their neighbours lie in, then sent to their
+neighbours by an explode of offsets within the task, where one grouped aggregate collects them; so no window's rows are shuffled, and a task's
+aggregate holds the cells of its tiles.  Large windows use tiles with a halo and an Arrow function a tile (``focal_tiles``).
+Components are found by tile; labels of what meets at the tiles' borders are propagated with a written table each round.
 """
 
 from __future__ import annotations
@@ -21,11 +22,32 @@ def offsets(half: int, centre: bool = True) -> list[tuple[int, int]]:
     return [(a, b) for a in r for b in r if centre or (a, b) != (0, 0)]
 
 
+#: Side of a tile; a window is grouped by its tile and its cell, and rows of a tile are in one task.
+TILE = 64
+CELL = ("tr", "tc", "row", "col")
+
+
+def tiled(grid: DataFrame, half: int, *carry: str) -> DataFrame:
+    """Rows (tr, tc, row, col, carried columns): each cell once in every tile that cells at most ``half`` away lie in.  Cells without a place take no part.
+
+    The number of tasks is that of shuffles and is not lowered by adaptive execution, as a window makes many rows of one after the shuffle.
+    """
+    of = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / TILE), F.floor((F.col(c) + half) / TILE)))
+    placed = grid.filter(F.col("row").isNotNull() & F.col("col").isNotNull())
+    out = placed.select("row", "col", *carry, of("row").alias("tr")).select("row", "col", *carry, "tr", of("col").alias("tc"))
+    return out.repartition(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tr", "tc")
+
+
+def in_tile(axis: str) -> Column:
+    return F.floor(F.col(axis) / TILE) == F.col({"row": "tr", "col": "tc"}[axis])
+
+
 def spread(grid: DataFrame, steps: Sequence[tuple[int, int]], *carry: str) -> DataFrame:
-    """Rows (row, col, dr, dc, carried columns): each value as seen by its neighbours; cells outside the grid get rows too."""
+    """Rows (tr, tc, row, col, dr, dc, carried columns): each value as seen by its neighbours, to be grouped by ``CELL``; cells outside the grid get rows too."""
     moves = F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in steps))
-    out = grid.select("row", "col", *carry, F.explode(moves).alias("m"))
-    return out.select((F.col("row") - F.col("m.dr")).alias("row"), (F.col("col") - F.col("m.dc")).alias("col"), F.col("m.dr").alias("dr"), F.col("m.dc").alias("dc"), *carry)
+    out = tiled(grid, max(abs(x) for step in steps for x in step), *carry).select("tr", "tc", "row", "col", *carry, F.explode(moves).alias("m"))
+    out = out.select("tr", "tc", (F.col("row") - F.col("m.dr")).alias("row"), (F.col("col") - F.col("m.dc")).alias("col"), F.col("m.dr").alias("dr"), F.col("m.dc").alias("dc"), *carry)
+    return out.filter(in_tile("row") & in_tile("col"))
 
 
 def focal(grid: DataFrame, half: int, aggs: Sequence[Column], centre: bool = True, value: str = "value") -> DataFrame:
@@ -34,7 +56,7 @@ def focal(grid: DataFrame, half: int, aggs: Sequence[Column], centre: bool = Tru
     near = spread(grid, offsets(half), value)
     if not centre:
         near = near.withColumn(value, F.when((F.col("dr") != 0) | (F.col("dc") != 0), F.col(value)))
-    return near.groupBy("row", "col").agg(own.alias("own"), *aggs).filter("own = 1").drop("own")
+    return near.groupBy(*CELL).agg(own.alias("own"), *aggs).filter("own = 1").drop("own", "tr", "tc")
 
 
 def previous(value: str, axis: str, step: int = 1) -> Column:
@@ -82,7 +104,7 @@ def components(mask: DataFrame, keep: Callable[[DataFrame, int], DataFrame]) ->
         k += 1
         near = spread(now, [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)], "label", "key")
         own = F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.col("label")))
-        best = near.groupBy("row", "col").agg(F.min("label").alias("best"), own.alias("old")).filter("old IS NOT NULL")
+        best = near.groupBy(*CELL).agg(F.min("label").alias("best"), own.alias("old")).filter("old IS NOT NULL").drop("tr", "tc")
         # hook: the old label's group takes the best label seen by any of its cells
         group = best.groupBy(F.col("old").alias("g")).agg(F.min("best").alias("to"))
         jump = group.alias("x").join(group.alias("y").hint("merge"), F.col("x.to") == F.col("y.g"), "left").select(F.col("x.g").alias("g"), F.coalesce("y.to", "x.to").alias("to"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import rnd, steady_sum, utm_zone
-from ..functions.storage import Rounds
+from ..functions.storage import Kept, Rounds
 from ..operators import assessment as A
 from ..operators import focal as N
 from ..operators import statistics as S
@@ -54,7 +54,8 @@ def sar_looks(spark, sf_dir):
     w = N.focal(g, 3, [F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n")]).crossJoin(F.broadcast(ends))  # one row
     inside = F.col("row").between(F.col("low_row") + 3, F.col("high_row") - 3) & F.col("col").between(F.col("low_col") + 3, F.col("high_col") - 3)
     looks = F.when(inside & (F.col("n") >= 10) & (F.col("sd") > 1e-10) & (F.col("mu") > 1e-10), F.pow(F.col("mu") / F.col("sd"), 2))
-    local = S.quantiles(w.select(looks.alias("looks")).filter("looks > 0.5 AND looks < 100"), "looks", (0.5,)).select(F.coalesce(F.col("q")[0], F.lit(1.0)).alias("local"))
+    kept = Kept(spark, "looks")(w.select(looks.alias("looks")).filter("looks > 0.5 AND looks < 100"))  # quantiles pass over them several times
+    local = S.quantiles(kept, "looks", (0.5,)).select(F.coalesce(F.col("q")[0], F.lit(1.0)).alias("local"))
     one = ends.select(F.col("all_mu").alias("mu"), F.col("all_sd").alias("sd")).crossJoin(F.broadcast(local))
     one = one.withColumn("whole", F.pow(F.col("mu") / F.col("sd"), 2)).withColumn("looks", (F.col("whole") + F.col("local")) / 2)
     return one.select(rnd("whole", 5).alias("whole"), rnd("local", 5).alias("local"), rnd("looks", 5).alias("looks"), rnd(F.col("sd") / F.col("mu")).alias("cv"), A.speckle_filter(F.col("looks"))[0].alias("filter"))

@@ -125,10 +125,11 @@ def structural_damage(spark, sf_dir):
     f"""WITH {G} SELECT g.row, g.col, count(*) FILTER (WHERE n.value > g.value) + 1 AS flow, count(*) FILTER (WHERE n.value > g.value) + 1 >= 7 AS channel FROM g {_NEAR.format(h=1)} GROUP BY g.row, g.col""",
 )
 def hand_flow_neighbours(spark, sf_dir):
-    """Higher neighbours of a cell: the elevations of its window as one aggregate, compared within the row."""
-    centre = F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.col("value")))
-    w = N.spread(grid(spark, sf_dir), N.offsets(1), "value").groupBy("row", "col").agg(centre.alias("own"), F.collect_list("value").alias("all")).filter("own IS NOT NULL")
-    flow = F.size(F.filter("all", lambda v: v > F.col("own"))).cast("long") + 1
+    """Higher neighbours of a cell: the elevations of its window side by side, compared within the row."""
+    at = lambda a, b: F.max(F.when((F.col("dr") == a) & (F.col("dc") == b), F.col("value")))
+    around = {f"v{k}": at(a, b) for k, (a, b) in enumerate(N.offsets(1, centre=False))}
+    w = N.spread(grid(spark, sf_dir), N.offsets(1), "value").groupBy(*N.CELL).agg(at(0, 0).alias("own"), *(c.alias(k) for k, c in around.items())).filter("own IS NOT NULL")
+    flow = sum((F.coalesce((F.col(k) > F.col("own")).cast("long"), F.lit(0)) for k in around), F.lit(1).cast("long"))
     return w.select("row", "col", flow.alias("flow"), (flow >= 7).alias("channel"))
 
 
@@ -177,7 +178,7 @@ def idw_fill(spark, sf_dir):
     hole = (F.col("row") * 7 + F.col("col") * 13) % 11 == 0
     near = N.spread(g.filter(~hole), N.offsets(2, centre=False), "value").filter((F.col("row") * 7 + F.col("col") * 13) % 11 == 0)
     d2 = F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")
-    out = near.groupBy("row", "col").agg(rnd(F.sum(F.col("value") / d2) / F.sum(1 / d2), 5).alias("filled"), rnd(F.exp(-F.sqrt(F.min(d2)) / 10)).alias("confidence"))
+    out = near.groupBy(*N.CELL).agg(rnd(F.sum(F.col("value") / d2) / F.sum(1 / d2), 5).alias("filled"), rnd(F.exp(-F.sqrt(F.min(d2)) / 10)).alias("confidence")).drop("tr", "tc")
     return out.join(g.filter(hole).select("row", "col"), ["row", "col"], "left_semi")
 
 

@@ -164,7 +164,7 @@ def morans_i(spark, sf_dir):
     near = N.spread(g, N.offsets(1), "x", "v")
     centre = (F.col("dr") == 0) & (F.col("dc") == 0)
     w = F.when(~centre, 1 / F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")))
-    cell = near.groupBy("row", "col").agg(F.max(F.when(centre, F.col("x"))).alias("x"), F.max("v").alias("v"), F.sum(w * F.col("x")).alias("wx"), F.sum(w).alias("w")).filter("x IS NOT NULL")
+    cell = near.groupBy(*N.CELL).agg(F.max(F.when(centre, F.col("x"))).alias("x"), F.max("v").alias("v"), F.sum(w * F.col("x")).alias("wx"), F.sum(w).alias("w")).filter("x IS NOT NULL")
     return cell.agg(rnd(F.sum(F.col("x") * F.col("wx")) / F.sum("w") / F.max("v")).alias("morans_i"))
 
 
@@ -178,7 +178,7 @@ def mask_dilation(spark, sf_dir):
     """The mask's neighbours, within the grid's own bounds."""
     g = with_global(grid(spark, sf_dir), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     near = N.spread(g.filter("value > 32"), N.offsets(1), "r0", "r1", "c0", "c1")
-    return near.filter("row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1").select("row", "col").distinct()
+    return near.filter("row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1").select(*N.CELL).distinct().select("row", "col")
 
 
 @query(

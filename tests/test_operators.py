@@ -443,3 +443,37 @@ def test_joins_of_growing_tables_are_not_broadcast(spark, tmp_path):
     words = spark.createDataFrame([(i, w, 5) for i, w in enumerate(("chart", "charts", "cart", "carts"))], "id long, word string, n long")
     keep(spelling.near_pairs(words))
     assert len(plans) > 8 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+WINDOWED = ("local_variance", "fire_contextual", "structural_damage", "skill_score", "dem_spikes", "hand_flow_neighbours", "isolated_pixels", "getis_ord", "idw_fill", "median_filter", "morans_i", "mask_dilation")
+
+
+@pytest.mark.parametrize("name", WINDOWED)
+def test_rows_of_windows_are_not_shuffled(spark, name):
+    """Cells go to their tiles in one shuffle; what the explode of offsets makes of them stays in the task."""
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(tr#") == 1
+    below = plan[plan.index("Exchange hashpartitioning(tr#") :]
+    above = plan[: plan.index("Exchange hashpartitioning(tr#")]
+    assert "Generate explode([[" in above and "Generate explode([[" not in below
+    if name != "idw_fill":  # which looks its gaps up in a join afterwards
+        assert "Exchange hashpartitioning(" not in above
+
+
+def test_looks_pass_over_the_windows_once(spark, monkeypatch):
+    """The quantiles' passes read written looks; they do not build the windows again."""
+    plans, plain = [], statistics.quantiles
+    monkeypatch.setattr(statistics, "quantiles", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *a))
+    assert entry.queries()["sar_looks"](spark, "/root/testdata/sf0.001").count() == 1
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+
+
+def test_windows_over_tile_borders(spark):
+    """Against brute force at borders of tiles, on either side of 0; cells without a place take no part."""
+    rng = random.Random(3)
+    at = [k for k in range(-70, 70) if k % 64 > 58 or k % 64 < 6]
+    cells = {(r, c): rng.random() for r in at for c in at if rng.random() < 0.7}
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in cells.items()] + [(None, 1, 5.0), (1, None, 5.0)], "row long, col long, value double")
+    got = {(r.row, r.col): (r.n, r.top) for r in N.focal(df, 3, [F.count("value").alias("n"), F.max("value").alias("top")]).collect()}
+    near = lambda r, c: [cells[k] for a in range(-3, 4) for b in range(-3, 4) if (k := (r + a, c + b)) in cells]
+    assert got == {k: (len(near(*k)), max(near(*k))) for k in cells}
