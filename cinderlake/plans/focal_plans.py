@@ -279,7 +279,7 @@ def skill_score(spark, sf_dir):
 @query("dem_spikes", f"WITH {G}, f AS (SELECT g.row, g.col, g.value, avg(n.value) AS mu, stddev_pop(n.value) AS sd FROM g {_NEAR.format(h=1)} GROUP BY g.row, g.col, g.value) SELECT row, col, CASE WHEN value > mu THEN 'spike' ELSE 'pit' END AS kind, round(value - mu + 1e-9, 5) AS off FROM f WHERE abs(value - mu) > 2 * sd")
 def dem_spikes(spark, sf_dir):
     centre = F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.col("value")))
-    f = N.spread(grid(spark, sf_dir), N.offsets(1), "value").groupBy("row", "col").agg(centre.alias("v"), F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd")).filter("v IS NOT NULL")
+    f = N.spread(grid(spark, sf_dir), N.offsets(1), "value").groupBy(*N.CELL).agg(centre.alias("v"), F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd")).filter("v IS NOT NULL")
     gap = F.col("v") - F.col("mu")
     return f.filter(F.abs(gap) > 2 * F.col("sd")).select("row", "col", F.when(gap > 0, "spike").otherwise("pit").alias("kind"), rnd(gap + 1e-9, 5).alias("off"))
 
