@@ -272,7 +272,7 @@ def skill_score(spark, sf_dir):
     """Fractions skill score of exceedance in 3 x 3 windows."""
     b = grid(spark, sf_dir).select("row", "col", (F.col("value") > 25).cast("int").alias("f"), (F.col("value") + F.col("row") % 3 > 26).cast("int").alias("value"))
     centre = F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), 1))
-    n = N.spread(b, N.offsets(1), "f", "value").groupBy("row", "col").agg(centre.alias("own"), F.avg("f").alias("f"), F.avg("value").alias("o")).filter("own = 1")
+    n = N.spread(b, N.offsets(1), "f", "value").groupBy(*N.CELL).agg(centre.alias("own"), F.avg("f").alias("f"), F.avg("value").alias("o")).filter("own = 1")
     return n.agg(rnd(1 - F.avg(F.pow(F.col("f") - F.col("o"), 2)) / (F.avg(F.col("f") * F.col("f")) + F.avg(F.col("o") * F.col("o")))).alias("fss"))
 
 
