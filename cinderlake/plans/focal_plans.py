@@ -113,7 +113,7 @@ def structural_damage(spark, sf_dir):
     h = grid(spark, sf_dir).select("row", "col", (F.col("value") / 50).alias("pre"), (F.col("value") * (1 + (F.col("row") + F.col("col")) % 3 * 0.2) / 60).alias("post"))
     var = lambda c: F.greatest(F.avg(F.col(c) * F.col(c)) - F.pow(F.avg(c), 2), F.lit(0.0))
     centre = (F.col("dr") == 0) & (F.col("dc") == 0)
-    s = N.spread(h, N.offsets(1), "pre", "post").groupBy("row", "col").agg(F.max(F.when(centre, F.col("pre"))).alias("p"), F.max(F.when(centre, F.col("post"))).alias("q"), var("pre").alias("vp"), var("post").alias("vq")).filter("p IS NOT NULL")
+    s = N.spread(h, N.offsets(1), "pre", "post").groupBy(*N.CELL).agg(F.max(F.when(centre, F.col("pre"))).alias("p"), F.max(F.when(centre, F.col("post"))).alias("q"), var("pre").alias("vp"), var("post").alias("vq")).filter("p IS NOT NULL")
     from ..functions.expr import clip
 
     score = K.damage_score(F.abs(F.col("q") - F.col("p")), clip((F.col("vq") - F.col("vp")) / (F.col("vp") + 1e-4), 0, 2) / 2)
