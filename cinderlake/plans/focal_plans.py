@@ -45,7 +45,7 @@ def fire_contextual(spark, sf_dir):
     near = N.spread(g, N.offsets(2), "value")
     centre = (F.col("dr") == 0) & (F.col("dc") == 0)
     back = F.when(~centre & (F.col("value") < 32), F.col("value"))
-    b = near.groupBy("row", "col").agg(F.max(F.when(centre, F.col("value"))).alias("v"), F.avg(back).alias("mu"), F.stddev_pop(back).alias("sd"), F.count(back).alias("n")).filter("v IS NOT NULL AND n >= 3")
+    b = near.groupBy(*N.CELL).agg(F.max(F.when(centre, F.col("value"))).alias("v"), F.avg(back).alias("mu"), F.stddev_pop(back).alias("sd"), F.count(back).alias("n")).filter("v IS NOT NULL AND n >= 3")
     gap = F.col("v") - F.col("mu")
     return b.select("row", "col", rnd("v", 4).alias("value"), rnd(F.col("mu") + 1e-9, 4).alias("background"), ((gap > 3) & (gap > 1.5 * F.col("sd"))).alias("fire"))
 
