@@ -91,27 +91,61 @@ def focal_tiles(grid: DataFrame, half: int, tile: int, kernel: Callable[[np.ndar
     return g.groupBy("tr", "tc").applyInPandas(run, "row long, col long, value double")
 
 
+#: Side of the blocks that components are first found in.
+BLOCK = 128
+
+
+def _in_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components of the cells of one block: edges between adjacent keys, whose ends' roots are hooked to the smaller one until none is left."""
+    keys, first = np.unique(pdf.row.to_numpy() * (1 << 31) + pdf.col.to_numpy(), return_index=True)
+    ends = []
+    for step in (1, 1 << 31):
+        at = np.minimum(np.searchsorted(keys, keys + step), len(keys) - 1)
+        a = np.flatnonzero(keys[at] == keys + step)
+        ends.append((a, at[a]))
+    a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+    root = np.arange(len(keys))
+    while (root[a] != root[b]).any():
+        low, up = np.minimum(root[a], root[b]), np.arange(len(keys))
+        np.minimum.at(up, root[a], low)
+        np.minimum.at(up, root[b], low)
+        while (up != up[up]).any():
+            up = up[up]
+        root = up[root]
+    return pd.DataFrame({"row": pdf.row.to_numpy()[first], "col": pdf.col.to_numpy()[first], "label": keys[root]})
+
+
 def components(mask: DataFrame, keep: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """row, col, label: 4-connected components of the cells of ``mask``; the label is the smallest cell key of the component.
 
-    Each round takes the smallest label among neighbours and then jumps to that label's own label, so the number of
-    rounds grows with the logarithm of a component's diameter.  ``keep(df, round)`` writes a round and reads it back.
+    Components are found within blocks; what meets at the blocks' borders are links between their labels, over which rounds run.  Each takes the smallest
+    label among linked ones and then jumps to that label's own label, so the number of rounds grows with the logarithm of a component's diameter
+    and a round holds border labels only.  ``keep(df, round)`` writes a round and reads it back; what has a number under 0 is kept to the end.
     """
-    key = lambda r, c: F.col(r) * F.lit(1 << 31) + F.col(c)
-    now = keep(mask.select("row", "col", key("row", "col").alias("key"), key("row", "col").alias("label")), 0)
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    cells = mask.filter(F.col("row").isNotNull() & F.col("col").isNotNull()).select(F.col("row").cast("long"), F.col("col").cast("long"))
+    local = keep(cells.groupBy(block("row").alias("br"), block("col").alias("bc")).applyInPandas(_in_block, "row long, col long, label long"), -2)
+    links = None
+    for axis, other in (("row", "col"), ("col", "row")):
+        last = local.filter(F.pmod(axis, F.lit(BLOCK)) == BLOCK - 1).select((F.col(axis) + 1).alias(axis), other, F.col("label").alias("u"))
+        one = last.join(local.filter(F.pmod(axis, F.lit(BLOCK)) == 0).select("row", "col", F.col("label").alias("v")).hint("merge"), ["row", "col"]).select("u", "v")
+        links = one if links is None else links.unionByName(one)
+    links = keep(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), -1)
+    if links.limit(1).count() == 0:
+        return local
+    now = keep(links.select(F.col("u").alias("key"), F.col("u").alias("label")).distinct(), 0)
     k = 0
     while True:
         k += 1
-        near = spread(now, [(0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)], "label", "key")
-        own = F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.col("label")))
-        best = near.groupBy(*CELL).agg(F.min("label").alias("best"), own.alias("old")).filter("old IS NOT NULL").drop("tr", "tc")
-        # hook: the old label's group takes the best label seen by any of its cells
+        seen = links.join(now.hint("merge"), links["v"] == now["key"]).groupBy("u").agg(F.min("label").alias("seen"))
+        best = now.join(seen.hint("merge"), now["key"] == seen["u"]).select("key", F.col("label").alias("old"), F.least("label", "seen").alias("best"))
+        # hook: the old label's group takes the best label seen by any of its members
         group = best.groupBy(F.col("old").alias("g")).agg(F.min("best").alias("to"))
         jump = group.alias("x").join(group.alias("y").hint("merge"), F.col("x.to") == F.col("y.g"), "left").select(F.col("x.g").alias("g"), F.coalesce("y.to", "x.to").alias("to"))
-        nxt = best.join(jump.hint("merge"), best["old"] == jump["g"]).select("row", "col", key("row", "col").alias("key"), F.least("best", "to").alias("label"), "old")
-        nxt = keep(nxt, k)
+        nxt = keep(best.join(jump.hint("merge"), best["old"] == jump["g"]).select("key", F.least("best", "to").alias("label"), "old"), k)
         if nxt.filter("label <> old").limit(1).count() == 0:
-            return nxt.select("row", "col", "label")
+            whole = nxt.select("key", F.col("label").alias("whole"))
+            return local.join(whole.hint("merge"), local["label"] == whole["key"], "left").select("row", "col", F.coalesce("whole", "label").alias("label"))
         now = nxt.drop("old")
 
 

@@ -477,3 +477,28 @@ def test_windows_over_tile_borders(spark):
     got = {(r.row, r.col): (r.n, r.top) for r in N.focal(df, 3, [F.count("value").alias("n"), F.max("value").alias("top")]).collect()}
     near = lambda r, c: [cells[k] for a in range(-3, 4) for b in range(-3, 4) if (k := (r + a, c + b)) in cells]
     assert got == {k: (len(near(*k)), max(near(*k))) for k in cells}
+
+
+def test_components_over_block_borders(spark):
+    """Against flood filling on either side of 0; only labels that meet at borders of blocks run through rounds."""
+    rng = random.Random(5)
+    at = [k for k in range(-140, 140) if k % 128 > 115 or k % 128 < 12]
+    mask = {(r, c) for r in at for c in at if rng.random() < 0.62}
+    label = {}
+    for start in sorted(mask, key=lambda k: k[0] * (1 << 31) + k[1]):
+        todo = [] if start in label else [start]
+        while todo:
+            r, c = todo.pop()
+            if (r, c) in mask and (r, c) not in label:
+                label[r, c] = start[0] * (1 << 31) + start[1]
+                todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+    sizes, keep = {}, Rounds(spark, "test-blocks")
+
+    def counted(df, k):
+        made = keep(df, k)
+        sizes[k] = made.count()
+        return made
+
+    df = spark.createDataFrame([*mask, *list(mask)[:9], (None, 3), (3, None)], "row long, col long")
+    assert {(r.row, r.col): r.label for r in N.components(df, counted).collect()} == label
+    assert sizes[-2] == len(mask) and 0 < sizes[0] < len(mask) / 4
