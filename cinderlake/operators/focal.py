@@ -183,24 +183,55 @@ def _within(fine: DataFrame, grid: DataFrame, factor: int) -> DataFrame:
     return fine.filter(inside[0] & inside[1]).select("row", "col", "value")
 
 
+def _nearest_within(cells: DataFrame, points: DataFrame, half: int) -> DataFrame:
+    """row, col, best (d2, cr, cc, cv): the nearest of ``points`` at most ``half`` away, by tiles, for the places of ``cells`` that have one.
+
+    Distances are separable: each column of a row takes its nearest point along the column first, then each cell the nearest of those along its row.  Smaller numbers
+    stand for (d2, cr) and (d2, cr, cc), so the first in that order has the smallest.
+    """
+    span = 2 * half + 1
+    both = cells.select("row", "col", F.lit(True).alias("own"), F.lit(None).cast("double").alias("cv")).unionByName(points.select("row", "col", F.lit(False).alias("own"), F.col("value").cast("double").alias("cv")))
+    value = F.when(F.count_if(~F.col("own") & F.col("cv").isNull()) == 0, F.min("cv"))  # points of one place: nulls are smallest
+    t = tiled(both, half, "own", "cv").groupBy(*CELL).agg(F.max("own").alias("own"), F.count_if(~F.col("own")).alias("points"), value.alias("cv"))
+    way = F.array(*(F.lit(k) for k in range(-half, half + 1)))
+    own = F.max(F.col("own") & (F.col("m") == 0)).alias("own")
+    # m is the point's place less the cell's
+    t = t.withColumn("m", F.explode(F.when(F.col("points") > 0, way).otherwise(F.array(F.lit(0)))))
+    code = F.when(F.col("points") > 0, F.col("m") * F.col("m") * span + F.col("m") + half)
+    t = t.select("tr", "tc", (F.col("row") - F.col("m")).alias("row"), "col", "m", "own", "cv", code.cast("long").alias("code")).filter(in_tile("row"))
+    t = t.groupBy(*CELL).agg(own, F.min("code").alias("code"), F.min_by("cv", "code").alias("cv"))
+    t = t.withColumn("m", F.explode(F.when(F.col("code").isNotNull(), way).otherwise(F.array(F.lit(0)))))
+    code = (F.col("code") + F.col("m") * F.col("m") * span) * span + F.col("m") + half
+    t = t.select("tr", "tc", "row", (F.col("col") - F.col("m")).alias("col"), "m", "own", "cv", code.alias("code")).filter(in_tile("col"))
+    t = t.groupBy(*CELL).agg(own, F.min("code").alias("code"), F.min_by("cv", "code").alias("cv")).filter("own")
+    d2 = F.expr(f"code div {span * span}")
+    at = F.struct(d2.alias("d2"), (F.col("row") + F.expr(f"code div {span} % {span}") - half).alias("cr"), (F.col("col") + F.col("code") % span - half).alias("cc"), "cv")
+    return t.filter(d2 <= half * half).select("row", "col", at.alias("best"))
+
+
 def nearest(grid: DataFrame, points: DataFrame, keep: Callable[[DataFrame, int], DataFrame], first: int = 4) -> DataFrame:
     """row, col, value, at (d2, cr, cc, cv): each cell's nearest of ``points`` (row, col, value) at any distance; ties go to the smallest (row, col).
 
-    Cells and points meet in blocks of r cells, nine blocks a cell, so whatever is within r is seen.  A cell is done when its
-    nearest point is at most r away; r doubles for the others.  Joins are merges by hint: written tables look small enough to broadcast by their compressed size.  Without points ``at`` is null, as it is for cells that have no row or col; points without them count for nothing.
+    What is at most ``first`` away is found in tiles, where points are not paired with cells.  Cells left and points meet in blocks of r cells, nine blocks a cell, so whatever
+    is within r is seen.  A cell is done when its nearest point is at most r away; r doubles for the others.  Joins are merges by hint: written tables look small enough to
+    broadcast by their compressed size.  Without points ``at`` is null, as it is for cells that have no row or col; points without them count for nothing.
     """
     shape = "struct<d2:bigint,cr:bigint,cc:bigint,cv:double>"
     cells = grid.select(F.col("row").cast("long"), F.col("col").cast("long"), "value", F.lit(None).cast(shape).alias("at"))
     placed = F.col("row").isNotNull() & F.col("col").isNotNull()
-    points = points.filter(placed)
-    now = keep(cells.filter(placed), 0)
+    points = points.filter(placed).select(F.col("row").cast("long"), F.col("col").cast("long"), "value")
     steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    k, r = 0, first
+    k, r = 0, 2 * first
     some = points.limit(1).count() > 0
+    now = cells.filter(placed)
+    if some:
+        best = _nearest_within(now, points, first)
+        now = now.join(best.hint("merge"), ["row", "col"], "left").select("row", "col", "value", F.col("best").cast(shape).alias("at"))
+    now = keep(now, 0)
     while some and now.filter("at IS NULL").limit(1).count():
         k += 1
         block = lambda c, r=r: F.floor(F.col(c) / r)
-        c = points.select(F.col("row").cast("long").alias("cr"), F.col("col").cast("long").alias("cc"), F.col("value").alias("cv"), block("row").alias("br"), block("col").alias("bc"))
+        c = points.select(F.col("row").alias("cr"), F.col("col").alias("cc"), F.col("value").alias("cv"), block("row").alias("br"), block("col").alias("bc"))
         near = now.filter("at IS NULL").withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select("row", "col", (block("row") + F.col("i")).alias("br"), (block("col") + F.col("j")).alias("bc"))
         d2 = (F.col("row") - F.col("cr")) * (F.col("row") - F.col("cr")) + (F.col("col") - F.col("cc")) * (F.col("col") - F.col("cc"))
         best = near.join(c.hint("merge"), ["br", "bc"]).groupBy("row", "col").agg(F.min(F.struct(d2.alias("d2"), "cr", "cc", "cv")).alias("best")).filter(F.col("best.d2") <= r * r)

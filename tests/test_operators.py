@@ -502,3 +502,21 @@ def test_components_over_block_borders(spark):
     df = spark.createDataFrame([*mask, *list(mask)[:9], (None, 3), (3, None)], "row long, col long")
     assert {(r.row, r.col): r.label for r in N.components(df, counted).collect()} == label
     assert sizes[-2] == len(mask) and 0 < sizes[0] < len(mask) / 4
+
+
+def test_near_points_are_not_paired_with_cells(spark):
+    """Against brute force: dense points are found in tiles without a join of cells and points, ties by (row, col), repeated points by the smallest value."""
+    rng = random.Random(9)
+    cells = [(r, c, 0.0) for r in range(-9, 12) for c in range(56, 76)]
+    points = [(r, c, rng.random()) for r, c, _ in cells if rng.random() < 0.25 and (r, c) != (0, 64)]
+    points += [(r, c, v / 2) for r, c, v in points[:20]]
+    schema = "row long, col long, value double"
+    plans, plain = [], Rounds(spark, "test-near")
+
+    def keep(df, k):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, k)
+
+    got = {(r.row, r.col): tuple(r["at"]) for r in N.nearest(spark.createDataFrame(cells, schema), spark.createDataFrame(points, schema), keep).collect()}
+    assert got == {(r, c): min(((r - a) ** 2 + (c - b) ** 2, a, b, v) for a, b, v in points) for r, c, _ in cells}
+    assert len(plans) == 1 and plans[0].count("SortMergeJoin") == 1  # cells to what was found for them
