@@ -75,11 +75,13 @@ def _overlaps(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
 BOX, ASKED = ("w", "s", "e", "n"), ("qw", "qs", "qe", "qn")
 
 
-def box_pairs(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, size: float, made: dict[str, Column] | None = None) -> DataFrame:
     """Rows of ``left`` (w, s, e, n) joined to the rows of ``right`` (qw, qs, qe, qn) whose boxes overlap, each pair once.  Equal boxes are compared
-    once: distinct ones meet in grid cells, and rows are joined to what their boxes met, so that only the result grows with their number."""
-    met = _overlaps(left.select(*BOX).distinct(), right.select(*ASKED).distinct(), size)
-    return left.join(met, list(BOX)).join(right, list(ASKED))
+    once: distinct ones meet in grid cells, and rows are joined to what their boxes met, so that only the result grows with their number.
+    ``made`` are columns of two boxes, computed once for each pair of distinct ones; with them the boxes themselves are dropped."""
+    met = _overlaps(left.select(*BOX).distinct(), right.select(*ASKED).distinct(), size).withColumns(made or {})
+    pairs = left.join(met, list(BOX))
+    return pairs.drop(*BOX).join(right, list(ASKED)).drop(*ASKED) if made else pairs.join(right, list(ASKED))
 
 
 def affected_population(events: DataFrame, event: str, counties: DataFrame, area_km2: Column, size: float, county_km2: float = 1000.0) -> DataFrame:

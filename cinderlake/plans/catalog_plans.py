@@ -139,10 +139,11 @@ q AS (SELECT s_suppkey, CAST(s_suppkey * 71 % 340 - 170 AS DOUBLE) AS qw, CAST(s
 )
 def bbox_overlap_join(spark, sf_dir):
     """Overlap join of boxes as an equi-join on shared 8-degree grid cells; a pair is kept in the first cell that both have, so once."""
-    j = C.box_pairs(part_boxes(spark, sf_dir), supplier_boxes(spark, sf_dir), 8.0)
     area = E.overlap_area([F.col(x) for x in "wsen"], [F.col(f"q{x}") for x in "wsen"])
     inside = E.box_contains([F.col(f"q{x}") for x in "wsen"], [F.col(x) for x in "wsen"])
-    return j.select("s_suppkey", "p_partkey", inside.alias("inside"), rnd(100 * area / ((F.col("qe") - F.col("qw")) * (F.col("qn") - F.col("qs")))).alias("coverage"))
+    coverage = rnd(100 * area / ((F.col("qe") - F.col("qw")) * (F.col("qn") - F.col("qs"))))
+    j = C.box_pairs(part_boxes(spark, sf_dir), supplier_boxes(spark, sf_dir), 8.0, {"inside": inside, "coverage": coverage})
+    return j.select("s_suppkey", "p_partkey", "inside", "coverage")
 
 
 @query(

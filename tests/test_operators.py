@@ -520,3 +520,10 @@ def test_near_points_are_not_paired_with_cells(spark):
     got = {(r.row, r.col): tuple(r["at"]) for r in N.nearest(spark.createDataFrame(cells, schema), spark.createDataFrame(points, schema), keep).collect()}
     assert got == {(r, c): min(((r - a) ** 2 + (c - b) ** 2, a, b, v) for a, b, v in points) for r, c, _ in cells}
     assert len(plans) == 1 and plans[0].count("SortMergeJoin") == 1  # cells to what was found for them
+
+
+def test_geometry_of_pairs_is_computed_before_rows_are_joined(spark):
+    plan = entry.queries()["bbox_overlap_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    made = plan[plan.index("AS coverage#") :]
+    assert made.count("Join Inner") == 1  # that of distinct boxes
+    assert plan.count("Join Inner") == 3
