@@ -168,10 +168,12 @@ def upsample(grid: DataFrame, factor: int, order: int = 1) -> DataFrame:
         t = t.select((F.col("row") * factor + F.col("a")).alias("row"), (F.col("col") * factor + F.col("b")).alias("col"), "value")
         return _within(t, grid, factor)
     steps = F.array(*(F.lit(k) for k in range(1 - factor, factor)))
-    t = grid.withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps))
+    t = tiled(grid, 1, "value").withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps))
     weight = (1 - F.abs("a") / factor) * (1 - F.abs("b") / factor)
-    t = t.select((F.col("row") * factor + F.col("a")).alias("row"), (F.col("col") * factor + F.col("b")).alias("col"), (F.col("value") * weight).alias("part"), weight.alias("w"))
-    t = t.groupBy("row", "col").agg(F.sum("part").alias("part"), F.sum("w").alias("w"))
+    t = t.select("tr", "tc", (F.col("row") * factor + F.col("a")).alias("row"), (F.col("col") * factor + F.col("b")).alias("col"), (F.col("value") * weight).alias("part"), weight.alias("w"))
+    # a target belongs to the tile of the source at or before it
+    t = t.filter((F.floor(F.col("row") / (TILE * factor)) == F.col("tr")) & (F.floor(F.col("col") / (TILE * factor)) == F.col("tc")))
+    t = t.groupBy(*CELL).agg(F.sum("part").alias("part"), F.sum("w").alias("w"))
     return _within(t.select("row", "col", F.when(F.col("w") > 1 - 1e-9, F.col("part")).alias("value")), grid, factor)
 
 

@@ -527,3 +527,17 @@ def test_geometry_of_pairs_is_computed_before_rows_are_joined(spark):
     made = plan[plan.index("AS coverage#") :]
     assert made.count("Join Inner") == 1  # that of distinct boxes
     assert plan.count("Join Inner") == 3
+
+
+def test_upsample_over_tile_borders(spark):
+    """Targets on either side of a tile's border and of 0 get all their sources; their rows are not shuffled."""
+    cells = {(r, c): float(r * 3 + c) for r in range(-2, 3) for c in range(61, 68)}
+    fine = N.upsample(spark.createDataFrame([(r, c, v) for (r, c), v in cells.items()], "row long, col long, value double"), 2)
+    assert {(r.row, r.col): r.value for r in fine.collect()} == {(r, c): r / 2 * 3 + c / 2 for r in range(-4, 5) for c in range(122, 135)}
+    assert "hashpartitioning(row" not in fine._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_draw_hashes_twice(spark):
+    """Monte Carlo: radius and angle of a draw are each computed once, not once for either of its normals."""
+    plan = entry.queries()["monte_carlo"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 2
