@@ -293,10 +293,10 @@ def monte_carlo(spark, sf_dir, draws: int = 64, seed: int = 11):
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     t = table(spark, sf_dir, "lineitem").select(*key, F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"))
     u = lambda s, k: (F.pmod(F.xxhash64(F.lit(seed + s), *key, k), F.lit(1 << 31)) + 0.5) / float(1 << 31)
-    radius = lambda k: F.sqrt(-2 * F.log(u(1, k)))
-    angle = lambda k: 2 * F.pi() * u(2, k)
-    ratio = lambda k: F.col("b") * (1 + 0.05 * radius(k) * F.cos(angle(k))) / (F.col("a") * (1 + 0.05 * radius(k) * F.sin(angle(k))))
-    t = t.select(*key, F.transform(F.sequence(F.lit(1), F.lit(draws)), ratio).alias("draws"))
+    # radius and angle are computed once for each draw, in an array before that of the ratios
+    polar = lambda k: F.struct(F.sqrt(-2 * F.log(u(1, k))).alias("radius"), (2 * F.pi() * u(2, k)).alias("angle"))
+    ratio = lambda z: F.col("b") * (1 + 0.05 * z["radius"] * F.cos(z["angle"])) / (F.col("a") * (1 + 0.05 * z["radius"] * F.sin(z["angle"])))
+    t = t.select(*key, F.transform(F.transform(F.sequence(F.lit(1), F.lit(draws)), polar), ratio).alias("draws"))
     total = lambda f: F.aggregate("draws", F.lit(0.0), lambda acc, x: acc + f(x))
     t = t.withColumn("mean", total(lambda x: x) / draws)
     return t.select(*key, "mean", F.sqrt(total(lambda x: (x - F.col("mean")) * (x - F.col("mean"))) / (draws - 1)).alias("sd"))
