@@ -34,6 +34,8 @@ DESCRIBED = (
 BLOCKS = (
     "path string, level int, band int, block_row int, block_col int, row_start long, col_start long, row_end long, col_end long, offset long, count long, dtype string, samples int, block_width int, compression int, predictor int, nodata double, bytes_read long"
 )
+#: Cells of the tiles that are sent on in one batch.
+BATCH_CELLS = 1 << 16
 TILE_SIZES = (16, 32, 64, 128, 256, 512, 1024, 2048)
 
 
@@ -133,6 +135,7 @@ def read_blocks(blocks: DataFrame, parts: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, read = None, None
+        rows, n = [], 0
         for batch in batches:
             for b in batch.to_pylist():
                 if held != b["path"]:
@@ -147,7 +150,13 @@ def read_blocks(blocks: DataFrame, parts: int | None = None) -> DataFrame:
                     made = block[:, : shape[1], b["band"] if b["samples"] > 1 else 0].astype("<f8")
                     if b["nodata"] is not None:
                         made[made == b["nodata"]] = np.nan
-                yield pa.RecordBatch.from_pylist([{k: b[k] for k in keep} | {"data": made.tobytes(), "bytes_read": b["count"]}], schema)
+                rows.append({k: b[k] for k in keep} | {"data": made.tobytes(), "bytes_read": b["count"]})
+                n += made.size
+                if n >= BATCH_CELLS:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, n = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
         if read is not None:
             read.__exit__()
 
@@ -158,15 +167,28 @@ def read_blocks(blocks: DataFrame, parts: int | None = None) -> DataFrame:
 def pixels(tiles: DataFrame) -> DataFrame:
     """path, level, band, row, col, value of the cells that have data."""
     ddl = "path string, level int, band int, row long, col long, value double"
+    schema = _arrow(ddl)
+
+    def batch_of(held: list) -> pa.RecordBatch:
+        n = [len(r) for _, r, _, _ in held]
+        paths = pa.array([t["path"] for t, *_ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), n)))
+        level, band = (np.repeat(np.array([t[k] for t, *_ in held], np.int32), n) for k in ("level", "band"))
+        rest = [np.concatenate([x[k] for x in held]) for k in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([paths, *(pa.array(x, f.type) for x, f in zip((level, band, *rest), list(schema)[1:], strict=True))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0  # tiles are sent on together, not a batch a tile
         for batch in batches:
             for t in batch.to_pylist():
                 block = np.frombuffer(t["data"], "<f8").reshape(t["row_end"] - t["row_start"], t["col_end"] - t["col_start"])
                 r, c = np.nonzero(~np.isnan(block))
-                n = len(r)
-                columns = [[t["path"]] * n, np.full(n, t["level"], np.int32), np.full(n, t["band"], np.int32), r + t["row_start"], c + t["col_start"], block[r, c]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _arrow(ddl), strict=True)], schema=_arrow(ddl))
+                held.append((t, r + t["row_start"], c + t["col_start"], block[r, c]))
+                n += block.size
+                if n >= BATCH_CELLS:
+                    yield batch_of(held)
+                    held, n = [], 0
+        if held:
+            yield batch_of(held)
 
     return tiles.mapInArrow(run, ddl)
 
@@ -320,19 +342,17 @@ def write_tiled(cells: DataFrame, path: str, size: int = 512, overwrite: bool =
 
     columns = all_tiles.select("scene", "level", "band", "block_row", "block_col", "data", "width", "height", "bands", "levels")
     packed = keep(columns.mapInArrow(deflate, columns.schema))
-    # sizes of all tiles of a scene, in the file's order; tiles without cells have none
-    shape = lambda c, k: F.ceil(F.col(c) / F.shiftleft(F.lit(1).cast("long"), k))
     half = F.expr("shiftleft(1L, level)")
-    across, down = F.ceil(F.ceil(F.col("width") / half) / size), F.ceil(F.ceil(F.col("height") / half) / size)
-    place = ((F.col("levels") - F.col("level")).cast("long") * F.lit(1 << 48)) + (F.col("band") * down + F.col("block_row")) * across + F.col("block_col")
-    placed = packed.withColumn("place", place)
-    sizes = placed.groupBy("scene", "level").agg(
-        F.first("width").alias("width"), F.first("height").alias("height"), F.first("bands").alias("bands"), F.collect_list(F.struct((F.col("place") % F.lit(1 << 48)).alias("at"), F.octet_length("data").alias("n"))).alias("held")
-    )
-    sizes = sizes.withColumn("by", F.map_from_entries("held")).withColumns({"w": F.ceil(F.col("width") / half), "h": F.ceil(F.col("height") / half)})
-    tiles_of = F.col("bands") * F.ceil(F.col("w") / size) * F.ceil(F.col("h") / size)
-    counts = F.transform(F.sequence(F.lit(0).cast("long"), tiles_of - 1), lambda i: F.coalesce(F.element_at("by", i), F.lit(0)))
-    plan = sizes.select("scene", "level", F.struct(F.col("w").alias("width"), F.col("h").alias("height"), F.col("bands"), counts.alias("counts")).alias("plan"))
+    w, h = F.ceil(F.col("width") / half), F.ceil(F.col("height") / half)
+    across, down = F.ceil(w / size), F.ceil(h / size)
+    at = (F.col("band") * down + F.col("block_row")) * across + F.col("block_col")
+    placed = packed.withColumn("at", at).withColumn("place", ((F.col("levels") - F.col("level")).cast("long") * F.lit(1 << 48)) + F.col("at"))
+    # sizes of all tiles of a scene, in the file's order, met by a join of places; tiles without cells have none
+    shape = sized.select("scene", "width", "height", "bands", F.explode(F.sequence(F.lit(0), F.col("levels"))).alias("level"))
+    shape = shape.select("scene", "level", w.alias("w"), h.alias("h"), "bands", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bands") * across * down - 1)).alias("at"))
+    dense = shape.join(placed.select("scene", "level", "at", F.octet_length("data").alias("n")), ["scene", "level", "at"], "left")
+    sizes = dense.groupBy("scene", "level").agg(F.first("w").alias("w"), F.first("h").alias("h"), F.first("bands").alias("bands"), F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("held"))
+    plan = sizes.select("scene", "level", F.struct(F.col("w").alias("width"), F.col("h").alias("height"), F.col("bands"), F.transform("held", lambda x: x["n"]).alias("counts")).alias("plan"))
     lead = plan.groupBy("scene").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("level", "plan"))), lambda x: x["plan"])).alias("plan"))
     rows = lead.select("scene", F.lit(-1).cast("long").alias("place"), F.lit(None).cast("binary").alias("data"), "plan").unionByName(placed.select("scene", "place", "data", F.lit(None).cast("string").alias("plan")))
     spark.dataSource.register(TiledTiffSink)

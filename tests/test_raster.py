@@ -231,3 +231,20 @@ def test_validation_suite(spark, tmp_path):
     assert got["uneven"].valid and [(i.what, i.severity) for i in got["uneven"].issues] == [("band coverage", "medium")] and got["uneven"].coverage == 85.0
     junk = got["junk"]
     assert not junk.valid and junk.integrity and junk.quality == 0.0 and junk.score < 0.4 and "issues" in junk.summary
+
+
+def test_tiles_are_sent_on_together():
+    """Small tiles share a batch on their way to rows, not a batch a tile."""
+    import pyarrow as pa
+
+    class Captured:
+        def mapInArrow(self, run, ddl):  # noqa: N802
+            return run
+
+    block = np.arange(256.0)
+    block[3] = np.nan
+    tile = {"path": "a", "level": 0, "band": 0, "col_start": 0, "col_end": 16, "data": block.tobytes()}
+    given = pa.RecordBatch.from_pylist([tile | {"row_start": 16 * k, "row_end": 16 * k + 16} for k in range(40)])
+    (made,) = R.pixels(Captured())(iter([given]))
+    assert made.num_rows == 40 * 255
+    assert made.slice(255 * 39, 4).to_pydict() == {"path": ["a"] * 4, "level": [0] * 4, "band": [0] * 4, "row": [624] * 4, "col": [0, 1, 2, 4], "value": [0.0, 1.0, 2.0, 4.0]}
