@@ -50,6 +50,19 @@ def geometry_stats(features: DataFrame) -> DataFrame:
     return b.agg(F.when(n > 1, "Mixed").otherwise(F.max("geometry_type")).alias("kind"), F.min("b.west").alias("west"), F.min("b.south").alias("south"), F.max("b.east").alias("east"), F.max("b.north").alias("north"), F.count(F.when(F.size("ring") > 0, 1)).alias("valid"), F.count(F.when(F.coalesce(F.size("ring"), F.lit(0)) <= 0, 1)).alias("empty"))
 
 
+#: Folders that a task writes to at a time; rows of more than these are sorted by folder.
+OPEN_FOLDERS = 16
+
+
 def write_partitioned(df: DataFrame, path: str, *by: str, fmt: str = "parquet") -> None:
-    """One folder a key; rows of a key meet in a few tasks, and a hot key is spread over several by adaptive execution."""
-    (df.hint("rebalance", *by) if by else df).write.partitionBy(*by).format(fmt).save(path)
+    """One folder a key; rows of a key meet in a few tasks, and a hot key is spread over several by adaptive execution.
+
+    A task writes its rows as they come, so its memory does not grow with them: a shuffle's part of few distinct values is many rows, and a sort would hold them all.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, OPEN_FOLDERS)
+    try:
+        (df.hint("rebalance", *by) if by else df).write.partitionBy(*by).format(fmt).save(path)
+    finally:
+        conf.set(name, before)

@@ -541,3 +541,18 @@ def test_a_draw_hashes_twice(spark):
     """Monte Carlo: radius and angle of a draw are each computed once, not once for either of its normals."""
     plan = entry.queries()["monte_carlo"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("xxhash64(") == 2
+
+
+def test_partitioned_sink_does_not_sort(spark, tmp_path):
+    """A task writes its rows as they come; with more folders than it keeps open all rows are still there."""
+    df = spark.range(3000).select((F.col("id") % 50).alias("key"), "id")
+    store, name = spark._jsparkSession.sharedState().statusStore(), "spark.sql.maxConcurrentOutputFileWriters"
+    ran, before = store.executionsList().size(), spark.conf.get(name)
+    V.write_partitioned(df, f"{tmp_path}/keys", "key")
+    listed = store.executionsList()
+    plans = [listed.apply(k).physicalPlanDescription() for k in range(ran, listed.size())]
+    assert len(plans) == 1 and "REBALANCE" in plans[0] and "Sort" not in plans[0]
+    assert spark.conf.get(name) == before
+    assert len(list(tmp_path.glob("keys/key=*"))) == 50
+    got = spark.read.parquet(f"{tmp_path}/keys")
+    assert sorted((r.key, r.id) for r in got.collect()) == sorted((k % 50, k) for k in range(3000))
