@@ -32,6 +32,12 @@ def histogram(df: DataFrame, value: str, bins: int, *by: str) -> DataFrame:
     return df.join(span, list(by)).groupBy(*by, b.cast("int").alias("bin")).agg(F.count("*").alias("count"))
 
 
+def bounded(groups: DataFrame) -> DataFrame:
+    """The same rows, which are made here: up to GROUPS go to all tasks of a join, more meet their rows in it."""
+    found = groups.limit(GROUPS + 1).collect()
+    return F.broadcast(groups.sparkSession.createDataFrame(found, groups.schema)) if len(found) <= GROUPS else groups
+
+
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], *by: str, bins: int = 20_000) -> DataFrame:
     """by, q (array<double>): exact quantiles with linear interpolation, in two passes, so that no task holds all values of a group.
 

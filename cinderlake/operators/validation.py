@@ -27,7 +27,7 @@ def band_anomalies(cells: DataFrame, extent: DataFrame, saturation: bool = True)
     """
     g = cells.groupBy("path", "band").agg(F.count("*").alias("n"), F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"), F.max("value").alias("top"), F.min("value").alias("low"))
     q = S.quantiles(cells, "value", (0.25, 0.75), "path", "band").select("path", "band", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
-    held = g.join(q, ["path", "band"])
+    held = S.bounded(g.join(q, ["path", "band"]))
     v, iqr = F.col("value"), F.col("q3") - F.col("q1")
     share = lambda c: F.round(100.0 * F.count_if(c) / F.first("n"), 6)
     found = cells.join(held, ["path", "band"]).groupBy("path", "band").agg(
@@ -61,8 +61,10 @@ def validate(files: DataFrame, least_coverage: float = LEAST_COVERAGE, expected_
     bands = band_anomalies(cells, extent).groupBy("path").agg(
         F.flatten(F.collect_list("anomalies")).alias("anomalies"), F.min("coverage").alias("least"), F.max("coverage").alias("most"), F.count("*").alias("held")
     )  # a row a band
-    whole = cells.groupBy("path", "row", "col").agg(F.count("*").alias("k")).groupBy("path", "k").agg(F.count("*").alias("c"))
-    all_bands = whole.join(good.select("path", "bands"), "path").filter("k = bands").select("path", "c")
+    # 64 cells of a row are the bits of a number, so cells themselves are not grouped: a bit is left where all bands have it
+    bits = cells.groupBy("path", "band", "row", F.expr("col div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(col % 64 as int))")).alias("m"))
+    whole = bits.groupBy("path", "row", "word").agg(F.bit_and("m").alias("m"), F.count("*").alias("k"))
+    all_bands = S.bounded(good.select("path", "bands")).join(whole, "path").filter("k = bands").groupBy("path").agg(F.sum(F.bit_count("m")).alias("c"))
     r = told.join(bands, "path", "left").join(all_bands, "path", "left")
     coverage = F.round(F.coalesce(100.0 * F.coalesce("c", F.lit(0)) / (F.col("width") * F.col("height")), F.lit(0.0)), 6)
     r = r.withColumn("coverage", coverage).withColumn("anomalies", F.coalesce("anomalies", F.array().cast(dict(bands.dtypes)["anomalies"])))

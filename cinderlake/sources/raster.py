@@ -135,7 +135,12 @@ def read_blocks(blocks: DataFrame, parts: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, read = None, None
-        rows, n = [], 0
+        made, n = [], 0
+
+        def batch_of(made: list) -> pa.RecordBatch:
+            columns = [[b[k] for b, _ in made] for k in keep] + [[data for _, data in made], [b["count"] for b, _ in made]]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
         for batch in batches:
             for b in batch.to_pylist():
                 if held != b["path"]:
@@ -144,19 +149,19 @@ def read_blocks(blocks: DataFrame, parts: int | None = None) -> DataFrame:
                     held, read = b["path"], Ranges(b["path"])
                 shape = (b["row_end"] - b["row_start"], b["col_end"] - b["col_start"])
                 if b["count"] == 0:
-                    made = np.full(shape, np.nan)
+                    cells = np.full(shape, np.nan)
                 else:
                     block = decode(read(b["offset"], b["count"]), b["dtype"], (shape[0], b["block_width"], b["samples"]), b["compression"], b["predictor"])
-                    made = block[:, : shape[1], b["band"] if b["samples"] > 1 else 0].astype("<f8")
+                    cells = block[:, : shape[1], b["band"] if b["samples"] > 1 else 0].astype("<f8")
                     if b["nodata"] is not None:
-                        made[made == b["nodata"]] = np.nan
-                rows.append({k: b[k] for k in keep} | {"data": made.tobytes(), "bytes_read": b["count"]})
-                n += made.size
+                        cells[cells == b["nodata"]] = np.nan
+                made.append((b, cells.tobytes()))
+                n += cells.size
                 if n >= BATCH_CELLS:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows, n = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield batch_of(made)
+                    made, n = [], 0
+        if made:
+            yield batch_of(made)
         if read is not None:
             read.__exit__()
 
@@ -196,32 +201,49 @@ def pixels(tiles: DataFrame) -> DataFrame:
 TILES = "scene string, level int, band int, block_row long, block_col long, data binary"
 
 
+def _side(size: int) -> int:
+    """Tiles along a side of the squares that are packed together: of 256 cells a side, or of one tile where that is larger."""
+    return max(1, 256 // size)
+
+
+def _tiles(scene: str, level: int, band: int, block_row: np.ndarray, block_col: np.ndarray, data: np.ndarray) -> pa.Table:
+    n = len(data)
+    columns = [[scene] * n, np.full(n, level, np.int32), pa.array([band] * n, pa.int32()), block_row, block_col, [x.tobytes() for x in data]]
+    schema = _arrow(TILES)
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def pack(cells: DataFrame, size: int) -> DataFrame:
-    """Tiles of level 0 (float32 by row, NaN for missing cells) from scene, band, row, col, value."""
-    t = cells.select("scene", "band", "row", "col", F.col("value").cast("float").alias("value"), F.floor(F.col("row") / size).alias("block_row"), F.floor(F.col("col") / size).alias("block_col"))
+    """Tiles of level 0 (float32 by row, NaN for missing cells) from scene, band, row, col, value.  Small tiles that lie together are made together."""
+    side = _side(size)
+    t = cells.select("scene", "band", "row", "col", F.col("value").cast("float").alias("value"), F.floor(F.col("row") / (size * side)).alias("r"), F.floor(F.col("col") / (size * side)).alias("c"))
 
     def run(key, t):
         scene, band, r, c = (k.as_py() for k in key)
-        block = np.full((size, size), np.nan, "<f4")
-        block[t.column("row").to_numpy() - r * size, t.column("col").to_numpy() - c * size] = t.column("value").to_numpy()
-        return pa.Table.from_pylist([{"scene": scene, "level": 0, "band": band, "block_row": r, "block_col": c, "data": block.tobytes()}], _arrow(TILES))
+        row, col = t.column("row").to_numpy(), t.column("col").to_numpy()
+        held, at = np.unique((row // size - r * side) * side + (col // size - c * side), return_inverse=True)
+        block = np.full((len(held), size, size), np.nan, "<f4")
+        block[at, row % size, col % size] = t.column("value").to_numpy()
+        return _tiles(scene, 0, band, r * side + held // side, c * side + held % side, block)
 
-    return t.groupBy("scene", "band", "block_row", "block_col").applyInArrow(run, TILES)
+    return t.groupBy("scene", "band", "r", "c").applyInArrow(run, TILES)
 
 
 def halve(tiles: DataFrame, size: int) -> DataFrame:
     """The next level: each cell is the mean of its two by two cells that have data."""
-    t = tiles.select("scene", "level", "band", F.floor(F.col("block_row") / 2).alias("r"), F.floor(F.col("block_col") / 2).alias("c"), (F.col("block_row") % 2).alias("a"), (F.col("block_col") % 2).alias("b"), "data")
+    side = _side(size)
+    t = tiles.select("scene", "level", "band", F.floor(F.col("block_row") / (2 * side)).alias("r"), F.floor(F.col("block_col") / (2 * side)).alias("c"), "block_row", "block_col", "data")
 
     def run(key, t):
         scene, level, band, r, c = (k.as_py() for k in key)
-        block = np.full((2 * size, 2 * size), np.nan)
-        for x in t.select(["a", "b", "data"]).to_pylist():
-            block[x["a"] * size : (x["a"] + 1) * size, x["b"] * size : (x["b"] + 1) * size] = np.frombuffer(x["data"], "<f4").reshape(size, size)
-        four = block.reshape(size, 2, size, 2).transpose(0, 2, 1, 3).reshape(size, size, 4)
-        n = (~np.isnan(four)).sum(axis=2)
-        mean = np.where(n > 0, np.nansum(four, axis=2) / np.maximum(n, 1), np.nan).astype("<f4")
-        return pa.Table.from_pylist([{"scene": scene, "level": level + 1, "band": band, "block_row": r, "block_col": c, "data": mean.tobytes()}], _arrow(TILES))
+        row, col = t.column("block_row").to_numpy(), t.column("block_col").to_numpy()
+        held, at = np.unique((row // 2 - r * side) * side + (col // 2 - c * side), return_inverse=True)
+        block = np.full((len(held), 2, size, 2, size), np.nan)
+        block[at, row % 2, :, col % 2, :] = np.frombuffer(b"".join(t.column("data").to_pylist()), "<f4").reshape(-1, size, size)
+        four = block.reshape(-1, size, 2, size, 2).transpose(0, 1, 3, 2, 4).reshape(-1, size, size, 4)
+        n = (~np.isnan(four)).sum(axis=3)
+        mean = np.where(n > 0, np.nansum(four, axis=3) / np.maximum(n, 1), np.nan).astype("<f4")
+        return _tiles(scene, level + 1, band, r * side + held // side, c * side + held % side, mean)
 
     return t.groupBy("scene", "level", "band", "r", "c").applyInArrow(run, TILES)
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import struct
 import zlib
 
@@ -248,3 +249,47 @@ def test_tiles_are_sent_on_together():
     (made,) = R.pixels(Captured())(iter([given]))
     assert made.num_rows == 40 * 255
     assert made.slice(255 * 39, 4).to_pydict() == {"path": ["a"] * 4, "level": [0] * 4, "band": [0] * 4, "row": [624] * 4, "col": [0, 1, 2, 4], "value": [0.0, 1.0, 2.0, 4.0]}
+
+
+def test_small_tiles_are_made_together(spark):
+    """A call of the functions behind ``pack`` and ``halve`` makes all tiles of a square, not one; only tiles that have cells."""
+    import pyarrow as pa
+
+    class Captured:
+        def select(self, *_):
+            return self
+
+        groupBy = select  # noqa: N815
+
+        def applyInArrow(self, run, ddl):  # noqa: N802
+            return run
+
+    at = [(r, c) for r in range(256, 320) for c in range(40) if r // 16 != 18 and (r + c) % 5]
+    key = [pa.scalar(x) for x in ("a", 0, 1, 0)]
+    made = R.pack(Captured(), 16)(key, pa.table({"row": [r for r, _ in at], "col": [c for _, c in at], "value": pa.array([r * 100.0 + c for r, c in at], pa.float32())}))
+    tiles = {(t["block_row"], t["block_col"]): np.frombuffer(t["data"], "<f4").reshape(16, 16) for t in made.to_pylist()}
+    assert set(tiles) == {(r // 16, c // 16) for r, c in at} and made.num_rows == 9
+    assert {(16 * a + r, 16 * b + c): float(v) for (a, b), t in tiles.items() for (r, c), v in np.ndenumerate(t) if v == v} == {(r, c): r * 100.0 + c for r, c in at}
+    key = [pa.scalar(x) for x in ("a", 0, 0, 0, 0)]
+    upper = R.halve(Captured(), 16)(key, made.select(["block_row", "block_col", "data"]))
+    found = {(16 * t["block_row"] + r, 16 * t["block_col"] + c): v for t in upper.to_pylist() for (r, c), v in np.ndenumerate(np.frombuffer(t["data"], "<f4").reshape(16, 16)) if v == v}
+    four = {}
+    for r, c in at:
+        four.setdefault((r // 2, c // 2), []).append(r * 100.0 + c)
+    assert upper.num_rows == 4 and upper.column("level").to_pylist() == [1] * 4 and found == {k: np.float32(np.mean(v)) for k, v in four.items()}
+
+
+def test_coverage_of_all_bands_is_counted_by_bits(spark, tmp_path):
+    """Against brute force over more than 64 columns; cells are not grouped by row and column."""
+    from cinderlake.operators import validation
+
+    rng = np.random.default_rng(8)
+    has = rng.random((3, 20, 150)) < 0.8
+    has[:, -1, -1] = True
+    rows = [("s", b, r, c, 1.0 + r) for b in range(3) for r in range(20) for c in range(150) if has[b, r, c]] + [("t", 0, r, c, 1.0) for r in range(20) for c in range(150) if has[0, r, c]]
+    R.write_tiled(spark.createDataFrame(rows, "scene string, band int, row long, col long, value double"), str(tmp_path / "f"), 16)
+    made = validation.validate(R.raster_files(spark, str(tmp_path / "f")))
+    got = {os.path.basename(r.path)[:-4]: r.coverage for r in made.collect()}
+    assert got == {"s": pytest.approx(100 * has.all(axis=0).sum() / 3000, abs=1e-6), "t": pytest.approx(100 * has[0].sum() / 3000, abs=1e-6)}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate(keys=[path#" in plan and not re.search(r"Aggregate\(keys=\[path#\d+L?, row#\d+L?, col#\d+L?\]", plan)
