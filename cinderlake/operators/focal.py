@@ -27,33 +27,34 @@ TILE = 64
 CELL = ("tr", "tc", "row", "col")
 
 
-def tiled(grid: DataFrame, half: int, *carry: str) -> DataFrame:
+def tiled(grid: DataFrame, half: int, *carry: str, parts: int | None = None) -> DataFrame:
     """Rows (tr, tc, row, col, carried columns): each cell once in every tile that cells at most ``half`` away lie in.  Cells without a place take no part.
 
-    The number of tasks is that of shuffles and is not lowered by adaptive execution, as a window makes many rows of one after the shuffle.
+    There are ``parts`` tasks, by default as many as shuffles have, which is not lowered by adaptive execution, as a window makes many rows of one after the shuffle.
+    A task's aggregate holds the cells of its tiles, so who knows how many cells there are asks for tasks in proportion.
     """
     of = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / TILE), F.floor((F.col(c) + half) / TILE)))
     placed = grid.filter(F.col("row").isNotNull() & F.col("col").isNotNull())
     out = placed.select("row", "col", *carry, of("row").alias("tr")).select("row", "col", *carry, "tr", of("col").alias("tc"))
-    return out.repartition(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tr", "tc")
+    return out.repartition(parts or int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tr", "tc")
 
 
 def in_tile(axis: str) -> Column:
     return F.floor(F.col(axis) / TILE) == F.col({"row": "tr", "col": "tc"}[axis])
 
 
-def spread(grid: DataFrame, steps: Sequence[tuple[int, int]], *carry: str) -> DataFrame:
+def spread(grid: DataFrame, steps: Sequence[tuple[int, int]], *carry: str, parts: int | None = None) -> DataFrame:
     """Rows (tr, tc, row, col, dr, dc, carried columns): each value as seen by its neighbours, to be grouped by ``CELL``; cells outside the grid get rows too."""
     moves = F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in steps))
-    out = tiled(grid, max(abs(x) for step in steps for x in step), *carry).select("tr", "tc", "row", "col", *carry, F.explode(moves).alias("m"))
+    out = tiled(grid, max(abs(x) for step in steps for x in step), *carry, parts=parts).select("tr", "tc", "row", "col", *carry, F.explode(moves).alias("m"))
     out = out.select("tr", "tc", (F.col("row") - F.col("m.dr")).alias("row"), (F.col("col") - F.col("m.dc")).alias("col"), F.col("m.dr").alias("dr"), F.col("m.dc").alias("dc"), *carry)
     return out.filter(in_tile("row") & in_tile("col"))
 
 
-def focal(grid: DataFrame, half: int, aggs: Sequence[Column], centre: bool = True, value: str = "value") -> DataFrame:
+def focal(grid: DataFrame, half: int, aggs: Sequence[Column], centre: bool = True, value: str = "value", parts: int | None = None) -> DataFrame:
     """Aggregates of ``value`` over the square window (cells outside the grid take no part), for cells of the grid only."""
     own = F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.lit(1)))
-    near = spread(grid, offsets(half), value)
+    near = spread(grid, offsets(half), value, parts=parts)
     if not centre:
         near = near.withColumn(value, F.when((F.col("dr") != 0) | (F.col("dc") != 0), F.col(value)))
     return near.groupBy(*CELL).agg(own.alias("own"), *aggs).filter("own = 1").drop("own", "tr", "tc")
@@ -156,7 +157,7 @@ def downsample(grid: DataFrame, height: int, width: int, rows: int, cols: int, a
     return grid.groupBy(block("row", height, rows).alias("brow"), block("col", width, cols).alias("bcol")).agg(*aggs)
 
 
-def upsample(grid: DataFrame, factor: int, order: int = 1) -> DataFrame:
+def upsample(grid: DataFrame, factor: int, order: int = 1, parts: int | None = None) -> DataFrame:
     """row, col, value: a whole grid at ``factor`` times the resolution, with sources at multiples of it, up to the last source cell.
 
     Order 1 is bilinear: each source is sent to the targets that it weighs in; a target that misses a source (a hole) is null, as with NaN.
@@ -168,7 +169,7 @@ def upsample(grid: DataFrame, factor: int, order: int = 1) -> DataFrame:
         t = t.select((F.col("row") * factor + F.col("a")).alias("row"), (F.col("col") * factor + F.col("b")).alias("col"), "value")
         return _within(t, grid, factor)
     steps = F.array(*(F.lit(k) for k in range(1 - factor, factor)))
-    t = tiled(grid, 1, "value").withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps))
+    t = tiled(grid, 1, "value", parts=parts).withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps))
     weight = (1 - F.abs("a") / factor) * (1 - F.abs("b") / factor)
     t = t.select("tr", "tc", (F.col("row") * factor + F.col("a")).alias("row"), (F.col("col") * factor + F.col("b")).alias("col"), (F.col("value") * weight).alias("part"), weight.alias("w"))
     # a target belongs to the tile of the source at or before it

@@ -10,7 +10,7 @@ from ..functions.storage import Kept, Rounds
 from ..operators import assessment as A
 from ..operators import focal as N
 from ..operators import statistics as S
-from .focal_plans import G, grid
+from .focal_plans import G, grid, tasks
 from .registry import query, table
 
 _SCENE = "x AS (SELECT l_suppkey AS scene, l_extendedprice / 100000 AS b0, l_extendedprice / 90000 + l_discount AS b1, l_quantity / 50 AS b2, l_extendedprice / 100000 + l_tax * 2 AS b3, l_linenumber <> 7 AS ok FROM lineitem)"
@@ -51,7 +51,7 @@ def sar_looks(spark, sf_dir):
     """Equivalent number of looks: of the whole grid and the median of all 7 x 7 windows that lie inside it, and the filter that it asks for."""
     g = grid(spark, sf_dir)
     ends = g.agg(*(f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in ("row", "col")), F.avg("value").alias("all_mu"), F.stddev_pop("value").alias("all_sd"))
-    w = N.focal(g, 3, [F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n")]).crossJoin(F.broadcast(ends))  # one row
+    w = N.focal(g, 3, [F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n")], parts=tasks(spark, sf_dir)).crossJoin(F.broadcast(ends))  # one row
     inside = F.col("row").between(F.col("low_row") + 3, F.col("high_row") - 3) & F.col("col").between(F.col("low_col") + 3, F.col("high_col") - 3)
     looks = F.when(inside & (F.col("n") >= 10) & (F.col("sd") > 1e-10) & (F.col("mu") > 1e-10), F.pow(F.col("mu") / F.col("sd"), 2))
     kept = Kept(spark, "looks")(w.select(looks.alias("looks")).filter("looks > 0.5 AND looks < 100"))  # quantiles pass over them several times

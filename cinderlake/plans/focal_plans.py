@@ -16,9 +16,21 @@ from ..operators.kernels import with_global
 from .registry import query, table
 
 
+#: Lines a task of the grid and of its windows: about a quarter as many cells.
+LINES = 1_250_000
+
+
+def tasks(spark, sf_dir):
+    """Tasks for the grid: as many as shuffles have, more where a task would get over LINES lines, so that what a task holds does not grow with the table."""
+    # the count is read from the files' footers
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // LINES))
+
+
 def grid(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem")
-    return t.groupBy(F.expr("l_orderkey div 64").alias("row"), (F.col("l_partkey") % 64).alias("col")).agg(F.round(F.avg("l_quantity"), 6).alias("value"))
+    """Lines are shuffled to strips of 64 rows before they are grouped, so that no task holds the cells of a whole split of the file."""
+    t = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 64").alias("row"), (F.col("l_partkey") % 64).alias("col"), "l_quantity")
+    t = t.withColumn("strip", F.expr("row div 64")).repartition(tasks(spark, sf_dir), "strip")
+    return t.groupBy("strip", "row", "col").agg(F.round(F.avg("l_quantity"), 6).alias("value")).drop("strip")
 
 
 G = 'g AS (SELECT l_orderkey // 64 AS "row", l_partkey % 64 AS col, round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY ALL)'
@@ -30,7 +42,7 @@ def local_variance(spark, sf_dir):
     """3 x 3 statistics; windows are cut at the edge."""
     v = F.col("value")
     var = F.avg(v * v) - F.avg(v) * F.avg(v)
-    return N.focal(grid(spark, sf_dir), 1, [rnd(F.avg(v) + 1e-9, 5).alias("mean"), rnd(F.sqrt(F.greatest(var, F.lit(0.0))), 4).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("n")])
+    return N.focal(grid(spark, sf_dir), 1, [rnd(F.avg(v) + 1e-9, 5).alias("mean"), rnd(F.sqrt(F.greatest(var, F.lit(0.0))), 4).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("n")], parts=tasks(spark, sf_dir))
 
 
 @query(
@@ -42,7 +54,7 @@ SELECT row, col, round(value, 4) AS value, round(mu + 1e-9, 4) AS background, va
 def fire_contextual(spark, sf_dir):
     """A cell against the non-fire cells of its window (5 x 5 here), the centre left out, three at least."""
     g = grid(spark, sf_dir).withColumn("own_value", F.col("value"))
-    near = N.spread(g, N.offsets(2), "value")
+    near = N.spread(g, N.offsets(2), "value", parts=tasks(spark, sf_dir))
     centre = (F.col("dr") == 0) & (F.col("dc") == 0)
     back = F.when(~centre & (F.col("value") < 32), F.col("value"))
     b = near.groupBy(*N.CELL).agg(F.max(F.when(centre, F.col("value"))).alias("v"), F.avg(back).alias("mu"), F.stddev_pop(back).alias("sd"), F.count(back).alias("n")).filter("v IS NOT NULL AND n >= 3")
@@ -82,7 +94,7 @@ def slope_aspect(spark, sf_dir):
 @query("isolated_pixels", f"WITH {G}, m AS (SELECT row, col FROM g WHERE value > 28), n AS (SELECT m.row, m.col, count(*) - 1 AS neighbours FROM m JOIN m k ON k.row BETWEEN m.row - 1 AND m.row + 1 AND k.col BETWEEN m.col - 1 AND m.col + 1 GROUP BY ALL) SELECT row, col FROM n WHERE neighbours = 0")
 def isolated_pixels(spark, sf_dir):
     m = grid(spark, sf_dir).filter("value > 28").select("row", "col", F.lit(1).alias("value"))
-    return N.focal(m, 1, [F.count("value").alias("n")]).filter("n = 1").select("row", "col")
+    return N.focal(m, 1, [F.count("value").alias("n")], parts=tasks(spark, sf_dir)).filter("n = 1").select("row", "col")
 
 
 @query(
@@ -93,7 +105,7 @@ z AS (SELECT row, col, (s - mu * 9) / (sd * sqrt((n * 9 - 81) / (n - 1))) AS z F
 def getis_ord(spark, sf_dir):
     """Gi* with zero padding: the weight sum stays 9 at the edge."""
     g = grid(spark, sf_dir)
-    f = N.focal(g, 1, [F.sum("value").alias("s")])
+    f = N.focal(g, 1, [F.sum("value").alias("s")], parts=tasks(spark, sf_dir))
     t = g.agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"))
     z = (F.col("s") - F.col("mu") * 9) / (F.col("sd") * F.sqrt((F.col("n") * 9 - 81) / (F.col("n") - 1)))
     return f.crossJoin(F.broadcast(t)).select("row", "col", z.alias("z")).select("row", "col", rnd("z", 5).alias("z"), (F.col("z") > 1.96).alias("hotspot"))
@@ -113,7 +125,7 @@ def structural_damage(spark, sf_dir):
     h = grid(spark, sf_dir).select("row", "col", (F.col("value") / 50).alias("pre"), (F.col("value") * (1 + (F.col("row") + F.col("col")) % 3 * 0.2) / 60).alias("post"))
     var = lambda c: F.greatest(F.avg(F.col(c) * F.col(c)) - F.pow(F.avg(c), 2), F.lit(0.0))
     centre = (F.col("dr") == 0) & (F.col("dc") == 0)
-    s = N.spread(h, N.offsets(1), "pre", "post").groupBy(*N.CELL).agg(F.max(F.when(centre, F.col("pre"))).alias("p"), F.max(F.when(centre, F.col("post"))).alias("q"), var("pre").alias("vp"), var("post").alias("vq")).filter("p IS NOT NULL")
+    s = N.spread(h, N.offsets(1), "pre", "post", parts=tasks(spark, sf_dir)).groupBy(*N.CELL).agg(F.max(F.when(centre, F.col("pre"))).alias("p"), F.max(F.when(centre, F.col("post"))).alias("q"), var("pre").alias("vp"), var("post").alias("vq")).filter("p IS NOT NULL")
     from ..functions.expr import clip
 
     score = K.damage_score(F.abs(F.col("q") - F.col("p")), clip((F.col("vq") - F.col("vp")) / (F.col("vp") + 1e-4), 0, 2) / 2)
@@ -128,7 +140,7 @@ def hand_flow_neighbours(spark, sf_dir):
     """Higher neighbours of a cell: the elevations of its window side by side, compared within the row."""
     at = lambda a, b: F.max(F.when((F.col("dr") == a) & (F.col("dc") == b), F.col("value")))
     around = {f"v{k}": at(a, b) for k, (a, b) in enumerate(N.offsets(1, centre=False))}
-    w = N.spread(grid(spark, sf_dir), N.offsets(1), "value").groupBy(*N.CELL).agg(at(0, 0).alias("own"), *(c.alias(k) for k, c in around.items())).filter("own IS NOT NULL")
+    w = N.spread(grid(spark, sf_dir), N.offsets(1), "value", parts=tasks(spark, sf_dir)).groupBy(*N.CELL).agg(at(0, 0).alias("own"), *(c.alias(k) for k, c in around.items())).filter("own IS NOT NULL")
     flow = sum((F.coalesce((F.col(k) > F.col("own")).cast("long"), F.lit(0)) for k in around), F.lit(1).cast("long"))
     return w.select("row", "col", flow.alias("flow"), (flow >= 7).alias("channel"))
 
@@ -176,7 +188,7 @@ def idw_fill(spark, sf_dir):
     """Gaps from valid cells within two cells, weighted by the inverse squared distance."""
     g = grid(spark, sf_dir)
     hole = (F.col("row") * 7 + F.col("col") * 13) % 11 == 0
-    near = N.spread(g.filter(~hole), N.offsets(2, centre=False), "value").filter((F.col("row") * 7 + F.col("col") * 13) % 11 == 0)
+    near = N.spread(g.filter(~hole), N.offsets(2, centre=False), "value", parts=tasks(spark, sf_dir)).filter((F.col("row") * 7 + F.col("col") * 13) % 11 == 0)
     d2 = F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")
     out = near.groupBy(*N.CELL).agg(rnd(F.sum(F.col("value") / d2) / F.sum(1 / d2), 5).alias("filled"), rnd(F.exp(-F.sqrt(F.min(d2)) / 10)).alias("confidence")).drop("tr", "tc")
     return out.join(g.filter(hole).select("row", "col"), ["row", "col"], "left_semi")
@@ -272,14 +284,14 @@ def skill_score(spark, sf_dir):
     """Fractions skill score of exceedance in 3 x 3 windows."""
     b = grid(spark, sf_dir).select("row", "col", (F.col("value") > 25).cast("int").alias("f"), (F.col("value") + F.col("row") % 3 > 26).cast("int").alias("value"))
     centre = F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), 1))
-    n = N.spread(b, N.offsets(1), "f", "value").groupBy(*N.CELL).agg(centre.alias("own"), F.avg("f").alias("f"), F.avg("value").alias("o")).filter("own = 1")
+    n = N.spread(b, N.offsets(1), "f", "value", parts=tasks(spark, sf_dir)).groupBy(*N.CELL).agg(centre.alias("own"), F.avg("f").alias("f"), F.avg("value").alias("o")).filter("own = 1")
     return n.agg(rnd(1 - F.avg(F.pow(F.col("f") - F.col("o"), 2)) / (F.avg(F.col("f") * F.col("f")) + F.avg(F.col("o") * F.col("o")))).alias("fss"))
 
 
 @query("dem_spikes", f"WITH {G}, f AS (SELECT g.row, g.col, g.value, avg(n.value) AS mu, stddev_pop(n.value) AS sd FROM g {_NEAR.format(h=1)} GROUP BY g.row, g.col, g.value) SELECT row, col, CASE WHEN value > mu THEN 'spike' ELSE 'pit' END AS kind, round(value - mu + 1e-9, 5) AS off FROM f WHERE abs(value - mu) > 2 * sd")
 def dem_spikes(spark, sf_dir):
     centre = F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.col("value")))
-    f = N.spread(grid(spark, sf_dir), N.offsets(1), "value").groupBy(*N.CELL).agg(centre.alias("v"), F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd")).filter("v IS NOT NULL")
+    f = N.spread(grid(spark, sf_dir), N.offsets(1), "value", parts=tasks(spark, sf_dir)).groupBy(*N.CELL).agg(centre.alias("v"), F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd")).filter("v IS NOT NULL")
     gap = F.col("v") - F.col("mu")
     return f.filter(F.abs(gap) > 2 * F.col("sd")).select("row", "col", F.when(gap > 0, "spike").otherwise("pit").alias("kind"), rnd(gap + 1e-9, 5).alias("off"))
 

@@ -11,7 +11,7 @@ from ..functions.storage import Rounds
 from ..operators import focal as N
 from ..operators import statistics as S
 from ..operators.kernels import with_global
-from .focal_plans import _NEAR, G, grid
+from .focal_plans import _NEAR, G, grid, tasks
 from .fusion_plans import CELL, L, layers
 from .kernel_plans import _px, pixels
 from .registry import query, table
@@ -161,7 +161,7 @@ def morans_i(spark, sf_dir):
     """Spatial autocorrelation with weights 1/d over the eight neighbours of all cells."""
     g = with_global(grid(spark, sf_dir), F.avg("value").alias("mu"), F.var_pop("value").alias("v"))
     g = g.select("row", "col", (F.col("value") - F.col("mu")).alias("x"), "v")
-    near = N.spread(g, N.offsets(1), "x", "v")
+    near = N.spread(g, N.offsets(1), "x", "v", parts=tasks(spark, sf_dir))
     centre = (F.col("dr") == 0) & (F.col("dc") == 0)
     w = F.when(~centre, 1 / F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")))
     cell = near.groupBy(*N.CELL).agg(F.max(F.when(centre, F.col("x"))).alias("x"), F.max("v").alias("v"), F.sum(w * F.col("x")).alias("wx"), F.sum(w).alias("w")).filter("x IS NOT NULL")
@@ -170,14 +170,14 @@ def morans_i(spark, sf_dir):
 
 @query("median_filter", f"WITH {G} SELECT g.row, g.col, round(median(n.value) + 1e-9, 5) AS median FROM g {_NEAR.format(h=1)} GROUP BY g.row, g.col")
 def median_filter(spark, sf_dir):
-    return N.focal(grid(spark, sf_dir), 1, [rnd(F.median("value") + 1e-9, 5).alias("median")])
+    return N.focal(grid(spark, sf_dir), 1, [rnd(F.median("value") + 1e-9, 5).alias("median")], parts=tasks(spark, sf_dir))
 
 
 @query("mask_dilation", f"WITH {G}, m AS (SELECT row, col FROM g WHERE value > 32), d AS (SELECT unnest([-1, 0, 1]) AS d), x AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM g) SELECT DISTINCT m.row + a.d AS row, m.col + b.d AS col FROM m, d a, d b, x WHERE m.row + a.d BETWEEN r0 AND r1 AND m.col + b.d BETWEEN c0 AND c1")
 def mask_dilation(spark, sf_dir):
     """The mask's neighbours, within the grid's own bounds."""
     g = with_global(grid(spark, sf_dir), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    near = N.spread(g.filter("value > 32"), N.offsets(1), "r0", "r1", "c0", "c1")
+    near = N.spread(g.filter("value > 32"), N.offsets(1), "r0", "r1", "c0", "c1", parts=tasks(spark, sf_dir))
     return near.filter("row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1").select(*N.CELL).distinct().select("row", "col")
 
 
@@ -203,13 +203,13 @@ SELECT row, col, CASE WHEN sum(w) > 0.999999 THEN round(sum(value * w) + 1e-9, 4
 )
 def upsample_bilinear(spark, sf_dir):
     """The whole grid at twice its resolution, order 1."""
-    return N.upsample(grid(spark, sf_dir), 2).select("row", "col", rnd(F.col("value") + 1e-9, 4).alias("value"))
+    return N.upsample(grid(spark, sf_dir), 2, parts=tasks(spark, sf_dir)).select("row", "col", rnd(F.col("value") + 1e-9, 4).alias("value"))
 
 
 @query("upsample_nearest", f"WITH {G}, {_FINE} SELECT f.row, f.col, g.value FROM f JOIN g ON g.row = (f.row + 1) // 2 AND g.col = (f.col + 1) // 2")
 def upsample_nearest(spark, sf_dir):
     """The whole grid at twice its resolution, order 0; holes stay holes."""
-    return N.upsample(grid(spark, sf_dir), 2, order=0)
+    return N.upsample(grid(spark, sf_dir), 2, order=0, parts=tasks(spark, sf_dir))
 
 
 @query(

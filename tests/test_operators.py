@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -556,3 +557,24 @@ def test_partitioned_sink_does_not_sort(spark, tmp_path):
     assert len(list(tmp_path.glob("keys/key=*"))) == 50
     got = spark.read.parquet(f"{tmp_path}/keys")
     assert sorted((r.key, r.id) for r in got.collect()) == sorted((k % 50, k) for k in range(3000))
+
+
+@pytest.mark.parametrize("name", ["local_variance", "upsample_bilinear"])
+def test_tasks_of_windows_grow_with_the_table(spark, monkeypatch, name):
+    """More lines are more tasks, for the grid and for its windows; lines are shuffled before they are grouped."""
+    from cinderlake.plans import focal_plans
+
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n > 9 * 500 > 500 * parts
+    rows = {}
+    for lines in (500, 1 << 30):
+        monkeypatch.setattr(focal_plans, "LINES", lines)
+        df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        expected = max(parts, -(-n // lines))
+        assert re.findall(r"Exchange hashpartitioning\(tr#\d+L?, tc#\d+L?, (\d+)\)", plan)[0] == str(expected)
+        assert set(re.findall(r"Exchange hashpartitioning\(strip#\d+L?, (\d+)\)", plan)) == {str(expected)}
+        assert "Aggregate" not in plan[plan.rindex("Exchange hashpartitioning(strip#") :]
+        rows[lines] = sorted(df.collect())
+    assert rows[500] == rows[1 << 30]
