@@ -54,7 +54,9 @@ def resolve(layers: DataFrame, strategy: str, *cell: str) -> DataFrame:
         out = out.join(votes, [*cell, "value"]).withColumnRenamed("n", "top")
     elif strategy == "weighted_vote":
         votes = valid.groupBy(*cell, F.round(d, 0).alias("v")).agg(F.sum(weight).alias("w"))
-        out = votes.groupBy(*cell).agg(F.max_by("v", F.struct(F.round("w", 9), -F.col("v"))).alias("value"), (F.max("w") / F.sum("w")).alias("confidence"))
+        # weights are added from the winner's down, so ties of the share's last digit fall alike at every layout; a cell has at most as many votes as sources
+        ranked = F.array_sort(F.collect_list(F.struct((-F.round("w", 9)).alias("order"), F.col("v").isNull().alias("none"), "v", "w")))
+        out = votes.groupBy(*cell).agg(ranked.alias("r")).select(*cell, F.col("r")[0]["v"].alias("value"), (F.col("r")[0]["w"] / F.aggregate("r", F.lit(0.0), lambda s, x: s + x["w"])).alias("confidence"))
     elif strategy == "mean":
         out = valid.groupBy(*cell).agg(F.avg(d).alias("value"), F.count("*").alias("top"))
     elif strategy == "weighted_mean":
