@@ -39,13 +39,24 @@ def steady_sum(c: Column | str, over: WindowSpec | None = None) -> Column:
     return parts[0] + parts[1] if over is None else parts[0].over(over) + parts[1].over(over)
 
 
+def ordered_mean(c: Column | str, over: WindowSpec | None = None) -> Column:
+    """Mean of a group's values, added from the smallest, as any plain sum adds them in some order: for groups with a bound, such as the sources of a cell."""
+    held = F.collect_list(col(c).cast("double"))
+    held = F.array_sort(held if over is None else held.over(over))
+    return F.try_divide(F.aggregate(held, F.lit(0.0), lambda s, x: s + x), F.size(held))
+
+
 def steady_std(c: Column | str) -> Column:
-    """Population deviation of a group's values, always added in their own order: for groups with a bound, such as the sources of a cell."""
+    """Population deviation of a group's values, always merged in their own order: for groups with a bound, such as the sources of a cell.
+
+    A value is merged as a group of one (squared distance of the means, weighted), as the SQL's parallel tasks merge theirs; added one by one, pairs such as x and 3 x often fall on the other side of a ratio of .5 to their mean.
+    """
     start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
     def add(s: Column, x: Column) -> Column:
-        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1)
-        return F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["m2"] + (x - mean) * (x - s["mean"])).alias("m2"))
+        n, off = s["n"] + 1, x - s["mean"]
+        m2 = F.when(s["n"] > 0, s["m2"] + off * off * s["n"] / n).otherwise(0.0)
+        return F.struct(n.alias("n"), ((x + s["n"] * s["mean"]) / n).alias("mean"), m2.alias("m2"))
 
     return F.aggregate(F.array_sort(F.collect_list(col(c).cast("double"))), start, add, lambda s: F.when(s["n"] > 0, F.sqrt(s["m2"] / s["n"])))
 

@@ -593,6 +593,7 @@ HELD_TO_SQL = {
             ([("error", 30.86, 43), ("purchase", 12.3, 92), ("signup", 100.98, 37)], (101.0, 0.492187)),
         ],
     ),
+    "consensus_build": (["value", "secondary"], [([("purchase", 1.86, 92), ("signup", 0.62, 2)], (1.24, True)), ([("error", 9.06, 94), ("signup", 3.02, 38)], (6.04, True)), ([("click", 30.0, 4), ("view", 10.0, 9)], (20.0, False)), ([("view", 5.0, 1)], (5.0, False))]),
 }
 
 
