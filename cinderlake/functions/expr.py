@@ -28,15 +28,14 @@ def rnd(c: Column | str, digits: int = 6) -> Column:
     return F.round(col(c), digits)
 
 
-def steady_sum(c: Column | str, over: WindowSpec | None = None) -> Column:
+def steady_sum(c: Column | str) -> Column:
     """Sum of doubles that is the same in whatever order rows are added, so that a threshold met exactly is met at every layout of the table.
 
     Multiples of 2^-20 (values up to 2^32 in all) and what is left of each value are added apart; either sum is exact, and they are rounded once.
     """
     v = col(c).cast("double")
     whole = F.floor(v * float(1 << 20)).cast("double") / float(1 << 20)
-    parts = [F.sum(whole), F.sum(v - whole)]
-    return parts[0] + parts[1] if over is None else parts[0].over(over) + parts[1].over(over)
+    return F.sum(whole) + F.sum(v - whole)
 
 
 def ordered_mean(c: Column | str, over: WindowSpec | None = None) -> Column:

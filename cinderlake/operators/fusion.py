@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import steady_std, steady_sum
+from ..functions.expr import ordered_mean, steady_std
 
 CELL = ("user_id", "day")
 
@@ -19,7 +19,7 @@ def with_cell_moments(layers: DataFrame, *cell: str) -> DataFrame:
     """mean, std (population) and number of valid layers of the cell on each of its rows."""
     w = W.partitionBy(*cell)
     valid = F.when(F.col("quality") > 0, F.col("data"))
-    return layers.withColumns({"mu": F.try_divide(steady_sum(valid, w), F.count(valid).over(w)), "sd": F.stddev_pop(valid).over(w), "n_valid": F.count(valid).over(w)})
+    return layers.withColumns({"mu": ordered_mean(valid, w), "sd": F.stddev_pop(valid).over(w), "n_valid": F.count(valid).over(w)})
 
 
 def detect_conflict(layers: DataFrame, *cell: str, absolute: float = 0.1, relative: float = 0.05) -> DataFrame:
